@@ -7,7 +7,9 @@ from importlib import import_module
 #: name -> (module, attribute with the oracle SQL or None)
 QUERIES = {
     "op3_sharding": ("sharding", "oracle"),
+    "op7_token_counts": ("tokencount", None),
     "op8_mixing": ("mixing", "ORACLE"),
+    "op9_token_files": ("tokenfile", None),
 }
 
 

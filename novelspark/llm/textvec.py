@@ -89,6 +89,10 @@ def steps(texts: pa.Array | pa.ChunkedArray, most: int = STEP_BYTES) -> Iterator
         i = j
 
 
+def is_space(data: np.ndarray) -> np.ndarray:
+    return _SPACE[data]
+
+
 def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
@@ -145,3 +149,26 @@ def windows(values: np.ndarray, first: np.ndarray, width: int, seed: int = 0) ->
     doc = np.repeat(np.arange(len(first) - 1), np.diff(first))
     at = np.flatnonzero(doc[:n] == doc[width - 1 :])
     return out[at], at
+
+
+def distinct(docs: Docs, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, list[str]]:
+    """The byte ranges as codes into the list of distinct strings among them."""
+    if not len(start):
+        return np.zeros(0, np.int64), []
+    ends = np.cumsum(end - start)
+    body = docs.data
+    if ends[-1] != len(body) or (start[1:] != end[:-1]).any():
+        mask = np.zeros(len(body) + 1, np.int8)
+        mask[start] += 1
+        mask[end] -= 1  # ranges are disjoint and ascending: no end twice
+        body = body[np.cumsum(mask[:-1], dtype=np.int8).astype(bool)]
+    off = np.concatenate([np.zeros(1, np.int64), ends])
+    strings = pa.LargeStringArray.from_buffers(len(start), pa.py_buffer(off), pa.py_buffer(np.ascontiguousarray(body)))
+    coded = strings.dictionary_encode()
+    return coded.indices.to_numpy(), coded.dictionary.to_pylist()
+
+
+def sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Sums of the values of each document."""
+    total = np.concatenate([np.zeros(1, np.int64), np.cumsum(values, dtype=np.int64)])
+    return total[first[1:]] - total[first[:-1]]
