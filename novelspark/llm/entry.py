@@ -7,6 +7,7 @@ from importlib import import_module
 #: name -> (module, attribute with the oracle SQL or None)
 QUERIES = {
     "op3_sharding": ("sharding", "oracle"),
+    "op4_ngram_jaccard": ("neardup", "ORACLE"),
     "op5_decontamination": ("decontaminate", None),
     "op7_token_counts": ("tokencount", None),
     "op8_mixing": ("mixing", "ORACLE"),
