@@ -6,12 +6,15 @@ from importlib import import_module
 
 #: name -> (module, attribute with the oracle SQL or None)
 QUERIES = {
+    "op1_toxicity": ("toxicity", None),
+    "op2_fingerprint": ("fingerprint", None),
     "op3_sharding": ("sharding", "oracle"),
     "op4_ngram_jaccard": ("neardup", "ORACLE"),
     "op5_decontamination": ("decontaminate", None),
     "op7_token_counts": ("tokencount", None),
     "op8_mixing": ("mixing", "ORACLE"),
     "op9_token_files": ("tokenfile", None),
+    "op10_quality": ("quality", None),
 }
 
 

@@ -97,9 +97,14 @@ def lower_ascii(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def words(docs: Docs) -> Words:
+#: Bytes of letters and digits; every byte of a character outside ASCII counts as one.
+ALNUM = np.array([b >= 128 or chr(b).isalnum() for b in range(256)])
+
+
+def words(docs: Docs, of: np.ndarray | None = None) -> Words:
+    """Runs of bytes that are not white space, or that ``of`` (a mask of byte values) has."""
     data, off = docs.data, docs.off
-    word = ~_SPACE[data]
+    word = ~_SPACE[data] if of is None else of[data]
     begins, ends = word.copy(), word.copy()
     if len(data):
         begins[1:] &= ~word[:-1]
