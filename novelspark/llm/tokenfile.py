@@ -28,6 +28,7 @@ import json
 import re
 import zlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -45,7 +46,8 @@ BLOCK_TOKENS = 1 << 18
 EVERY = 256
 END_ID = 0
 LOW = np.uint64(1 << 31)
-REMEMBERED = 500_000
+#: Distinct pieces that a worker remembers, of late and of before.
+REMEMBERED = 600_000
 #: White space that ends a text's being cut into pieces (all of \\s outside the six ASCII ones).
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
 
@@ -64,31 +66,63 @@ def load(path: str):
     return Tokenizer.from_str(json.dumps(spec))
 
 
+def _byte_lengths(tokenizer) -> np.ndarray:
+    """Bytes that each id stands for; one character of a byte-level token is one byte."""
+    vocab = tokenizer.get_vocab()
+    out = np.zeros(max(vocab.values()) + 1, np.int64)
+    for token, i in vocab.items():
+        out[i] = len(token)
+    for i, added in tokenizer.get_added_tokens_decoder().items():
+        out[i] = len(added.content.encode())
+    return out
+
+
 class Encoding:
     def __init__(self, path: str):
         self.tokenizer = load(path)
+        self.lengths = _byte_lengths(self.tokenizer)
+        # pieces that were met lately, and those met before them
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
 
-    def learn(self, pieces: list[str]) -> None:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        fresh = [p for p in pieces if p not in self.known]
-        led = [p for p in fresh if p[0] in " \t\n\r\x0b\x0c"]
-        first = [p for p in fresh if p[0] not in " \t\n\r\x0b\x0c"]
-        for at in range(0, len(led), 10_000):
-            part = led[at : at + 10_000]
-            e = self.tokenizer.encode("".join(part), add_special_tokens=False)
+    def learn(self, pieces: list[str]) -> list[bytes]:
+        """The ids of each piece."""
+        known, older = self.known, self.older
+        if len(known) > REMEMBERED:
+            self.older = older = known
+            self.known = known = {}
+        out = list(map(known.get, pieces))
+        fresh = []
+        for i, x in enumerate(out):
+            if x is None:
+                p = pieces[i]
+                x = older.get(p)
+                if x is None:
+                    fresh.append(i)
+                else:
+                    out[i] = known[p] = x
+        led = [i for i in fresh if pieces[i][0] in " \t\n\r\x0b\x0c"]
+        if led:
+            part = [pieces[i] for i in led]
+            joined = "".join(part)
+            (e,) = self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)
             ids = np.array(e.ids, np.uint16)
-            begins = np.cumsum([0, *map(len, part)])
-            of = np.searchsorted(begins, np.array([a for a, _ in e.offsets]), "right") - 1
-            cuts = np.searchsorted(of, np.arange(len(part) + 1))
-            raw = ids.tobytes()
-            self.known.update((p, raw[2 * a : 2 * b]) for p, a, b in zip(part, cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
-        for p, e in zip(first, self.tokenizer.encode_batch(first, add_special_tokens=False), strict=True):
-            self.known[p] = np.array(e.ids, np.uint16).tobytes()
+            if joined.isascii():
+                size = np.fromiter(map(len, part), np.int64, len(part))
+            else:
+                size = np.fromiter((len(p.encode()) for p in part), np.int64, len(part))
+            cuts = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(size)) + 1
+            raw, a = ids.tobytes(), 0
+            for i, p, b in zip(led, part, (2 * cuts).tolist(), strict=True):
+                out[i] = known[p] = raw[a:b]
+                a = b
+        first = [i for i in fresh if out[i] is None]
+        for i, e in zip(first, self.tokenizer.encode_batch_fast([pieces[i] for i in first], add_special_tokens=False), strict=True):
+            out[i] = known[pieces[i]] = np.array(e.ids, np.uint16).tobytes()
+        return out
 
     def __call__(self, docs: textvec.Docs) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id after it, and their counts."""
@@ -102,8 +136,7 @@ class Encoding:
         start = np.flatnonzero(begins)
         first = np.searchsorted(start, off)
         codes, strings = textvec.distinct(docs, start, np.append(start[1:], len(data)))
-        self.learn(strings)
-        parts = list(map(self.known.__getitem__, strings))
+        parts = self.learn(strings)
         size = np.fromiter(map(len, parts), np.int64, len(parts)) // 2
         pool = np.frombuffer(b"".join(parts), np.uint16)
         place = np.cumsum(size) - size
@@ -126,6 +159,12 @@ class Encoding:
         return np.insert(body, ends, np.uint16(END_ID)), counts + 1
 
 
+@lru_cache(maxsize=1)
+def encoding(path: str) -> Encoding:
+    """One for each Python worker, so that its later tasks know the pieces of the earlier."""
+    return Encoding(path)
+
+
 BLOCKS = "part int, block int, doc_ids array<bigint>, counts array<bigint>, ids binary"
 
 
@@ -133,7 +172,7 @@ def tokenised(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Blocks of ids of whole documents, in ascending doc_id order by (part, block)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part = Encoding(path), TaskContext.get().partitionId()
+        encode, part = encoding(path), TaskContext.get().partitionId()
         schema = pa.schema([("part", pa.int32()), ("block", pa.int32()), ("doc_ids", pa.list_(pa.int64())), ("counts", pa.list_(pa.int64())), ("ids", pa.binary())])
         block, names, counts, ids, held = 0, [], [], [], 0
 
