@@ -11,6 +11,7 @@ QUERIES = {
     "op3_sharding": ("sharding", "oracle"),
     "op4_ngram_jaccard": ("neardup", "ORACLE"),
     "op5_decontamination": ("decontaminate", None),
+    "op6_chat": ("chat", "ORACLE"),
     "op7_token_counts": ("tokencount", None),
     "op8_mixing": ("mixing", "ORACLE"),
     "op9_token_files": ("tokenfile", None),
