@@ -11,7 +11,7 @@ all n-grams of all documents, in a sketch of fixed size), so passages that many
 documents share do not make columns of their documents.  Within a column a block is
 one row of the product: the column's pivot against its other classes.  Pairs whose
 sizes cannot reach t, and pairs already in one component, are discarded; the overlap of
-the others is counted over their whole sets.  A pivot that has been compared leaves its
+the others is counted over their whole sets, after a bitmap of each set has ruled out most.  A pivot that has been compared leaves its
 column, the next one follows; when what is left in the columns is few pairs, they are
 compared all at once.  Every link between different classes is so found or implied by
 a path of found links; components are then exact.
@@ -32,13 +32,14 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import stored, table
+from .common import discard, stored, table
 from .components import components
 
 NGRAM = 4
 PERCENT = 85
-SKETCH = 1 << 20
+SKETCH = 1 << 22
 CHUNKS = 64
+FILTER_BITS = 24
 #: Pairs left in the columns, as a multiple of their rows, that are compared at once.
 REST = 4
 
@@ -82,6 +83,24 @@ def class_of(s: np.ndarray) -> int:
         return int(textvec.mix(x[:1] + x[1:]).view(np.int64)[0])
 
 
+def parity(s: np.ndarray) -> bytes:
+    """A bitmap of a set, of a power of two of bits, at least as many as items: each item
+    flips one.  Bits in which two bitmaps differ are at most the items that the sets do."""
+    bits = max(64, 1 << int(max(1, len(s)) - 1).bit_length())
+    odd = np.bincount((s >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
+
+
+def least_difference(x: bytes, y: bytes) -> int:
+    """A lower bound on the size of the symmetric difference, from two bitmaps."""
+    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+    while len(a) > len(b):
+        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+    while len(b) > len(a):
+        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
+    return int(np.bitwise_count(a ^ b).sum())
+
+
 def _rows(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
 
@@ -97,14 +116,14 @@ def frequency_levels(docs: DataFrame, ngram: int = NGRAM, text: str = "text") ->
                 values, _ = shingles(step, ngram)
                 total += np.bincount((values & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH)
         if total.any():
-            parts = np.minimum(total, 2**32 - 1).astype(np.uint32).reshape(CHUNKS, -1)
+            parts = np.minimum(total, 255).astype(np.uint8).reshape(CHUNKS, -1)  # a task's own counts: more is as frequent
             yield pa.RecordBatch.from_arrays([pa.array(range(CHUNKS), pa.int32()), pa.array([p.tobytes() for p in parts], pa.binary())], ["chunk", "counts"])
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[int, np.ndarray] = {}
         for batch in batches:
             for chunk, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                total[chunk] = total.get(chunk, 0) + np.frombuffer(raw.as_buffer(), np.uint32).astype(np.int64)
+                total[chunk] = total.get(chunk, 0) + np.frombuffer(raw.as_buffer(), np.uint8).astype(np.int64)
         if total:
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["chunk", "counts"])
 
@@ -115,12 +134,13 @@ def frequency_levels(docs: DataFrame, ngram: int = NGRAM, text: str = "text") ->
         out[row.chunk] = np.frombuffer(row.counts, np.int64)
     counts = out.ravel()
     mean = max(1.0, counts.mean())
-    level = np.where(counts <= mean + 6 * np.sqrt(mean) + 6, 0, 1 + np.log2(np.maximum(counts, 1) / mean + 1))
+    level = np.where(counts <= mean + 6 * np.sqrt(mean) + 4, 0, 1 + np.log2(np.maximum(counts, 1) / mean + 1))
     return np.clip(level, 0, 60).astype(np.uint8)
 
 
 def profiles(docs: DataFrame, levels: np.ndarray, ngram: int = NGRAM, percent: int = PERCENT, text: str = "text") -> DataFrame:
-    """doc_id, text_hash, class, n (set size), prefix (the n-grams that bounds leave)."""
+    """doc_id, text_hash, class, n (set size), bits (its parity bitmap), prefix (the
+    n-grams that bounds leave)."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)  # SKETCH bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,24 +158,55 @@ def profiles(docs: DataFrame, levels: np.ndarray, ngram: int = NGRAM, percent: i
                 off = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])])
                 flat = np.concatenate([*prefixes, np.zeros(0, np.uint64)])
                 part = slice(step.row, step.row + len(step))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part], batch.column(1)[part], pa.array([class_of(s) for s in own], pa.int64()), pa.array(n), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat.view(np.int64)))], ["doc_id", "text_hash", "class", "n", "prefix"])
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part], batch.column(1)[part], pa.array([class_of(s) for s in own], pa.int64()), pa.array(n), pa.array([parity(s) for s in own], pa.binary()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat.view(np.int64)))], ["doc_id", "text_hash", "class", "n", "bits", "prefix"])
 
-    return _rows(docs, text).mapInArrow(run, "doc_id bigint, text_hash bigint, class bigint, n bigint, prefix array<bigint>")
+    return _rows(docs, text).mapInArrow(run, "doc_id bigint, text_hash bigint, class bigint, n bigint, bits binary, prefix array<bigint>")
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, ngram: int = NGRAM, text: str = "text") -> DataFrame:
-    """class, items: the whole set of each class; ``wanted`` names one row of each."""
+    """class, items: the whole set of each wanted class (class, text_hash of one of its rows).
+
+    A bitmap of the wanted hashes, of fixed size, lets other texts be skipped where they
+    are read; what passes it by chance is dropped by the join.
+    """
+    place = F.pmod("text_hash", F.lit(1 << FILTER_BITS))
+    marks = wanted.groupBy(F.shiftright(place, 5).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(text_hash, {1 << FILTER_BITS}) & 31 as int))")).alias("m"))
+    bitmap = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
+    got = marks.toArrow()  # at most 2**(FILTER_BITS - 5) rows
+    bitmap[got["w"].to_numpy()] = got["m"].to_numpy().astype(np.uint32)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for step in textvec.steps(batch.column(0)):
+            p = batch.column(0).to_numpy() & ((1 << FILTER_BITS) - 1)
+            take = np.flatnonzero(shared.value[p >> 5] >> (p & 31).astype(np.uint32) & 1)
+            if not len(take):
+                continue
+            for step in textvec.steps(batch.column(1).take(pa.array(take))):
                 own = sets(step, ngram)
                 yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["class", "items"])
 
-    rows = _rows(docs, text)
-    w = wanted.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))
-    found = rows.join(w, (F.col("text_hash") == F.col("_hash")) & F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
-    return found.select("text").mapInArrow(run, "class bigint, items binary").dropDuplicates(["class"])
+    found = _rows(docs, text).select("text_hash", "text").mapInArrow(run, "class bigint, items binary")
+    return found.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
+
+
+def possible(pairs: DataFrame, bits: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """The pairs (a, b, na, nb) whose bitmaps do not rule the similarity out."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keep = []
+            for i, (na, nb, x, y) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)):
+                # 100 n >= percent (na + nb - n) for the overlap n = (na + nb - difference) / 2
+                most = (na + nb - least_difference(x, y)) // 2
+                if 100 * most >= percent * (na + nb - most):
+                    keep.append(i)
+            if keep:
+                yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep)) for k in (0, 1)], ["a", "b"])
+
+    y = bits.select(F.col("class").alias("b"), F.col("bits").alias("y"))
+    x = bits.select(F.col("class").alias("a"), F.col("bits").alias("x"))
+    return pairs.join(y, "b").join(x, "a").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
 def verified(pairs: DataFrame, own: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -184,15 +235,18 @@ def class_links(docs: DataFrame, profile: DataFrame, ngram: int = NGRAM, percent
     """class, label: components of classes; None if no two classes share a column."""
     rows = profile.where("n > 0").select(F.explode("prefix").alias("gram"), "class", "n", F.size("prefix").alias("k"))
     column = Window.partitionBy("gram")
-    seen = rows.dropDuplicates(["gram", "class"]).withColumn("m", F.count(F.lit(1)).over(column)).where("m > 1")
+    seen = rows.repartition("gram").dropDuplicates(["gram", "class"]).withColumn("m", F.count(F.lit(1)).over(column)).where("m > 1")
     shared = stored(seen.select("gram", "class", "n", "k"), "columns")
     if not shared.head(1):
         return None
     # the share of a class's columns that others have too: highest in the middle of a group
     weight = shared.groupBy("class").agg((F.count(F.lit(1)) / F.max("k")).alias("weight"))
-    wanted = weight.join(profile.groupBy("class").agg(F.min(F.struct("doc_id", "text_hash")).alias("r")), "class").select("r.doc_id", "r.text_hash")
-    own = stored(class_sets(docs, wanted, ngram, text), "sets")
-    columns = stored(shared.join(weight, "class").select("gram", "class", "n", "weight"), "columns")
+    names = profile.where("n > 0").groupBy("class").agg(F.min("text_hash").alias("text_hash"))
+    names = stored(weight.join(names, "class"), "classes")
+    bits = stored(profile.where("n > 0").select("class", "bits").join(names.select("class"), "class", "left_semi").dropDuplicates(["class"]), "bitmaps")
+    columns = stored(shared.join(names.select("class", "weight"), "class").select("gram", "class", "n", "weight"), "columns")
+    discard(docs.sparkSession, shared)
+    own: DataFrame | None = None
     fits = lambda p, q: 100 * F.least(p, q) >= percent * F.greatest(p, q)
     links = labels = None
     while True:
@@ -209,10 +263,16 @@ def class_links(docs: DataFrame, profile: DataFrame, ngram: int = NGRAM, percent
         if last:
             x = now.select("gram", F.col("class").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
             y = now.select("gram", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-            pairs = x.join(y, "gram").where(F.col("a") < F.col("b")).where("la != lb").where(fits(F.col("na"), F.col("nb"))).select("a", "b")
+            pairs = x.join(y, "gram").where(F.col("a") < F.col("b")).where("la != lb").where(fits(F.col("na"), F.col("nb"))).select("a", "b", "na", "nb")
         else:
-            pairs = now.where(F.col("label") != F.col("p.label")).where(fits(F.col("n"), F.col("p.n"))).select(F.col("p.class").alias("a"), F.col("class").alias("b"))
-        found = stored(verified(pairs.distinct(), own, percent), "links")
+            pairs = now.where(F.col("label") != F.col("p.label")).where(fits(F.col("n"), F.col("p.n"))).select(F.col("p.class").alias("a"), F.col("class").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"))
+        pairs = stored(possible(pairs.distinct(), bits, percent), "pairs")
+        need = names.join(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct(), "class", "left_semi")
+        if own is not None:
+            need = need.join(own.select("class"), "class", "left_anti")
+        more = stored(class_sets(docs, stored(need.select("class", "text_hash"), "needed"), ngram, text), "sets")
+        own = more if own is None else own.union(more)
+        found = stored(verified(pairs, own, percent), "links")
         links = found if links is None else links.union(found)
         labels = stored(components(links), "labels")
         if last:
