@@ -1,14 +1,372 @@
-"""The queries over the reference's operators, with the SQL that checks them."""
+"""The queries over the reference tables, each with the SQL that checks it.
+
+Queries read whole tables.  SQL is left out where it would be sequential over a whole
+table; those queries are tested against brute force on small fixtures.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from novelspark.functions import metrics
+from novelspark.operators import adaptive, embedding, evaluate, intervals, mdl, novelty, packing, persistence, replicas, selection, tower, traces
 
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
 
-def queries() -> dict:
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(QUERIES)
 
 
-def oracle_sql() -> dict:
+def oracle_sql() -> dict[str, str]:
     return dict(ORACLES)
+
+
+def _query(sql: str | None = None):
+    def add(fn):
+        QUERIES[fn.__name__] = fn
+        if sql:
+            ORACLES[fn.__name__] = sql
+        return fn
+
+    return add
+
+
+# ---- inputs -----------------------------------------------------------------
+
+
+def _table(spark: SparkSession, sf: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf}/{name}.parquet")
+
+
+def _vectors(spark: SparkSession, sf: str) -> DataFrame:
+    """i, x, label of the embeddings."""
+    return _table(spark, sf, "embeddings").select(F.col("vec_id").alias("i"), metrics.doubles("embedding").alias("x"), "label")
+
+
+def _reps(df: DataFrame) -> DataFrame:
+    return df.select(F.col("i").alias("j"), F.col("x").alias("y"))
+
+
+def _events(spark: SparkSession, sf: str) -> DataFrame:
+    """seq (microseconds), value, event_type, user_id, ts of the events."""
+    return _table(spark, sf, "events").select(F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01', ts)").alias("seq"), "value", "event_type", "user_id", "ts")
+
+
+def _points3(spark: SparkSession, sf: str) -> DataFrame:
+    """seq and three scaled columns of the line items."""
+    seq = (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("seq")
+    return _table(spark, sf, "lineitem").select(seq, (F.col("l_quantity") / 50).alias("a"), (F.col("l_discount") / 0.1 + 0.0).alias("b"), (F.col("l_tax") / 0.08 + 0.0).alias("c")).groupBy("seq").agg(F.max("a").alias("a"), F.max("b").alias("b"), F.max("c").alias("c"))
+
+
+_V = "v AS (SELECT vec_id AS i, list_transform(embedding, lambda e: e::DOUBLE) AS x, label FROM embeddings)"
+_E = "e AS (SELECT epoch_us(ts) AS seq, value, event_type, user_id, ts FROM events)"
+_P = "p AS (SELECT l_orderkey * 8 + l_linenumber AS seq, max(l_quantity / 50) AS a, max(l_discount / 0.1 + 0.0) AS b, max(l_tax / 0.08 + 0.0) AS c FROM lineitem GROUP BY 1)"
+_L2 = "sqrt(list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), lambda p, q: p + q))"
+_L1 = "list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip({a}, {b}), lambda z: abs(z[1] - z[2]))), lambda p, q: p + q)"
+_LINF = "list_max(list_transform(list_zip({a}, {b}), lambda z: abs(z[1] - z[2])))"
+_COS = "(1 - list_dot_product({a}, {b}))"
+
+
+def _net_sql(distance: str, epsilon: float) -> str:
+    """CTEs n, t and net(i, x): the first-fit net of v, row by row."""
+    d = distance.format(a="r.x", b="n.x")
+    return f"""{_V}, n AS (SELECT row_number() OVER (ORDER BY i) AS k, i, x FROM v),
+t AS (SELECT 1::BIGINT AS k, [{{'i': i, 'x': x}}] AS reps FROM n WHERE k = 1
+  UNION ALL SELECT n.k, CASE WHEN list_bool_or(list_transform(t.reps, lambda r: {d} <= {epsilon})) THEN t.reps ELSE list_append(t.reps, {{'i': n.i, 'x': n.x}}) END
+  FROM t JOIN n ON n.k = t.k + 1),
+net AS (SELECT r.i AS i, r.x AS x FROM (SELECT unnest(reps) AS r FROM t ORDER BY k DESC LIMIT 1000000) WHERE false)"""
+
+
+def _net(distance: str, epsilon: float) -> str:
+    base = _net_sql(distance, epsilon)
+    return base[: base.index("net AS (")] + "net AS (SELECT r.i AS i, r.x AS x FROM (SELECT unnest(reps) AS r FROM t WHERE k = (SELECT max(k) FROM t)))"
+
+
+def _first_fit_sql(distance: str, epsilon: float) -> str:
+    d = distance.format(a="n.x", b="net.x")
+    return f"""WITH RECURSIVE {_net(distance, epsilon)},
+best AS (SELECT n.i, min({{'d': {d}, 'j': net.i}}) AS m FROM n JOIN net ON net.i < n.i AND {d} <= {epsilon} GROUP BY n.i)
+SELECT n.i AS vec_id, net.i IS NOT NULL AS is_novel, CASE WHEN net.i IS NOT NULL THEN n.i ELSE m.j END AS representative,
+round(CASE WHEN net.i IS NOT NULL THEN 0.0 ELSE m.d END, 9) AS distance FROM n LEFT JOIN net ON net.i = n.i LEFT JOIN best ON best.i = n.i"""
+
+
+def _fit(spark: SparkSession, sf: str, epsilon: float, distance: str = "cosine") -> DataFrame:
+    out = packing.first_fit_vectors(_vectors(spark, sf), "i", "x", epsilon, distance)
+    return out.select(F.col("i").alias("vec_id"), "is_novel", "representative", F.round("distance", 9).alias("distance"))
+
+
+# ---- full-history novelty ----------------------------------------------------
+
+
+@_query(f"WITH {_V} SELECT a.i AS vec_id, a.label, NOT EXISTS (SELECT 1 FROM v b WHERE b.i < a.i AND {_COS.format(a='a.x', b='b.x')} <= 0.7) AS is_novel FROM v a")
+def history_novelty_cosine(spark, sf):
+    return novelty.history_novelty_vectors(_vectors(spark, sf), "i", "x", 0.7).select(F.col("i").alias("vec_id"), "label", "is_novel")
+
+
+@_query(f"WITH {_E} SELECT a.seq, NOT EXISTS (SELECT 1 FROM e b WHERE b.seq < a.seq AND abs(a.value - b.value) <= 0.05) AS is_novel FROM e a")
+def history_novelty_1d(spark, sf):
+    return intervals.observe(_events(spark, sf), "seq", "value", 0.05).select("seq", "is_novel")
+
+
+@_query(f"WITH {_E} SELECT a.event_type, a.seq, NOT EXISTS (SELECT 1 FROM e b WHERE b.event_type = a.event_type AND b.seq < a.seq AND abs(a.value - b.value) <= 0.5) AS is_novel FROM e a")
+def history_novelty_by_type(spark, sf):
+    return novelty.history_novelty(_events(spark, sf), "seq", novelty.vector("value"), 0.5, keys=["event_type"]).select("event_type", "seq", "is_novel")
+
+
+@_query(f"""WITH {_P}, u AS (SELECT a, b, c, min(seq) AS s FROM p GROUP BY a, b, c),
+n AS (SELECT x.s FROM u x WHERE NOT EXISTS (SELECT 1 FROM u y WHERE y.s < x.s AND abs(x.a - y.a) <= 0.05 AND abs(x.b - y.b) <= 0.05 AND abs(x.c - y.c) <= 0.05))
+SELECT seq, seq IN (SELECT s FROM n) AS is_novel FROM p""")
+def box_novelty(spark, sf):
+    return intervals.boxes(_points3(spark, sf), "seq", [F.col("a"), F.col("b"), F.col("c")], 0.05).select("seq", "is_novel")
+
+
+@_query(f"""WITH {_V}, d AS (SELECT a.i, b.i AS j, {_L2.format(a='a.x', b='b.x')} AS d FROM v a JOIN v b ON b.i < a.i),
+m AS (SELECT i, min({{'d': d, 'j': j}}) AS m FROM d GROUP BY i)
+SELECT v.i AS vec_id, m.m.j AS prior, round(m.m.d, 9) AS distance FROM v LEFT JOIN m USING (i)""")
+def nearest_prior_distance(spark, sf):
+    return novelty.prior_distance(_vectors(spark, sf), "i", "x").select(F.col("i").alias("vec_id"), "prior", F.round("distance", 9).alias("distance"))
+
+
+# ---- first-fit nets -----------------------------------------------------------
+
+
+@_query(_first_fit_sql(_COS, 0.7))
+def first_fit_cosine(spark, sf):
+    return _fit(spark, sf, 0.7)
+
+
+@_query(_first_fit_sql(_L2, 1.2))
+def first_fit_l2(spark, sf):
+    return _fit(spark, sf, 1.2, "l2")
+
+
+@_query(_first_fit_sql(_L1, 7.5))
+def first_fit_l1(spark, sf):
+    return _fit(spark, sf, 7.5, "l1")
+
+
+@_query(_first_fit_sql(_LINF, 0.42))
+def first_fit_linf(spark, sf):
+    return _fit(spark, sf, 0.42, "linf")
+
+
+_SEQ_1D = """WITH RECURSIVE {e}, n AS (SELECT row_number() OVER (PARTITION BY event_type ORDER BY seq) AS k, event_type, seq, value FROM e),
+t AS (SELECT k, event_type, seq, true AS is_novel, [value] AS reps FROM n WHERE k = 1
+  UNION ALL SELECT n.k, n.event_type, n.seq, NOT list_bool_or(list_transform(t.reps, lambda r: abs(r - n.value) <= {eps})),
+    CASE WHEN list_bool_or(list_transform(t.reps, lambda r: abs(r - n.value) <= {eps})) THEN t.reps ELSE {then} END
+  FROM t JOIN n ON n.event_type = t.event_type AND n.k = t.k + 1)
+SELECT event_type, seq, is_novel FROM t"""
+
+
+@_query(_SEQ_1D.format(e=_E, eps=1.0, then="list_append(t.reps, n.value)"))
+def first_fit_partitioned(spark, sf):
+    return packing.first_fit(_events(spark, sf), "seq", novelty.vector("value"), 1.0, keys=["event_type"]).select("event_type", "seq", "is_novel")
+
+
+@_query()
+def first_fit_1d(spark, sf):
+    return packing.first_fit(_events(spark, sf), "seq", novelty.vector("value"), 1.0).select("seq", "is_novel", "representative", F.round("distance", 9).alias("distance"))
+
+
+@_query(f"""WITH RECURSIVE {_V}, n AS (SELECT row_number() OVER (ORDER BY i) AS k, i, x, 0.6 + 0.02 * label AS r FROM v),
+t AS (SELECT 1::BIGINT AS k, i, true AS is_novel, [{{'x': x, 'r': r}}] AS reps FROM n WHERE k = 1
+  UNION ALL SELECT n.k, n.i, NOT list_bool_or(list_transform(t.reps, lambda q: {_COS.format(a='q.x', b='n.x')} <= q.r)),
+    CASE WHEN list_bool_or(list_transform(t.reps, lambda q: {_COS.format(a='q.x', b='n.x')} <= q.r)) THEN t.reps ELSE list_append(t.reps, {{'x': n.x, 'r': n.r}}) END
+  FROM t JOIN n ON n.k = t.k + 1) SELECT i AS vec_id, is_novel FROM t""")
+def first_fit_adaptive_radius(spark, sf):
+    v = _vectors(spark, sf)
+    return packing.first_fit_vectors(v, "i", "x", 0.8, radius=F.lit(0.6) + F.lit(0.02) * F.col("label")).select(F.col("i").alias("vec_id"), "is_novel")
+
+
+@_query(_SEQ_1D.format(e=_E, eps=1.0, then="CASE WHEN len(t.reps) >= 64 THEN list_append(t.reps[2:], n.value) ELSE list_append(t.reps, n.value) END"))
+def fifo_capacity(spark, sf):
+    return packing.fifo(_events(spark, sf), "seq", "value", 1.0, 64, ["event_type"]).select("event_type", "seq", "is_novel")
+
+
+@_query(f"""WITH {_V}, r AS (SELECT i AS j, x AS y FROM v WHERE i % 2 = 0), q AS (SELECT i, x FROM v WHERE i % 2 = 1),
+m AS (SELECT q.i, min({{'d': {_COS.format(a='q.x', b='r.y')}, 'j': r.j}}) AS m FROM q JOIN r ON {_COS.format(a='q.x', b='r.y')} <= 0.8 GROUP BY q.i)
+SELECT q.i AS vec_id, m.m IS NOT NULL AS covered, coalesce(m.m.j, -1)::BIGINT AS slot, round(m.m.d, 9) AS distance FROM q LEFT JOIN m USING (i)""")
+def pack_lookup(spark, sf):
+    v = _vectors(spark, sf)
+    out = packing.lookup(v.where("i % 2 = 1"), _reps(v.where("i % 2 = 0")), "cosine", 0.8)
+    return out.select(F.col("i").alias("vec_id"), "covered", "slot", F.round("distance", 9).alias("distance"))
+
+
+@_query(f"""WITH {_V}, m AS (SELECT a.i, min({{'d': {_L2.format(a='a.x', b='b.x')}, 'j': b.i}}) AS m FROM v a JOIN v b ON b.i <> a.i GROUP BY a.i)
+SELECT i AS slot, m.j AS nearest, round(m.d, 9) AS distance FROM m""")
+def rep_importance(spark, sf):
+    return packing.importance(_reps(_vectors(spark, sf)), "l2").select(F.col("j").alias("slot"), "nearest", F.round("distance", 9).alias("distance"))
+
+
+@_query(f"""WITH {_V}, p AS (SELECT a.i AS a, b.i AS b, {_L2.format(a='a.x', b='b.x')} AS d FROM v a JOIN v b ON a.i < b.i),
+w AS (SELECT a FROM p ORDER BY d, a, b LIMIT 1) SELECT i AS slot FROM v WHERE i <> (SELECT a FROM w)""")
+def evict_w1(spark, sf):
+    return packing.evict_w1(_reps(_vectors(spark, sf)), "l2").select(F.col("j").alias("slot"))
+
+
+@_query(f"WITH {_V} SELECT count(*) AS violations FROM v a JOIN v b ON b.i < a.i AND {_COS.format(a='a.x', b='b.x')} <= 0.8")
+def separation_violations(spark, sf):
+    return packing.violations(_reps(_vectors(spark, sf)), "cosine", 0.8).agg(F.count(F.lit(1)).alias("violations"))
+
+
+@_query(f"""WITH RECURSIVE {_net(_COS, 0.8)} SELECT (SELECT count(*) FROM v) AS observations, (SELECT count(*) FROM net)::BIGINT AS novel,
+((SELECT count(*) FROM v) - (SELECT count(*) FROM net))::BIGINT AS redundant, round((SELECT count(*) FROM net) / (SELECT count(*) FROM v)::DOUBLE, 9) AS novelty_rate""")
+def pack_stats(spark, sf):
+    return packing.stats(_fit(spark, sf, 0.8))
+
+
+# ---- intervals ------------------------------------------------------------------
+
+_UNION = f"""{_E}, b AS (SELECT greatest(value - 0.05, 0.0) AS lo, least(value + 0.05, 500.0) AS hi FROM e),
+r AS (SELECT lo, hi, max(hi) OVER (ORDER BY lo, hi ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM b),
+s AS (SELECT lo, hi, sum(CASE WHEN reach IS NULL OR lo > reach THEN 1 ELSE 0 END) OVER (ORDER BY lo, hi) AS g FROM r),
+u AS (SELECT min(lo) AS lower, max(hi) AS upper FROM s GROUP BY g)"""
+
+
+def _union(spark, sf):
+    return intervals.union(_events(spark, sf), *intervals.ball(F.col("value"), 0.05, 0.0, 500.0))
+
+
+@_query(f"WITH {_UNION} SELECT lower, upper FROM u")
+def interval_union(spark, sf):
+    return _union(spark, sf)
+
+
+@_query(f"WITH {_UNION} SELECT count(*) AS interval_count, round(sum(upper - lower), 6) AS covered_measure, count(*) = 1 AND min(lower) <= 0 AND max(upper) >= 500 AS fully_covered FROM u")
+def interval_stats(spark, sf):
+    return intervals.union_stats(_union(spark, sf), 0.0, 500.0).withColumn("covered_measure", F.round("covered_measure", 6))
+
+
+@_query(f"WITH {_UNION} SELECT o_orderkey, NOT EXISTS (SELECT 1 FROM u WHERE o_totalprice / 1000 BETWEEN lower AND upper) AS is_novel FROM orders")
+def interval_is_novel(spark, sf):
+    asked = _table(spark, sf, "orders").select("o_orderkey", (F.col("o_totalprice") / 1000).alias("q"))
+    return intervals.outside(asked, "q", _union(spark, sf), 0.05).select("o_orderkey", "is_novel")
+
+
+@_query(f"WITH {_UNION} SELECT count(*) AS violations FROM (SELECT lower, upper, lag(upper) OVER (ORDER BY lower) AS l FROM u) WHERE lower > upper OR l >= lower")
+def interval_violations(spark, sf):
+    return intervals.union_violations(_union(spark, sf)).agg(F.count(F.lit(1)).alias("violations"))
+
+
+# ---- tower ----------------------------------------------------------------------
+
+_TOWER = f"""{_E}, c AS (SELECT seq, least(floor(value / 512.0 * 512)::BIGINT, 511) AS f FROM e WHERE value BETWEEN 0 AND 512),
+l AS (SELECT seq, level::INTEGER AS level, f >> (9 - level)::INTEGER AS cell FROM c, range(10) r(level)),
+s AS (SELECT level, cell, min(seq) AS first_seq FROM l GROUP BY level, cell)"""
+
+
+def _tower(spark, sf):
+    return tower.occupancy(_events(spark, sf), "seq", "value", 0.0, 512.0, 10)
+
+
+@_query(f"WITH {_TOWER} SELECT l.seq, l.level, l.cell, l.seq = s.first_seq AS is_novel FROM l JOIN s USING (level, cell)")
+def tower_observe(spark, sf):
+    return tower.observe(_events(spark, sf), "seq", "value", 0.0, 512.0, 10)
+
+
+@_query(f"""WITH {_TOWER}, k AS (SELECT level, count(*) AS discovered FROM s GROUP BY level)
+SELECT level, (1::BIGINT << level) AS cells, discovered, round(discovered / lag(discovered) OVER (ORDER BY level)::DOUBLE, 9) AS growth,
+CASE WHEN level > 0 THEN round(log2(discovered) / level, 9) END AS dimension FROM k""")
+def tower_level_info(spark, sf):
+    return tower.level_info(_tower(spark, sf))
+
+
+@_query(f"WITH {_TOWER} SELECT level, cell, row_number() OVER (PARTITION BY level ORDER BY cell) AS up_to FROM s")
+def tower_prefix_count(spark, sf):
+    return tower.prefix_counts(_tower(spark, sf))
+
+
+@_query(f"WITH {_TOWER} SELECT level, cell FROM (SELECT *, row_number() OVER (PARTITION BY level ORDER BY cell) - 1 AS k FROM s) WHERE k = 5")
+def tower_select_occupied(spark, sf):
+    return tower.kth(_tower(spark, sf), 5)
+
+
+@_query(f"WITH {_TOWER} SELECT level, cell FROM (SELECT *, row_number() OVER (PARTITION BY level ORDER BY first_seq) - 1 AS k FROM s) WHERE k = 5")
+def tower_discovery_at(spark, sf):
+    return tower.kth(_tower(spark, sf), 5, "discovery")
+
+
+@_query(f"WITH {_TOWER} SELECT level, cell, first_seq, row_number() OVER (PARTITION BY level ORDER BY first_seq) - 1 AS discovery FROM s")
+def tower_occupancy(spark, sf):
+    return _tower(spark, sf)
+
+
+# ---- replicas -------------------------------------------------------------------
+
+_GRID = """ceil({v} / 0.125)::BIGINT - 1"""
+_CELL = " + ".join(f"least(greatest(ceil(({v} - 0.0) / 0.125)::BIGINT - 1, 0), 7) * {8**k}" for k, v in enumerate("abc"))
+_CELLS = f"{_P}, c AS (SELECT seq, {_CELL} AS cell, seq % 4 AS replica FROM p), o AS (SELECT replica, cell, min(seq) AS seq FROM c GROUP BY replica, cell)"
+
+
+def _cells(spark, sf):
+    cell = replicas.grid_cell(F.array("a", "b", "c"), [0.0] * 3, [1.0] * 3, 8)
+    return _points3(spark, sf).select("seq", cell.alias("cell"), replicas.replica_of(F.col("seq"), 4).alias("replica"))
+
+
+def _state(spark, sf):
+    return replicas.occupants(_cells(spark, sf), ["replica"], "cell", "seq")
+
+
+@_query("SELECT j, [((j % 4) + 0.5) * 0.25, (((j // 4) % 4) + 0.5) * 0.25, (((j // 16) % 4) + 0.5) * 0.25]::DOUBLE[] AS y FROM range(64) r(j)")
+def grid_anchors(spark, sf):
+    return replicas.grid_anchors(spark, [0.0] * 3, [1.0] * 3, 4)
+
+
+@_query(f"WITH {_CELLS} SELECT seq, cell FROM c")
+def crdt_quantize(spark, sf):
+    return _cells(spark, sf).select("seq", "cell")
+
+
+@_query(f"WITH {_CELLS} SELECT c.replica, c.seq, c.cell, c.seq = o.seq AS is_novel FROM c JOIN o USING (replica, cell)")
+def crdt_observe(spark, sf):
+    first = _state(spark, sf).withColumnRenamed("seq", "first")
+    return _cells(spark, sf).join(first, ["replica", "cell"]).select("replica", "seq", "cell", (F.col("seq") == F.col("first")).alias("is_novel"))
+
+
+@_query(f"WITH {_CELLS} SELECT cell, max(seq) AS seq FROM o GROUP BY cell")
+def crdt_merge(spark, sf):
+    return replicas.merged(_state(spark, sf).select("cell", "seq"), "cell", "seq")
+
+
+@_query(f"WITH {_CELLS} SELECT r.cell, CASE WHEN l.seq IS NULL THEN 'adopt' WHEN r.seq > l.seq THEN 'replace' ELSE 'keep' END AS outcome FROM (SELECT * FROM o WHERE replica = 1) r LEFT JOIN (SELECT * FROM o WHERE replica = 0) l USING (cell)")
+def crdt_merge_outcomes(spark, sf):
+    s = _state(spark, sf)
+    return replicas.adopted(s.where("replica = 0"), s.where("replica = 1"), "cell", "seq")
+
+
+@_query(f"""WITH {_CELLS}, a AS (SELECT replica, count(*) AS occupied FROM o GROUP BY replica), j AS (SELECT count(DISTINCT cell) AS n FROM o)
+SELECT 0 AS round, replica, occupied FROM a UNION ALL SELECT r::INTEGER, g, n FROM j, range(1, 3) x(r), range(4) y(g)""")
+def gossip_convergence(spark, sf):
+    return replicas.gossip(_state(spark, sf), 4, "cell", "seq", 0, 2)
+
+
+@_query()
+def crdt_quantize_anchors(spark, sf):
+    anchors = replicas.halton(spark, 256, [0.0] * 3, [1.0] * 3)
+    points = _points3(spark, sf).select(F.col("seq").alias("i"), F.array("a", "b", "c").alias("x"))
+    return replicas.quantize(points, anchors, "l2").select(F.col("i").alias("seq"), "cell", F.round("d", 9).alias("distance"))
+
+
+@_query()
+def crdt_priority(spark, sf):
+    v = _vectors(spark, sf)
+    return v.select(F.col("i").alias("vec_id"), replicas.priority(F.col("x"), F.col("label").cast("string").cast("binary")).alias("priority"))
+
+
+def _inverse_sql(base: int, digits: int) -> str:
+    return " + ".join(f"((j // {base**k}) % {base}) * {(1 / base)}::DOUBLE ** {k + 1}" for k in range(digits))
+
+
+@_query("SELECT j, round(list_sum(list_transform(range(0, 10), lambda k: ((j >> k) & 1) / (2.0 ** (k + 1)))), 9) AS a, round(list_sum(list_transform(range(0, 7), lambda k: ((j // (3 ** k)::BIGINT) % 3) / (3.0 ** (k + 1)))), 9) AS b FROM range(1000) r(j)")
+def halton_anchors(spark, sf):
+    return replicas.halton(spark, 1000, [0.0] * 2, [1.0] * 2).select("j", F.round(F.col("y")[0], 9).alias("a"), F.round(F.col("y")[1], 9).alias("b"))
+
+
+@_query()
+def covering_radius(spark, sf):
+    return replicas.estimated_radius(spark, replicas.grid_anchors(spark, [0.0] * 2, [1.0] * 2, 8), [0.0] * 2, [1.0] * 2, "l2").select(F.round("radius", 9).alias("radius"))
