@@ -370,3 +370,488 @@ def halton_anchors(spark, sf):
 @_query()
 def covering_radius(spark, sf):
     return replicas.estimated_radius(spark, replicas.grid_anchors(spark, [0.0] * 2, [1.0] * 2, 8), [0.0] * 2, [1.0] * 2, "l2").select(F.round("radius", 9).alias("radius"))
+
+
+# ---- persistence ------------------------------------------------------------------
+
+_DIAGRAM = """s AS (SELECT row_number() OVER (ORDER BY p_retailprice) - 1 AS r, p_retailprice AS x FROM part),
+g AS (SELECT r AS i, x, lead(x) OVER (ORDER BY r) AS nx FROM s),
+gaps AS (SELECT i, x, nx, nx - x AS gap FROM g WHERE nx IS NOT NULL),
+b AS (SELECT a.i, coalesce(max(c.i) + 1, 0) AS birth FROM gaps a LEFT JOIN gaps c ON c.i < a.i AND c.gap > a.gap GROUP BY a.i),
+diagram AS (SELECT b.birth, gaps.i + 1 AS death, s.x AS birth_value, (gaps.x + gaps.nx) / 2 AS death_value, (gaps.nx - gaps.x) / 2 AS persistence
+  FROM b JOIN gaps USING (i) JOIN s ON s.r = b.birth)"""
+_PRIME = "primes AS (SELECT n AS prime FROM range(2, 3000) t(n) WHERE NOT EXISTS (SELECT 1 FROM range(2, 55) d(m) WHERE m < n AND n % m = 0))"
+
+
+def _diagram(spark, sf):
+    return persistence.diagram(_table(spark, sf, "part"), "p_retailprice")
+
+
+@_query(f"WITH {_DIAGRAM} SELECT * FROM diagram")
+def persist_diagram(spark, sf):
+    return _diagram(spark, sf)
+
+
+@_query(f"WITH {_DIAGRAM} SELECT count(*) AS features FROM diagram WHERE persistence >= 0.05")
+def persist_feature_count(spark, sf):
+    return persistence.feature_count(_diagram(spark, sf), 0.05)
+
+
+@_query(f"WITH {_DIAGRAM}, {_PRIME} SELECT count(*) AS prime_cycles FROM diagram WHERE persistence >= 0.01 AND birth IN (SELECT prime FROM primes)")
+def persist_prime_cycles(spark, sf):
+    d = _diagram(spark, sf)
+    return persistence.prime_cycle_count(d, 0.01, persistence.nth_primes(spark, 430))
+
+
+@_query(f"WITH {_DIAGRAM}, {_PRIME} SELECT round(exp(coalesce(sum(-ln(1 - pow(1 + persistence, -2.0))), 0)), 6) AS zeta FROM diagram WHERE persistence > 0 AND birth IN (SELECT prime FROM primes)")
+def persist_selberg_zeta(spark, sf):
+    return persistence.selberg_zeta(_diagram(spark, sf), 2.0, persistence.nth_primes(spark, 430)).select(F.round("zeta", 6).alias("zeta"))
+
+
+@_query(f"WITH {_DIAGRAM} SELECT birth, death, max(persistence) AS persistence FROM (SELECT birth, death, persistence FROM diagram UNION ALL SELECT birth, death, persistence * 2 FROM diagram WHERE birth % 2 = 0) GROUP BY birth, death")
+def persist_merge_features(spark, sf):
+    a = _diagram(spark, sf).withColumns({"birth_prime": F.col("birth"), "death_prime": F.col("death")})
+    b = a.where("birth % 2 = 0").withColumn("persistence", F.col("persistence") * 2)
+    return persistence.merge_features(a, b).select("birth", "death", "persistence")
+
+
+@_query(f"WITH {_DIAGRAM} SELECT row_number() OVER (ORDER BY persistence, death) - 1 + (SELECT count(*) FROM s) AS node, persistence AS scale FROM diagram")
+def persist_merge_tree(spark, sf):
+    return persistence.merge_tree(_diagram(spark, sf)).select("node", "scale")
+
+
+@_query("SELECT c_custkey, round(d, 9) AS distance, d > 0.02 AS is_novel FROM (SELECT c_custkey, 900 + abs(c_acctbal) / 100 AS q, (SELECT min(abs(p_retailprice - (900 + abs(c_acctbal) / 100))) FROM part) AS d FROM customer)")
+def persist_novel_at(spark, sf):
+    asked = _table(spark, sf, "customer").select("c_custkey", (F.lit(900) + F.abs("c_acctbal") / 100).alias("q"))
+    return persistence.novel_at(asked, "q", _table(spark, sf, "part"), "p_retailprice", 0.02).select("c_custkey", F.round("distance", 9).alias("distance"), "is_novel")
+
+
+@_query("WITH p AS (SELECT n AS prime FROM range(2, 8000) t(n) WHERE NOT EXISTS (SELECT 1 FROM range(2, 90) d(m) WHERE m < n AND n % m = 0)) SELECT row_number() OVER (ORDER BY prime) - 1 AS index, prime FROM p ORDER BY prime LIMIT 1000")
+def nth_primes(spark, sf):
+    return persistence.nth_primes(spark, 1000)
+
+
+_ND = f"""WITH RECURSIVE {_net(_COS, 0.8)}, k AS (SELECT a.i AS j, min({_COS.format(a='a.x', b='b.x')}) AS nearest_distance FROM net a LEFT JOIN net b ON b.i <> a.i GROUP BY a.i)"""
+
+
+def _nd(spark, sf):
+    v = _vectors(spark, sf)
+    net = _fit(spark, sf, 0.8).where("is_novel").select(F.col("vec_id").alias("i")).join(v, "i")
+    return persistence.net_persistence(_reps(net), "cosine", 0.8)
+
+
+@_query(_ND + " SELECT j AS slot, round(nearest_distance, 9) AS nearest_distance, round(nearest_distance - 0.8, 9) AS persistence FROM k")
+def persist_nd_reps(spark, sf):
+    return _nd(spark, sf).select(F.col("j").alias("slot"), F.round("nearest_distance", 9).alias("nearest_distance"), F.round("persistence", 9).alias("persistence"))
+
+
+@_query(_ND + " SELECT count(*) AS above FROM k WHERE nearest_distance - 0.8 >= 0.02")
+def persist_nd_count_above(spark, sf):
+    return persistence.count_above(_nd(spark, sf), 0.02)
+
+
+@_query(_ND + ", w AS (SELECT j FROM k ORDER BY nearest_distance, j LIMIT 1) SELECT j AS slot FROM k WHERE j NOT IN (SELECT j FROM w)")
+def persist_nd_evict_lowest(spark, sf):
+    return persistence.evict_lowest(_nd(spark, sf)).select(F.col("j").alias("slot"))
+
+
+@_query(f"WITH {_V} SELECT a.i AS vec_id, NOT EXISTS (SELECT 1 FROM v b WHERE b.i % 2 = 0 AND {_L2.format(a='a.x', b='b.x')} <= 1.1) AS is_novel FROM v a WHERE a.i % 2 = 1")
+def persist_nd_novel_at(spark, sf):
+    v = _vectors(spark, sf)
+    return persistence.vectors_novel_at(v.where("i % 2 = 1"), _reps(v.where("i % 2 = 0")), "l2", 1.1).select(F.col("i").alias("vec_id"), "is_novel")
+
+
+# ---- selection ---------------------------------------------------------------------
+
+_COVER = f"{_V}, cover AS (SELECT a.i AS a, b.i AS b FROM v a JOIN v b ON a.i = b.i OR {_COS.format(a='a.x', b='b.x')} <= 0.8), chosen AS (SELECT i FROM v WHERE i % 10 = 0)"
+
+
+def _cover(spark, sf):
+    v = _vectors(spark, sf)
+    return v, selection.edges(v.select("i", "x"), "cosine", 0.8), v.where("i % 10 = 0")
+
+
+@_query(f"WITH {_COVER}, h AS (SELECT DISTINCT b FROM cover WHERE a IN (SELECT i FROM chosen)) SELECT (SELECT count(*) FROM h) AS covered, (SELECT count(*) FROM v) AS points, round((SELECT count(*) FROM h) / (SELECT count(*) FROM v)::DOUBLE, 9) AS share")
+def select_coverage(spark, sf):
+    return selection.coverage(*_cover(spark, sf))
+
+
+@_query(f"""WITH {_COVER}, o AS (SELECT * FROM cover WHERE a IN (SELECT i FROM chosen)), l AS (SELECT b, min(a) AS a FROM o GROUP BY b HAVING count(*) = 1),
+n AS (SELECT chosen.i, count(l.b) AS alone FROM chosen LEFT JOIN l ON l.a = chosen.i GROUP BY chosen.i) SELECT i, alone FROM n ORDER BY alone, i LIMIT 1""")
+def select_evict_worst(spark, sf):
+    _, cover, chosen = _cover(spark, sf)
+    return selection.evict_worst(cover, chosen)
+
+
+def _greedy_sql(k: int) -> str:
+    steps, taken = [], "SELECT NULL::BIGINT AS i WHERE false"
+    for s in range(1, k + 1):
+        before = " UNION ALL ".join(f"SELECT i FROM g{t}" for t in range(1, s)) or taken
+        steps.append(f"""t{s} AS ({before}), g{s} AS (SELECT {s} AS step, v.i, count(c.b) AS gain FROM v LEFT JOIN
+          (SELECT a, b FROM cover WHERE b NOT IN (SELECT b FROM cover WHERE a IN (SELECT i FROM t{s}))) c ON c.a = v.i
+          WHERE v.i NOT IN (SELECT i FROM t{s}) GROUP BY v.i, v.x ORDER BY gain DESC, v.x, v.i LIMIT 1)""")
+    every = " UNION ALL ".join(f"SELECT * FROM g{s}" for s in range(1, k + 1))
+    return f"WITH {_COVER}, {', '.join(steps)}, o AS ({every}) SELECT step::INTEGER AS step, i, gain, (sum(gain) OVER (ORDER BY step))::BIGINT AS covered FROM o"
+
+
+@_query(_greedy_sql(5))
+def select_max_coverage(spark, sf):
+    v, cover, _ = _cover(spark, sf)
+    return selection.greedy(v.select("i", "x"), cover, 5)
+
+
+@_query()
+def set_cover(spark, sf):
+    v, cover, _ = _cover(spark, sf)
+    return selection.greedy(v.select("i", "x"), cover, None, by_coordinates=False)
+
+
+@_query(f"WITH {_COVER} SELECT a, b FROM cover WHERE a < b AND a IN (SELECT i FROM chosen) AND b IN (SELECT i FROM chosen)")
+def select_violations(spark, sf):
+    _, cover, chosen = _cover(spark, sf)
+    return selection.separation_violations(cover, chosen)
+
+
+@_query(f"""WITH {_COVER}, n AS (SELECT count(*) AS n FROM v), h AS (SELECT (n + 1)::VARCHAR || ' ' || string_agg((a + 1)::VARCHAR, ' ' ORDER BY a) || ' 0' AS value FROM cover, n GROUP BY b, n),
+s AS (SELECT (n + 1)::VARCHAR || ' ' || (-(a + 1))::VARCHAR || ' ' || (-(b + 1))::VARCHAR || ' 0' AS value FROM cover, n WHERE a < b),
+f AS (SELECT '1 ' || (-(i + 1))::VARCHAR || ' 0' AS value FROM v), e AS (SELECT * FROM h UNION ALL SELECT * FROM s UNION ALL SELECT * FROM f)
+SELECT value FROM e UNION ALL SELECT 'p wcnf ' || n || ' ' || (SELECT count(*) FROM e) || ' ' || (n + 1) FROM n""")
+def wcnf_lines(spark, sf):
+    v, cover, _ = _cover(spark, sf)
+    return selection.wcnf(v, cover).select("value")
+
+
+# ---- description length ---------------------------------------------------------------
+
+
+@_query()
+def mdl_curve(spark, sf):
+    out = mdl.curve(_events(spark, sf), "seq", novelty.vector("value"), [0.5, 1.0, 2.0, 4.0, 8.0], weight=2.0)
+    return out.select("idx", "epsilon", "representatives", *[F.round(c, 6).alias(c) for c in ("squared_error", "model_bits", "epsilon_bits", "data_bits", "total_bits")])
+
+
+@_query()
+def mdl_select(spark, sf):
+    out = mdl.select(mdl.curve(_events(spark, sf), "seq", novelty.vector("value"), [0.5, 2.0, 8.0], mode="lossless", precision=0.01))
+    return out.select("idx", "epsilon", "representatives", F.round("total_bits", 6).alias("total_bits"))
+
+
+# ---- embeddings and calibration ----------------------------------------------------------
+
+_ANCHORS = [[(1.0 if k == a else 0.0) for k in range(64)] for a in range(0, 64, 8)]
+_ANCHOR_SQL = ", ".join(_L2.format(a="x", b=str([float(v) for v in a]) + "::DOUBLE[]") for a in _ANCHORS)
+
+
+@_query(f"WITH {_V} SELECT i AS vec_id, list_transform([{_ANCHOR_SQL}], lambda d: round(d, 9)) AS distances FROM v")
+def anchor_embedding(spark, sf):
+    e = embedding.embed(F.col("x"), _ANCHORS, "l2")
+    return _vectors(spark, sf).select(F.col("i").alias("vec_id"), F.transform(e, lambda d: F.round(d, 9)).alias("distances"))
+
+
+@_query()
+def embedded_net(spark, sf):
+    out = embedding.embedded_net(_vectors(spark, sf), "i", "x", _ANCHORS, "l2", 0.2, 0.05)
+    return out.select(F.col("i").alias("vec_id"), "is_novel", "representative")
+
+
+_NORM2 = "list_reduce(list_prepend(0.0::DOUBLE, list_transform({a}, lambda z: z * z)), lambda p, q: p + q)"
+
+
+@_query(f"WITH {_V} SELECT i AS vec_id, list_transform(x, lambda e: round(e / sqrt({_NORM2.format(a='x')}) * (0.05 + 0.85 * (label / 10.0)), 9)) AS z FROM v")
+def poincare_embed(spark, sf):
+    z = adaptive.poincare_embed(F.col("x"), F.col("label") / 10.0)
+    return _vectors(spark, sf).select(F.col("i").alias("vec_id"), F.transform(z, lambda e: F.round(e, 9)).alias("z"))
+
+
+@_query(f"""WITH {_V}, h AS (SELECT i, list_transform(x, lambda e: e * 0.9) AS x FROM v)
+SELECT a.i AS a, b.i AS b, round(2 * asinh({_L2.format(a='a.x', b='b.x')} / sqrt((1 - {_NORM2.format(a='a.x')}) * (1 - {_NORM2.format(a='b.x')}))), 8) AS distance FROM h a JOIN h b ON b.i = a.i + 1""")
+def poincare_distance(spark, sf):
+    h = _vectors(spark, sf).select("i", F.transform("x", lambda e: e * 0.9).alias("x"))
+    other = h.select(F.col("i").alias("b"), F.col("x").alias("y"))
+    return h.join(other, F.col("b") == F.col("i") + 1).select(F.col("i").alias("a"), "b", F.round(metrics.poincare(F.col("x"), F.col("y")), 8).alias("distance"))
+
+
+@_query(f"""WITH {_V} SELECT i AS vec_id, round(least(greatest(0.8 * pow(greatest(0.0, 1 - 0.81 * {_NORM2.format(a='x')}), 1.5) * exp(-2.0 * (label / 10.0)), 0.01), 0.5), 9) AS radius FROM v""")
+def adaptive_radii(spark, sf):
+    z = F.transform("x", lambda e: e * 0.9)
+    r = adaptive.radii(z, F.col("label") / 10.0, 0.8, 1.5, 2.0, 0.01, 0.5)
+    return _vectors(spark, sf).select(F.col("i").alias("vec_id"), F.round(r, 9).alias("radius"))
+
+
+_KD = f"""{_V}, d AS (SELECT a.i, {_L2.format(a='a.x', b='b.x')} AS d, b.i AS j FROM v a JOIN v b ON a.i <> b.i),
+kd AS (SELECT i, d AS distance FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM d) WHERE r = 3)"""
+
+
+@_query(f"WITH {_KD} SELECT i AS vec_id, round(distance, 9) AS distance FROM kd")
+def k_distance_curve(spark, sf):
+    return adaptive.k_distances(_vectors(spark, sf), "l2", 3).select(F.col("i").alias("vec_id"), F.round("distance", 9).alias("distance"))
+
+
+@_query(f"""WITH {_KD}, s AS (SELECT distance AS y, row_number() OVER (ORDER BY distance) - 1 AS r, count(*) OVER () AS n, min(distance) OVER () AS lo, max(distance) OVER () AS hi FROM kd)
+SELECT round(y, 9) AS epsilon FROM s WHERE r > 0 AND r < n - 1 ORDER BY abs((y - lo) / (hi - lo) - r / (n - 1)::DOUBLE) DESC, r LIMIT 1""")
+def knee_epsilon(spark, sf):
+    return adaptive.knee(adaptive.k_distances(_vectors(spark, sf), "l2", 3), "distance").select(F.round("epsilon", 9).alias("epsilon"))
+
+
+#: Rows that forests and trees are calibrated on (a bounded sample, by hash).
+CALIBRATION_ROWS = 2000
+
+
+def _calibration(v: DataFrame):
+    import numpy as np
+
+    rows = v.orderBy(F.xxhash64("i"), "i").limit(CALIBRATION_ROWS).select("x").collect()
+    return np.array([r.x for r in rows])
+
+
+@_query()
+def isolation_scores(spark, sf):
+    v = _vectors(spark, sf)
+    forest = adaptive.IsolationForest().fit(_calibration(v))
+    return v.select(F.col("i").alias("vec_id"), F.round(forest.score(F.col("x")), 9).alias("score"))
+
+
+@_query()
+def epsilon_tree(spark, sf):
+    v = _vectors(spark, sf)
+    tree = adaptive.EpsilonTree().fit(_calibration(v))
+    return v.select(F.col("i").alias("vec_id"), F.round(tree.epsilon(F.col("x")), 9).alias("epsilon"))
+
+
+# ---- evaluation -----------------------------------------------------------------------------
+
+
+@_query(f"""WITH RECURSIVE {_net(_COS, 0.8)}, h AS (SELECT a.i, NOT EXISTS (SELECT 1 FROM v b WHERE b.i < a.i AND {_COS.format(a='a.x', b='b.x')} <= 0.8) AS o FROM v a),
+l AS (SELECT h.i, h.o, net.i IS NOT NULL AS f FROM h LEFT JOIN net USING (i))
+SELECT count(*) AS n, sum((f AND NOT o)::INTEGER)::BIGINT AS false_novel, sum((NOT f AND o)::INTEGER)::BIGINT AS false_redundant, round(avg((f <> o)::INTEGER), 9) AS error FROM l""")
+def oracle_error(spark, sf):
+    v = _vectors(spark, sf)
+    out = novelty.decision_error(packing.first_fit_vectors(v, "i", "x", 0.8), novelty.history_novelty_vectors(v, "i", "x", 0.8), "i")
+    return out.withColumn("error", F.round("error", 9))
+
+
+@_query(f"""WITH RECURSIVE {_net(_COS, 0.8)}, best AS (SELECT n.i, min({{'d': {_COS.format(a='n.x', b='net.x')}, 'j': net.i}}) AS m FROM n JOIN net ON net.i < n.i AND {_COS.format(a='n.x', b='net.x')} <= 0.8 GROUP BY n.i),
+l AS (SELECT v.i, v.label, net.i IS NOT NULL AS novel, CASE WHEN net.i IS NOT NULL THEN v.i ELSE m.j END AS rep FROM v LEFT JOIN net USING (i) LEFT JOIN best USING (i)),
+z AS (SELECT l.*, r.label AS rl, min(l.i) OVER (PARTITION BY l.label) AS f FROM l JOIN v r ON r.i = l.rep)
+SELECT count(*) AS n, sum(novel::INTEGER)::BIGINT AS representatives, sum((NOT novel)::INTEGER)::BIGINT AS reused, sum((NOT novel AND label = rl)::INTEGER)::BIGINT AS correct,
+sum((NOT novel AND label <> rl)::INTEGER)::BIGINT AS incorrect, sum((novel AND f < i)::INTEGER)::BIGINT AS missed, round(sum((NOT novel)::INTEGER) / count(*)::DOUBLE, 9) AS reuse_rate,
+round(sum((NOT novel AND label = rl)::INTEGER) / sum((NOT novel)::INTEGER)::DOUBLE, 9) AS precision FROM z""")
+def reuse_metrics(spark, sf):
+    v = _vectors(spark, sf)
+    return evaluate.reuse(packing.first_fit_vectors(v, "i", "x", 0.8), v, "i", "label")
+
+
+@_query()
+def matryoshka_sweep(spark, sf):
+    v, out = _vectors(spark, sf), None
+    for d in (16, 32, 64):
+        cut = v.select("i", evaluate.truncated(F.col("x"), d).alias("x"), "label")
+        one = evaluate.reuse(packing.first_fit_vectors(cut, "i", "x", 0.8), cut, "i", "label").withColumn("dimension", F.lit(d))
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
+@_query()
+def epsilon_sweep(spark, sf):
+    return evaluate.epsilon_sweep(_vectors(spark, sf), "i", "x", "label", [0.7, 0.8, 0.9])
+
+
+@_query(f"""WITH {_V}, p AS (SELECT a.label = b.label AS same, {_COS.format(a='a.x', b='b.x')} AS d FROM v a JOIN v b ON a.i < b.i)
+SELECT round(min(CASE WHEN NOT same THEN d END), 9) AS least_cross, round(max(CASE WHEN same THEN d END), 9) AS most_within, round(min(CASE WHEN NOT same THEN d END) - max(CASE WHEN same THEN d END), 9) AS margin FROM p""")
+def discriminative_margin(spark, sf):
+    return evaluate.margin(_vectors(spark, sf), "label").select(*[F.round(c, 9).alias(c) for c in ("least_cross", "most_within", "margin")])
+
+
+@_query()
+def packing_curve(spark, sf):
+    return evaluate.packing_curve(_vectors(spark, sf).select("i", "x"), [0.75, 0.8, 0.85, 0.9, 1.0])
+
+
+@_query()
+def cache_dimension(spark, sf):
+    v = _vectors(spark, sf).select("i", "x")
+    return evaluate.cache_dimension(evaluate.packing_curve(v, [0.75, 0.8, 0.85, 0.9]), v.count()).select(F.round("dimension", 6).alias("dimension"))
+
+
+@_query(f"WITH RECURSIVE {_net(_COS, 0.8)}, c AS (SELECT (SELECT count(*) FROM v) AS n, (SELECT count(*) FROM net) AS r) SELECT n AS rows, r::BIGINT AS representatives, round(n / r::DOUBLE, 9) AS ratio, round((n - r) / n::DOUBLE, 9) AS saved_share, round((n - r) * (500 * 0.00001), 9) AS saved_cost FROM c")
+def dedup_economics(spark, sf):
+    return evaluate.economics(_fit(spark, sf, 0.8), 500, 0.00001)
+
+
+@_query("""WITH r AS (SELECT n_nationkey AS k, count(*) AS a, round(avg(c_acctbal), 6) AS b FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)
+SELECT k, a, b FROM r x WHERE NOT EXISTS (SELECT 1 FROM r y WHERE y.k <> x.k AND y.a >= x.a AND y.b >= x.b AND (y.a > x.a OR y.b > x.b))""")
+def pareto_frontier(spark, sf):
+    rows = _table(spark, sf, "customer").groupBy(F.col("c_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("a"), F.round(F.avg("c_acctbal"), 6).alias("b"))
+    return evaluate.pareto(rows, "k", ["a", "b"])
+
+
+_TOPK = f"""{_V}, d AS (SELECT a.i, b.i AS j, {_COS.format(a='a.x', b='b.x')} AS d FROM v a JOIN v b ON b.i % 5 <> 0 WHERE a.i % 5 = 0),
+r AS (SELECT i, j, d, row_number() OVER (PARTITION BY i ORDER BY d, j) AS rank FROM d)"""
+
+
+def _top(spark, sf):
+    v = _vectors(spark, sf)
+    return evaluate.top_k(v.where("i % 5 = 0"), _reps(v.where("i % 5 <> 0")), 3)
+
+
+@_query(f"WITH {_TOPK} SELECT i, j, round(d, 9) AS d, rank::INTEGER AS rank FROM r WHERE rank <= 3")
+def knn_topk(spark, sf):
+    return _top(spark, sf).select("i", "j", F.round("d", 9).alias("d"), "rank")
+
+
+def _relevant(spark, sf):
+    v = _vectors(spark, sf)
+    a, b = v.where("i % 5 = 0").select("i", "label"), v.where("i % 5 <> 0").select(F.col("i").alias("j"), "label")
+    return a.join(b, "label").select("i", "j")
+
+
+@_query(f"""WITH {_TOPK}, rel AS (SELECT a.i, b.i AS j FROM v a JOIN v b ON a.label = b.label WHERE a.i % 5 = 0 AND b.i % 5 <> 0),
+g AS (SELECT r.i, sum(CASE WHEN rel.j IS NOT NULL THEN 1 / log2(rank + 1) ELSE 0 END) AS dcg, max((rel.j IS NOT NULL)::INTEGER) AS hit FROM r LEFT JOIN rel ON rel.i = r.i AND rel.j = r.j WHERE rank <= 3 GROUP BY r.i),
+m AS (SELECT i, list_sum(list_transform(range(1, least(count(*), 3) + 1), lambda k: 1 / log2(k + 1))) AS best FROM rel GROUP BY i)
+SELECT count(*) AS queries, round(avg(dcg / best), 9) AS ndcg, round(avg(hit), 9) AS coverage FROM g JOIN m USING (i)""")
+def ndcg_at_k(spark, sf):
+    return evaluate.ndcg(_top(spark, sf), _relevant(spark, sf), 3)
+
+
+@_query(f"WITH {_V} SELECT b.i AS j, count(DISTINCT a.i) AS queries FROM v a JOIN v b ON a.label = b.label WHERE a.i % 5 = 0 AND b.i % 5 <> 0 GROUP BY b.i HAVING count(DISTINCT a.i) >= 2")
+def evidence_groups(spark, sf):
+    return evaluate.evidence_groups(_relevant(spark, sf))
+
+
+@_query(f"WITH {_E}, c AS (SELECT seq, floor(value / 2.0)::BIGINT AS cell FROM e) SELECT a.seq, NOT EXISTS (SELECT 1 FROM c b WHERE b.seq < a.seq AND b.cell BETWEEN a.cell - 1 AND a.cell + 1) AS is_novel FROM c a")
+def lsh_grid_1d(spark, sf):
+    return evaluate.grid_lsh_novelty(_events(spark, sf), "seq", "value", 1.0)
+
+
+@_query()
+def lsh_hyperplane(spark, sf):
+    return evaluate.lsh_novelty(_vectors(spark, sf), 4, 8, 64).select(F.col("i").alias("vec_id"), "is_novel")
+
+
+@_query(f"WITH {_E} SELECT event_type, seq, row_number() OVER (PARTITION BY event_type, value ORDER BY seq) = 1 AS is_novel FROM e")
+def exact_set(spark, sf):
+    return evaluate.exact_set(_events(spark, sf), ["event_type"], "seq", "value", 10**9)
+
+
+@_query()
+def exact_lru(spark, sf):
+    return evaluate.exact_lru(_events(spark, sf), ["event_type"], "seq", "value", 256)
+
+
+@_query()
+def k_centre(spark, sf):
+    return evaluate.k_centre(_events(spark, sf), ["event_type"], "seq", "value", 1.0, 64)
+
+
+@_query()
+def ids_gate(spark, sf):
+    v = _vectors(spark, sf).select("i", "x", "label")
+    return evaluate.ids_gate(v.where("label < 5").select("i", "x"), v.where("label >= 5").select("i", "x"), 1.1).select(F.col("i").alias("vec_id"), "novel", F.round("distance", 9).alias("distance"))
+
+
+@_query("SELECT round(sum(p * (below + n / 2.0)) / (sum(p) * sum(n)), 9) AS auc FROM (SELECT p, n, coalesce(sum(n) OVER (ORDER BY o_totalprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT o_totalprice, sum((o_orderpriority LIKE '1%')::INTEGER) AS p, sum((NOT o_orderpriority LIKE '1%')::INTEGER) AS n FROM orders GROUP BY 1))")
+def ranking_auc(spark, sf):
+    out = evaluate.auc(_table(spark, sf, "orders"), "o_totalprice", F.col("o_orderpriority").startswith("1"))
+    return out.select(F.round("auc", 9).alias("auc"))
+
+
+@_query("""WITH r AS (SELECT event_type, sum((value > 60)::INTEGER) AS k, count(*) AS n FROM events GROUP BY 1), z AS (SELECT *, k / n::DOUBLE AS p, 1.959963984540054 AS z FROM r)
+SELECT event_type, round((p + z * z / (2 * n) - z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 9) AS low, round((p + z * z / (2 * n) + z * sqrt(p * (1 - p) / n + z * z / (4 * n * n))) / (1 + z * z / n), 9) AS high FROM z""")
+def wilson_intervals(spark, sf):
+    rows = _events(spark, sf).groupBy("event_type").agg(F.sum((F.col("value") > 60).cast("bigint")).alias("k"), F.count(F.lit(1)).alias("n"))
+    low, high = evaluate.wilson(F.col("k"), F.col("n"))
+    return rows.select("event_type", F.round(low, 9).alias("low"), F.round(high, 9).alias("high"))
+
+
+# ---- traces ------------------------------------------------------------------------------------
+
+_S = "s AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, count(*) AS n, count(DISTINCT event_type) AS types, sum((event_type = 'error')::INTEGER)::BIGINT AS errors, sum(value) AS total, max(value) AS largest FROM events GROUP BY 1, 2)"
+
+
+def _sessions(spark, sf):
+    s = traces.sessions(_table(spark, sf, "events"))
+    return s.withColumn("seq", F.datediff(F.to_date("day"), F.to_date(F.lit("2020-01-01"))).cast("bigint") * 1_000_000 + F.col("user_id"))
+
+
+@_query(f"WITH {_S} SELECT user_id, day, n, types, errors, round(total, 6) AS total, largest FROM s")
+def trace_geometry(spark, sf):
+    return traces.sessions(_table(spark, sf, "events")).withColumn("total", F.round("total", 6))
+
+
+def _tail(spark, sf):
+    s = _sessions(spark, sf)
+    return traces.tail_sample(s, ["types"], "seq", [F.col("n") * 0.25, F.col("errors") * 2.0, F.col("largest") * 0.02], 0.55)
+
+
+@_query(f"""WITH RECURSIVE {_S}, q AS (SELECT user_id, day, types, n * 0.25::DOUBLE AS a, errors * 2.0::DOUBLE AS b, largest * 0.02::DOUBLE AS c, row_number() OVER (PARTITION BY types ORDER BY day, user_id) AS k FROM s),
+t AS (SELECT k, types, user_id, day, true AS kept, [[a, b, c]] AS reps FROM q WHERE k = 1
+  UNION ALL SELECT q.k, q.types, q.user_id, q.day, NOT list_bool_or(list_transform(t.reps, lambda r: sqrt((r[1] - q.a) * (r[1] - q.a) + (r[2] - q.b) * (r[2] - q.b) + (r[3] - q.c) * (r[3] - q.c)) <= 0.55)),
+    CASE WHEN list_bool_or(list_transform(t.reps, lambda r: sqrt((r[1] - q.a) * (r[1] - q.a) + (r[2] - q.b) * (r[2] - q.b) + (r[3] - q.c) * (r[3] - q.c)) <= 0.55)) THEN t.reps ELSE list_append(t.reps, [q.a, q.b, q.c]) END
+  FROM t JOIN q ON q.types = t.types AND q.k = t.k + 1) SELECT user_id, day, kept FROM t""")
+def tail_sampler(spark, sf):
+    return _tail(spark, sf).select("user_id", "day", "kept")
+
+
+@_query(f"WITH {_S} SELECT user_id, day, row_number() OVER (PARTITION BY types, errors ORDER BY day, user_id) = 1 AS kept FROM s")
+def exact_hash_sampler(spark, sf):
+    return traces.bucket_sample(_sessions(spark, sf), ["types", "errors"], "seq").select("user_id", "day", "kept")
+
+
+@_query(f"WITH {_S} SELECT user_id, day, largest >= 200 OR errors >= 2 AS kept FROM s")
+def latency_gate(spark, sf):
+    return traces.gate_sample(_sessions(spark, sf), F.col("largest") >= 200, F.col("errors") >= 2).select("user_id", "day", "kept")
+
+
+@_query()
+def random_sampler(spark, sf):
+    return traces.random_sample(_sessions(spark, sf), "seq", 0.05).select("user_id", "day", "kept")
+
+
+@_query(f"""WITH {_S}, k AS (SELECT *, row_number() OVER (PARTITION BY types, errors ORDER BY day, user_id) = 1 AS kept, CASE WHEN errors > 0 THEN errors END AS kind FROM s),
+a AS (SELECT kind, max(kept::INTEGER) AS found, arg_min(kept::INTEGER, day || lpad(user_id::VARCHAR, 12, '0')) AS first FROM k WHERE kind IS NOT NULL GROUP BY kind)
+SELECT (SELECT count(*) FROM k) AS traces, (SELECT sum(kept::INTEGER)::BIGINT FROM k) AS kept, count(*) AS kinds, sum(found)::BIGINT AS discovered, sum(first)::BIGINT AS first_sightings,
+round(1 - (SELECT sum(kept::INTEGER) FROM k) / (SELECT count(*) FROM k)::DOUBLE, 9) AS suppression FROM a""")
+def first_sighting(spark, sf):
+    kept = traces.bucket_sample(_sessions(spark, sf), ["types", "errors"], "seq").withColumn("kind", F.when(F.col("errors") > 0, F.col("errors")))
+    return traces.scorecard(kept, "seq", "kind")
+
+
+@_query()
+def growth_law(spark, sf):
+    s = _tail(spark, sf).withColumn("is_novel", F.col("kept"))
+    ranked = traces.ranked(s, ["types"], "seq").where("types = 1")
+    return traces.growth(ranked, "rank", [10, 20, 50, 100])
+
+
+@_query()
+def suppressed_clusters(spark, sf):
+    out = packing.first_fit(_events(spark, sf), "seq", novelty.vector("value"), 1.0, keys=["event_type"])
+    return traces.absorbed(out, ["event_type"])
+
+
+# ---- sets and numbers ------------------------------------------------------------------------------
+
+
+@_query("""WITH d AS (SELECT doc_id, list_distinct(string_split(text, ' ')) AS w FROM documents), p AS (SELECT a.doc_id AS a, b.doc_id AS b, a.w AS x, b.w AS y FROM d a JOIN d b ON b.doc_id = a.doc_id + 1)
+SELECT a, b, round(1 - len(list_intersect(x, y)) / len(list_distinct(list_concat(x, y)))::DOUBLE, 9) AS distance FROM p""")
+def tanimoto_neighbours(spark, sf):
+    d = _table(spark, sf, "documents").select(F.col("doc_id").alias("a"), F.array_distinct(F.split("text", " ", -1)).alias("x"))
+    o = d.select(F.col("a").alias("b"), F.col("x").alias("y"))
+    return d.join(o, F.col("b") == F.col("a") + 1).select("a", "b", F.round(metrics.tanimoto(F.col("x"), F.col("y")), 9).alias("distance"))
+
+
+@_query(f"WITH {_V} SELECT a.i AS a, b.i AS b, list_sum(list_transform(list_zip(a.x, b.x), lambda z: ((z[1] >= 0.5) <> (z[2] >= 0.5))::INTEGER))::DOUBLE AS distance FROM v a JOIN v b ON b.i = a.i + 1")
+def hamming_neighbours(spark, sf):
+    v = _vectors(spark, sf)
+    o = v.select(F.col("i").alias("b"), F.col("x").alias("y"))
+    return v.join(o, F.col("b") == F.col("i") + 1).select(F.col("i").alias("a"), "b", metrics.hamming(F.col("x"), F.col("y")).alias("distance"))
+
+
+@_query("""WITH p AS (SELECT s_suppkey AS a, s_suppkey * 7 + 3 AS b FROM supplier)
+SELECT a, b, round(abs(a - b)::DOUBLE / (1 + abs(a - b)), 9) AS archimedean,
+round(CASE WHEN a = b THEN 0.0 ELSE pow(2.0, -list_sum(list_transform(range(1, 63), lambda k: (abs(a - b) % (1::BIGINT << k) = 0)::INTEGER))) END, 9) AS two_adic,
+round(sqrt(pow((a % 3) / 3.0 - (b % 3) / 3.0, 2) + pow((a % 5) / 5.0 - (b % 5) / 5.0, 2)), 9) AS residue FROM p""")
+def number_distances(spark, sf):
+    p = _table(spark, sf, "supplier").select(F.col("s_suppkey").alias("a"), (F.col("s_suppkey") * 7 + 3).alias("b"))
+    a, b = F.col("a"), F.col("b")
+    return p.select("a", "b", F.round(metrics.archimedean(a, b), 9).alias("archimedean"), F.round(metrics.padic(2)(a, b), 9).alias("two_adic"), F.round(metrics.residue_l2([3, 5])(a, b), 9).alias("residue"))

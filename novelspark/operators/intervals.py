@@ -68,8 +68,8 @@ def outside(queries: DataFrame, x: str, intervals: DataFrame, epsilon: float) ->
     width = max(4 * epsilon, 1e-9)
     cell = lambda c: F.floor(c / F.lit(width)).cast("bigint")
     pieces = intervals.withColumn("c", F.explode(F.sequence(cell(F.col("lower")), cell(F.col("upper")))))
-    hit = queries.select(F.col(x).alias("q")).distinct().withColumn("c", cell(F.col("q"))).join(pieces, "c").where(F.col("q").between(F.col("lower"), F.col("upper"))).select("q").distinct()
-    return queries.join(hit.withColumn("_in", F.lit(True)), F.col(x) == F.col("q"), "left").withColumn("is_novel", F.col("_in").isNull()).drop("q", "_in")
+    hit = queries.select(F.col(x).alias("q")).distinct().withColumn("c", cell(F.col("q"))).join(pieces, "c").where(F.col("q").between(F.col("lower"), F.col("upper"))).select(F.col("q").alias("_q")).distinct()
+    return queries.join(hit, F.col(x) == F.col("_q"), "left").withColumn("is_novel", F.col("_q").isNull()).drop("_q")
 
 
 def observe(df: DataFrame, seq: str, x: str, epsilon: float) -> DataFrame:
