@@ -16,7 +16,6 @@ import pyarrow as pa
 _RNG = np.random.Generator(np.random.PCG64(20240601))
 _TABLE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _BASE = 0x9E3779B97F4A7C15
-_BASE_INV = pow(_BASE, -1, 2**64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[32, 9, 10, 11, 12, 13]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -24,17 +23,21 @@ _LOWER[65:91] += 32
 #: Bytes of text in one numpy step; a longer text is a step of its own.
 STEP_BYTES = 2_000_000
 
-_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_BASE_2 = 0xC2B2AE3D27D4EB4F
+_TABLE_2 = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_powers: dict[int, np.ndarray] = {}
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        with np.errstate(over="ignore"):
-            for i, base in enumerate((_BASE, _BASE_INV)):
-                step = np.full(n, np.uint64(base), np.uint64)
-                step[0] = 1
-                _powers[i] = np.cumprod(step, dtype=np.uint64)
-    return _powers[0], _powers[1]
+def _power(n: int, which: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of a base and of its inverse modulo 2**64, at least n of them."""
+    base = _BASE if which == 1 else _BASE_2
+    for key, value in ((which, base), (-which, pow(base, -1, 2**64))):
+        if len(_powers.get(key, ())) < n:
+            step = np.full(n, np.uint64(value), np.uint64)
+            step[0] = 1
+            with np.errstate(over="ignore"):
+                _powers[key] = np.cumprod(step, dtype=np.uint64)
+    return _powers[which], _powers[-which]
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -120,6 +123,7 @@ class Hasher:
     """Hashes of any byte ranges of one step's data."""
 
     def __init__(self, data: np.ndarray):
+        self.data, self.second = data, None
         self.power, self.inverse = _power(len(data) + 1)
         with np.errstate(over="ignore"):
             terms = _TABLE[data] * self.power[: len(data)]
@@ -133,6 +137,19 @@ class Hasher:
             return mix(raw + (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + np.uint64(seed))
 
 
+    def other(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """A second hash of the ranges, from a table and a base of its own."""
+        if self.second is None:
+            power, inverse = _power(len(self.data) + 1, 2)
+            with np.errstate(over="ignore"):
+                sums = np.zeros(len(self.data) + 1, np.uint64)
+                np.cumsum(_TABLE_2[self.data] * power[: len(self.data)], out=sums[1:])
+            self.second = (sums, inverse)
+        sums, inverse = self.second
+        with np.errstate(over="ignore"):
+            return mix((sums[end] - sums[start]) * inverse[start] + (end - start).astype(np.uint64))
+
+
 def hash_words(strings: list[str]) -> np.ndarray:
     """The hashes that ``Hasher`` gives to these strings."""
     if not strings:

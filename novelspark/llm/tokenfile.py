@@ -15,7 +15,8 @@ frequencies, summing to 2**BITS) and ``blocks`` (one row a block, in doc_id orde
 Tokenising: no pre-token of a byte-level vocabulary crosses from a visible character
 to white space, so a text is cut into pieces (white space with the visible run after
 it), and each distinct piece is encoded once by the library.  A text with white space
-outside ASCII, where that would not hold, is encoded whole.
+outside ASCII, where that would not hold, is encoded whole.  Distinct pieces are told by
+two 64-bit hashes.
 
 Edge cases: a null or empty text is only the end id; null doc_ids come first; repeated
 rows are kept, in the order of their texts; a long text makes a block of its own; an
@@ -41,13 +42,13 @@ from . import textvec
 from .common import discard, shared_dir, small, stored, table
 
 BITS = 20
-LANES = 512
-BLOCK_TOKENS = 1 << 18
-EVERY = 256
+LANES = 2048
+BLOCK_TOKENS = 1 << 19
+EVERY = 128
 END_ID = 0
 LOW = np.uint64(1 << 31)
-#: Distinct pieces that a worker remembers, of late and of before.
-REMEMBERED = 600_000
+#: Distinct pieces that a worker remembers, at about 40 bytes each.
+REMEMBERED = 2_000_000
 #: White space that ends a text's being cut into pieces (all of \\s outside the six ASCII ones).
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
 
@@ -77,52 +78,100 @@ def _byte_lengths(tokenizer) -> np.ndarray:
     return out
 
 
+class Known:
+    """Pieces that were met: two 64-bit hashes of each (one sorted), and its ids in a pool.
+
+    New ones go to a small table, which is merged into the large one now and then; when
+    they are too many, only the small one is kept.
+    """
+
+    def __init__(self) -> None:
+        self.pool = np.zeros(1 << 20, np.uint16)
+        self.used = 0
+        none = (np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
+        self.tables = [none, none]
+
+    def find(self, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place in the pool and length of each piece; length -1 for unknown ones."""
+        start, size = np.zeros(len(h), np.int64), np.full(len(h), -1, np.int64)
+        for kh, kg, ks, kn in self.tables:
+            if len(kh):
+                at = np.minimum(np.searchsorted(kh, h), len(kh) - 1)
+                hit = (kh[at] == h) & (kg[at] == g)
+                start[hit], size[hit] = ks[at[hit]], kn[at[hit]]
+        return start, size
+
+    def add(self, h: np.ndarray, g: np.ndarray, ids: np.ndarray, size: np.ndarray) -> None:
+        """Takes pieces with their ids, one after the other."""
+        if self.used + len(ids) > len(self.pool):
+            self.pool = np.concatenate([self.pool, np.zeros(max(len(self.pool), len(ids)), np.uint16)])
+        self.pool[self.used : self.used + len(ids)] = ids
+        start = self.used + np.cumsum(size) - size
+        self.used += len(ids)
+        large, fresh = self.tables
+        fresh = self._merged(fresh, (h, g, start, size))
+        if len(fresh[0]) > max(50_000, len(large[0]) // 4):
+            large, fresh = self._merged(large, fresh), (h[:0], g[:0], start[:0], size[:0])
+        self.tables = [large, fresh]
+
+    def trim(self) -> None:
+        """Forgets the large table if both together are too many."""
+        large, (h, g, start, size) = self.tables
+        if len(large[0]) + len(h) <= REMEMBERED:
+            return
+        ids = self.pool[ragged(start, size)]
+        self.pool = np.concatenate([ids, np.zeros(max(1 << 20, len(ids)), np.uint16)])
+        self.used = len(ids)
+        self.tables = [(h[:0], g[:0], start[:0], size[:0]), (h, g, np.cumsum(size) - size, size)]
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple:
+        order = np.argsort(np.concatenate([a[0], b[0]]), kind="stable")
+        return tuple(np.concatenate([x, y])[order] for x, y in zip(a, b, strict=True))
+
+
+def ragged(start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... for each range, one after the other."""
+    ends = np.cumsum(size)
+    return np.repeat(start - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)
+
+
 class Encoding:
     def __init__(self, path: str):
         self.tokenizer = load(path)
         self.lengths = _byte_lengths(self.tokenizer)
-        # pieces that were met lately, and those met before them
-        self.known: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
+        self.known = Known()
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint16)
 
-    def learn(self, pieces: list[str]) -> list[bytes]:
-        """The ids of each piece."""
-        known, older = self.known, self.older
-        if len(known) > REMEMBERED:
-            self.older = older = known
-            self.known = known = {}
-        out = list(map(known.get, pieces))
-        fresh = []
-        for i, x in enumerate(out):
-            if x is None:
-                p = pieces[i]
-                x = older.get(p)
-                if x is None:
-                    fresh.append(i)
-                else:
-                    out[i] = known[p] = x
-        led = [i for i in fresh if pieces[i][0] in " \t\n\r\x0b\x0c"]
-        if led:
-            part = [pieces[i] for i in led]
-            joined = "".join(part)
-            (e,) = self.tokenizer.encode_batch_fast([joined], add_special_tokens=False)
-            ids = np.array(e.ids, np.uint16)
-            if joined.isascii():
-                size = np.fromiter(map(len, part), np.int64, len(part))
-            else:
-                size = np.fromiter((len(p.encode()) for p in part), np.int64, len(part))
-            cuts = np.searchsorted(np.cumsum(self.lengths[ids]), np.cumsum(size)) + 1
-            raw, a = ids.tobytes(), 0
-            for i, p, b in zip(led, part, (2 * cuts).tolist(), strict=True):
-                out[i] = known[p] = raw[a:b]
-                a = b
-        first = [i for i in fresh if out[i] is None]
-        for i, e in zip(first, self.tokenizer.encode_batch_fast([pieces[i] for i in first], add_special_tokens=False), strict=True):
-            out[i] = known[pieces[i]] = np.array(e.ids, np.uint16).tobytes()
-        return out
+    def learn(self, data: np.ndarray, start: np.ndarray, end: np.ndarray, h: np.ndarray, g: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Place and length of the ids of distinct pieces."""
+        self.known.trim()
+        place, size = self.known.find(h, g)
+        fresh = np.flatnonzero(size < 0)
+        if not len(fresh):
+            return place, size
+        led = textvec.is_space(data[start[fresh]])
+        order = np.concatenate([fresh[led], fresh[~led]])
+        lengths = end[order] - start[order]
+        n = int(led.sum())
+        ids, counts = [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
+        if n:  # pieces that begin with white space: no pre-token crosses from one to the next
+            text = data[ragged(start[order[:n]], lengths[:n])].tobytes().decode()
+            (e,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
+            got = np.array(e.ids, np.uint16)
+            cuts = np.searchsorted(np.cumsum(self.lengths[got]), np.cumsum(lengths[:n])) + 1
+            ids.append(got)
+            counts.append(np.diff(cuts, prepend=0))
+        if n < len(order):
+            texts = [data[a:b].tobytes().decode() for a, b in zip(start[order[n:]].tolist(), end[order[n:]].tolist(), strict=True)]
+            got = [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+            ids += got
+            counts.append(np.array([len(x) for x in got], np.int64))
+        counts = np.concatenate(counts)
+        self.known.add(h[order], g[order], np.concatenate(ids), counts)
+        return self.known.find(h, g)
 
     def __call__(self, docs: textvec.Docs) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, each with the end id after it, and their counts."""
@@ -134,16 +183,19 @@ class Encoding:
             begins[1:] &= ~space[:-1]
             begins[off[:-1][off[:-1] < len(data)]] = True
         start = np.flatnonzero(begins)
+        end = np.append(start[1:], len(data))[: len(start)]
         first = np.searchsorted(start, off)
-        codes, strings = textvec.distinct(docs, start, np.append(start[1:], len(data)))
-        parts = self.learn(strings)
-        size = np.fromiter(map(len, parts), np.int64, len(parts)) // 2
-        pool = np.frombuffer(b"".join(parts), np.uint16)
-        place = np.cumsum(size) - size
+        hashes = textvec.Hasher(data)
+        h = hashes(start, end)
+        g = hashes.other(start, end)
+        distinct, at, codes = np.unique(h, return_index=True, return_inverse=True)
+        odd = {}
+        if (g[at][codes] != g).any():  # two pieces of one hash: the library takes each text whole
+            odd = {i: self.whole(data[off[i] : off[i + 1]].tobytes().decode()) for i in range(n)}
+        place, size = self.learn(data, start[at], end[at], distinct, g[at])
         each = size[codes]
         counts = textvec.sums(each, first)
-        body = pool[np.repeat(place[codes] - (np.cumsum(each) - each), each) + np.arange(int(each.sum()))] if len(codes) else pool
-        odd = {}
+        body = self.known.pool[ragged(place[codes], each)]
         text = data.tobytes().decode()
         if ODD_SPACE.search(text):
             for i in range(n):
