@@ -673,7 +673,7 @@ def cache_dimension(spark, sf):
     return evaluate.cache_dimension(evaluate.packing_curve(v, [0.75, 0.8, 0.85, 0.9]), v.count()).select(F.round("dimension", 6).alias("dimension"))
 
 
-@_query(f"WITH RECURSIVE {_net(_COS, 0.8)}, c AS (SELECT (SELECT count(*) FROM v) AS n, (SELECT count(*) FROM net) AS r) SELECT n AS rows, r::BIGINT AS representatives, round(n / r::DOUBLE, 9) AS ratio, round((n - r) / n::DOUBLE, 9) AS saved_share, round((n - r) * (500 * 0.00001), 9) AS saved_cost FROM c")
+@_query(f"WITH RECURSIVE {_net(_COS, 0.8)}, c AS (SELECT (SELECT count(*) FROM v) AS n, (SELECT count(*) FROM net) AS r) SELECT n AS rows, r::BIGINT AS representatives, round(n / r::DOUBLE, 9) AS ratio, round((n - r) / n::DOUBLE, 9) AS saved_share, round((n - r) * (500 * 0.00001::DOUBLE), 9) AS saved_cost FROM c")
 def dedup_economics(spark, sf):
     return evaluate.economics(_fit(spark, sf, 0.8), 500, 0.00001)
 
