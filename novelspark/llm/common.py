@@ -40,7 +40,7 @@ def stored(df: DataFrame, what: str) -> DataFrame:
 
 def discard(spark: SparkSession, df: DataFrame) -> None:
     """Removes the files of a ``stored`` table that nothing reads any more."""
-    for part in df.inputFiles()[:1]:
+    for part in df.inputFiles()[:1]:  # none: an empty table
         path = spark._jvm.org.apache.hadoop.fs.Path(part).getParent()
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 

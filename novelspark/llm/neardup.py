@@ -129,13 +129,28 @@ def frequency_levels(docs: DataFrame, ngram: int = NGRAM, text: str = "text") ->
 
     schema = "chunk int, counts binary"
     merged = docs.select(F.col(text).alias("text")).mapInArrow(count, schema).repartition(CHUNKS // 8, "chunk").mapInArrow(add, schema)
-    out = np.zeros((CHUNKS, SKETCH // CHUNKS), np.int64)
-    for row in merged.collect():  # CHUNKS rows
-        out[row.chunk] = np.frombuffer(row.counts, np.int64)
-    counts = out.ravel()
-    mean = max(1.0, counts.mean())
-    level = np.where(counts <= mean + 6 * np.sqrt(mean) + 4, 0, 1 + np.log2(np.maximum(counts, 1) / mean + 1))
-    return np.clip(level, 0, 60).astype(np.uint8)
+    merged = stored(merged, "sketch")
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([int(np.frombuffer(raw.as_buffer(), np.int64).sum()) for raw in batch.column(1)], pa.int64())], ["n"])
+
+    mean = max(1.0, (merged.mapInArrow(total, "n bigint").agg(F.sum("n")).first()[0] or 0) / SKETCH)
+
+    def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for raw in batch.column(1):
+                n = np.frombuffer(raw.as_buffer(), np.int64)
+                far = np.where(n <= mean + 6 * np.sqrt(mean) + 4, 0, 1 + np.log2(np.maximum(n, 1) / mean + 1))
+                out.append(np.clip(far, 0, 60).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["chunk", "counts"])
+
+    levels = np.zeros((CHUNKS, SKETCH // CHUNKS), np.uint8)
+    for row in merged.mapInArrow(level, schema).toLocalIterator():  # CHUNKS rows
+        levels[row.chunk] = np.frombuffer(row.counts, np.uint8)
+    discard(docs.sparkSession, merged)
+    return levels.ravel()
 
 
 def profiles(docs: DataFrame, levels: np.ndarray, ngram: int = NGRAM, percent: int = PERCENT, text: str = "text") -> DataFrame:

@@ -251,15 +251,22 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
     known = np.sort(np.array([r.term for r in kept.select("term").collect()], np.int64).view(np.uint64))
     df, n = document_frequencies(docs, known, text)
     idf = np.append(np.log((1 + n) / (1 + df)) + 1, 1.0)
-    lookup = Lookup(known)
-    local = rows.orderBy("doc_id").toArrow()
-    first, term, weight = [np.zeros(1, np.int64)], [], []
-    for step in textvec.steps(local["text"]):
-        f, t, w = vectors(step, lookup, idf)
-        first.append(f[1:] + first[-1][-1])
-        term.append(t)
-        weight.append(w)
-    first, term, weight = (np.concatenate(x) for x in (first, term, weight))
+    shared = docs.sparkSession.sparkContext.broadcast((known, idf))
+
+    def own_vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, idf = shared.value
+        lookup = Lookup(known)
+        for batch in batches:
+            for step in textvec.steps(batch.column(2)):
+                first, term, weight = vectors(step, lookup, idf)
+                at, part = pa.array(first, pa.int32()), slice(step.row, step.row + len(step))
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part], batch.column(1)[part], pa.ListArray.from_arrays(at, pa.array(term, pa.int32())), pa.ListArray.from_arrays(at, pa.array(weight, pa.float64()))], ["doc_id", "toxic", "term", "weight"])
+
+    # at most 2 * EXAMPLES rows of kept terms
+    local = rows.select("doc_id", "toxic", "text").mapInArrow(own_vectors, "doc_id bigint, toxic int, term array<int>, weight array<double>").orderBy("doc_id").toArrow().combine_chunks()
+    lists = [local[k].chunk(0) for k in ("term", "weight")]
+    first = np.concatenate([[0], np.cumsum(lists[0].value_lengths().to_numpy())]).astype(np.int64)
+    term, weight = lists[0].flatten().to_numpy().astype(np.int64), lists[1].flatten().to_numpy()
     toxic = local["toxic"].to_numpy().astype(np.int64)
     stands = np.where(toxic == 1, sizes[1] / had[1], sizes[0] / had[0]) / (total / len(toxic))
     index = Index(len(known) + 1, first, term, weight, local["doc_id"].to_numpy(), toxic, stands)
