@@ -48,7 +48,7 @@ EVERY = 128
 END_ID = 0
 LOW = np.uint64(1 << 31)
 #: Distinct pieces that a worker remembers, at about 40 bytes each.
-REMEMBERED = 2_000_000
+REMEMBERED = 1_200_000
 #: White space that ends a text's being cut into pieces (all of \\s outside the six ASCII ones).
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0 ᠎ -​    ⁠　﻿]")
 
@@ -220,6 +220,13 @@ def encoding(path: str) -> Encoding:
 BLOCKS = "part int, block int, doc_ids array<bigint>, counts array<bigint>, ids binary"
 
 
+def _parts(texts: pa.Array, rows: int = 500) -> Iterator[tuple[int, textvec.Docs]]:
+    """Some texts at a time, and the row of the first, so that little is copied at once."""
+    for at in range(0, len(texts), rows):
+        for step in textvec.steps(texts.slice(at, rows), 1_000_000):
+            yield at + step.row, step
+
+
 def tokenised(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Blocks of ids of whole documents, in ascending doc_id order by (part, block)."""
 
@@ -234,7 +241,7 @@ def tokenised(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
 
         for batch in batches:
             doc_ids = batch.column(0).to_pylist()
-            for step in textvec.steps(batch.column(1), 1_000_000):
+            for row, step in _parts(batch.column(1)):
                 got, n = encode(step)
                 ends = np.cumsum(n)
                 i = 0
@@ -243,7 +250,7 @@ def tokenised(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
                     j = int(np.searchsorted(ends, done + max(0, BLOCK_TOKENS - held), "right"))
                     j = max(j, i if held else i + 1)
                     if j > i:
-                        names.append(doc_ids[step.row + i : step.row + j])
+                        names.append(doc_ids[row + i : row + j])
                         counts.append(n[i:j])
                         ids.append(got[done : ends[j - 1]])
                         held += int(ends[j - 1] - done)
@@ -378,45 +385,59 @@ def write_files(docs: DataFrame, path: str, to: str) -> None:
     discard(spark, blocks)
 
 
-def read_blocks(spark: SparkSession, at: str) -> DataFrame:
-    """The decoded blocks (part, block, doc_ids, counts, ids), checked against their checksums."""
+def _decoder(spark: SparkSession, at: str):
+    """A function that decodes a row of blocks, and checks it against its checksums."""
     (row,) = spark.read.parquet(f"{at}/table").collect()
     freq = np.zeros(1 << 16, np.int64)
     freq[row.symbols] = row.frequencies
-    shared = spark.sparkContext.broadcast(freq)
-    bits = row.bits
+    shared, bits = spark.sparkContext.broadcast(freq), row.bits
+
+    def decode(coder: Coder | None, batch: pa.RecordBatch, i: int) -> tuple[Coder, np.ndarray]:
+        coder = coder or Coder(shared.value, bits)
+        r = {k: batch.column(batch.schema.get_field_index(k))[i] for k in ("n_ids", "stream", "mark_at", "mark_states", "stream_crc32", "block_crc32")}
+        body, n = r["stream"].as_buffer(), r["n_ids"].as_py()
+        if zlib.crc32(body) != r["stream_crc32"].as_py():
+            raise ValueError("a block's stream does not match its checksum")
+        states = np.frombuffer(r["mark_states"].as_buffer(), np.uint64).reshape(-1, LANES)
+        ids = coder.decode(np.frombuffer(body, np.uint32), (r["mark_at"][0].as_py(), states[0]), n)
+        if zlib.crc32(ids.tobytes()) != r["block_crc32"].as_py():
+            raise ValueError("a block's ids do not match their checksum")
+        return coder, ids
+
+    return decode
+
+
+def read_blocks(spark: SparkSession, at: str) -> DataFrame:
+    """The decoded blocks: part, block, doc_ids, counts, ids."""
+    decode = _decoder(spark, at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(shared.value, bits)
+        coder = None
         for batch in batches:
             for i in range(batch.num_rows):
-                r = {k: batch.column(k)[i] for k in ("n_ids", "stream", "mark_at", "mark_states", "stream_crc32", "block_crc32")}
-                body, n = r["stream"].as_buffer(), r["n_ids"].as_py()
-                if zlib.crc32(body) != r["stream_crc32"].as_py():
-                    raise ValueError("a block's stream does not match its checksum")
-                states = np.frombuffer(r["mark_states"].as_buffer(), np.uint64).reshape(-1, LANES)
-                ids = coder.decode(np.frombuffer(body, np.uint32), (r["mark_at"][0].as_py(), states[0]), n) if n else np.zeros(0, np.uint16)
-                if zlib.crc32(ids.tobytes()) != r["block_crc32"].as_py():
-                    raise ValueError("a block's ids do not match their checksum")
-                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, 1) for k in ("part", "block", "doc_ids", "counts")), pa.array([ids.tobytes()], pa.binary())], ["part", "block", "doc_ids", "counts", "ids"])
+                coder, ids = decode(coder, batch, i)
+                yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(i, 1) for k in range(4)), pa.array([ids.tobytes()], pa.binary())], ["part", "block", "doc_ids", "counts", "ids"])
 
     return spark.read.parquet(f"{at}/blocks").mapInArrow(run, BLOCKS)
 
 
 def digests(spark: SparkSession, at: str) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 of every document in the files."""
+    decode = _decoder(spark, at)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = None
         for batch in batches:
             for i in range(batch.num_rows):
+                coder, ids = decode(coder, batch, i)
                 counts = np.array(batch.column(3)[i].as_py(), np.int64)
-                ids = np.frombuffer(batch.column(4)[i].as_buffer(), np.uint16).astype("<u4")
                 ends = np.cumsum(counts)
-                crc = [zlib.crc32(ids[e - c : e]) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
+                wide = ids.astype("<u4")
+                crc = [zlib.crc32(wide[e - c : e]) for e, c in zip(ends.tolist(), counts.tolist(), strict=True)]
                 same = [pa.array(np.repeat(batch.column(k)[i].as_py(), len(counts)), pa.int32()) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([*same, batch.column(2)[i].values, pa.array(ends - counts), pa.array(counts), pa.array(crc, pa.int64())], ["part", "block", "doc_id", "inner", "n_tokens", "ids_crc32"])
 
-    each = read_blocks(spark, at).mapInArrow(run, "part int, block int, doc_id bigint, inner bigint, n_tokens bigint, ids_crc32 bigint")
+    each = spark.read.parquet(f"{at}/blocks").mapInArrow(run, "part int, block int, doc_id bigint, inner bigint, n_tokens bigint, ids_crc32 bigint")
     sizes = spark.read.parquet(f"{at}/blocks").select(F.col("part").alias("_part"), F.col("block").alias("_block"), "n_ids")
     parts = sizes.groupBy(F.col("_part").alias("_of")).agg(F.sum("n_ids").alias("_ids"))
     before = Window.orderBy("_of").rowsBetween(Window.unboundedPreceding, -1)  # one row a part

@@ -176,7 +176,7 @@ def test_chat_links_and_orders(spark):
     out = chat.formatted(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
     seen = sorted((r.conv_id or 0, r.position, r.call_id, r.status, tuple(r.problems)) for r in out)
     one = [x[2:] for x in seen if x[0] == 1]
-    assert one == [(None, "ok", ()), ("x", "linked", ("$.b: unknown",)), ("x", "linked", ()), ("z", "linked", ("$.a: not integer",)), ("z", "linked", ()), ("y", "unanswered", ()), ("z", "duplicate_call", ("$.a: missing",)), ("w", "orphan_result", ())]
+    assert one == [(None, "ok", ()), ("x", "linked", ("$.b: unknown",)), ("x", "linked", ()), ("z", "linked", ("$.a: not integer",)), ("z", "linked", ()), ("z", "duplicate_call", ("$.a: missing",)), ("y", "unanswered", ()), ("w", "orphan_result", ())]
     assert {x[3] for x in seen if x[0] == 2 and x[2]} == {"cycle", "linked"}
     for c in (0, 1, 2, 3):
         own = [x[1] for x in seen if x[0] == c]
