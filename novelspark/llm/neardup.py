@@ -106,8 +106,12 @@ def _rows(docs: DataFrame, text: str) -> DataFrame:
 
 
 def frequency_levels(docs: DataFrame, ngram: int = NGRAM, text: str = "text") -> np.ndarray:
-    """For each cell of the sketch, how far its count is above what chance brings there:
-    0 up to six deviations, then the logarithm.  ``SKETCH`` bytes, at any input size."""
+    """For each cell of the sketch its rank: its count in quarters of the deviation that
+    chance brings, then the logarithm.  ``SKETCH`` bytes, at any input size.
+
+    An n-gram of few documents is in a cell that may be among the least counted; one of many
+    documents is not, so it comes late in every document's order.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SKETCH, np.int64)
@@ -142,8 +146,9 @@ def frequency_levels(docs: DataFrame, ngram: int = NGRAM, text: str = "text") ->
             out = []
             for raw in batch.column(1):
                 n = np.frombuffer(raw.as_buffer(), np.int64)
-                far = np.where(n <= mean + 6 * np.sqrt(mean) + 4, 0, 1 + np.log2(np.maximum(n, 1) / mean + 1))
-                out.append(np.clip(far, 0, 60).astype(np.uint8).tobytes())
+                z = (n - mean) / np.sqrt(mean)
+                far = np.where(z < 40, np.rint(4 * (z + 4)), 176 + np.log2(np.maximum(z, 1)))
+                out.append(np.clip(far, 0, 255).astype(np.uint8).tobytes())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["chunk", "counts"])
 
     levels = np.zeros((CHUNKS, SKETCH // CHUNKS), np.uint8)
