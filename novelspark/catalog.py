@@ -72,19 +72,14 @@ _LINF = "list_max(list_transform(list_zip({a}, {b}), lambda z: abs(z[1] - z[2]))
 _COS = "(1 - list_dot_product({a}, {b}))"
 
 
-def _net_sql(distance: str, epsilon: float) -> str:
-    """CTEs n, t and net(i, x): the first-fit net of v, row by row."""
+def _net(distance: str, epsilon: float) -> str:
+    """CTEs v, n, t and net(i, x): the first-fit net of the vectors, row by row."""
     d = distance.format(a="r.x", b="n.x")
     return f"""{_V}, n AS (SELECT row_number() OVER (ORDER BY i) AS k, i, x FROM v),
 t AS (SELECT 1::BIGINT AS k, [{{'i': i, 'x': x}}] AS reps FROM n WHERE k = 1
   UNION ALL SELECT n.k, CASE WHEN list_bool_or(list_transform(t.reps, lambda r: {d} <= {epsilon})) THEN t.reps ELSE list_append(t.reps, {{'i': n.i, 'x': n.x}}) END
   FROM t JOIN n ON n.k = t.k + 1),
-net AS (SELECT r.i AS i, r.x AS x FROM (SELECT unnest(reps) AS r FROM t ORDER BY k DESC LIMIT 1000000) WHERE false)"""
-
-
-def _net(distance: str, epsilon: float) -> str:
-    base = _net_sql(distance, epsilon)
-    return base[: base.index("net AS (")] + "net AS (SELECT r.i AS i, r.x AS x FROM (SELECT unnest(reps) AS r FROM t WHERE k = (SELECT max(k) FROM t)))"
+net AS (SELECT r.i AS i, r.x AS x FROM (SELECT unnest(reps) AS r FROM t WHERE k = (SELECT max(k) FROM t)))"""
 
 
 def _first_fit_sql(distance: str, epsilon: float) -> str:
@@ -298,7 +293,6 @@ def tower_occupancy(spark, sf):
 
 # ---- replicas -------------------------------------------------------------------
 
-_GRID = """ceil({v} / 0.125)::BIGINT - 1"""
 _CELL = " + ".join(f"least(greatest(ceil(({v} - 0.0) / 0.125)::BIGINT - 1, 0), 7) * {8**k}" for k, v in enumerate("abc"))
 _CELLS = f"{_P}, c AS (SELECT seq, {_CELL} AS cell, seq % 4 AS replica FROM p), o AS (SELECT replica, cell, min(seq) AS seq FROM c GROUP BY replica, cell)"
 
@@ -358,10 +352,6 @@ def crdt_priority(spark, sf):
     return v.select(F.col("i").alias("vec_id"), replicas.priority(F.col("x"), F.col("label").cast("string").cast("binary")).alias("priority"))
 
 
-def _inverse_sql(base: int, digits: int) -> str:
-    return " + ".join(f"((j // {base**k}) % {base}) * {(1 / base)}::DOUBLE ** {k + 1}" for k in range(digits))
-
-
 @_query("SELECT j, round(list_sum(list_transform(range(0, 10), lambda k: ((j >> k) & 1) / (2.0 ** (k + 1)))), 9) AS a, round(list_sum(list_transform(range(0, 7), lambda k: ((j // (3 ** k)::BIGINT) % 3) / (3.0 ** (k + 1)))), 9) AS b FROM range(1000) r(j)")
 def halton_anchors(spark, sf):
     return replicas.halton(spark, 1000, [0.0] * 2, [1.0] * 2).select("j", F.round(F.col("y")[0], 9).alias("a"), F.round(F.col("y")[1], 9).alias("b"))

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from novelspark.functions import metrics
 from novelspark.plans import epsjoin
 from novelspark.plans.ordered import before, ranged
 from novelspark.plans.shared import small, stored
@@ -54,7 +53,6 @@ def diagram(df: DataFrame, x: str) -> DataFrame:
     """
     points = stored(sorted_points(df, x), "points")
     gaps = stored(points.where("next is not null").select(F.col("rank").alias("i"), "x", "next", (F.col("next") - F.col("x")).alias("gap")), "gaps")
-    spark = df.sparkSession
     n = gaps.count()
     if not n:
         return gaps.select(F.lit(0).cast("bigint").alias("birth"), F.lit(0).cast("bigint").alias("death"), "x", "next", "gap").where("false").select("birth", "death", F.col("x").alias("birth_value"), F.col("x").alias("death_value"), F.col("gap").alias("persistence"))
@@ -83,7 +81,6 @@ def diagram(df: DataFrame, x: str) -> DataFrame:
     births = gaps.join(found.select("i", F.col("node").alias("longer")), "i", "left").withColumn("birth", F.coalesce(F.col("longer") + 1, F.lit(0).cast("bigint")))
     value = points.select(F.col("rank").alias("birth"), F.col("x").alias("birth_value"))
     out = births.join(value, "birth")
-    _ = spark
     return out.select("birth", (F.col("i") + 1).alias("death"), "birth_value", ((F.col("x") + F.col("next")) / 2).alias("death_value"), ((F.col("next") - F.col("x")) / 2).alias("persistence"))
 
 
