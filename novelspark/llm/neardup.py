@@ -40,8 +40,9 @@ PERCENT = 85
 SKETCH = 1 << 22
 CHUNKS = 64
 FILTER_BITS = 24
-#: Pairs left in the columns, as a multiple of their rows, that are compared at once.
-REST = 4
+#: Pairs left in the columns, as a multiple of all columns' rows at first, that are
+#: compared at once: a number of pairs that grows as the input does.
+REST = 1
 
 
 def shingles(docs: textvec.Docs, ngram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -266,6 +267,7 @@ def class_links(docs: DataFrame, profile: DataFrame, ngram: int = NGRAM, percent
     bits = stored(profile.where("n > 0").select("class", "bits").join(names.select("class"), "class", "left_semi").dropDuplicates(["class"]), "bitmaps")
     columns = stored(shared.join(names.select("class", "weight"), "class").select("gram", "class", "n", "weight"), "columns")
     discard(docs.sparkSession, shared)
+    most = REST * columns.count()
     own: DataFrame | None = None
     fits = lambda p, q: 100 * F.least(p, q) >= percent * F.greatest(p, q)
     links = labels = None
@@ -279,7 +281,7 @@ def class_links(docs: DataFrame, profile: DataFrame, ngram: int = NGRAM, percent
         row = now.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("m") - 1).alias("twice")).first()
         if not row["rows"]:
             break
-        last = row["twice"] / 2 <= REST * row["rows"]
+        last = row["twice"] / 2 <= most
         if last:
             x = now.select("gram", F.col("class").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
             y = now.select("gram", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
