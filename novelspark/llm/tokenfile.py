@@ -14,7 +14,9 @@ frequencies, summing to 2**BITS) and ``blocks`` (one row a block, in doc_id orde
 
 Tokenising: no pre-token of a byte-level vocabulary crosses from a visible character
 to white space, so a text is cut into pieces (white space with the visible run after
-it), and each distinct piece is encoded once by the library.  A text with white space
+it), and each distinct piece is encoded once by the library: white space alone by itself, the
+other pieces that begin with white space in one string, and by themselves again where a
+token crosses a bound.  A text with white space
 outside ASCII, where that would not hold, is encoded whole.  Distinct pieces are told by
 two 64-bit hashes.
 
@@ -152,20 +154,27 @@ class Encoding:
         fresh = np.flatnonzero(size < 0)
         if not len(fresh):
             return place, size
-        led = textvec.is_space(data[start[fresh]])
-        order = np.concatenate([fresh[led], fresh[~led]])
-        lengths = end[order] - start[order]
-        n = int(led.sum())
+        # white space alone would run into the next piece's white space
+        led = textvec.is_space(data[start[fresh]]) & ~textvec.is_space(data[end[fresh] - 1])
+        glued, alone = fresh[led], fresh[~led]
         ids, counts = [np.zeros(0, np.uint16)], [np.zeros(0, np.int64)]
-        if n:  # pieces that begin with white space: no pre-token crosses from one to the next
-            text = data[ragged(start[order[:n]], lengths[:n])].tobytes().decode()
+        if len(glued):
+            lengths = end[glued] - start[glued]
+            text = data[ragged(start[glued], lengths)].tobytes().decode()
             (e,) = self.tokenizer.encode_batch_fast([text], add_special_tokens=False)
             got = np.array(e.ids, np.uint16)
-            cuts = np.searchsorted(np.cumsum(self.lengths[got]), np.cumsum(lengths[:n])) + 1
-            ids.append(got)
-            counts.append(np.diff(cuts, prepend=0))
-        if n < len(order):
-            texts = [data[a:b].tobytes().decode() for a, b in zip(start[order[n:]].tolist(), end[order[n:]].tolist(), strict=True)]
+            ends, want = np.cumsum(self.lengths[got]), np.cumsum(lengths)
+            cuts = np.searchsorted(ends, want) + 1
+            begins = np.concatenate([[0], cuts[:-1]])
+            met = ends[np.minimum(cuts, len(ends)) - 1] == want
+            sound = met.copy()  # both bounds are token ends: no merge crossed them
+            sound[1:] &= met[:-1]
+            ids.append(got[ragged(begins[sound], (cuts - begins)[sound])])
+            counts.append((cuts - begins)[sound])
+            glued, alone = glued[sound], np.concatenate([alone, glued[~sound]])
+        order = np.concatenate([glued, alone])
+        if len(alone):
+            texts = [data[a:b].tobytes().decode() for a, b in zip(start[alone].tolist(), end[alone].tolist(), strict=True)]
             got = [np.array(e.ids, np.uint16) for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
             ids += got
             counts.append(np.array([len(x) for x in got], np.int64))

@@ -6,11 +6,12 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from novelspark.llm import chat, common, mixing, quality, sharding, tokencount, tokenfile, toxicity
+from novelspark.llm import chat, common, mixing, quality, sharding, textvec, tokencount, tokenfile, toxicity
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string"
@@ -58,6 +59,22 @@ def test_token_files(spark, tmp_path):
     assert tokenfile.digests(spark, f"file://{tmp_path}/e").count() == 0
 
 
+def test_white_space_pieces_do_not_run_together():
+    t = library("byte_bpe_50k.json")
+    rng = np.random.default_rng(0)
+    spaces = ["\n", "\n\n", " ", "  ", "    ", "\t", "\r\n", "\n ", " \n", "\n    ", "\xa0", "\u3000\n"]
+    words = ["foo", "return", "x1", "it's", "<|endoftext|>", "é", "\xa0", "=="]
+    texts = ["a\n", "a\n return", "a\n\nfoo"] + ["".join(rng.choice(words) + "".join(rng.choice(spaces, rng.integers(1, 4))) for _ in range(rng.integers(1, 6))) for _ in range(3000)]
+    for size in (1, 7, len(texts)):  # new pieces met few at a time and all at once
+        encode = tokenfile.Encoding(public_tokenizers.path("byte_bpe_50k.json"))
+        for at in range(0, len(texts), size):
+            some = texts[at : at + size]
+            (step,) = textvec.steps(pa.array(some))
+            ids, n = encode(step)
+            want = [[*t.encode(x, add_special_tokens=False).ids, tokenfile.END_ID] for x in some]
+            assert n.tolist() == [len(x) for x in want] and ids.tolist() == [i for x in want for i in x]
+
+
 def test_coder_checkpoints():
     rng = np.random.default_rng(0)
     ids = np.minimum(rng.geometric(0.02, 700_000), 60_000).astype(np.uint16)
