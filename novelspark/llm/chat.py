@@ -24,7 +24,10 @@ keep their own turn and are marked ``cycle`` or ``missing_reference``; an empty
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
+from fractions import Fraction
+from urllib.parse import unquote
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -33,7 +36,7 @@ from pyspark.sql import functions as F
 from .common import numbered, stored, table
 
 PART = 512
-#: Longest chain of calls that name each other's results; longer ones count as cycles.
+#: Rounds of joins that place calls; what longer chains leave is placed by conversation.
 DEEPEST = 64
 
 ITEMS = "conv_id bigint, turn bigint, ord int, kind string, id string, name string, body string, needs array<string>, problem string"
@@ -80,10 +83,69 @@ def references(value: object) -> list[str]:
 _KINDS = {"object": dict, "array": list, "string": str, "boolean": bool, "null": type(None), "number": (int, float), "integer": int}
 
 
-def violations(value: object, schema: object, at: str = "$") -> list[str]:
-    """Where a value breaks a JSON schema (type, enum, required, properties,
-    additionalProperties, items, minimum, maximum); references to results fit anywhere."""
-    if not isinstance(schema, dict) or isinstance(value, dict) and "$result" in value:
+#: Keywords of a schema that hold one schema, a list of schemas, or schemas by name.
+_ONE = ("additionalProperties", "additionalItems", "contains", "not", "if", "then", "else", "propertyNames")
+_MANY = ("anyOf", "oneOf", "allOf", "prefixItems")
+_NAMED = ("properties", "patternProperties", "dependentSchemas", "$defs", "definitions")
+_PLAIN = ("type", "enum", "const", "required", "items", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "multipleOf", "minLength", "maxLength", "pattern", "minItems", "maxItems", "uniqueItems", "minContains", "maxContains", "minProperties", "maxProperties", "dependentRequired", "$ref")
+_NOTES = ("title", "description", "default", "example", "examples", "format", "deprecated", "readOnly", "writeOnly", "$schema", "$id", "$comment", "contentEncoding", "contentMediaType")
+_READ = {*_ONE, *_MANY, *_NAMED, *_PLAIN, *_NOTES}
+
+
+def unread(schema: object, at: str = "#") -> list[str]:
+    """Keywords anywhere in a schema that ``violations`` does not check."""
+    if not isinstance(schema, dict):
+        return []
+    out = [f"{at}: unsupported {k}" for k in sorted(schema) if k not in _READ]
+    for k in sorted(schema):
+        x = schema[k]
+        if k in _ONE or k == "items" and not isinstance(x, list):
+            out += unread(x, f"{at}/{k}")
+        elif k in _MANY or k == "items":
+            out += [y for i, part in enumerate(x) for y in unread(part, f"{at}/{k}/{i}")]
+        elif k in _NAMED:
+            out += [y for name in sorted(x) for y in unread(x[name], f"{at}/{k}/{name}")]
+    kinds = schema.get("type")
+    out += [f"{at}: unsupported type {k}" for k in (kinds if isinstance(kinds, list) else [kinds] if kinds else []) if k not in _KINDS]
+    return out
+
+
+def equal(x: object, y: object) -> bool:
+    """Whether two JSON values are the same; true is not 1."""
+    if isinstance(x, bool) or isinstance(y, bool):
+        return x is y
+    if isinstance(x, list) and isinstance(y, list):
+        return len(x) == len(y) and all(equal(a, b) for a, b in zip(x, y, strict=True))
+    if isinstance(x, dict) and isinstance(y, dict):
+        return x.keys() == y.keys() and all(equal(x[k], y[k]) for k in x)
+    return x == y
+
+
+def _target(root: object, ref: str) -> object:
+    """The part of a schema that a local reference names."""
+    if ref != "#" and not ref.startswith("#/"):
+        raise LookupError(ref)
+    for step in ref.split("/")[1:]:
+        step = unquote(step).replace("~1", "/").replace("~0", "~")
+        root = root[int(step)] if isinstance(root, list) else root[step]
+    return root
+
+
+def violations(value: object, schema: object) -> list[str]:
+    """Where a value breaks a JSON schema, and what of the schema is not checked;
+    references to results fit anywhere."""
+    try:
+        return unread(schema) + _breaks(value, schema, "$", schema, ())
+    except (TypeError, ValueError, AttributeError, ArithmeticError, RecursionError, re.error):
+        return ["schema: not valid"]
+
+
+def _breaks(value: object, schema: object, at: str, root: object, refs: tuple[str, ...]) -> list[str]:
+    if isinstance(value, dict) and "$result" in value:
+        return []
+    if schema is False:
+        return [f"{at}: not allowed"]
+    if not isinstance(schema, dict):
         return []
     kinds = schema.get("type")
     kinds = kinds if isinstance(kinds, list) else [kinds] if kinds else []
@@ -91,21 +153,66 @@ def violations(value: object, schema: object, at: str = "$") -> list[str]:
     if fits and not any(fits):
         return [f"{at}: not {'|'.join(kinds)}"]
     out = []
-    if "enum" in schema and value not in schema["enum"]:
+    inner = lambda part: _breaks(value, part, at, root, refs)
+    below = lambda x, part, place: _breaks(x, part, place, root, ())
+    if "enum" in schema and not any(equal(value, x) for x in schema["enum"]):
         out.append(f"{at}: not in enum")
+    if "const" in schema and not equal(value, schema["const"]):
+        out.append(f"{at}: const")
+    if "$ref" in schema:
+        ref = schema["$ref"]
+        try:
+            part = None if ref in refs else _target(root, ref)
+        except (LookupError, TypeError, ValueError):
+            part = None
+        out += [f"{at}: unresolved {ref}"] if part is None else _breaks(value, part, at, root, (*refs, ref))
+    for part in schema.get("allOf", ()):
+        out += inner(part)
+    if "anyOf" in schema and all(inner(part) for part in schema["anyOf"]):
+        out.append(f"{at}: anyOf")
+    if "oneOf" in schema and sum(not inner(part) for part in schema["oneOf"]) != 1:
+        out.append(f"{at}: oneOf")
+    if "not" in schema and not inner(schema["not"]):
+        out.append(f"{at}: not")
+    if "if" in schema:
+        out += inner(schema.get("else" if inner(schema["if"]) else "then", True))
     if isinstance(value, (int, float)) and not isinstance(value, bool):
-        out += [f"{at}: {k}" for k, bad in (("minimum", value < schema.get("minimum", value)), ("maximum", value > schema.get("maximum", value))) if bad]
+        tests = {"minimum": lambda x: value < x, "maximum": lambda x: value > x, "exclusiveMinimum": lambda x: value <= x, "exclusiveMaximum": lambda x: value >= x, "multipleOf": lambda x: Fraction(str(value)) % Fraction(str(x)) != 0}
+        for k, bad in tests.items():
+            if k in schema and (isinstance(schema[k], bool) or bad(schema[k])):
+                out.append(f"{at}: {k}")
+    if isinstance(value, str):
+        tests = {"minLength": lambda x: len(value) < x, "maxLength": lambda x: len(value) > x, "pattern": lambda x: not re.search(x, value)}
+        out += [f"{at}: {k}" for k, bad in tests.items() if k in schema and bad(schema[k])]
     if isinstance(value, dict):
-        own = schema.get("properties") or {}
+        own, like = schema.get("properties") or {}, schema.get("patternProperties") or {}
         out += [f"{at}.{k}: missing" for k in schema.get("required") or [] if k not in value]
+        tests = {"minProperties": lambda x: len(value) < x, "maxProperties": lambda x: len(value) > x}
+        out += [f"{at}: {k}" for k, bad in tests.items() if k in schema and bad(schema[k])]
         for k in sorted(value):
-            if k in own:
-                out += violations(value[k], own[k], f"{at}.{k}")
-            elif schema.get("additionalProperties") is False:
+            parts = [own[k]] if k in own else []
+            parts += [like[p] for p in sorted(like) if re.search(p, k)]
+            for part in parts:
+                out += below(value[k], part, f"{at}.{k}")
+            if not parts and schema.get("additionalProperties") is False:
                 out.append(f"{at}.{k}: unknown")
-    if isinstance(value, list) and "items" in schema:
+            elif not parts:
+                out += below(value[k], schema.get("additionalProperties", True), f"{at}.{k}")
+            if below(k, schema.get("propertyNames", True), at):
+                out.append(f"{at}.{k}: propertyNames")
+            out += [f"{at}.{x}: missing" for x in (schema.get("dependentRequired") or {}).get(k, ()) if x not in value]
+            out += inner((schema.get("dependentSchemas") or {}).get(k, True))
+    if isinstance(value, list):
+        tests = {"minItems": lambda x: len(value) < x, "maxItems": lambda x: len(value) > x, "uniqueItems": lambda x: x and any(equal(a, b) for i, a in enumerate(value) for b in value[:i])}
+        out += [f"{at}: {k}" for k, bad in tests.items() if k in schema and bad(schema[k])]
+        items = schema.get("items", True)
+        lead, rest = (items, schema.get("additionalItems", True)) if isinstance(items, list) else (schema.get("prefixItems", []), items)
         for i, x in enumerate(value):
-            out += violations(x, schema["items"], f"{at}[{i}]")
+            out += below(x, lead[i] if i < len(lead) else rest, f"{at}[{i}]")
+        if "contains" in schema:
+            n = sum(not below(x, schema["contains"], at) for x in value)
+            if not schema.get("minContains", 1) <= n <= schema.get("maxContains", n):
+                out.append(f"{at}: contains")
     return out
 
 
@@ -170,11 +277,48 @@ def _checked(calls: DataFrame) -> DataFrame:
     return calls.mapInArrow(run, kinds + ", problems array<string>")
 
 
+def _rest(state: DataFrame, edges: DataFrame) -> DataFrame:
+    """``state`` with the calls placed that are not done: a task takes the identifiers and
+    references of a conversation's calls that are left, never their texts.  What is not
+    done after it is in a cycle, or waits for one."""
+
+    def run(group: pa.Table) -> pa.Table:
+        rows = group.to_pylist()
+        where = {r["id"]: k for k, r in enumerate(rows)}
+        waits = [len(r["waits"]) for r in rows]
+        next_of: list[list[int]] = [[] for _ in rows]
+        for k, r in enumerate(rows):
+            for need in r["waits"]:
+                next_of[where[need]].append(k)
+        todo = [k for k, n in enumerate(waits) if not n]
+        rank = lambda p: (p["_at"] is not None, p["_at"] or 0, p["_level"])
+        for k in todo:  # grows
+            r = rows[k]
+            r["done"], last = True, r["last"]
+            if last and last["_at"] is not None and r["turn"] is not None and last["_at"] >= r["turn"]:
+                r["at"], r["level"] = last["_at"], last["_level"] + 1
+            for j in next_of[k]:
+                own = {"_at": r["at"], "_level": r["level"]}
+                rows[j]["last"] = max(own, rows[j]["last"] or own, key=rank)
+                waits[j] -= 1
+                if not waits[j]:
+                    todo.append(j)
+        kinds = {"conv_id": pa.int64(), "id": pa.string(), "turn": pa.int64(), "at": pa.int64(), "level": pa.int32(), "done": pa.bool_(), "loop": pa.string()}
+        return pa.table({k: pa.array([r[k] for r in rows], t) for k, t in kinds.items()})
+
+    of = state.select(F.col("conv_id").alias("_c"), F.col("id").alias("_n"), F.col("at").alias("_at"), F.col("level").alias("_level"), F.col("done").alias("_done"))
+    needs = edges.join(of, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("need") == F.col("_n"))).groupBy(F.col("conv_id").alias("_c"), F.col("id").alias("_i"))
+    needs = needs.agg(F.collect_set(F.when(~F.col("_done"), F.col("need"))).alias("waits"), F.max(F.when(F.col("_done"), F.struct("_at", "_level"))).alias("last"))
+    left = state.where("not done").join(needs, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("id") == F.col("_i"))).drop("_c", "_i")
+    found = left.groupBy("conv_id").applyInArrow(run, "conv_id bigint, id string, turn bigint, at bigint, level int, done boolean, loop string")
+    return state.where("done").unionByName(found)
+
+
 def _placed(calls: DataFrame, results: DataFrame) -> DataFrame:
     """Calls with ``at`` (turn that they come at), ``level`` in it and ``loop``.
 
-    Each round places the calls whose references are all placed; only what the last
-    round moved is joined again.
+    Each round places the calls whose references are all placed; after ``DEEPEST`` rounds
+    the calls that are left are placed by ``_rest``.
     """
     spark = calls.sparkSession
     names = calls.select("conv_id", "id", "turn", F.explode("needs").alias("need"))
@@ -201,6 +345,9 @@ def _placed(calls: DataFrame, results: DataFrame) -> DataFrame:
         before, left = left, state.where("not done").count()
         if left == before:
             break
+    else:
+        if left:
+            state = stored(_rest(state, edges), "order")
     state = state.select(F.col("conv_id").alias("_c"), F.col("id").alias("_i"), "at", "level", F.when(~F.col("done"), "cycle").otherwise(F.col("loop")).alias("loop"))
     return calls.join(state, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("id") == F.col("_i"))).drop("_c", "_i")
 

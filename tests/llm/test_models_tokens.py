@@ -203,6 +203,45 @@ def test_chat_links_and_orders(spark):
     assert chat.formatted(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
 
 
+def test_chat_orders_chains_of_any_length(spark, monkeypatch):
+    monkeypatch.setattr(chat, "DEEPEST", 2)
+    n, rows = 70, []
+
+    def add(conv, turn, name, *needs):
+        args = {f"a{i}": {"$result": x} for i, x in enumerate(needs)}
+        rows.append((conv, turn, "assistant", json.dumps({"tool_calls": [{"id": name, "function": {"name": "f", "arguments": args}}]})))
+        rows.append((conv, turn, "tool", json.dumps({"tool_call_id": name, "content": 1})))
+
+    for conv in (1, 2):
+        for i in range(n):  # the last link comes first
+            add(conv, n - i, f"c{i:02}", *([f"c{i - 1:02}"] if i else []), *(["c00"] if i > 1 else []))
+    add(1, 3, "p", "q", "c69")
+    add(1, 3, "q", "p")
+    out = chat.formatted(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).where("kind = 'call'").collect()
+    for conv in (1, 2):
+        own = [r for r in sorted(out, key=lambda r: r.position) if r.conv_id == conv and r.call_id[0] == "c"]
+        assert [r.call_id for r in own] == [f"c{i:02}" for i in range(n)] and {r.status for r in own} == {"linked"}
+    assert {r.status for r in out if r.call_id in "pq"} == {"cycle"}
+
+
+def test_chat_schema_keywords():
+    tree = {"$defs": {"t": {"type": "object", "properties": {"next": {"$ref": "#/$defs/t"}, "v": {"type": "integer"}}, "additionalProperties": False}}, "$ref": "#/$defs/t"}
+    cases = [
+        ({"pattern": "^a+$"}, "aa", "b"), ({"const": 1}, 1, True), ({"enum": [0]}, 0, False), ({"minLength": 2, "maxLength": 3}, "ab", "a"), ({"maxLength": 1}, "é", "ab"),
+        ({"exclusiveMinimum": 1}, 2, 1), ({"exclusiveMaximum": 1}, 0, 1), ({"multipleOf": 0.1}, 0.3, 0.35), ({"minItems": 1}, [1], []), ({"maxItems": 1}, [1], [1, 2]), ({"uniqueItems": True}, [1, True], [1, 1]),
+        ({"anyOf": [{"type": "string"}, {"minimum": 3}]}, 3, 2), ({"oneOf": [{"minimum": 1}, {"minimum": 3}]}, 2, 3), ({"allOf": [{"minimum": 1}, {"maximum": 2}]}, 1, 3), ({"not": {"type": "string"}}, 1, "a"),
+        ({"additionalProperties": {"type": "integer"}}, {"a": 1}, {"a": "b"}), ({"patternProperties": {"^n": {"type": "integer"}}, "additionalProperties": False}, {"n1": 1}, {"m": 1}),
+        (tree, {"next": {"next": {"v": 1}}}, {"next": {"next": {"v": "x"}}}), ({"if": {"minimum": 5}, "then": {"maximum": 6}, "else": {"minimum": 1}}, 6, 0), ({"prefixItems": [{"type": "string"}], "items": False}, ["a"], ["a", 1]),
+        ({"contains": {"const": 1}}, [0, 1], [0]), ({"dependentRequired": {"a": ["b"]}}, {"a": 1, "b": 1}, {"a": 1}), ({"minProperties": 1}, {"a": 1}, {}), ({"propertyNames": {"maxLength": 1}}, {"a": 1}, {"ab": 1}),
+    ]
+    for schema, good, bad in cases:
+        assert chat.violations(good, schema) == [] and chat.violations(bad, schema), schema
+        assert chat.violations({"$result": "x"}, schema) == []
+    assert chat.violations(1, {"anyOf": [{"unevaluatedItems": False}]}) == ["#/anyOf/0: unsupported unevaluatedItems"]
+    assert chat.violations(1, {"$ref": "#"}) == ["$: unresolved #"] and chat.violations(1, {"$ref": "http://x"}) == ["$: unresolved http://x"]
+    assert chat.violations("a", {"pattern": "("}) == ["schema: not valid"]
+
+
 def test_pipeline_stages(spark):
     assert [n for n, _ in corpus_pipeline.STAGES] == ["toxicity", "n-gram Jaccard join", "benchmark decontamination", "mixing", "sharding"]
     docs = common.table(spark, SF, "documents")
