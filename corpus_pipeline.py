@@ -1,7 +1,7 @@
 """A training corpus from documents: STAGES in order, each written as Parquet and reread.
 
-Toxic documents go, one document of each near-duplicate group stays, documents that
-hold benchmark items go, sources are mixed to their target weights, and what is left
+Toxic documents go, one document of each near-duplicate group (five-word shingles, 0.8 or
+more) stays, documents that hold benchmark items go, sources are mixed to their target weights, and what is left
 is dealt to shards.  All stages but the last return the columns of documents; the last
 adds size, text_crc32, law, shard, grown_shard and slot.
 
@@ -22,7 +22,7 @@ def _toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def _near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return neardup.keep_first(docs)
+    return neardup.keep_first(docs, ngram=5, percent=80)
 
 
 def _decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

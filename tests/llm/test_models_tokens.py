@@ -259,3 +259,12 @@ def test_pipeline_stages(spark):
     assert mixed.columns == docs.columns
     last = corpus_pipeline.STAGES[4][1](spark, mixed, SF)
     assert last.count() == mixed.count()
+
+
+def test_pipeline_drops_copies_from_four_fifths_on(spark):
+    words = [f"w{i}" for i in range(100)]
+    near = [*words, *(f"x{i}" for i in range(20))]  # 96 of 116 five-word shingles
+    far = [*words, *(f"y{i}" for i in range(40))]  # 96 of 136
+    docs = frame(spark, [(1, " ".join(words), "s"), (2, " ".join(near), "s"), (3, " ".join(far), "s")])
+    kept = corpus_pipeline.STAGES[1][1](spark, docs, SF).collect()
+    assert sorted(r.doc_id for r in kept) == [1, 3]
