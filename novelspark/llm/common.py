@@ -21,11 +21,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession, what: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which all executors share.
 
-    The setting is read from the session; only where it is unset (tests on one
-    machine) a folder of this machine's temp directory is used.
+    The setting is read from the session.  Only in local mode, where one machine is the
+    whole cluster, an unset one gives a folder of the temp directory.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or ""
     if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = "file://" + os.path.join(tempfile.gettempdir(), "novelspark-shared")
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
@@ -45,6 +47,18 @@ def discard(spark: SparkSession, df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def unused(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def uniform(*parts: Column | str) -> Column:
     """A draw in (0, 1) from the MD5 of the parts joined by '|'; 52 bits, never 0 or 1."""
     text = F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(p) for p in parts])

@@ -4,22 +4,29 @@ Texts are lower-cased (A-Z) and cut at ASCII white space; a document's set is it
 distinct ``ngram``-word shingles, as 64-bit hashes, or its whole word sequence if it
 has fewer words.  Documents of equal sets form a class, and only classes are joined.
 
-The product runs over the columns (n-grams) that size-derived bounds leave: two sets
-reach similarity t only if they share one of the first n - ceil(t n) + 1 n-grams of
-each, in any one global order.  The order puts frequent n-grams last (frequencies of
-all n-grams of all documents, in a sketch of fixed size), so passages that many
-documents share do not make columns of their documents.  Within a column a block is
-one row of the product: the column's pivot against its other classes.  Pairs whose
-sizes cannot reach t, and pairs already in one component, are discarded; the overlap of
-the others is counted over their whole sets, after a bitmap of each set has ruled out most.  A pivot that has been compared leaves its
-column, the next one follows; when what is left in the columns is few pairs, they are
-compared all at once.  Every link between different classes is so found or implied by
-a path of found links; components are then exact.
+1. Columns.  Two sets reach similarity t only if they share one of the first
+   n - ceil(t n) + 1 n-grams of each, in any one global order, so only those n-grams make
+   columns.  The order puts frequent n-grams last (frequencies of all n-grams of all
+   documents, in a sketch of fixed size), so passages that many documents share make few
+   columns.  In a column, classes with no other class of a fitting size go (size bounds).
+2. Blocks.  A class's home is its fullest column.  Classes that share a column either have
+   one home, or the class of the smaller home visits the larger one; each pair so meets in
+   one home, however many columns it shares.  A home's members and visitors are dealt to
+   blocks of bounded size, and every two of its blocks make a tile.
+3. Product.  A tile holds its rows' whole sets.  Overlaps are accumulated n-gram by n-gram:
+   n-grams of many rows by dense products of 0/1 matrices, the others pair by pair; pairs
+   below the bound that their sizes give are discarded.  A tile returns how many links each
+   class has and a star for each connected part (or, for ``links``, the pairs themselves),
+   so output is linear in a tile's rows.
+4. Components of the stars.
+
+A tile's rows are bounded, a home of any size spreads over tasks, and every link between
+different classes is found and counted once.
 
 Edge cases: null and empty texts, and texts without words, have the empty set and link
 with nothing; a null doc_id takes part, and a component's id is its least doc_id that
 is not null; repeated rows are copies; texts are taken whole; an empty table gives an
-empty result; other columns pass through ``keep_first`` unchanged.
+empty result; other columns pass through ``keep_first`` unchanged, whatever their names.
 """
 
 from __future__ import annotations
@@ -32,17 +39,22 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import discard, stored, table
+from .common import discard, stored, table, unused
 from .components import components
 
-NGRAM = 4
-PERCENT = 85
+NGRAM = 5
+PERCENT = 80
 SKETCH = 1 << 22
 CHUNKS = 64
 FILTER_BITS = 24
-#: Pairs left in the columns, as a multiple of all columns' rows at first, that are
-#: compared at once: a number of pairs that grows as the input does.
-REST = 1
+#: Rows, and n-grams of rows, in a block, about.
+BLOCK_ROWS = 1024
+BLOCK_ITEMS = 1_500_000
+#: A column is multiplied densely if that costs less than this times its pairs.
+DENSE = 150
+#: Columns in one dense step, and pairs in one sparse step.
+WIDE = 4096
+PAIRS = 4_000_000
 
 
 def shingles(docs: textvec.Docs, ngram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -84,24 +96,6 @@ def class_of(s: np.ndarray) -> int:
         return int(textvec.mix(x[:1] + x[1:]).view(np.int64)[0])
 
 
-def parity(s: np.ndarray) -> bytes:
-    """A bitmap of a set, of a power of two of bits, at least as many as items: each item
-    flips one.  Bits in which two bitmaps differ are at most the items that the sets do."""
-    bits = max(64, 1 << int(max(1, len(s)) - 1).bit_length())
-    odd = np.bincount((s >> np.uint64(20) & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").tobytes()
-
-
-def least_difference(x: bytes, y: bytes) -> int:
-    """A lower bound on the size of the symmetric difference, from two bitmaps."""
-    a, b = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-    while len(a) > len(b):
-        a = a[: len(a) // 2] ^ a[len(a) // 2 :]
-    while len(b) > len(a):
-        b = b[: len(b) // 2] ^ b[len(b) // 2 :]
-    return int(np.bitwise_count(a ^ b).sum())
-
-
 def _rows(docs: DataFrame, text: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
 
@@ -160,35 +154,47 @@ def frequency_levels(docs: DataFrame, ngram: int = NGRAM, text: str = "text") ->
 
 
 def profiles(docs: DataFrame, levels: np.ndarray, ngram: int = NGRAM, percent: int = PERCENT, text: str = "text") -> DataFrame:
-    """doc_id, text_hash, class, n (set size), bits (its parity bitmap), prefix (the
-    n-grams that bounds leave)."""
+    """doc_id, text_hash, class, n (set size), prefix (the n-grams that bounds leave; empty
+    where the task has already given that class's)."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)  # SKETCH bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        level = shared.value
+        level, seen = shared.value, set()
         for batch in batches:
             for step in textvec.steps(batch.column(2)):
                 own = sets(step, ngram)
-                n = np.array([len(s) for s in own], np.int64)
-                keep = n - (percent * n + 99) // 100 + 1
-                prefixes = []
-                for s, k in zip(own, np.where(n > 0, keep, 0).tolist(), strict=True):
+                names, prefixes = [class_of(s) for s in own], []
+                for s, name in zip(own, names, strict=True):
+                    if name in seen:
+                        prefixes.append(s[:0])
+                        continue
+                    seen.add(name)
+                    keep = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
                     far = level[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
                     order = np.lexsort((s, far)) if far.any() else slice(None)
-                    prefixes.append(s[order][:k])
+                    prefixes.append(s[order][:keep])
                 off = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])])
                 flat = np.concatenate([*prefixes, np.zeros(0, np.uint64)])
                 part = slice(step.row, step.row + len(step))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part], batch.column(1)[part], pa.array([class_of(s) for s in own], pa.int64()), pa.array(n), pa.array([parity(s) for s in own], pa.binary()), pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat.view(np.int64)))], ["doc_id", "text_hash", "class", "n", "bits", "prefix"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(0)[part],
+                        batch.column(1)[part],
+                        pa.array(names, pa.int64()),
+                        pa.array([len(s) for s in own], pa.int64()),
+                        pa.ListArray.from_arrays(pa.array(off, pa.int32()), pa.array(flat.view(np.int64))),
+                    ],
+                    ["doc_id", "text_hash", "class", "n", "prefix"],
+                )
 
-    return _rows(docs, text).mapInArrow(run, "doc_id bigint, text_hash bigint, class bigint, n bigint, bits binary, prefix array<bigint>")
+    return _rows(docs, text).mapInArrow(run, "doc_id bigint, text_hash bigint, class bigint, n bigint, prefix array<bigint>")
 
 
 def class_sets(docs: DataFrame, wanted: DataFrame, ngram: int = NGRAM, text: str = "text") -> DataFrame:
     """class, items: the whole set of each wanted class (class, text_hash of one of its rows).
 
     A bitmap of the wanted hashes, of fixed size, lets other texts be skipped where they
-    are read; what passes it by chance is dropped by the join.
+    are read; what passes it by chance is dropped by the join that follows.
     """
     place = F.pmod("text_hash", F.lit(1 << FILTER_BITS))
     marks = wanted.groupBy(F.shiftright(place, 5).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(text_hash, {1 << FILTER_BITS}) & 31 as int))")).alias("m"))
@@ -198,131 +204,255 @@ def class_sets(docs: DataFrame, wanted: DataFrame, ngram: int = NGRAM, text: str
     shared = docs.sparkSession.sparkContext.broadcast(bitmap)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
-            p = batch.column(0).to_numpy() & ((1 << FILTER_BITS) - 1)
-            take = np.flatnonzero(shared.value[p >> 5] >> (p & 31).astype(np.uint32) & 1)
-            if not len(take):
+            p = batch.column(0).to_numpy()
+            bit = p & ((1 << FILTER_BITS) - 1)
+            take = []
+            for i in np.flatnonzero(shared.value[bit >> 5] >> (bit & 31).astype(np.uint32) & 1).tolist():
+                if (name := int(p[i])) not in seen:
+                    seen.add(name)
+                    take.append(i)
+            if not take:
                 continue
             for step in textvec.steps(batch.column(1).take(pa.array(take))):
                 own = sets(step, ngram)
                 yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["class", "items"])
 
-    found = _rows(docs, text).select("text_hash", "text").mapInArrow(run, "class bigint, items binary")
-    return found.join(wanted.select("class"), "class", "left_semi").dropDuplicates(["class"])
-
+    return _rows(docs, text).select("text_hash", "text").mapInArrow(run, "class bigint, items binary")
+
+
+def columns(profile: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """gram, class, n, m (rows of the column): columns without classes that no other fits."""
+    rows = profile.where("n > 0").select(F.explode("prefix").alias("gram"), "class", "n")
+    rows = rows.repartition("gram").dropDuplicates(["gram", "class"])
+    by_size = Window.partitionBy("gram").orderBy("n", "class")
+    rows = rows.withColumns({"smaller": F.lag("n").over(by_size), "larger": F.lead("n").over(by_size)})
+    fits = (100 * F.col("smaller") >= percent * F.col("n")) | (100 * F.col("n") >= percent * F.col("larger"))
+    return rows.where(fits).select("gram", "class", "n", F.count(F.lit(1)).over(Window.partitionBy("gram")).alias("m"))
+
+
+def meetings(shared: DataFrame) -> DataFrame:
+    """class, tiles: the tiles (home, x, y, whether on the second side) that each class goes to."""
+    homes = shared.groupBy("class").agg(F.max(F.struct("m", "gram")).alias("h"), F.max("n").alias("n"))
+    homes = stored(homes.select("class", "n", F.col("h.gram").alias("home")), "homes")
+    blocks = lambda rows, items: F.ceil(F.greatest(rows / BLOCK_ROWS, items / BLOCK_ITEMS))
+    size = homes.groupBy("home").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("items"))
+    # a row for each home in a column that has more than one, then its classes' visits
+    at = shared.select("gram", "class", "n").join(homes.select("class", "home"), "class")
+    mixed = at.groupBy("gram").agg(F.min("home").alias("a"), F.max("home").alias("b")).where("a != b").select("gram")
+    at = stored(at.join(mixed, "gram", "left_semi").join(size.select("home", "size"), "home"), "mixed-columns")
+    hosts = at.select("gram", F.col("home").alias("host"), F.struct("size", "home").alias("place")).distinct()
+    visits = at.join(hosts, "gram").where(F.struct("size", "home") < F.col("place"))
+    visits = stored(visits.select(F.col("host").alias("home"), "class", "n").distinct(), "visits")
+    guests = visits.groupBy("home").agg(F.count(F.lit(1)).alias("guests"), F.sum("n").alias("guest_items"))
+    plan = size.join(guests, "home", "left").select(
+        "home",
+        blocks(F.col("size"), F.col("items")).cast("int").alias("own"),
+        F.coalesce(blocks(F.col("guests"), F.col("guest_items")), F.lit(0)).cast("int").alias("more"),
+    )
+    tile = lambda x, y, side: F.struct(F.col("home"), x.alias("x"), y.alias("y"), F.lit(side).alias("side"))
+    block = lambda n: F.pmod(F.xxhash64("class", F.lit(7)), n).cast("int")
+    # one block of members and one of guests: the guests come to the members' own tile
+    width = F.when((F.col("own") == 1) & (F.col("more") <= 1), F.lit(1)).otherwise(F.col("own") + F.col("more"))
+    mine = homes.join(plan, "home").withColumn("b", block(F.col("own")))
+    first = F.transform(F.sequence(F.col("b"), width - 1), lambda y: tile(F.col("b"), y, False))
+    second = F.when(F.col("b") > 0, F.transform(F.sequence(F.lit(0), F.col("b") - 1), lambda x: tile(x, F.col("b"), True)))
+    mine = mine.select("class", F.concat(first, F.coalesce(second, F.array().cast("array<struct<home:bigint,x:int,y:int,side:boolean>>"))).alias("tiles"))
+    theirs = visits.join(plan, "home").withColumn("b", F.when(width == 1, F.lit(0)).otherwise(F.col("own") + block(F.col("more"))))
+    theirs = theirs.select("class", F.transform(F.sequence(F.lit(0), F.col("own") - 1), lambda x: tile(x, F.col("b"), True)).alias("tiles"))
+    return mine.union(theirs).groupBy("class").agg(F.flatten(F.collect_list("tiles")).alias("tiles"))
+
+
+def overlaps(x: list[np.ndarray], y: list[np.ndarray] | None = None) -> np.ndarray:
+    """Overlap of each set of ``x`` with each of ``y`` (or of ``x``), column by column."""
+    left, right = len(x), len(x if y is None else y)
+    both = x if y is None else [*x, *y]
+    row = np.repeat(np.arange(len(both)), [len(s) for s in both])
+    values = np.concatenate([*both, np.zeros(0, np.uint64)])
+    order = np.argsort(values, kind="stable")  # rows ascend within a column
+    values, row = values[order], row[order]
+    out = np.zeros((left, right), np.float32)
+    if not len(values):
+        return out
+    begin = np.flatnonzero(np.concatenate([[True], values[1:] != values[:-1]]))
+    end = np.append(begin[1:], len(values))
+    if y is None:
+        x0, x1, y0, y1, shift = begin, end, begin, end, 0
+        take = end - begin > 1
+    else:
+        middle = begin + np.add.reduceat((row < left).astype(np.int64), begin)
+        x0, x1, y0, y1, shift = begin, middle, middle, end, left
+        take = (middle > begin) & (end > middle)
+    x0, x1, y0, y1 = x0[take], x1[take], y0[take], y1[take]
+    pairs = (x1 - x0) * (y1 - y0)
+    heavy = pairs * DENSE > left * right
+    dense, sparse = np.flatnonzero(heavy), np.flatnonzero(~heavy)
+
+    def entries(first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n = last - first
+        return np.repeat(np.arange(len(n)), n), np.repeat(first - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
+
+    for i in range(0, len(dense), WIDE):
+        c = dense[i : i + WIDE]
+        col, at = entries(x0[c], x1[c])
+        a = np.zeros((left, len(c)), np.float32)
+        a[row[at], col] = 1
+        if y is None:
+            b = a
+        else:
+            b = np.zeros((right, len(c)), np.float32)
+            col, at = entries(y0[c], y1[c])
+            b[row[at] - shift, col] = 1
+        out += a @ b.T
+    step = np.concatenate([[0], np.cumsum(pairs[sparse])])
+    i = 0
+    while i < len(sparse):
+        j = max(i + 1, int(np.searchsorted(step, step[i] + PAIRS, "right")) - 1)
+        c = sparse[i:j]
+        col, at = entries(x0[c], x1[c])
+        wide = (y1 - y0)[c][col]
+        one = np.repeat(row[at], wide)
+        two = np.repeat(y0[c][col] - np.concatenate([[0], np.cumsum(wide)[:-1]]), wide) + np.arange(len(one))
+        out += np.bincount(one * right + (row[two] - shift), minlength=left * right).reshape(left, right)
+        i = j
+    return out
 
-def possible(pairs: DataFrame, bits: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b, na, nb) whose bitmaps do not rule the similarity out."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keep = []
-            for i, (na, nb, x, y) in enumerate(zip(*(batch.column(k).to_pylist() for k in range(2, 6)), strict=True)):
-                # 100 n >= percent (na + nb - n) for the overlap n = (na + nb - difference) / 2
-                most = (na + nb - least_difference(x, y)) // 2
-                if 100 * most >= percent * (na + nb - most):
-                    keep.append(i)
-            if keep:
-                yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(keep)) for k in (0, 1)], ["a", "b"])
+def linked(over: np.ndarray, nx: np.ndarray, ny: np.ndarray, percent: int) -> np.ndarray:
+    return (over > 0) & (100 * over.astype(np.int64) >= percent * (nx[:, None] + ny[None, :] - over.astype(np.int64)))
+
+
+def stars(near: np.ndarray) -> list[tuple[int, int]]:
+    """(centre, node) for each node of each connected part of a symmetric link matrix."""
+    out, left = [], near.any(axis=1)
+    while left.any():
+        centre = int(np.argmax(left))
+        part = np.zeros(len(near), bool)
+        part[centre] = True
+        edge = np.array([centre])
+        while len(edge):
+            found = near[edge].any(axis=0) & ~part
+            part |= found
+            edge = np.flatnonzero(found)
+        left &= ~part
+        out += [(centre, i) for i in np.flatnonzero(part).tolist() if i != centre]
+    return out
 
-    y = bits.select(F.col("class").alias("b"), F.col("bits").alias("y"))
-    x = bits.select(F.col("class").alias("a"), F.col("bits").alias("x"))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "na", "nb", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
+def tile_links(rows: list[tuple], same: bool, percent: int, pairs: bool) -> tuple[list, list, list]:
+    """What a tile of (class, set, side) rows returns: a, b, n.
 
-def verified(pairs: DataFrame, own: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """The pairs (a, b) of classes whose whole sets reach the similarity."""
+    With ``pairs`` the linked classes and their overlap; else a class, null and its number
+    of links, and a class, another of its connected part and null.
+    """
+    rows = sorted(rows, key=lambda r: r[2])
+    cut = sum(not r[2] for r in rows)
+    names, own = [r[0] for r in rows], [r[1] for r in rows]
+    n = np.array([len(s) for s in own], np.int64)
+    near = np.zeros((len(rows), len(rows)), bool)
+    blocks = []
+    if same and cut > 1:
+        over = overlaps(own[:cut])
+        near[:cut, :cut] = linked(over, n[:cut], n[:cut], percent)
+        np.fill_diagonal(near, False)
+        blocks.append((0, over))
+    if cut and len(rows) > cut:
+        over = overlaps(own[:cut], own[cut:])
+        near[:cut, cut:] = linked(over, n[:cut], n[cut:], percent)
+        near[cut:, :cut] = near[:cut, cut:].T
+        blocks.append((cut, over))
+    a, b, value = [], [], []
+    if pairs:
+        for at, over in blocks:
+            for i, j in zip(*np.nonzero(near[:cut, at : at + over.shape[1]]), strict=True):
+                if at or i < j:
+                    low, high = sorted((names[i], names[at + j]))
+                    a.append(low), b.append(high), value.append(int(over[i, j]))
+        return a, b, value
+    degree = near.sum(axis=1)
+    for i in np.flatnonzero(degree).tolist():
+        a.append(names[i]), b.append(None), value.append(int(degree[i]))
+    for i, j in stars(near):
+        a.append(names[i]), b.append(names[j]), value.append(None)
+    return a, b, value
+
+
+def products(docs: DataFrame, profile: DataFrame, ngram: int, percent: int, text: str, pairs: bool) -> DataFrame:
+    """a, b, n: what ``tile_links`` returns for every tile."""
+    shared = stored(columns(profile, percent), "columns")
+    tiles = stored(meetings(shared), "tiles")
+    names = profile.where("n > 0").groupBy("class").agg(F.min("text_hash").alias("text_hash"))
+    wanted = names.join(tiles.select("class"), "class", "left_semi")
+    own = class_sets(docs, wanted, ngram, text).join(tiles, "class").dropDuplicates(["class"])
+    placed = own.select("class", "items", F.explode("tiles").alias("t")).select("t.home", "t.x", "t.y", "t.side", "class", "items")
+    placed = placed.repartition("home", "x", "y").sortWithinPartitions("home", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, rows = None, []
+        out: tuple[list, list, list] = ([], [], [])
+
+        def close() -> None:
+            if len(rows) > 1:
+                for to, more in zip(out, tile_links(rows, now[1] == now[2], percent, pairs), strict=True):
+                    to.extend(more)
+
+        def flush() -> pa.RecordBatch:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in out], ["a", "b", "n"])
+            for c in out:
+                c.clear()
+            return batch
+
         for batch in batches:
-            keep = []
-            for i in range(batch.num_rows):
-                x = np.frombuffer(batch.column(2)[i].as_buffer(), np.uint64)
-                y = np.frombuffer(batch.column(3)[i].as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort(kind="stable")
-                n = int((both[1:] == both[:-1]).sum())
-                if 100 * n >= percent * (len(x) + len(y) - n):
-                    keep.append(i)
-            if keep:
-                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(keep)), batch.column(1).take(pa.array(keep))], ["a", "b"])
-
-    y = own.select(F.col("class").alias("b"), F.col("items").alias("y"))
-    x = own.select(F.col("class").alias("a"), F.col("items").alias("x"))
-    return pairs.join(y, "b").join(x, "a").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
-
-
-def class_links(docs: DataFrame, profile: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, text: str = "text") -> DataFrame | None:
-    """class, label: components of classes; None if no two classes share a column."""
-    rows = profile.where("n > 0").select(F.explode("prefix").alias("gram"), "class", "n", F.size("prefix").alias("k"))
-    column = Window.partitionBy("gram")
-    seen = rows.repartition("gram").dropDuplicates(["gram", "class"]).withColumn("m", F.count(F.lit(1)).over(column)).where("m > 1")
-    shared = stored(seen.select("gram", "class", "n", "k"), "columns")
-    if not shared.head(1):
-        return None
-    # the share of a class's columns that others have too: highest in the middle of a group
-    weight = shared.groupBy("class").agg((F.count(F.lit(1)) / F.max("k")).alias("weight"))
-    names = profile.where("n > 0").groupBy("class").agg(F.min("text_hash").alias("text_hash"))
-    names = stored(weight.join(names, "class"), "classes")
-    bits = stored(profile.where("n > 0").select("class", "bits").join(names.select("class"), "class", "left_semi").dropDuplicates(["class"]), "bitmaps")
-    columns = stored(shared.join(names.select("class", "weight"), "class").select("gram", "class", "n", "weight"), "columns")
-    discard(docs.sparkSession, shared)
-    most = REST * columns.count()
-    own: DataFrame | None = None
-    fits = lambda p, q: 100 * F.least(p, q) >= percent * F.greatest(p, q)
-    links = labels = None
-    while True:
-        if labels is None:
-            now = columns.withColumn("label", F.col("class"))
-        else:
-            now = columns.join(labels.select(F.col("node").alias("class"), "label"), "class", "left").withColumn("label", F.coalesce("label", "class"))
-        now = now.withColumns({"low": F.min("label").over(column), "high": F.max("label").over(column), "m": F.count(F.lit(1)).over(column), "p": F.max(F.struct("weight", "class", "n", "label")).over(column)}).where("low != high")
-        now = stored(now.drop("low", "high"), "columns")
-        row = now.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.col("m") - 1).alias("twice")).first()
-        if not row["rows"]:
-            break
-        last = row["twice"] / 2 <= most
-        if last:
-            x = now.select("gram", F.col("class").alias("a"), F.col("n").alias("na"), F.col("label").alias("la"))
-            y = now.select("gram", F.col("class").alias("b"), F.col("n").alias("nb"), F.col("label").alias("lb"))
-            pairs = x.join(y, "gram").where(F.col("a") < F.col("b")).where("la != lb").where(fits(F.col("na"), F.col("nb"))).select("a", "b", "na", "nb")
-        else:
-            pairs = now.where(F.col("label") != F.col("p.label")).where(fits(F.col("n"), F.col("p.n"))).select(F.col("p.class").alias("a"), F.col("class").alias("b"), F.col("p.n").alias("na"), F.col("n").alias("nb"))
-        pairs = stored(possible(pairs.distinct(), bits, percent), "pairs")
-        need = names.join(pairs.select(F.col("a").alias("class")).union(pairs.select(F.col("b").alias("class"))).distinct(), "class", "left_semi")
-        if own is not None:
-            need = need.join(own.select("class"), "class", "left_anti")
-        more = stored(class_sets(docs, stored(need.select("class", "text_hash"), "needed"), ngram, text), "sets")
-        own = more if own is None else own.union(more)
-        found = stored(verified(pairs, own, percent), "links")
-        links = found if links is None else links.union(found)
-        labels = stored(components(links), "labels")
-        if last:
-            break
-        columns = now.where(F.col("class") != F.col("p.class")).select("gram", "class", "n", "weight")
-    if labels is None:
-        return None
-    return labels.select(F.col("node").alias("class"), "label")
+            keys = zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)
+            for (home, x, y, side, name), items in zip(keys, batch.column(5), strict=True):
+                if (home, x, y) != now:
+                    close()
+                    now, rows = (home, x, y), []
+                    if len(out[0]) > 50_000:
+                        yield flush()
+                rows.append((name, np.frombuffer(items.as_py(), np.uint64), side))
+        close()
+        if out[0]:
+            yield flush()
+
+    found = placed.mapInArrow(run, "a bigint, b bigint, n bigint")
+    return found if pairs else stored(found, "links")
+
+
+def links(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, text: str = "text") -> DataFrame:
+    """a, b, overlap: every two linked classes and the size of their intersection.
+
+    ``near_duplicates`` gives the members of each class.  There are as many rows as links,
+    which may be many for a large group of near copies; the other functions only count them.
+    """
+    profile = stored(profiles(docs, frequency_levels(docs, ngram, text), ngram, percent, text), "profiles")
+    return products(docs, profile, ngram, percent, text, True).withColumnRenamed("n", "overlap")
 
 
 def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, text: str = "text") -> DataFrame:
-    """doc_id, text_hash, group, n_shingles, component_id for every row of ``docs``.
+    """doc_id, text_hash, class, group, n_shingles, n_links, class_id, component_id for every row.
 
-    ``group`` names the component (null for the empty set), also where no doc_id does.
+    ``class`` names the set and ``group`` the component (null for the empty set), also where
+    no doc_id does; ``class_id`` and ``component_id`` are their least doc_ids; ``n_links``
+    is the number of other classes that the row's class links with.
     """
-    levels = frequency_levels(docs, ngram, text)
-    profile = stored(profiles(docs, levels, ngram, percent, text), "profiles")
-    labels = class_links(docs, profile, ngram, percent, text)
-    classes = profile.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("least"))
-    if labels is not None:
-        classes = classes.join(labels, "class", "left").withColumn("label", F.coalesce("label", "class"))
-        whole = classes.groupBy("label").agg(F.min("least").alias("component"))
-        classes = classes.join(whole, "label")
-    else:
-        classes = classes.withColumns({"component": F.col("least"), "label": F.col("class")})
-    classes = classes.select("class", "component", F.col("label").alias("group"))
+    profile = stored(profiles(docs, frequency_levels(docs, ngram, text), ngram, percent, text), "profiles")
+    found = products(docs, profile, ngram, percent, text, False)
+    degree = found.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n_links"))
+    labels = components(found.where("b is not null")).withColumnRenamed("node", "class")
+    classes = profile.where("n > 0").groupBy("class").agg(F.min("doc_id").alias("class_id"))
+    classes = classes.join(labels.join(degree, "class", "left"), "class", "left").withColumn("label", F.coalesce("label", "class"))
+    classes = stored(classes, "classes")
+    # only classes in a component with others need its least doc_id
+    whole = classes.where("n_links is not null").groupBy("label").agg(F.min("class_id").alias("component"))
+    classes = classes.join(whole, "label", "left").select(
+        "class", F.col("label").alias("group"), "class_id", F.coalesce("n_links", F.lit(0)).alias("n_links"), F.when(F.col("n_links").isNull(), F.col("class_id")).otherwise(F.col("component")).alias("component_id")
+    )
     out = profile.select("doc_id", "text_hash", "class", "n").join(classes, "class", "left")
-    return out.select("doc_id", "text_hash", "group", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"))
+    alone = lambda c: F.when(F.col("n") > 0, F.col(c)).otherwise(F.col("doc_id")).alias(c)
+    name = F.when(F.col("n") > 0, F.col("class")).alias("class")
+    return out.select("doc_id", "text_hash", name, "group", F.col("n").alias("n_shingles"), F.coalesce("n_links", F.lit(0)).alias("n_links"), alone("class_id"), alone("component_id"))
 
 
 def keep_first(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> DataFrame:
@@ -330,22 +460,26 @@ def keep_first(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT) -> D
 
     Rows of the empty set all stay.
     """
-    found = stored(near_duplicates(docs, ngram, percent).where("group is not null"), "near-duplicates")
+    found = stored(near_duplicates(docs, ngram, percent).where("group is not null").select("doc_id", "text_hash", "group"), "near-duplicates")
     place = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "text_hash")
     first = found.groupBy("group").agg(F.min(place).alias("f"), F.count(F.lit(1)).alias("rows")).where("rows > 1")
-    rest = found.join(first, "group").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), ((F.col("f.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("f.text_hash") == F.col("text_hash"))).alias("_stays"))
-    on = docs["doc_id"].cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash"))
-    left = docs.join(rest.where("not _stays").select("_id", "_hash").distinct(), on, "left_anti")
-    again = rest.where("_stays").groupBy("_id", "_hash").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    key, mark, hashed = unused(docs, "id", "hash", "text_hash")
+    stays = (F.col("f.doc_id").eqNullSafe(F.col("doc_id"))) & (F.col("f.text_hash") == F.col("text_hash"))
+    rest = found.join(first, "group").select(F.col("doc_id").alias(key), F.col("text_hash").alias(mark), stays.alias("stays"))
+    goes = rest.where("not stays").select(key, mark).distinct()
+    again = rest.where("stays").groupBy(key, mark).agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    docs = docs.withColumn(hashed, F.xxhash64("text"))
+    on = F.col("doc_id").cast("bigint").eqNullSafe(F.col(key)) & (F.col(hashed) == F.col(mark))
+    left = docs.join(goes, on, "left_anti")
     if again.head(1):  # rows repeated with their doc_id: one of each
-        on = left["doc_id"].cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(left["text"]) == F.col("_hash"))
-        once = left.join(again, on, "left_semi").withColumn("_t", F.xxhash64("text")).dropDuplicates(["doc_id", "_t"]).drop("_t")
+        once = left.join(again, on, "left_semi").dropDuplicates(["doc_id", hashed])
         left = left.join(again, on, "left_anti").unionByName(once)
-    return left
+    return left.drop(hashed)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+    found = near_duplicates(table(spark, sf_dir, "documents"), ngram=4, percent=85)
+    return found.select("doc_id", "n_shingles", "component_id", "class_id", "n_links")
 
 
 ORACLE = """
@@ -353,11 +487,13 @@ WITH RECURSIVE w AS (SELECT doc_id, list_filter(regexp_split_to_array(regexp_rep
     translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+', ' ', 'g'), ' '), lambda x: x <> '') AS ws FROM documents),
 s AS (SELECT doc_id, list_distinct(CASE WHEN len(ws) = 0 THEN []::VARCHAR[] WHEN len(ws) < 4 THEN [array_to_string(ws, ' ')]
     ELSE list_transform(range(1, len(ws) - 2), lambda i: array_to_string(ws[i:i + 3], ' ')) END) AS ss FROM w),
+k AS (SELECT doc_id, CASE WHEN len(ss) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY list_sort(ss)) END AS c FROM s),
 e AS (SELECT doc_id, len(ss) AS n, unnest(ss) AS g FROM s),
 pairs AS (SELECT a.doc_id AS a, b.doc_id AS b FROM e a JOIN e b ON a.g = b.g AND a.doc_id < b.doc_id
   WHERE 100 * least(a.n, b.n) >= 85 * greatest(a.n, b.n)
   GROUP BY a.doc_id, b.doc_id, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
 links AS (SELECT a, b FROM pairs UNION ALL SELECT b, a FROM pairs),
+degree AS (SELECT a AS doc_id, count(DISTINCT y.c) AS n_links FROM links JOIN k x ON x.doc_id = a JOIN k y ON y.doc_id = b WHERE x.c <> y.c GROUP BY a),
 reach(doc_id, r) AS (SELECT doc_id, doc_id FROM s UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r)
-SELECT s.doc_id, len(ss)::BIGINT AS n_shingles, m.component_id FROM s
+SELECT s.doc_id, len(ss)::BIGINT AS n_shingles, m.component_id, k.c AS class_id, coalesce(n_links, 0)::BIGINT AS n_links FROM s JOIN k USING (doc_id) LEFT JOIN degree USING (doc_id)
 JOIN (SELECT doc_id, min(r) AS component_id FROM reach GROUP BY doc_id) m USING (doc_id)"""

@@ -39,56 +39,120 @@ def corpus():
     return [(i * 3 % 1000 + i // 1000, t) for i, t in enumerate(rows)]
 
 
-def brute_components(rows, percent=85):
+def brute_sets(rows, ngram):
     sets = []
     for _, t in rows:
         w = re.findall(r"[^\x20\x09-\x0D]+", "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or ""))
-        sets.append({tuple(w[i : i + 4]) for i in range(max(1, len(w) - 3))} if w else set())
-    label = list(range(len(rows)))
-
-    def find(i):
-        while label[i] != i:
-            i = label[i]
-        return i
-
-    for i in range(len(rows)):
-        for j in range(i):
-            n = len(sets[i] & sets[j])
-            if n and 100 * n >= percent * len(sets[i] | sets[j]):
-                label[find(i)] = find(j)
-    groups = {}
-    for i in range(len(rows)):
-        groups.setdefault(find(i), []).append(rows[i][0])
-    return [(len(s), rows[i][0] if not s else min((d for d in groups[find(i)] if d is not None), default=None)) for i, s in enumerate(sets)]
-
-
-@pytest.mark.parametrize("rest", [neardup.REST, 0])
-def test_near_duplicates(spark, monkeypatch, rest):
-    monkeypatch.setattr(neardup, "REST", rest)  # 0: pivots only, until nothing is left
+        sets.append(frozenset(tuple(w[i : i + ngram]) for i in range(max(1, len(w) - ngram + 1))) if w else frozenset())
+    return sets
+
+
+def brute_links(rows, ngram=4, percent=85):
+    """Overlaps of linked different sets."""
+    sets = sorted(set(brute_sets(rows, ngram)), key=sorted)
+    found = {}
+    for i, x in enumerate(sets):
+        for y in sets[:i]:
+            n = len(x & y)
+            if n and 100 * n >= percent * len(x | y):
+                found[frozenset([x, y])] = n
+    return found
+
+
+def brute_components(rows, ngram=4, percent=85):
+    """n_shingles, component_id, class_id, n_links of each row."""
+    sets, pairs = brute_sets(rows, ngram), brute_links(rows, ngram, percent)
+    label = {s: s for s in sets}
+
+    def find(s):
+        while label[s] is not s:
+            s = label[s]
+        return s
+
+    for x, y in map(tuple, pairs):
+        label[find(x)] = find(y)
+    least = lambda ids: min((d for d in ids if d is not None), default=None)
+    ids, own = {}, {}
+    for (d, _), s in zip(rows, sets, strict=True):
+        ids.setdefault(find(s), []).append(d)
+        own.setdefault(s, []).append(d)
+    degree = {s: sum(s in p for p in pairs) for s in set(sets)}
+    return [(len(s), least(ids[find(s)]), least(own[s]), degree[s]) if s else (0, d, d, 0) for (d, _), s in zip(rows, sets, strict=True)]
+
+
+COLUMNS = ("doc_id", "n_shingles", "component_id", "class_id", "n_links")
+
+
+@pytest.mark.parametrize(("ngram", "percent", "rows_a_block", "dense"), [(4, 85, neardup.BLOCK_ROWS, neardup.DENSE), (4, 85, 2, 0), (5, 80, 3, 10**9)])
+def test_near_duplicates(spark, monkeypatch, ngram, percent, rows_a_block, dense):
+    monkeypatch.setattr(neardup, "BLOCK_ROWS", rows_a_block)  # homes of many tiles
+    monkeypatch.setattr(neardup, "DENSE", dense)
     rows = corpus()
     rows.append(rows[0])
-    got = neardup.near_duplicates(frame(spark, rows)).select("doc_id", "n_shingles", "component_id").collect()
-    want = brute_components(rows)
-    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == sorted((d, *w) for (d, _), w in zip(rows, want, strict=True))
-    kept = [r.doc_id for r in neardup.keep_first(frame(spark, rows)).collect()]
+    got = neardup.near_duplicates(frame(spark, rows), ngram, percent).collect()
+    want = brute_components(rows, ngram, percent)
+    assert sorted(tuple(r[c] for c in COLUMNS) for r in got) == sorted((d, *w) for (d, _), w in zip(rows, want, strict=True))
+    kept = [r.doc_id for r in neardup.keep_first(frame(spark, rows), ngram, percent).collect()]
     assert sorted(kept) == sorted({w[1] for w in want if w[0]} | {d for (d, _), w in zip(rows, want, strict=True) if not w[0]})
 
 
+def test_links_between_classes(spark):
+    rows = corpus()
+    got = neardup.links(frame(spark, rows), 4, 85).collect()
+    assert sorted(r.overlap for r in got) == sorted(brute_links(rows).values())
+    assert len({(r.a, r.b) for r in got}) == len(got) and all(r.a < r.b for r in got)
+
+
+def test_one_ngram_in_thousands(spark):
+    """A passage that all documents share, and a large group of near copies of one text."""
+    rng = random.Random(11)
+    word = lambda: f"w{rng.randrange(10**6)}"
+    passage = " ".join(word() for _ in range(12))
+    rows = [(i, " ".join(word() for _ in range(rng.randint(6, 14))) + " " + passage) for i in range(5000)]
+    base = [word() for _ in range(150)]
+    for i in range(400):
+        words = list(base)
+        words[rng.randrange(150)] = word()
+        rows.append((5000 + i, " ".join(words)))
+    got = {r.doc_id: r for r in neardup.near_duplicates(frame(spark, rows), 4, 85).collect()}
+    assert all(got[i].component_id == i and got[i].n_links == 0 for i in range(5000))
+    assert {got[i].component_id for i in range(5000, 5400)} == {5000}
+    near = [(5000 + i, t) for i, (_, t) in enumerate(rows[5000:])]
+    for (d, _), w in list(zip(near, brute_components(near), strict=True)):
+        assert (got[d].n_shingles, got[d].component_id, got[d].class_id, got[d].n_links) == w
+
+
 def test_near_duplicates_nulls_and_empty(spark):
     rows = [(None, "a b c d e"), (None, "a b c d e"), (7, "a b c d e"), (None, None), (7, "a b c d e")]
     got = neardup.near_duplicates(frame(spark, rows)).collect()
-    assert sorted((r.n_shingles, r.component_id or -1) for r in got) == [(0, -1), (2, 7), (2, 7), (2, 7), (2, 7)]
+    assert sorted((r.n_shingles, r.component_id or -1) for r in got) == [(0, -1), (1, 7), (1, 7), (1, 7), (1, 7)]
     assert sorted((r.doc_id is None, r.text) for r in neardup.keep_first(frame(spark, rows)).select("doc_id", F.coalesce("text", F.lit("")).alias("text")).collect()) == [(False, "a b c d e"), (True, "")]
     assert neardup.near_duplicates(frame(spark, [])).count() == 0
     assert neardup.keep_first(frame(spark, [])).columns == [c.split()[0] for c in DOCS.split(", ")]
 
 
-def test_parity_bound():
+def test_overlaps(monkeypatch):
     rng = np.random.default_rng(0)
-    for n, m, same in ((100, 90, 80), (1000, 1100, 950), (3, 500, 2)):
-        x = rng.integers(0, 2**63, n, dtype=np.uint64)
-        y = np.concatenate([x[:same], rng.integers(0, 2**63, m - same, dtype=np.uint64)])
-        assert neardup.least_difference(neardup.parity(x), neardup.parity(y)) <= n + m - 2 * same
+    pool = rng.integers(0, 2**63, 60, dtype=np.uint64)
+    draw = lambda k: [np.sort(rng.choice(pool, rng.integers(0, 40), replace=False)) for _ in range(k)]
+    for dense, pairs in ((0, 4_000_000), (10**9, 7), (150, 50)):
+        monkeypatch.setattr(neardup, "DENSE", dense)
+        monkeypatch.setattr(neardup, "PAIRS", pairs)
+        monkeypatch.setattr(neardup, "WIDE", 5)
+        x, y = draw(9), draw(6)
+        want = lambda p, q: [[len(np.intersect1d(s, t)) for t in q] for s in p]
+        assert neardup.overlaps(x, y).tolist() == want(x, y)
+        own = neardup.overlaps(x)
+        assert all(own[i, j] == want(x, x)[i][j] for i in range(9) for j in range(9) if i != j)
+
+
+def test_keep_first_whatever_the_columns(spark):
+    rows = [(1, "a b c d e f"), (2, "a b c d e f"), (None, "x y"), (3, None)]
+    names = ["_id", "_hash", "_text_hash", "group", "class", "stays", "n"]
+    docs = spark.createDataFrame([(i, t, *names) for i, t in rows], "doc_id bigint, text string, " + ", ".join(f"{c} string" for c in names))
+    got = neardup.keep_first(docs)
+    assert got.columns == docs.columns
+    assert sorted((r.doc_id or 0, *(r[c] for c in names)) for r in got.collect()) == [(i, *names) for i in (0, 1, 3)]
 
 
 def test_components_of_a_long_chain(spark):
