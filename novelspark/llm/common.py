@@ -59,6 +59,16 @@ def unused(df: DataFrame, *wanted: str) -> list[str]:
     return out
 
 
+def without(docs: DataFrame, rows: DataFrame, text: str = "text") -> DataFrame:
+    """``docs`` without the (doc_id, text_hash) of ``rows``, all columns kept, whatever their names."""
+    key, mark = unused(docs, "id", "hash")
+    rows = stored(rows.select(F.col("doc_id").alias(key), F.col("text_hash").alias(mark)), "left-out")
+    if small(rows):
+        rows = F.broadcast(rows)
+    same = F.col("doc_id").cast("bigint").eqNullSafe(F.col(key)) & (F.xxhash64(text) == F.col(mark))
+    return docs.join(rows, same, "left_anti")
+
+
 def uniform(*parts: Column | str) -> Column:
     """A draw in (0, 1) from the MD5 of the parts joined by '|'; 52 bits, never 0 or 1."""
     text = F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(p) for p in parts])

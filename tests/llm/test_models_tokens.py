@@ -1,6 +1,8 @@
 """Toxicity, quality, token counts, token files, chat, mixing, sharding and the pipeline."""
 
 import json
+import math
+import re
 import zlib
 from collections import Counter
 
@@ -107,17 +109,106 @@ def test_held_out_accuracy(spark, module, column, least):
     assert (rows["predicted"] == rows[column]).mean() > 0.9
 
 
-def test_block_max_search_is_exact():
+@pytest.mark.parametrize("frequent", [0.0, 0.05, 1.0])
+def test_block_max_search_is_exact(monkeypatch, frequent):
+    monkeypatch.setattr(toxicity, "BLOCK", 16)
+    monkeypatch.setattr(toxicity, "FREQUENT", frequent)
     rng = np.random.default_rng(1)
     dense = rng.random((300, 40)) * (rng.random((300, 40)) < 0.1)
     dense /= np.maximum(np.linalg.norm(dense, axis=1), 1e-12)[:, None]
     rows, terms = np.nonzero(dense)
-    index = toxicity.Index(40, np.searchsorted(rows, np.arange(301)), terms, dense[rows, terms], np.arange(300), np.zeros(300), np.ones(300))
-    for q in dense[:50]:
-        t = np.flatnonzero(q)
-        _, got = index.nearest(t, q[t], 5)
-        want = np.sort(dense @ q)[::-1][:5]
-        assert np.allclose(got, want[want > 0][: len(got)]) and len(got) == (want > 0).sum()
+    first = np.searchsorted(rows, np.arange(301))
+    index = toxicity.Index.of(40, first, terms, dense[rows, terms], np.arange(300), rng.integers(0, 2, 300), np.ones(300))
+    for leave in (None, np.argsort(index.names)):
+        got_rows, got = index.nearest(first, terms, dense[rows, terms], 5, leave)
+        cosines = dense @ dense.T
+        if leave is not None:
+            np.fill_diagonal(cosines, 0)
+        assert np.allclose(got, np.sort(cosines, axis=1)[:, ::-1][:, :5], atol=2e-9)
+        assert np.allclose(cosines[np.arange(300)[:, None], index.names[got_rows]][got > 0], got[got > 0], atol=2e-9)
+
+
+def brute_toxicity(docs, labels):
+    """Scores and neighbours of every text by the definition, with plain dictionaries."""
+    word = re.compile(rb"[0-9a-z\x80-\xff]+")
+    low = lambda t: bytes(c + 32 if 65 <= c <= 90 else c for c in (t or "").encode())
+
+    def counts(t):
+        words = word.findall(low(t))
+        return Counter([(1, w) for w in words] + [(2, w[:n]) for w in words for n in (3, 4, 5, 6, 7) if len(w) >= n])
+
+    own = [counts(t) for _, t in docs]
+    examples = [(d, labels[d], c) for (d, _), c in zip(docs, own, strict=True) if d in labels and zlib.crc32(str(d).encode()) % 5]
+    n = [sum(y == k for _, y, _ in examples) for k in (0, 1)]
+    seen = [Counter(t for _, y, c in examples if y == k for t in c) for k in (0, 1)]
+    tested = max(2, sum(v > 1 for v in seen[1].values()))
+
+    def marked(t):
+        a, b = seen[1][t], seen[0][t]
+        part = lambda k, x: k * math.log(k / x) if k else 0.0
+        g = 2 * sum(part(k, (a + b if i < 2 else sum(n) - a - b) * n[1 - i % 2] / sum(n)) for i, k in enumerate((a, b, n[1] - a, n[0] - b)))
+        return a > 1 and a / n[1] > 4 * b / n[0] and g >= 2 * math.log(tested) + 4
+
+    known = {t: marked(t) for t in {*seen[0], *seen[1]} if t[0] == 1 or marked(t)}
+    df = Counter(t for c in own for t in c)
+    idf = {t: (1.0 if m else toxicity.OTHERS) * (math.log((1 + len(own)) / (1 + df[t])) + 1) for t, m in known.items()}
+    odd = toxicity.OTHERS * (math.log((1 + len(own)) / 2) + 1)
+
+    def vector(c):
+        w = {t: (1 + math.log(k)) * idf[t] for t, k in c.items() if t in known}
+        norm = math.sqrt(sum(x * x for x in w.values()) + sum(k for t, k in c.items() if t[0] == 1 and t not in known) * odd**2)
+        return {t: x / norm for t, x in w.items()}
+
+    pool = [(d, y, vector(c)) for d, y, c in examples]
+    prior = n[1] / sum(n)
+
+    def near(v, without=None):
+        found = [(round(sum(x * e.get(t, 0.0) for t, x in v.items()), 9), d, y) for d, y, e in pool if d != without]
+        return sorted((f for f in found if f[0] > 0), key=lambda f: -f[0])[: toxicity.NEIGHBOURS]
+
+    def vote(found):
+        w = [1 / (1.05 - min(1.0, c)) for c, _, _ in found]
+        return (sum(x * y for x, (_, _, y) in zip(w, found, strict=True)) + prior) / (sum(w) + 1)
+
+    votes = [(vote(f), y) for d, y, v in pool if (f := near(v, d))]
+    x, y = toxicity.isotonic(np.array([v for v, _ in votes]), np.array([y for _, y in votes]), np.ones(len(votes)))
+    found = [near(vector(c)) for c in own]
+    return [float(np.clip(np.interp(vote(f), x, y), 0, 1)) if f else prior / 1 for f in found], found
+
+
+def test_toxicity_against_brute_force(spark):
+    rng = np.random.default_rng(5)
+    words = [f"{c}{v}{i}" for i in range(12) for c in "bdgk" for v in "aeo"]
+    bad = ["snarl", "snarls", "snarled", "Grimble", "grimbled"]
+    rows, labels = [], {}
+    for i in range(260):
+        text = list(rng.choice(words, rng.integers(5, 40)))
+        if i % 5 == 0:
+            text += list(rng.choice(bad, rng.integers(1, 4)))
+        if i < 200:
+            labels[i] = int(i % 5 == 0)
+        rows.append((i, " ".join(rng.permutation(text))))
+    rows += [(300, None), (301, ""), (302, "unknownword"), (303, rows[5][1]), (304, " ".join(words * 400))]
+    want, neighbours = brute_toxicity(rows, labels)
+    docs = frame(spark, [(i, t, "s") for i, t in rows])
+    table = spark.createDataFrame([(i, 1, y) for i, y in labels.items()], "doc_id bigint, quality int, toxic int")
+    got = {r.doc_id: r for r in toxicity.score(docs, toxicity.fit(docs, table)).collect()}
+    for (i, _), score, found in zip(rows, want, neighbours, strict=True):
+        assert abs(got[i].score - score) < 1e-6
+        cosines = [x.cosine for x in got[i].neighbours]
+        assert np.allclose(cosines, [f[0] for f in found], atol=1e-8)
+        least = min(cosines, default=0) + 1e-8  # ties at the edge may differ
+        assert {x.doc_id for x in got[i].neighbours if x.cosine > least} == {d for c, d, _ in found if c > least}
+    assert abs(got[303].neighbours[0].cosine - 1) < 1e-6
+
+
+def test_keep_clean_whatever_the_columns(spark):
+    rows = [(i, "grumble snarl fight " * 3 if i % 3 == 0 else f"calm sea {i} wind") for i in range(40)]
+    docs = spark.createDataFrame([(i, t, "x", "y", "z") for i, t in rows], "doc_id bigint, text string, _id string, _hash string, predicted string")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(30)], "doc_id bigint, quality int, toxic int")
+    got = toxicity.keep_clean(docs, labels)
+    assert got.columns == docs.columns
+    assert sorted(r.doc_id for r in got.collect()) == [i for i in range(40) if i % 3]
 
 
 def test_scores_of_odd_inputs(spark):
