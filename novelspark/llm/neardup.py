@@ -13,7 +13,7 @@ has fewer words.  Documents of equal sets form a class, and only classes are joi
    one home, or the class of the smaller home visits the larger one; each pair so meets in
    one home, however many columns it shares.  A home's members and visitors are dealt to
    blocks of bounded size, and every two of its blocks make a tile.
-3. Product.  A tile holds its rows' whole sets.  Overlaps are accumulated n-gram by n-gram:
+3. Product.  A tile holds its rows' whole texts and makes their sets.  Overlaps are accumulated n-gram by n-gram:
    n-grams of many rows by dense products of 0/1 matrices, the others pair by pair; pairs
    below the bound that their sizes give are discarded.  A tile returns how many links each
    class has and a star for each connected part (or, for ``links``, the pairs themselves),
@@ -190,8 +190,8 @@ def profiles(docs: DataFrame, levels: np.ndarray, ngram: int = NGRAM, percent: i
     return _rows(docs, text).mapInArrow(run, "doc_id bigint, text_hash bigint, class bigint, n bigint, prefix array<bigint>")
 
 
-def class_sets(docs: DataFrame, wanted: DataFrame, ngram: int = NGRAM, text: str = "text") -> DataFrame:
-    """class, items: the whole set of each wanted class (class, text_hash of one of its rows).
+def wanted_texts(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
+    """text_hash, text of the rows of ``docs`` whose text_hash may be wanted, once a task.
 
     A bitmap of the wanted hashes, of fixed size, lets other texts be skipped where they
     are read; what passes it by chance is dropped by the join that follows.
@@ -213,13 +213,10 @@ def class_sets(docs: DataFrame, wanted: DataFrame, ngram: int = NGRAM, text: str
                 if (name := int(p[i])) not in seen:
                     seen.add(name)
                     take.append(i)
-            if not take:
-                continue
-            for step in textvec.steps(batch.column(1).take(pa.array(take))):
-                own = sets(step, ngram)
-                yield pa.RecordBatch.from_arrays([pa.array([class_of(s) for s in own], pa.int64()), pa.array([s.tobytes() for s in own], pa.binary())], ["class", "items"])
+            if take:
+                yield batch.take(pa.array(take))
 
-    return _rows(docs, text).select("text_hash", "text").mapInArrow(run, "class bigint, items binary")
+    return _rows(docs, text).select("text_hash", "text").mapInArrow(run, "text_hash bigint, text string")
 
 
 def columns(profile: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -383,9 +380,10 @@ def products(docs: DataFrame, profile: DataFrame, ngram: int, percent: int, text
     shared = stored(columns(profile, percent), "columns")
     tiles = stored(meetings(shared), "tiles")
     names = profile.where("n > 0").groupBy("class").agg(F.min("text_hash").alias("text_hash"))
-    wanted = names.join(tiles.select("class"), "class", "left_semi")
-    own = class_sets(docs, wanted, ngram, text).join(tiles, "class").dropDuplicates(["class"])
-    placed = own.select("class", "items", F.explode("tiles").alias("t")).select("t.home", "t.x", "t.y", "t.side", "class", "items")
+    # texts travel, not sets: they are smaller, and a tile makes its sets again
+    wanted = stored(names.join(tiles, "class"), "wanted")
+    own = wanted_texts(docs, wanted, text).join(wanted, "text_hash").dropDuplicates(["class"])
+    placed = own.select("class", "text", F.explode("tiles").alias("t")).select("t.home", "t.x", "t.y", "t.side", "class", "text")
     placed = placed.repartition("home", "x", "y").sortWithinPartitions("home", "x", "y")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -405,13 +403,14 @@ def products(docs: DataFrame, profile: DataFrame, ngram: int, percent: int, text
 
         for batch in batches:
             keys = zip(*(batch.column(k).to_pylist() for k in range(5)), strict=True)
-            for (home, x, y, side, name), items in zip(keys, batch.column(5), strict=True):
+            own = (s for step in textvec.steps(batch.column(5)) for s in sets(step, ngram))
+            for (home, x, y, side, name), items in zip(keys, own, strict=True):
                 if (home, x, y) != now:
                     close()
                     now, rows = (home, x, y), []
                     if len(out[0]) > 50_000:
                         yield flush()
-                rows.append((name, np.frombuffer(items.as_py(), np.uint64), side))
+                rows.append((name, items, side))
         close()
         if out[0]:
             yield flush()
