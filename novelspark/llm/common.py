@@ -6,6 +6,7 @@ import os
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -69,6 +70,19 @@ def without(docs: DataFrame, rows: DataFrame, text: str = "text") -> DataFrame:
     return docs.join(rows, same, "left_anti")
 
 
+def bitmap_of(rows: DataFrame, column: str, bits: int) -> np.ndarray:
+    """2**bits bits in words of 32: those at ``column`` modulo 2**bits are set.
+
+    Words are put together on the executors; the driver gets at most 2**(bits - 5) of them.
+    """
+    place = F.pmod(column, F.lit(1 << bits))
+    mark = F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(`{column}`, {1 << bits}) & 31 as int))"))
+    got = rows.groupBy(F.shiftright(place, 5).alias("w")).agg(mark.alias("m")).toArrow()
+    out = np.zeros(1 << (bits - 5), np.uint32)
+    out[got["w"].to_numpy()] = got["m"].to_numpy().astype(np.uint32)
+    return out
+
+
 def uniform(*parts: Column | str) -> Column:
     """A draw in (0, 1) from the MD5 of the parts joined by '|'; 52 bits, never 0 or 1."""
     text = F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(p) for p in parts])

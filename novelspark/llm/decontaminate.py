@@ -2,21 +2,31 @@
 
 Words are canonicalised: numbers, names and units become typed placeholders, other
 words are lower-cased and stripped of punctuation.  Windows of ``WIDTH`` canonical
-words of the benchmark and of every document are hash-joined; an item shorter than a
-window is one window of its own length.  For each document and item, windows on the
-same diagonal (document place minus item place) are put together, and the slots are
-compared: each placeholder value of the item must meet one value of the document
-throughout.  A document is contaminated by an item if consistent windows cover at
-least ``COVER`` of the item's windows; ``exact`` tells whether all slot values are
-the item's own, else the item was re-parameterised.
+words of the benchmark and of every document are hash-joined, and so are the windows of
+the same words as they stand (lower-cased).  Windows of fewer than ``LITERAL`` plain words
+fit too much as templates, so they are joined as they stand only.
+
+For each document and item, windows on the same diagonal (document place minus item
+place) at consecutive places make a run, and each run's slots are compared: within it a
+placeholder value of the item must meet one value of the document throughout.  Windows
+of consistent runs count, and windows that match as they stand always do.  A document is
+contaminated by an item if the windows that count are at least ``COVER`` of the item's, or
+if at least ``EXACT_WORDS`` words in a row are the item's own, whatever their share of it;
+``exact`` tells whether all windows that count match as they stand, else the item was
+re-parameterised.
+
+An item of fewer than ``WIDTH`` words is one window of its own length; one of fewer than
+``LEAST`` words would be found in clean texts, so only a document that is that text as a
+whole matches it.
 
 The benchmark's windows are looked up in a bitmap of fixed size first, so that only
-windows that may match leave the scan of the documents; these are joined exactly.
+windows that may match leave the one scan of the documents; these are joined exactly.
 
-Edge cases: null and empty texts and items match nothing; items of fewer than
-``LEAST`` words are left out; rows with the same doc_id are judged by their texts, and
-repeated rows alike; null doc_ids are kept and judged too; an empty table gives an
-empty result; other columns pass through ``clean`` unchanged.
+Edge cases: null and empty texts and items, and items without a word, match nothing; rows
+with the same doc_id are judged by their texts, and repeated rows alike; null doc_ids and
+null item_ids are kept and judged too (items without an id are one item each text); an
+empty table gives an empty result; other columns pass through ``clean`` unchanged,
+whatever their names.
 """
 
 from __future__ import annotations
@@ -25,16 +35,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import small, stored, table
+from .common import bitmap_of, small, stored, table, without
 
 WIDTH = 8
 LEAST = 5
 COVER = 0.5
-#: At least so many words of a window are no placeholders.
+EXACT_WORDS = 20
+#: At least so many words of a window that is joined as a template are no placeholders.
 LITERAL = 3
 BITMAP_BITS = 24
 #: Units, as whole words after a number.
@@ -66,18 +77,16 @@ class Canonical:
     def __init__(self, docs: textvec.Docs, units: np.ndarray):
         data = docs.data
         w = textvec.words(docs)
-        start, end = w.start.copy(), w.end.copy()
-        if len(start):
-            for _ in range(64):  # longer runs of punctuation stay
-                trim = (start < end) & _PUNCT[data[np.minimum(start, len(data) - 1)]]
-                if not trim.any():
-                    break
-                start[trim] += 1
-            for _ in range(64):
-                trim = (start < end) & _PUNCT[data[end - 1]]
-                if not trim.any():
-                    break
-                end[trim] -= 1
+        start, end = w.start, w.end
+        plain = np.flatnonzero(~_PUNCT[data])
+        if len(plain):
+            # the first and the last byte of each word that is no punctuation
+            lead = plain[np.minimum(np.searchsorted(plain, start), len(plain) - 1)]
+            last = plain[np.maximum(np.searchsorted(plain, end) - 1, 0)] + 1
+            inside = (lead >= start) & (lead < end)
+            start, end = np.where(inside, lead, end), np.where(inside, last, end)
+        else:
+            start = end
         kept = start < end
         doc = w.doc()
         # a word after a sentence's end, a new line or nothing is no name by its capital
@@ -109,107 +118,129 @@ class Canonical:
         self.hash = np.where(number, NUMBER, np.where(joined, NUMBER ^ UNIT, np.where(unit, UNIT, np.where(name, NAME, self.raw))))
         self.slot = number | joined | unit | name
 
-    def windows(self, width: int) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the windows with enough literal words, and where they begin."""
-        values, at = textvec.windows(self.hash, self.first, width)
-        literal = np.concatenate([[0], np.cumsum(~self.slot)])
-        keep = literal[at + width] - literal[at] >= min(LITERAL, width)
+    def windows(self, width: int, raw: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the windows, and where they begin: as they stand, or as templates."""
+        values, at = textvec.windows(self.raw if raw else self.hash, self.first, width, RAW if raw else 0)
+        if raw:
+            keep = np.ones(len(at), bool)
+        else:
+            literal = np.concatenate([[0], np.cumsum(~self.slot)])
+            keep = literal[at + width] - literal[at] >= min(LITERAL, width)
+        if width < LEAST:  # whole texts only
+            size = np.diff(self.first)
+            keep &= size[np.searchsorted(self.first, at, "right") - 1] == width
         return values[keep], at[keep]
 
 
-WINDOWS = "window bigint, place int, width int, slots array<bigint>"
+#: Sets windows as they stand apart from templates.
+RAW = 1 << 20
+WINDOWS = "window bigint, place int, width int, raw boolean, slots array<bigint>"
+NAMES = ["window", "place", "width", "raw", "slots"]
 
 
-def _rows(c: Canonical, values: np.ndarray, at: np.ndarray, width: int) -> list[pa.Array]:
+def _rows(c: Canonical, values: np.ndarray, at: np.ndarray, width: int, raw: bool) -> list[pa.Array]:
     n = len(at)
-    slots = c.raw[at[:, None] + np.arange(width)] if n else np.zeros((0, width), np.uint64)
-    slots = np.where(c.slot[at[:, None] + np.arange(width)], slots, 0) if n else slots
+    if raw or not n:
+        slots = pa.ListArray.from_arrays(pa.array(np.zeros(n + 1), pa.int32()), pa.array([], pa.int64()))
+    else:
+        words = at[:, None] + np.arange(width)
+        flat = np.where(c.slot[words], c.raw[words], np.uint64(0)).view(np.int64).ravel()
+        slots = pa.ListArray.from_arrays(pa.array(np.arange(n + 1) * width, pa.int32()), pa.array(flat))
     doc = np.searchsorted(c.first, at, "right") - 1
-    off = pa.array(np.arange(n + 1) * width, pa.int32())
-    return [pa.array(values.view(np.int64)), pa.array((at - c.first[doc]).astype(np.int32)), pa.array(np.full(n, width, np.int32)), pa.ListArray.from_arrays(off, pa.array(slots.astype(np.uint64).view(np.int64).ravel()))]
+    return [pa.array(values.view(np.int64)), pa.array((at - c.first[doc]).astype(np.int32)), pa.array(np.full(n, width, np.int32)), pa.array(np.full(n, raw)), slots]
 
 
 def benchmark_windows(benchmark: DataFrame) -> DataFrame:
-    """window, place, width, slots, item_id of every item of at least ``LEAST`` words."""
+    """window, place, width, raw, slots, item (id and text hash) and item_id of every item."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         units = textvec.hash_words(UNITS)
         for batch in batches:
-            ids = batch.column(0).cast(pa.int64())
-            for docs in textvec.steps(batch.column(1)):
+            for docs in textvec.steps(batch.column(2)):
                 c = Canonical(docs, units)
                 size = np.diff(c.first)
-                for width in sorted({min(WIDTH, int(n)) for n in size if n >= LEAST}):
-                    values, at = c.windows(width)
-                    of = np.searchsorted(c.first, at, "right") - 1
-                    keep = np.minimum(size[of], WIDTH) == width
-                    values, at, of = values[keep], at[keep], of[keep]
-                    yield pa.RecordBatch.from_arrays([*_rows(c, values, at, width), ids.take(pa.array(of + docs.row))], ["window", "place", "width", "slots", "item_id"])
+                for width in sorted({min(WIDTH, int(n)) for n in size if n}):
+                    for raw in (False, True):
+                        values, at = c.windows(width, raw)
+                        of = np.searchsorted(c.first, at, "right") - 1
+                        keep = np.minimum(size[of], WIDTH) == width
+                        values, at, of = values[keep], at[keep], of[keep]
+                        take = pa.array(of + docs.row)
+                        yield pa.RecordBatch.from_arrays([*_rows(c, values, at, width, raw), batch.column(0).take(take), batch.column(1).take(take)], [*NAMES, "item", "item_id"])
 
-    rows = benchmark.select(F.col("item_id").cast("bigint").alias("item_id"), "text")
-    return rows.mapInArrow(run, WINDOWS + ", item_id bigint")
+    item = F.xxhash64(F.col("item_id").cast("bigint"), "text").alias("item")
+    rows = benchmark.select(item, F.col("item_id").cast("bigint").alias("item_id"), "text").dropDuplicates(["item"])
+    return rows.mapInArrow(run, WINDOWS + ", item bigint, item_id bigint")
 
 
-def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
-    """doc_id, text_hash, item_id, covered (share of the item's windows), exact; one
-    row for each text of a doc_id and each item that contaminates it."""
-    spark = docs.sparkSession
-    bench = benchmark_windows(benchmark).cache()
-
-    # lengths and places of a bitmap, both of fixed size, whatever the benchmark's
-    places = bench.select("width", F.pmod("window", F.lit(1 << BITMAP_BITS)).cast("int").alias("p")).distinct()
-    bitmap = np.zeros(1 << BITMAP_BITS, bool)
-    widths: set[int] = set()
-    for row in places.toLocalIterator(prefetchPartitions=True):
-        bitmap[row.p] = True
-        widths.add(row.width)
-    shared = spark.sparkContext.broadcast((np.packbits(bitmap, bitorder="little"), sorted(widths)))
+def window_matches(docs: DataFrame, bench: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, text_hash, item, diagonal, item_place, raw, slots, item_slots of equal windows."""
+    bitmap = bitmap_of(bench, "window", BITMAP_BITS)
+    widths = sorted(r.width for r in bench.select("width").distinct().collect())  # at most WIDTH rows
+    shared = docs.sparkSession.sparkContext.broadcast((bitmap, widths))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         packed, lengths = shared.value
         units = textvec.hash_words(UNITS)
         mask = np.uint64((1 << BITMAP_BITS) - 1)
         for batch in batches:
-            ids = batch.column(0)
             for step in textvec.steps(batch.column(1)):
                 c = Canonical(step, units)
                 for width in lengths:
-                    values, at = c.windows(width)
-                    p = (values & mask).astype(np.int64)
-                    hit = (packed[p >> 3] >> (p & 7).astype(np.uint8)) & 1 == 1
-                    values, at = values[hit], at[hit]
-                    if len(at):
-                        of = np.searchsorted(c.first, at, "right") - 1
-                        yield pa.RecordBatch.from_arrays([*_rows(c, values, at, width), ids.take(pa.array(of + step.row)), batch.column(2).take(pa.array(of + step.row))], ["window", "place", "width", "slots", "doc_id", "text_hash"])
+                    for raw in (False, True):
+                        values, at = c.windows(width, raw)
+                        p = (values & mask).astype(np.int64)
+                        hit = packed[p >> 5] >> (p & 31).astype(np.uint32) & 1 == 1
+                        values, at = values[hit], at[hit]
+                        if len(at):
+                            take = pa.array(np.searchsorted(c.first, at, "right") - 1 + step.row)
+                            yield pa.RecordBatch.from_arrays([*_rows(c, values, at, width, raw), batch.column(0).take(take), batch.column(2).take(take)], [*NAMES, "doc_id", "text_hash"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
     found = rows.mapInArrow(run, WINDOWS + ", doc_id bigint, text_hash bigint")
-    right = bench.select("window", "width", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "item_id")
+    right = bench.select("window", "width", "raw", F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "item")
     if small(right):
         right = F.broadcast(right)
-    joined = found.join(right, ["window", "width"])
-    by = ["doc_id", "text_hash", "item_id"]
-    joined = joined.select(*by, (F.col("place") - F.col("item_place")).alias("diagonal"), "item_place", "slots", "item_slots").distinct()
-    pair = F.explode(F.arrays_zip(F.col("item_slots").alias("i"), F.col("slots").alias("d"))).alias("s")
-    slots = joined.select(*by, "diagonal", pair).where("s.i != 0").groupBy(*by, "diagonal", F.col("s.i").alias("i")).agg(F.min("s.d").alias("least"), F.max("s.d").alias("most"))
-    bent = slots.groupBy(*by, "diagonal").agg(F.max((F.col("least") != F.col("most")).cast("int")).alias("bent"), F.max(((F.col("least") != F.col("i")) | (F.col("most") != F.col("i"))).cast("int")).alias("other"))
-    same = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in [*by, "diagonal"]]
-    bent = bent.select(*[F.col(k).alias(f"_{k}") for k in [*by, "diagonal"]], "bent", "other")
-    judged = joined.join(bent, same, "left").where("coalesce(bent, 0) = 0")
-    covered = judged.groupBy(*by).agg(F.countDistinct("item_place").alias("n"), F.max(F.coalesce("other", F.lit(0))).alias("other"))
-    total = bench.groupBy(F.col("item_id").alias("_item")).agg(F.count(F.lit(1)).alias("_of"))
-    share = covered.join(total, F.col("item_id").eqNullSafe(F.col("_item"))).withColumn("covered", F.col("n") / F.col("_of"))
-    return share.where(F.col("covered") >= COVER).select(*by, "covered", (F.col("other") == 0).alias("exact"))
+    joined = found.join(right, ["window", "width", "raw"])
+    return joined.select("doc_id", "text_hash", "item", (F.col("place") - F.col("item_place")).alias("diagonal"), "item_place", "raw", "slots", "item_slots")
+
+
+def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
+    """doc_id, text_hash, item_id, covered (share of the item's windows), exact, exact_words
+    (most words in a row that are the item's own); one row for each text of a doc_id and
+    each item that contaminates it."""
+    bench = stored(benchmark_windows(benchmark), "benchmark-windows")
+    joined = stored(window_matches(docs, bench, text), "window-matches")
+    by = ["doc_id", "text_hash", "item"]
+    at = [*by, "diagonal"]
+    # a place of a diagonal holds a window once as it stands and once as a template; rows
+    # of a diagonal are at most the item's windows
+    places = joined.groupBy(*at, "item_place").agg(F.max("raw").alias("raw"), F.max(F.when(~F.col("raw"), F.struct("slots", "item_slots"))).alias("t"))
+    order = Window.partitionBy(*at).orderBy("item_place")
+    own = Window.partitionBy(*at, "raw").orderBy("item_place")
+    places = places.withColumns({"run": F.col("item_place") - F.row_number().over(order), "streak": F.col("item_place") - F.row_number().over(own)})
+    places = stored(places, "places")
+    pair = F.explode(F.arrays_zip(F.col("t.item_slots").alias("i"), F.col("t.slots").alias("d"))).alias("s")
+    slots = places.where("t is not null").select(*at, "run", pair).where("s.i != 0")
+    slots = slots.groupBy(*at, "run", F.col("s.i").alias("i")).agg(F.min("s.d").alias("least"), F.max("s.d").alias("most")).where("least != most")
+    bent = slots.select(*[F.col(k).alias(f"b_{k}") for k in [*at, "run"]]).distinct()
+    bends = [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in [*at, "run"]]
+    judged = places.join(bent, bends, "left").withColumn("counts", F.col("raw") | F.col("b_run").isNull()).where("counts")
+    covered = judged.groupBy(*by).agg(F.countDistinct("item_place").alias("n"), F.min("raw").alias("exact"))
+    streaks = places.where("raw").groupBy(*at, "streak").agg(F.count(F.lit(1)).alias("n")).groupBy(*by).agg(F.max("n").alias("streak"))
+    total = bench.groupBy("item").agg(F.countDistinct("place").alias("of"), F.max("width").alias("width"), F.min("item_id").alias("item_id"))
+    left = [F.col(k).eqNullSafe(F.col(f"s_{k}")) for k in by]
+    share = covered.join(streaks.select(*[F.col(k).alias(f"s_{k}") for k in by], "streak"), left, "left").join(total, "item")
+    words = F.coalesce(F.col("streak") + F.col("width") - 1, F.lit(0)).alias("exact_words")
+    share = share.select("doc_id", "text_hash", "item_id", (F.col("n") / F.col("of")).alias("covered"), "exact", words)
+    return share.where((F.col("covered") >= COVER) | (F.col("exact_words") >= EXACT_WORDS))
 
 
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated rows, all columns kept."""
-    bad = stored(matches(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct(), "contaminated")
-    if small(bad):
-        bad = F.broadcast(bad)
-    return docs.join(bad, docs["doc_id"].cast("bigint").eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_hash")), "left_anti")
+    return without(docs, matches(docs, benchmark).select("doc_id", "text_hash").distinct())
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
-    return found.select("doc_id", "item_id", F.round("covered", 6).alias("covered"), "exact")
+    return found.select("doc_id", "item_id", F.round("covered", 6).alias("covered"), "exact", F.col("exact_words").cast("bigint").alias("exact_words"))

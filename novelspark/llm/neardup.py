@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import discard, stored, table, unused
+from .common import bitmap_of, discard, stored, table, unused
 from .components import components
 
 NGRAM = 5
@@ -196,12 +196,7 @@ def wanted_texts(docs: DataFrame, wanted: DataFrame, text: str = "text") -> Data
     A bitmap of the wanted hashes, of fixed size, lets other texts be skipped where they
     are read; what passes it by chance is dropped by the join that follows.
     """
-    place = F.pmod("text_hash", F.lit(1 << FILTER_BITS))
-    marks = wanted.groupBy(F.shiftright(place, 5).alias("w")).agg(F.bit_or(F.expr(f"shiftleft(1L, cast(pmod(text_hash, {1 << FILTER_BITS}) & 31 as int))")).alias("m"))
-    bitmap = np.zeros(1 << (FILTER_BITS - 5), np.uint32)
-    got = marks.toArrow()  # at most 2**(FILTER_BITS - 5) rows
-    bitmap[got["w"].to_numpy()] = got["m"].to_numpy().astype(np.uint32)
-    shared = docs.sparkSession.sparkContext.broadcast(bitmap)
+    shared = docs.sparkSession.sparkContext.broadcast(bitmap_of(wanted, "text_hash", FILTER_BITS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()

@@ -180,8 +180,107 @@ def test_decontamination(spark):
 def test_inconsistent_slots_do_not_count(spark):
     item = "Add 5 apples and 5 pears and then take 5 plums from the big brown basket on the table"
     bench = spark.createDataFrame([(1, item)], "item_id bigint, text string")
-    rows = [(1, item.replace("5", "8")), (2, item.replace("5", "8", 1))]
-    assert [r.doc_id for r in decontaminate.matches(frame(spark, rows), bench).collect()] == [1]
+    # all changed alike; one changed, so that half of the windows still stand; changed unlike
+    rows = [(1, item.replace("5", "8")), (2, item.replace("5", "8", 1)), (3, item.replace("5", "8").replace("8 plums", "9 plums"))]
+    found = {r.doc_id: r.exact for r in decontaminate.matches(frame(spark, rows), bench).collect()}
+    assert found == {1: False, 2: True}
+
+
+def canonical_words(text):
+    """(canonical word, word as it stands) of an ASCII text, word by word."""
+    out, last, end = [], "", 0
+    for m in re.finditer(r"[^\x20\x09-\x0D]+", text or ""):
+        fresh = not last or last[-1] in ".!?:;" or "\n" in text[end : m.start()]
+        last, end = m[0], m.end()
+        w = m[0].strip("".join(chr(c) for c in range(33, 127) if not chr(c).isalnum()))
+        if not w:
+            continue
+        number = all(c in "0123456789.,:/%-+" for c in w) and any(c.isdigit() for c in w)
+        if number:
+            kind = "<number>"
+        elif w[0].isdigit():
+            kind = "<joined>"
+        elif out and out[-1][0] == "<number>" and w.lower() in decontaminate.UNITS:
+            kind = "<unit>"
+        elif w[0].isupper() and not fresh and (sum(c.isupper() for c in w) <= 1 or len(w) <= 5):
+            kind = "<name>"
+        else:
+            kind = w.lower()
+        out.append((kind, w.lower()))
+    return out
+
+
+def brute_matches(docs, bench):
+    out = set()
+    for d, text in docs:
+        have = canonical_words(text)
+        for item_id, item in bench:
+            want = canonical_words(item)
+            width = min(decontaminate.WIDTH, len(want))
+            if not want or width < decontaminate.LEAST and len(have) != width:
+                continue
+            diagonals = {}
+            for p in range(len(want) - width + 1):
+                for q in range(len(have) - width + 1):
+                    x, y = want[p : p + width], have[q : q + width]
+                    raw = [w for _, w in x] == [w for _, w in y]
+                    plain = lambda z: sum(k[0] != "<" for k, _ in z)
+                    template = [k for k, _ in x] == [k for k, _ in y] and plain(x) >= min(decontaminate.LITERAL, width)
+                    if raw or template:
+                        diagonals.setdefault(q - p, {})[p] = (raw, [(v, w) for (k, v), (_, w) in zip(x, y, strict=True) if template and k[0] == "<"])
+            counted, most = {}, 0
+            for places in diagonals.values():
+                runs = []
+                for p in sorted(places):
+                    if runs and runs[-1][-1] == p - 1:
+                        runs[-1].append(p)
+                    else:
+                        runs.append([p])
+                for run in runs:
+                    values = {}
+                    for p in run:
+                        for v, w in places[p][1]:
+                            values.setdefault(v, set()).add(w)
+                    bent = any(len(w) > 1 for w in values.values())
+                    streak = 0
+                    for p in run:
+                        streak = streak + 1 if places[p][0] else 0
+                        most = max(most, streak + width - 1 if streak else 0)
+                        if places[p][0] or not bent:
+                            counted[p] = counted.get(p, True) and places[p][0]
+            share = len(counted) / (len(want) - width + 1)
+            if share >= decontaminate.COVER or most >= decontaminate.EXACT_WORDS:
+                out.add((d, item_id, round(share, 6), all(counted.values()), most))
+    return out
+
+
+def test_decontamination_against_brute_force(spark):
+    rng = random.Random(3)
+    pool = ["the", "river", "bridge", "over", "Anna", "Berlin", "12", "7", "3.5", "km", "kg", "5kg", "rose", "a", "in", "(and)", "then.", "Then", "--", "to"]
+    words = lambda n: [rng.choice(pool) for _ in range(n)]
+    items = [words(n) for n in (1, 2, 4, 5, 6, 7, 8, 9, 12, 20, 45, 100)] + [["5", "7", "12"] * 4]
+    docs = []
+    for item in items * 6:
+        text = list(item)
+        if rng.random() < 0.6:
+            swap = {w: rng.choice(["12", "7", "99"]) for w in ("12", "7", "3.5")} | {"Anna": "Otto"}
+            text = [swap.get(w, w) if rng.random() < 0.9 else w for w in text]
+        start = rng.randrange(len(text)) if rng.random() < 0.3 else 0
+        text = text[start:]
+        docs.append((text if rng.random() < 0.2 else words(rng.randrange(15)) + text + words(rng.randrange(15))))
+    docs = [(i, rng.choice([" ", "  ", " \n"]).join(t)) for i, t in enumerate(docs)]
+    docs += [(900 + i, " ".join(words(60))) for i in range(30)] + [(990, "x" * 70 + "." * 200 + " " + " ".join(items[9])), (991, None), (992, "." * 300)]
+    bench = [(i, " ".join(t)) for i, t in enumerate(items)]
+    table = spark.createDataFrame(bench, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id, round(r.covered, 6), r.exact, r.exact_words) for r in decontaminate.matches(frame(spark, docs), table).collect()}
+    assert got == brute_matches(docs, bench) and len(got) > 20
+
+
+def test_clean_whatever_the_columns(spark):
+    docs = spark.createDataFrame([(1, "so " + ITEM, "x", "y", 1), (2, "fine", "x", "y", 2)], "doc_id bigint, text string, _id string, _hash string, item bigint")
+    bench = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")
+    got = decontaminate.clean(docs, bench)
+    assert got.columns == docs.columns and [tuple(r) for r in got.collect()] == [(2, "fine", "x", "y", 2)]
 
 
 def test_fingerprints(spark):
