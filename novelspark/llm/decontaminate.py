@@ -1,7 +1,7 @@
 """Benchmark decontamination by template windows.
 
 Words are canonicalised: numbers, names and units become typed placeholders, other
-words are lower-cased and stripped of punctuation.  Windows of ``WIDTH`` canonical
+words are lower-cased (ASCII and Latin-1) and stripped of punctuation.  Windows of ``WIDTH`` canonical
 words of the benchmark and of every document are hash-joined, and so are the windows of
 the same words as they stand (lower-cased).  Windows of fewer than ``LITERAL`` plain words
 fit too much as templates, so they are joined as they stand only.
@@ -101,7 +101,10 @@ class Canonical:
             self.raw = self.hash = np.zeros(0, np.uint64)
             self.slot = np.zeros(0, bool)
             return
-        lower = textvec.Hasher(textvec.lower_ascii(data))
+        low = textvec.lower_ascii(data)
+        accent = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
+        low[accent] += 0x20  # capitals of Latin-1
+        lower = textvec.Hasher(low)
         self.raw = lower(start, end)
         odd = np.concatenate([[0], np.cumsum(~_NUMERIC[data])])
         digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
