@@ -112,9 +112,10 @@ def numbered(df: DataFrame, group: list[str], bucket: str, order: list[Column],
     groups and buckets to count from.
     """
     keys = [*group, bucket]
-    counts = (df if counts is None else counts).groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"))
+    n, start, row, *own_keys = unused(df, "n", "start", "row", *keys)
+    counts = (df if counts is None else counts).groupBy(*keys).agg(F.count(F.lit(1)).alias(n))
     before = Window.partitionBy(*group).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
-    starts = counts.select(*[F.col(k).alias(f"_k_{k}") for k in keys], F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))
-    own = df.withColumn("_row", F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
-    on = [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys]
-    return own.join(starts, on).withColumn(out, (F.col("_start") + F.col("_row")).cast("bigint")).drop("_row", "_start", *[f"_k_{k}" for k in keys])
+    starts = counts.select(*[F.col(k).alias(o) for k, o in zip(keys, own_keys, strict=True)], F.coalesce(F.sum(n).over(before), F.lit(0)).alias(start))
+    own = df.withColumn(row, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)) - 1)
+    on = [F.col(k).eqNullSafe(F.col(o)) for k, o in zip(keys, own_keys, strict=True)]
+    return own.join(starts, on).withColumn(out, (F.col(start) + F.col(row)).cast("bigint")).drop(row, start, *own_keys)

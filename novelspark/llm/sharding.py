@@ -7,8 +7,9 @@ into or out of that child's subtree.  A new shard opens a region of its own, so
 documents move only into the new shard.
 
 Edge cases: a null or empty text has size 8; a null doc_id is the empty key, so all
-such rows share a shard; repeated rows keep their own slots; an empty table gives an
-empty result; other columns pass through, those named like an output are replaced.
+such rows share a shard (law ``key``), but no bucket; repeated rows keep their own slots;
+an empty table gives an empty result; other columns pass through, whatever their names,
+but for those named like an output, which are replaced.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_key, numbered, table, uniform
+from .common import doc_key, numbered, table, uniform, unused
 
 
 @dataclass(frozen=True)
@@ -74,10 +75,10 @@ def with_shard(df: DataFrame, tree: Topology, out: str) -> DataFrame:
                 pick = drawn
             else:
                 pick = F.when(F.col(at) == node, drawn) if pick is None else pick.when(F.col(at) == node, drawn)
-        name = out if level == "shard" else f"_{out}_{level}"
-        df = df.withColumn(name, pick.cast("int"))
-        at = name
-    return df.drop(f"_{out}_region", f"_{out}_rack")
+        name = out if level == "shard" else unused(df, f"{out}_{level}")[0]
+        before, df, at = at, df.withColumn(name, pick.cast("int")), name
+        df = df if before is None else df.drop(before)
+    return df
 
 
 def shard(docs: DataFrame, tree: Topology, buckets: int | None = None) -> DataFrame:
@@ -89,19 +90,23 @@ def shard(docs: DataFrame, tree: Topology, buckets: int | None = None) -> DataFr
     """
     spark = docs.sparkSession
     n = buckets or max(16, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    draw = uniform(F.lit("slot"), doc_key())
-    bucket = F.floor(draw * n).cast("int").alias("_bucket")
     text = F.coalesce(F.col("text"), F.lit(""))
-    placed = with_shard(with_shard(docs.drop(*OUTPUTS), tree, "shard"), tree.grown(), "grown_shard").withColumns({
+    crc = F.crc32(text.cast("binary"))
+    # of the text too, so that rows that share a doc_id, or have none, share no bucket
+    draw = uniform(F.lit("slot"), doc_key(), crc.cast("string"))
+    rows = docs.drop(*OUTPUTS)
+    drawn, part = unused(rows, "draw", "bucket")
+    bucket = F.floor(draw * n).cast("int").alias(part)
+    placed = with_shard(with_shard(rows, tree, "shard"), tree.grown(), "grown_shard").withColumns({
         "size": (F.octet_length(text) + 8).cast("bigint"),
-        "text_crc32": F.crc32(text.cast("binary")),
+        "text_crc32": crc,
         "law": F.lit("key"),
-        "_draw": draw,
-        "_bucket": bucket,
+        drawn: draw,
+        part: bucket,
     })
-    keys = with_shard(docs.select("doc_id"), tree, "shard").select("shard", bucket)
-    order = [F.col("_draw"), F.col("doc_id"), F.col("text_crc32"), F.col("size")]
-    return numbered(placed, ["shard"], "_bucket", order, "slot", keys).drop("_bucket", "_draw")
+    keys = with_shard(docs.select("doc_id", "text"), tree, "shard").select("shard", bucket)
+    order = [F.col(drawn), F.col("doc_id"), F.col("text_crc32"), F.col("size")]
+    return numbered(placed, ["shard"], part, order, "slot", keys).drop(part, drawn)
 
 
 SHARDS = 24
@@ -149,10 +154,10 @@ tbl AS (SELECT list(c ORDER BY n) AS t FROM crc WHERE i = 8),
 d AS (SELECT doc_id, coalesce(text, '') AS x, coalesce(doc_id::VARCHAR, '') AS k FROM documents),
 b AS (SELECT doc_id, k, octet_length(encode(x)) + 8 AS size,
   list_transform(regexp_extract_all(hex(encode(x)), '..'), lambda h: ('0x' || h)::BIGINT) AS bytes FROM d),
-s AS (SELECT doc_id, size::BIGINT AS size,
-  (('0x' || substr(md5('slot|' || k), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS draw,
+s AS (SELECT doc_id, k, size::BIGINT AS size,
   xor(list_reduce(list_prepend(4294967295::BIGINT, bytes),
     lambda c, v: xor(c >> 8, list_extract(t, (xor(c, v) & 255) + 1))), 4294967295)::BIGINT AS text_crc32,
-  ({chosen(tree)})::INTEGER AS shard, ({chosen(tree.grown())})::INTEGER AS grown_shard FROM b, tbl)
+  ({chosen(tree)})::INTEGER AS shard, ({chosen(tree.grown())})::INTEGER AS grown_shard FROM b, tbl),
+drawn AS (SELECT *, (('0x' || substr(md5('slot|' || k || '|' || text_crc32), 1, 13))::BIGINT + 0.5) / 4503599627370496.0 AS draw FROM s)
 SELECT doc_id, size, text_crc32, 'key' AS law, shard, grown_shard,
-  (row_number() OVER (PARTITION BY shard ORDER BY draw, doc_id, text_crc32, size) - 1)::BIGINT AS slot FROM s"""
+  (row_number() OVER (PARTITION BY shard ORDER BY draw, doc_id, text_crc32, size) - 1)::BIGINT AS slot FROM drawn"""
