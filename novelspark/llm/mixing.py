@@ -4,12 +4,12 @@ The mean is its source's target share over its actual share of the bytes.  The c
 inverts the Poisson distribution at a draw from MD5(seed, doc_id), so it does not
 depend on the partitioning or on retries.  A mean above 64 is split into equal parts
 that are drawn apart and summed, which is the same distribution.  Copies are then
-shuffled globally: sorted by a hash of (seed, doc_id, copy) over all partitions.
+shuffled globally: sorted by a hash of (seed, doc_id, copy, text) over all partitions.
 
 Edge cases: a null source is a source of its own; a null text has no bytes; sources
 of no bytes, or not named in ``targets``, have mean 0 (and no copies); repeated rows
 draw the same count each; an empty table gives an empty result; columns of ``docs``
-pass through, those named like an output are replaced.
+pass through, whatever their names, but those named like an output are replaced.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import doc_key, small, stored, table, uniform
+from .common import doc_key, small, stored, table, uniform, unused
 
 MOST_MEAN = 64.0
 OUTPUTS = ("rate", "copy", "shuffle_key")
@@ -61,20 +61,24 @@ def source_rates(docs: DataFrame, temperature: float = 0.5, targets: Mapping[str
 
 def replicate(docs: DataFrame, rates: DataFrame, seed: str = "mix") -> DataFrame:
     """Rows of ``docs`` repeated by their source's rate, shuffled; adds rate, copy, shuffle_key."""
-    parts = F.greatest(F.lit(1), F.ceil(F.col("rate") / MOST_MEAN)).cast("int")
-    known = rates.select(F.col("source").alias("_source"), "rate", parts.alias("_parts")).withColumn("_cdf", poisson_cdf(F.col("rate") / F.col("_parts")))
+    rows = docs.drop(*OUTPUTS)
+    source, parts, cdf, times, place = unused(rows, "source", "parts", "cdf", "count", "place")
+    split = F.greatest(F.lit(1), F.ceil(F.col("rate") / MOST_MEAN)).cast("int")
+    known = rates.select(F.col("source").alias(source), "rate", split.alias(parts)).withColumn(cdf, poisson_cdf(F.col("rate") / F.col(parts)))
     if small(rates):
         known = F.broadcast(known)
-    rows = docs.drop(*OUTPUTS)
-    joined = rows.join(known, rows["source"].eqNullSafe(F.col("_source")))
-    below = lambda j: F.size(F.filter("_cdf", lambda c: c <= uniform(F.lit(seed), doc_key(), j.cast("string"))))
-    count = F.aggregate(F.sequence(F.lit(1), F.col("_parts")), F.lit(0), lambda acc, j: acc + below(j))
-    counted = joined.withColumn("_count", count).where("_count > 0")
-    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("_count"))))
-    key = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), doc_key(), F.col("copy").cast("string")))
+    joined = rows.join(known, rows["source"].eqNullSafe(F.col(source)))
+    below = lambda j: F.size(F.filter(cdf, lambda c: c <= uniform(F.lit(seed), doc_key(), j.cast("string"))))
+    count = F.aggregate(F.sequence(F.lit(1), F.col(parts)), F.lit(0), lambda acc, j: acc + below(j))
+    counted = joined.withColumn(times, count).where(F.col(times) > 0)
+    copies = counted.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col(times))))
+    key = F.md5(F.concat_ws("|", F.lit(seed), F.lit("order"), doc_key(), F.col("copy").cast("string"), F.coalesce(F.md5("text"), F.lit(""))))
     order = F.conv(F.substring(key, 1, 15), 16, 10).cast("bigint")
-    mixed = copies.withColumn("shuffle_key", order).drop("_source", "_parts", "_cdf", "_count")
-    return mixed.repartitionByRange("shuffle_key").sortWithinPartitions("shuffle_key", "doc_id", "copy")
+    mixed = copies.withColumn("shuffle_key", order).drop(source, parts, cdf, times)
+    # keys are even over 60 bits, so the ranges of partitions need no look at the rows
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    mixed = mixed.withColumn(place, F.floor(F.col("shuffle_key") / F.lit(2.0**60) * n).cast("int"))
+    return mixed.repartitionById(n, place).drop(place).sortWithinPartitions("shuffle_key", "doc_id", "copy")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -102,4 +106,4 @@ counts AS (SELECT doc_id, source, text, rate, sum(len(list_filter(cs, lambda c:
   FROM drawn GROUP BY ALL),
 copies AS (SELECT doc_id, source, text, rate, unnest(range(1, n + 1))::INTEGER AS copy FROM counts WHERE n > 0)
 SELECT doc_id, source, copy, round(rate, 6) AS rate, octet_length(encode(text))::BIGINT AS n_bytes,
-  ('0x' || substr(md5('mix|order|' || coalesce(doc_id::VARCHAR, '') || '|' || copy), 1, 15))::BIGINT AS shuffle_key FROM copies"""
+  ('0x' || substr(md5('mix|order|' || coalesce(doc_id::VARCHAR, '') || '|' || copy || '|' || coalesce(md5(text), '')), 1, 15))::BIGINT AS shuffle_key FROM copies"""

@@ -275,6 +275,34 @@ def test_poisson_counts(spark):
     assert mixing.replicate(docs.where("false"), mixing.source_rates(docs.where("false"))).count() == 0
 
 
+def test_sharding_and_mixing_keep_columns_whatever_their_names(spark):
+    names = ["_draw", "_row", "_bucket", "_start", "_n", "_count", "_parts", "_cdf", "_source", "_place", "_id", "_hash"]
+    docs = spark.createDataFrame([(i % 50 or None, f"t{i}", None if i % 7 == 0 else "s", *(f"{c}{i}" for c in names)) for i in range(200)], "doc_id bigint, text string, source string, " + ", ".join(f"{c} string" for c in names))
+    placed = sharding.shard(docs, sharding.Topology.regular(24))
+    assert placed.columns == [*docs.columns, *[c for c in placed.columns if c in sharding.OUTPUTS]]
+    assert sorted(map(tuple, placed.select(docs.columns).collect()), key=str) == sorted(map(tuple, docs.collect()), key=str)
+    # a source of its own without a name, and a target for it
+    rates = mixing.source_rates(docs, targets={None: 0.5, "s": 0.5})
+    mixed = mixing.replicate(docs, rates)
+    assert mixed.columns == [*docs.columns, *mixing.OUTPUTS]
+    kept = {r.text: r for r in docs.collect()}
+    rows = mixed.collect()
+    assert rows and all(tuple(r[c] for c in docs.columns) == tuple(kept[r.text]) for r in rows)
+    assert {r.source for r in rows} == {None, "s"}
+    # repeated rows draw the same count each
+    again = Counter(r.text for r in mixing.replicate(docs.union(docs), rates).collect())
+    assert again == Counter({t: 2 * n for t, n in Counter(r.text for r in rows).items()})
+
+
+def test_rows_without_doc_id_share_no_bucket(spark):
+    docs = frame(spark, [(None, f"text {i}", "s") for i in range(400)])
+    rows = sharding.shard(docs, sharding.Topology.regular(24)).collect()
+    assert len({r.shard for r in rows}) == 1 and sorted(r.slot for r in rows) == list(range(400))
+    out = mixing.replicate(docs, spark.createDataFrame([("s", 1, 30.0)], "source string, bytes bigint, rate double"))
+    keys = [r.shuffle_key for r in out.collect()]
+    assert len(set(keys)) > 0.99 * len(keys)
+
+
 def test_chat_links_and_orders(spark):
     def calls(*c):
         return json.dumps({"tool_calls": [{"id": i, "function": {"name": n, "arguments": a}} for i, n, a in c]})
