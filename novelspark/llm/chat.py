@@ -386,13 +386,55 @@ def formatted(turns: DataFrame) -> DataFrame:
     return out.select("conv_id", "position", "turn", "kind", "call_id", "status", "problems", "json")
 
 
+#: The tool that questions are put to: the schema of its arguments, as canonical JSON.
+ASK = '{"additionalProperties":false,"properties":{"context":{},"question":{"maxLength":200,"type":"string"}},"required":["question"],"type":"object"}'
+
+
+def question_calls(turns: DataFrame) -> DataFrame:
+    """Plain conversations as tool use: a user's turn calls the tool ``ask`` with the text
+    and, from the third turn on, the result of the call two turns before; an assistant's
+    turn is the result of the call one turn before; a system's turn declares the tool.
+
+    Roles and texts that are neither stay as they are; null texts are null values.
+    """
+    turn = F.col("turn").cast("bigint")
+    name = lambda back: F.concat(F.lit("t"), (turn - back).cast("string"))
+    keep = {"ignoreNullFields": "false"}
+    text = F.col("text").cast("string")
+    known = F.to_json(F.struct(F.struct(name(2).alias("$result")).alias("context"), text.alias("question")), keep)
+    first = F.to_json(F.struct(text.alias("question")), keep)
+    asked = F.to_json(F.struct(F.array(F.struct(name(0).alias("id"), F.struct(F.lit("ask").alias("name"), F.when(turn >= 2, known).otherwise(first).alias("arguments")).alias("function"))).alias("tool_calls")), keep)
+    told = F.to_json(F.struct(name(1).alias("tool_call_id"), text.alias("content")), keep)
+    said = F.concat(F.lit('{"content":'), F.coalesce(F.to_json(F.array(text)).substr(F.lit(2), F.length(F.to_json(F.array(text))) - 2), F.lit("null")), F.lit(',"tools":[{"function":{"name":"ask","parameters":' + ASK + "}}]}"))
+    return turns.select(
+        "conv_id",
+        "turn",
+        F.when(turn.isNull(), F.col("role")).when(F.col("role") == "user", "assistant").when(F.col("role") == "assistant", "tool").otherwise(F.col("role")).alias("role"),
+        F.when(turn.isNull(), text).when(F.col("role") == "user", asked).when(F.col("role") == "assistant", told).when(F.col("role") == "system", said).otherwise(text).alias("text"),
+    )
+
+
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = formatted(table(spark, sf_dir, "conversations"))
-    return out.select("conv_id", "position", "turn", "kind", "call_id", "status", "json")
+    """The given conversations hold no tool calls, so questions and answers are put as calls
+    and results; linking, order, schemas and canonical JSON then work on every turn."""
+    out = formatted(question_calls(table(spark, sf_dir, "conversations")))
+    return out.select("conv_id", "position", "turn", "kind", "call_id", "status", F.array_join("problems", "; ").alias("problems"), "json")
 
 
-#: Holds for tables without tool calls.
 ORACLE = """
-WITH items AS (SELECT conv_id, turn, '{"content":' || coalesce(to_json(text)::VARCHAR, 'null') || ',"role":' || coalesce(to_json(role)::VARCHAR, 'null') || '}' AS json FROM conversations)
-SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY turn, json) - 1)::BIGINT AS position, turn,
-  'message' AS kind, NULL::VARCHAR AS call_id, 'ok' AS status, json FROM items"""
+WITH t AS (SELECT conv_id, turn, role, coalesce(to_json(text)::VARCHAR, 'null') AS x, length(text) AS n FROM conversations),
+asks AS (SELECT conv_id, turn FROM t WHERE role = 'user'),
+tells AS (SELECT conv_id, turn - 1 AS turn FROM t WHERE role = 'assistant'),
+items AS (
+  SELECT conv_id, turn, turn AS place, 0 AS after, 'message' AS kind, NULL::VARCHAR AS call_id, 'ok' AS status, '' AS problems,
+    '{"content":' || x || ',"role":"system","tools":[{"function":{"name":"ask","parameters":""" + ASK + """}}]}' AS json FROM t WHERE role = 'system'
+  UNION ALL SELECT t.conv_id, t.turn, t.turn, 1, 'call', 't' || t.turn,
+    CASE WHEN t.turn >= 2 AND NOT EXISTS (SELECT 1 FROM asks a JOIN tells b USING (conv_id, turn) WHERE a.conv_id = t.conv_id AND a.turn = t.turn - 2) THEN 'missing_reference'
+      WHEN EXISTS (SELECT 1 FROM tells b WHERE b.conv_id = t.conv_id AND b.turn = t.turn) THEN 'linked' ELSE 'unanswered' END,
+    CASE WHEN NOT EXISTS (SELECT 1 FROM t s WHERE s.conv_id = t.conv_id AND s.role = 'system') THEN 'name: no such tool' WHEN n > 200 THEN '$.question: maxLength' ELSE '' END,
+    '{"arguments":{' || CASE WHEN t.turn >= 2 THEN '"context":{"$result":"t' || (t.turn - 2) || '"},' ELSE '' END || '"question":' || x || '},"id":"t' || t.turn || '","name":"ask","role":"assistant"}'
+    FROM t WHERE role = 'user'
+  UNION ALL SELECT t.conv_id, t.turn, CASE WHEN a.turn IS NULL THEN t.turn ELSE a.turn END, 2, 'result', 't' || (t.turn - 1),
+    CASE WHEN a.turn IS NULL THEN 'orphan_result' ELSE 'linked' END, '', '{"content":' || x || ',"role":"tool","tool_call_id":"t' || (t.turn - 1) || '"}'
+    FROM t LEFT JOIN asks a ON a.conv_id = t.conv_id AND a.turn = t.turn - 1 WHERE role = 'assistant')
+SELECT conv_id, (row_number() OVER (PARTITION BY conv_id ORDER BY place, after, turn, json) - 1)::BIGINT AS position, turn, kind, call_id, status, problems, json FROM items"""

@@ -322,6 +322,80 @@ def test_chat_links_and_orders(spark):
     assert chat.formatted(spark.createDataFrame([], "conv_id bigint, turn bigint, role string, text string")).count() == 0
 
 
+def brute_chat(rows):
+    """(conv, position, call id, status, problems) by the definition, one conversation at a time."""
+    out = []
+    for conv in {r[0] for r in rows}:
+        calls, results, schema, items = [], [], None, []
+        for _, turn, role, text in sorted((r for r in rows if r[0] == conv), key=lambda r: r[1]):
+            own = json.loads(text)
+            if role == "system":
+                schema = own["tools"][0]["function"]["parameters"]
+                items.append(((turn, 0, 0, 0, turn), None, "ok", ()))
+            elif role == "tool":
+                results.append((turn, own["tool_call_id"]))
+            else:
+                calls += [(turn, k, c["id"], c["function"]["arguments"]) for k, c in enumerate(own["tool_calls"])]
+        first = {}
+        for c in calls:
+            first.setdefault(c[2], c)
+        told = {i for _, i in results}
+        needs = lambda c: {v["$result"] for v in c[3].values() if isinstance(v, dict)}
+        place, bad = {}, {}
+        for i, c in first.items():
+            if any(n not in first or n not in told for n in needs(c)):
+                bad[i], place[i] = "missing_reference", (c[0], 0)
+            elif not needs(c):
+                place[i] = (c[0], 0)
+        while True:
+            ready = [i for i, c in first.items() if i not in place and all(n in place for n in needs(c))]
+            if not ready:
+                break
+            for i in ready:
+                last = max(place[n] for n in needs(first[i]))
+                place[i] = (last[0], last[1] + 1) if last[0] >= first[i][0] else (first[i][0], 0)
+        for c in calls:
+            turn, k, i, args = c
+            problems = ["name: no such tool"] if schema is None else [f"$.{x}: unknown" if x not in schema["properties"] else f"$.{x}: not integer" for x, v in sorted(args.items()) if not isinstance(v, dict) and (x not in schema["properties"] or not isinstance(v, int))]
+            if c is not first[i]:
+                items.append(((turn, 0, k, 1, turn), i, "duplicate_call", tuple(problems)))
+                continue
+            at = place.get(i, (turn, 0))
+            status = "cycle" if i not in place else bad.get(i) or ("linked" if i in told else "unanswered")
+            items.append(((*at, k, 1, turn), i, status, tuple(problems)))
+        for turn, i in results:
+            at = (*place.get(i, (first[i][0], 0)), first[i][1]) if i in first else (turn, 0, 0)
+            items.append(((*at, 2, turn), i, "linked" if i in first else "orphan_result", ()))
+        out += [(conv, n, *x[1:]) for n, x in enumerate(sorted(items, key=lambda x: x[0]))]
+    return out
+
+
+def test_chat_against_brute_force(spark):
+    rng = np.random.default_rng(9)
+    rows = []
+    for conv in range(60):
+        n, turn = int(rng.integers(1, 14)), 0
+        schema = {"type": "object", "properties": {"a": {"type": "integer"}, "b": {}, "c": {}}, "additionalProperties": False}
+        if conv % 3:
+            rows.append((conv, turn, "system", json.dumps({"tools": [{"function": {"name": "f", "parameters": schema}}]})))
+        for i in range(n):
+            turn += 1
+            made = []
+            for _ in range(rng.integers(1, 3)):
+                args = {k: {"$result": f"i{rng.integers(0, n + 1)}"} for k in "bc" if rng.random() < 0.35}
+                args |= {"a": 1} if rng.random() < 0.7 else {"a": "x"} if rng.random() < 0.5 else {"z": 1}
+                made.append({"id": f"i{rng.integers(0, n + 1)}" if rng.random() < 0.15 else f"i{len(rows) % 97 if rng.random() < 0.1 else i}", "function": {"name": "f", "arguments": args}})
+            if len({c["id"] for c in made}) < len(made):
+                made = made[:1]
+            rows.append((conv, turn, "assistant", json.dumps({"tool_calls": made})))
+            if rng.random() < 0.8:
+                turn += 1
+                rows.append((conv, turn, "tool", json.dumps({"tool_call_id": f"i{rng.integers(0, n + 1)}" if rng.random() < 0.2 else f"i{i}", "content": int(turn)})))
+    out = chat.formatted(spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")).collect()
+    assert sorted((r.conv_id, r.position, r.call_id or "", r.status, tuple(r.problems)) for r in out) == sorted((c, p, i or "", s, q) for c, p, i, s, q in brute_chat(rows))
+    assert {r.status for r in out} >= {"ok", "linked", "unanswered", "orphan_result", "duplicate_call", "missing_reference", "cycle"}
+
+
 def test_chat_orders_chains_of_any_length(spark, monkeypatch):
     monkeypatch.setattr(chat, "DEEPEST", 2)
     n, rows = 70, []
