@@ -4,9 +4,10 @@ Texts are lower-cased (A-Z) and cut at ASCII white space; a document's set is it
 distinct ``ngram``-word shingles, as 64-bit hashes, or its whole word sequence if it
 has fewer words.  Documents of equal sets form a class, and only classes are joined.
 
-1. Columns.  Two sets reach similarity t only if they share one of the first
-   n - ceil(t n) + 1 n-grams of each, in any one global order, so only those n-grams make
-   columns.  The order puts frequent n-grams last (frequencies of all n-grams of all
+1. Columns.  Two sets reach similarity t only if they share L of the first
+   n - ceil(t n) + L n-grams of each, in any one global order and for any L, so only those
+   n-grams make columns; L grows with n, and a class with fewer shared columns than the L
+   of its smallest possible partner goes.  The order puts frequent n-grams last (frequencies of all n-grams of all
    documents, in a sketch of fixed size), so passages that many documents share make few
    columns.  In a column, classes with no other class of a fitting size go (size bounds).
 2. Blocks.  A class's home is its fullest column.  Classes that share a column either have
@@ -35,7 +36,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import textvec
@@ -50,6 +51,8 @@ FILTER_BITS = 24
 #: Rows, and n-grams of rows, in a block, about.
 BLOCK_ROWS = 1024
 BLOCK_ITEMS = 1_500_000
+#: n-grams of a set, in hundredths, that two similar sets share in their columns, besides one.
+SHARED = 3
 #: A column is multiplied densely if that costs less than this times its pairs.
 DENSE = 150
 #: Columns in one dense step, and pairs in one sparse step.
@@ -153,6 +156,12 @@ def frequency_levels(docs: DataFrame, ngram: int = NGRAM, text: str = "text") ->
     return levels.ravel()
 
 
+def bound(n, percent: int):
+    """The least size of a set similar to one of size ``n``: of numbers or of a column."""
+    whole = percent * n + 99
+    return (whole - whole % 100) / 100 if isinstance(n, Column) else whole // 100
+
+
 def profiles(docs: DataFrame, levels: np.ndarray, ngram: int = NGRAM, percent: int = PERCENT, text: str = "text") -> DataFrame:
     """doc_id, text_hash, class, n (set size), prefix (the n-grams that bounds leave; empty
     where the task has already given that class's)."""
@@ -169,7 +178,7 @@ def profiles(docs: DataFrame, levels: np.ndarray, ngram: int = NGRAM, percent: i
                         prefixes.append(s[:0])
                         continue
                     seen.add(name)
-                    keep = len(s) - (percent * len(s) + 99) // 100 + 1 if len(s) else 0
+                    keep = len(s) - bound(len(s), percent) + 1 + len(s) * SHARED // 100 if len(s) else 0
                     far = level[(s & np.uint64(SKETCH - 1)).astype(np.int64)]
                     order = np.lexsort((s, far)) if far.any() else slice(None)
                     prefixes.append(s[order][:keep])
@@ -224,9 +233,10 @@ def columns(profile: DataFrame, percent: int = PERCENT) -> DataFrame:
     return rows.where(fits).select("gram", "class", "n", F.count(F.lit(1)).over(Window.partitionBy("gram")).alias("m"))
 
 
-def meetings(shared: DataFrame) -> DataFrame:
+def meetings(shared: DataFrame, percent: int = PERCENT) -> DataFrame:
     """class, tiles: the tiles (home, x, y, whether on the second side) that each class goes to."""
-    homes = shared.groupBy("class").agg(F.max(F.struct("m", "gram")).alias("h"), F.max("n").alias("n"))
+    homes = shared.groupBy("class").agg(F.max(F.struct("m", "gram")).alias("h"), F.max("n").alias("n"), F.count(F.lit(1)).alias("k"))
+    homes = homes.where(F.col("k") >= 1 + F.floor(bound(F.col("n"), percent) * SHARED / 100))
     homes = stored(homes.select("class", "n", F.col("h.gram").alias("home")), "homes")
     blocks = lambda rows, items: F.ceil(F.greatest(rows / BLOCK_ROWS, items / BLOCK_ITEMS))
     size = homes.groupBy("home").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("items"))
@@ -373,7 +383,7 @@ def tile_links(rows: list[tuple], same: bool, percent: int, pairs: bool) -> tupl
 def products(docs: DataFrame, profile: DataFrame, ngram: int, percent: int, text: str, pairs: bool) -> DataFrame:
     """a, b, n: what ``tile_links`` returns for every tile."""
     shared = stored(columns(profile, percent), "columns")
-    tiles = stored(meetings(shared), "tiles")
+    tiles = stored(meetings(shared, percent), "tiles")
     names = profile.where("n > 0").groupBy("class").agg(F.min("text_hash").alias("text_hash"))
     # texts travel, not sets: they are smaller, and a tile makes its sets again
     wanted = stored(names.join(tiles, "class"), "wanted")
