@@ -5,8 +5,10 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,6 +85,43 @@ def bitmap_of(rows: DataFrame, column: str, bits: int) -> np.ndarray:
     return out
 
 
+#: Numbers in one row of an array that tasks send to be summed.
+PIECE = 1 << 15
+
+
+def array_sums(rows: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], dict[str, np.ndarray]], shapes: dict[str, tuple[int, ...]]) -> dict[str, np.ndarray]:
+    """Sums over all tasks of the integer arrays that ``count`` makes of a task's rows.
+
+    Arrays are cut into pieces that are summed apart, so neither a task nor the driver
+    gets more than arrays of the given shapes, whatever the number of rows.
+    """
+    schema = "name string, piece int, numbers binary"
+
+    def batch(pieces: dict[tuple[str, int], np.ndarray]) -> pa.RecordBatch:
+        names, numbers = zip(*pieces, strict=True)
+        return pa.RecordBatch.from_arrays([pa.array(names), pa.array(numbers, pa.int32()), pa.array([x.tobytes() for x in pieces.values()], pa.binary())], ["name", "piece", "numbers"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        flat = {k: v.ravel().astype(np.int64) for k, v in count(batches).items()}
+        pieces = {(k, i): v[i * PIECE : (i + 1) * PIECE] for k, v in flat.items() for i in range(-(-len(v) // PIECE))}
+        pieces = {k: v for k, v in pieces.items() if v.any()}
+        if pieces:
+            yield batch(pieces)
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: dict[tuple[str, int], np.ndarray] = {}
+        for one in batches:
+            for name, piece, raw in zip(one.column(0).to_pylist(), one.column(1).to_pylist(), one.column(2), strict=True):
+                totals[name, piece] = totals.get((name, piece), 0) + np.frombuffer(raw.as_buffer(), np.int64)
+        if totals:
+            yield batch(totals)
+
+    out = {k: np.zeros(int(np.prod(shape)), np.int64) for k, shape in shapes.items()}
+    for row in rows.mapInArrow(run, schema).repartition("name", "piece").mapInArrow(add, schema).toLocalIterator():
+        out[row.name][row.piece * PIECE : (row.piece + 1) * PIECE] = np.frombuffer(row.numbers, np.int64)
+    return {k: v.reshape(shapes[k]) for k, v in out.items()}
+
+
 def uniform(*parts: Column | str) -> Column:
     """A draw in (0, 1) from the MD5 of the parts joined by '|'; 52 bits, never 0 or 1."""
     text = F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(p) for p in parts])

@@ -227,10 +227,60 @@ def test_scores_of_odd_inputs(spark):
 
 def test_class_prior():
     rng = np.random.default_rng(0)
-    p = rng.integers(0, 4, (3000, 3)) + np.arange(3) * 8
-    n = rng.integers(4, 8, (3000, 3)) + np.arange(3) * 8
-    u = np.concatenate([p[:2100], n[:900]])
-    assert abs(quality.estimated_prior(p, rng.permutation(u)) - 0.7) < 0.06
+    cells = lambda n, at: np.bincount(np.clip(rng.normal(at, 300, n), 0, quality.GRID - 1).astype(int), minlength=quality.GRID)
+    good = cells(3000, 3000)
+    assert abs(quality.estimated_prior(good, cells(14_000, 3000) + cells(6000, 1200)) - 0.7) < 0.04
+    assert quality.estimated_prior(np.zeros(4096, int) + (np.arange(4096) == 5), np.eye(1, 4096, 9, dtype=int)[0]) <= 0.99
+
+
+def test_risk_from_moments_against_brute_force(spark):
+    """Counts of bins and pairs, the risk and its minimum against the rows themselves."""
+    rng = np.random.default_rng(2)
+    n = len(quality.MEASURES)
+    m = rng.normal(size=(400, n)).astype(np.float32)
+    half, trusted = rng.integers(0, 2, 400), (rng.random(400) < 0.3).astype(int)
+    m[trusted == 1] += 0.4
+    rows = spark.createDataFrame([(int(h), int(t), r.tolist()) for h, t, r in zip(half, trusted, m, strict=True)], "half int, trusted int, m array<float>").repartition(3)
+    edges = quality.bin_edges(rows)
+    for k in range(n):  # quantiles, to a cell of the grid
+        share = np.searchsorted(np.sort(m[:, k]), edges[k]) / 400
+        assert np.abs(share - np.arange(1, quality.BINS) / quality.BINS).max() < 0.02
+    x = quality.indicator(quality.places(m, edges)).astype(float)
+    pairs = quality.moments(rows, edges)
+    for h in (0, 1):
+        for t in (0, 1):
+            own = x[(half == h) & (trusted == t)]
+            assert (pairs[h, t] == own.T @ own).all()
+    p, u, own = x[trusted == 1], x, quality.penalty(100)
+    for prior in (0.3, 0.95):
+        risk = quality.Risk(p.T @ p / len(p), u.T @ u / len(u), prior, own)
+
+        def brute(w):
+            plus = prior * ((1 - p @ w) ** 2).mean() / 4
+            minus = ((1 + u @ w) ** 2).mean() / 4 - prior * ((1 + p @ w) ** 2).mean() / 4
+            return plus + max(0.0, minus) + w @ own @ w  # noqa: B023
+
+        w = risk.least()
+        for _ in range(60):
+            v = w + rng.normal(size=len(w)) * 10.0 ** rng.integers(-4, 1)
+            assert risk.value(v) == pytest.approx(brute(v), rel=1e-9)
+            assert brute(w) <= brute(v) + 1e-9
+        # no direction lowers it: descend from the minimum, by differences
+        step = 1e-5
+        slopes = [(brute(w + step * d) - brute(w - step * d)) / (2 * step) for d in np.eye(len(w))[:40]]
+        assert np.abs(slopes).max() < 1e-3 or abs(risk.parts(w)[1]) < 1e-6
+
+
+def test_word_tables_against_brute_force(spark):
+    texts = ["a b a", "b c", "A  b", "", None, "x " * 50 + "y"]
+    rows = spark.createDataFrame([(t, i % 2, i % 3 == 0) for i, t in enumerate(texts)], "text string, half int, trusted boolean").selectExpr("text", "half", "cast(trusted as int) trusted")
+    got = quality.word_tables(rows.repartition(3))
+    words = [re.findall(r"\S+", (t or "").lower()) for t in texts]
+    for h in (0, 1):
+        own = [w for i, w in enumerate(words) if i % 2 == h]
+        assert got.n_web[h] == len(own) and got.web[h].sum() == sum(len(set(w)) + len(set(zip(w, w[1:], strict=False))) for w in own)
+        good = [w for i, w in enumerate(words) if i % 2 == h and i % 3 == 0]
+        assert got.n_good[h] == len(good) and got.good[h].sum() == sum(len(set(w)) + len(set(zip(w, w[1:], strict=False))) for w in good)
 
 
 def test_sharding_moves_only_into_the_new_shard(spark):
