@@ -21,16 +21,20 @@ result; other columns are not read.
 
 from __future__ import annotations
 
+import string
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import small, stored, table
 
-SAMPLES = 32
+SAMPLES = 64
 #: Rows in one range of doc_ids, about.
 RANGE_ROWS = 2000
 #: Quantiles of doc_id between which ranges are of equal width.
-COARSE = 32
+COARSE = 256
+#: Ranges whose neighbours are found in one window.
+NEAR = 1024
 
 
 def _uniform(h: Column, shift: int, bits: int) -> Column:
@@ -38,11 +42,14 @@ def _uniform(h: Column, shift: int, bits: int) -> Column:
 
 
 def draws(term: Column, k: int) -> tuple[Column, Column, Column]:
-    """r, ln c and b of a term in sample k; the term is a 64-bit hash."""
+    """r, ln c and b of a term in sample k, from one hash; the term is a 64-bit hash.
+
+    The bits of c are the most, as its smallest values decide.
+    """
     h = F.xxhash64(term, F.lit(k))
-    r = -F.log(_uniform(h, 0, 16) * _uniform(h, 16, 16))
-    ln_c = F.log(-F.log(_uniform(h, 32, 16) * _uniform(h, 48, 16)))
-    return r, ln_c, _uniform(F.xxhash64(h, F.lit(k)), 0, 31)
+    r = -F.log(_uniform(h, 0, 10) * _uniform(h, 10, 10))
+    ln_c = F.log(-F.log(_uniform(h, 20, 16) * _uniform(h, 36, 16)))
+    return r, ln_c, _uniform(h, 52, 12)
 
 
 def ln_a(r: Column, ln_c: Column, b: Column, ln_w: Column) -> Column:
@@ -55,7 +62,7 @@ def _ranges(docs: DataFrame, rows: int) -> Column:
     n, low, high = docs.agg(F.count(F.lit(1)), F.min("doc_id"), F.max("doc_id")).first()
     if n <= rows or low is None:
         return F.lit(0)
-    points = docs.select(F.percentile_approx("doc_id", [i / COARSE for i in range(1, COARSE)], 1000)).first()[0]
+    points = docs.select(F.percentile_approx("doc_id", [i / COARSE for i in range(1, COARSE)], 4 * COARSE)).first()[0]
     cuts = [low, *sorted({p for p in points if low < p <= high}), high + 1]
     fine = max(1, -(-n // rows) // (len(cuts) - 1))
     out = None
@@ -77,9 +84,14 @@ def with_next(docs: DataFrame, text: str = "text", rows: int = RANGE_ROWS) -> Da
     part = _ranges(ids, rows)
     flat = flat.withColumn("part", part)
     # of each range the least doc_id (with the null ones before all), then its least text
-    around = Window.orderBy("part")  # one row a range
     least = ids.withColumn("part", part).groupBy("part").agg(F.max(F.col("doc_id").isNull()).alias("no_id"), F.min("doc_id").alias("least"))
-    least = least.select(F.coalesce(F.lag("part").over(around), F.max("part").over(Window.partitionBy())).alias("_to"), F.when(~F.col("no_id"), F.col("least")).alias("_least"))
+    least = stored(least.select("part", F.floor(F.col("part") / NEAR).alias("group"), F.when(~F.col("no_id"), F.col("least")).alias("_least")), "range-heads")
+    # the range before: in the same group of ranges, or the last of the group before
+    last = least.groupBy(F.col("group").alias("_group")).agg(F.max("part").alias("_last"))
+    round_ = Window.orderBy("_group")  # one row for NEAR * RANGE_ROWS documents
+    last = last.select("_group", F.coalesce(F.lag("_last").over(round_), F.max("_last").over(Window.partitionBy())).alias("_before"))
+    own = F.lag("part").over(Window.partitionBy("group").orderBy("part"))
+    least = least.withColumn("_own", own).join(last, F.col("group") == F.col("_group")).select(F.coalesce("_own", "_before").alias("_to"), "_least")
     least = stored(least, "ranges")
     if small(least):
         least = F.broadcast(least)
@@ -98,7 +110,7 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     edited = F.concat(F.expr("substring(text, 1, length(text) - cast(floor(length(text) / 2) as int))"), F.substring("next", F.lit(1), half))
     rows = rows.withColumn("edited", F.coalesce(edited, F.lit("")))
     versions = F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("text").alias("x")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("x")))).alias("s")
-    cut = rows.select("part", "row", "head", versions).select("part", "row", "head", F.col("s.v").alias("v"), F.explode(F.split(F.lower("s.x"), "[ \\t\\n\\x0B\\f\\r]+")).alias("word"))
+    cut = rows.select("part", "row", "head", versions).select("part", "row", "head", F.col("s.v").alias("v"), F.explode(F.split(F.translate("s.x", string.ascii_uppercase, string.ascii_lowercase), "[ \\t\\n\\x0B\\f\\r]+")).alias("word"))
     # a word of no length stands for a text of no words, so that its row stays
     term = F.when(F.col("word") != "", F.xxhash64("word")).alias("term")
     place = ["part", "row", "head"]

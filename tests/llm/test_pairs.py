@@ -1,11 +1,14 @@
 """Near duplicates, decontamination and fingerprints against brute force."""
 
 import hashlib
+import math
 import random
 import re
+import struct
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from novelspark.llm import components, decontaminate, fingerprint, neardup, textvec
@@ -299,10 +302,56 @@ def test_fingerprints(spark):
     assert {k: sorted(v) for k, v in have.items()} == {k: sorted(v) for k, v in want.items()}
     by = {r.doc_id: r for r in got if r.doc_id not in (5,)}
     assert by[1].fingerprint == by[9].fingerprint != by[3].fingerprint
-    assert by[2].fingerprint == "0" * 256 and by[2].near_edited == 1.0 and by[2].near_next == 0.0
+    assert by[2].fingerprint == "0" * 512 and by[2].near_edited == 1.0 and by[2].near_next == 0.0
     assert fingerprint.fingerprints(frame(spark, [])).count() == 0
 
 
+def brute_signature(text):
+    """The samples of a text by the definition: (term, t) of least ln a, by its hash."""
+    from collections import Counter
+
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    least = [math.inf] * fingerprint.SAMPLES
+    for word, w in Counter(re.findall(r"[^ \t\n\x0B\f\r]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))).items():
+        term = xxhash.xxh64_intdigest(word.encode(), 42)
+        for k in range(fingerprint.SAMPLES):
+            h = xxhash.xxh64_intdigest(struct.pack("<i", k), xxhash.xxh64_intdigest(struct.pack("<q", signed(term)), 42))
+            u = lambda shift, bits: (((h >> shift) & ((1 << bits) - 1)) + 0.5) / (1 << bits)  # noqa: E731, B023
+            r, ln_c, b = -math.log(u(0, 10) * u(10, 10)), math.log(-math.log(u(20, 16) * u(36, 16))), u(52, 12)
+            least[k] = min(least[k], ln_c - r * (math.floor(math.log(w) / r + b) - b + 1))
+    return least if least[0] < math.inf else None
+
+
+def test_signatures_against_brute_force(spark):
+    rng = random.Random(8)
+    words = [f"W{i}É" for i in range(12)] + ["The", "the", "É", "é", "x" * 300]
+    rows = [(i, rng.choice([" ", "\t\n"]).join(rng.choices(words, k=rng.randrange(40)))) for i in range(60)]
+    rows += [(60, None), (61, rows[3][1]), (62, rows[3][1].swapcase()), (63, " ".join(words * 2000))]
+    got = {r.doc_id: r for r in fingerprint.fingerprints(frame(spark, rows)).collect()}
+    want = [brute_signature(t) for _, t in rows]
+    same = lambda x, y: 1.0 if x is None and y is None else 0.0 if x is None or y is None else sum(abs(a - b) < 1e-9 for a, b in zip(x, y, strict=True)) / fingerprint.SAMPLES
+    for i, (_, t) in enumerate(rows):
+        t, after = t or "", rows[(i + 1) % len(rows)][1] or ""
+        half = len(t) // 2
+        assert got[i].near_next == same(want[i], want[(i + 1) % len(rows)])
+        assert got[i].near_edited == same(want[i], brute_signature(t[: len(t) - half] + after[:half]))
+        for j in range(0, len(rows), 7):  # equal samples have equal places in the fingerprints
+            x, y = got[i].fingerprint, got[j].fingerprint
+            if want[i] and want[j]:
+                assert sum(x[8 * k : 8 * k + 8] == y[8 * k : 8 * k + 8] for k in range(fingerprint.SAMPLES)) == fingerprint.SAMPLES * same(want[i], want[j])
+    assert got[3].fingerprint == got[61].fingerprint
+
+
+def test_next_document_across_ranges(spark, monkeypatch):
+    monkeypatch.setattr(fingerprint, "NEAR", 2)
+    ids = [i * i * 7 for i in range(200)] + [10**12, None, None]
+    rows = [(d, f"t{i}") for i, d in enumerate(ids)]
+    out = fingerprint.with_next(frame(spark, rows), rows=5).where("not head").collect()
+    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1]))
+    want = {(d, t): order[(i + 1) % len(order)][1] for i, (d, t) in enumerate(order)}
+    assert {(r.doc_id, r.text): r.next for r in out} == want
+
+
 def test_collision_rate_is_weighted_jaccard(spark):
     a, b = "x " * 5 + "y " * 3 + "z w v u", "x " * 3 + "y " * 4 + "z w q r"
     docs = [(i, " ".join(f"{w}{i // 2}" for w in (a if i % 2 == 0 else b).split())) for i in range(200)]
