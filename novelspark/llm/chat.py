@@ -337,6 +337,9 @@ def _placed(calls: DataFrame, results: DataFrame) -> DataFrame:
         if not left:
             break
         of = state.select(F.col("conv_id").alias("_c"), F.col("id").alias("_n"), F.col("at").alias("_at"), F.col("level").alias("_level"), F.col("done").alias("_done"))
+        # only what still waits is joined again
+        waits = state.where("not done").select(F.col("conv_id").alias("_w"), F.col("id").alias("_x"))
+        edges = stored(edges.join(waits, F.col("conv_id").eqNullSafe(F.col("_w")) & (F.col("id") == F.col("_x")), "left_semi"), "references")
         ready = edges.join(of, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("need") == F.col("_n"))).groupBy(F.col("conv_id").alias("_c"), F.col("id").alias("_i")).agg(F.min("_done").alias("_all"), F.max(F.struct("_at", "_level")).alias("_last"))
         new = state.join(ready, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("id") == F.col("_i")), "left")
         now = ~F.col("done") & F.coalesce("_all", F.lit(False))
@@ -392,7 +395,7 @@ ASK = '{"additionalProperties":false,"properties":{"context":{},"question":{"max
 
 def question_calls(turns: DataFrame) -> DataFrame:
     """Plain conversations as tool use: a user's turn calls the tool ``ask`` with the text
-    and, from the third turn on, the result of the call two turns before; an assistant's
+    and, for every second question, the result of the call two turns before; an assistant's
     turn is the result of the call one turn before; a system's turn declares the tool.
 
     Roles and texts that are neither stay as they are; null texts are null values.
@@ -403,7 +406,7 @@ def question_calls(turns: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     known = F.to_json(F.struct(F.struct(name(2).alias("$result")).alias("context"), text.alias("question")), keep)
     first = F.to_json(F.struct(text.alias("question")), keep)
-    asked = F.to_json(F.struct(F.array(F.struct(name(0).alias("id"), F.struct(F.lit("ask").alias("name"), F.when(turn >= 2, known).otherwise(first).alias("arguments")).alias("function"))).alias("tool_calls")), keep)
+    asked = F.to_json(F.struct(F.array(F.struct(name(0).alias("id"), F.struct(F.lit("ask").alias("name"), F.when(turn % 4 >= 2, known).otherwise(first).alias("arguments")).alias("function"))).alias("tool_calls")), keep)
     told = F.to_json(F.struct(name(1).alias("tool_call_id"), text.alias("content")), keep)
     said = F.concat(F.lit('{"content":'), F.coalesce(F.to_json(F.array(text)).substr(F.lit(2), F.length(F.to_json(F.array(text))) - 2), F.lit("null")), F.lit(',"tools":[{"function":{"name":"ask","parameters":' + ASK + "}}]}"))
     return turns.select(
@@ -429,10 +432,10 @@ items AS (
   SELECT conv_id, turn, turn AS place, 0 AS after, 'message' AS kind, NULL::VARCHAR AS call_id, 'ok' AS status, '' AS problems,
     '{"content":' || x || ',"role":"system","tools":[{"function":{"name":"ask","parameters":""" + ASK + """}}]}' AS json FROM t WHERE role = 'system'
   UNION ALL SELECT t.conv_id, t.turn, t.turn, 1, 'call', 't' || t.turn,
-    CASE WHEN t.turn >= 2 AND NOT EXISTS (SELECT 1 FROM asks a JOIN tells b USING (conv_id, turn) WHERE a.conv_id = t.conv_id AND a.turn = t.turn - 2) THEN 'missing_reference'
+    CASE WHEN t.turn % 4 >= 2 AND NOT EXISTS (SELECT 1 FROM asks a JOIN tells b USING (conv_id, turn) WHERE a.conv_id = t.conv_id AND a.turn = t.turn - 2) THEN 'missing_reference'
       WHEN EXISTS (SELECT 1 FROM tells b WHERE b.conv_id = t.conv_id AND b.turn = t.turn) THEN 'linked' ELSE 'unanswered' END,
     CASE WHEN NOT EXISTS (SELECT 1 FROM t s WHERE s.conv_id = t.conv_id AND s.role = 'system') THEN 'name: no such tool' WHEN n > 200 THEN '$.question: maxLength' ELSE '' END,
-    '{"arguments":{' || CASE WHEN t.turn >= 2 THEN '"context":{"$result":"t' || (t.turn - 2) || '"},' ELSE '' END || '"question":' || x || '},"id":"t' || t.turn || '","name":"ask","role":"assistant"}'
+    '{"arguments":{' || CASE WHEN t.turn % 4 >= 2 THEN '"context":{"$result":"t' || (t.turn - 2) || '"},' ELSE '' END || '"question":' || x || '},"id":"t' || t.turn || '","name":"ask","role":"assistant"}'
     FROM t WHERE role = 'user'
   UNION ALL SELECT t.conv_id, t.turn, CASE WHEN a.turn IS NULL THEN t.turn ELSE a.turn END, 2, 'result', 't' || (t.turn - 1),
     CASE WHEN a.turn IS NULL THEN 'orphan_result' ELSE 'linked' END, '', '{"content":' || x || ',"role":"tool","tool_call_id":"t' || (t.turn - 1) || '"}'
