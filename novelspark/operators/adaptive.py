@@ -6,11 +6,13 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from novelspark.functions import metrics
 from novelspark.plans import epsjoin
+from novelspark.plans.ordered import before, ranged
+from novelspark.plans.shared import stored
 
 
 def poincare_embed(x: Column, specificity: Column, low: float = 0.05, high: float = 0.9) -> Column:
@@ -41,23 +43,27 @@ def k_distances(points: DataFrame, distance: str, k: int) -> DataFrame:
 
 def knee(curve: DataFrame, value: str) -> DataFrame:
     """epsilon: the value of a sorted curve furthest from its chord, ends left out; the first
-    value if the curve is flat or has fewer than three points.  The curve is a calibration
-    sample's; one window orders it."""
-    w = Window.orderBy(value)
+    value if the curve is flat or has fewer than three points."""
     stats = curve.agg(F.min(value).alias("low"), F.max(value).alias("high"), F.count(F.lit(1)).alias("n")).first()
     if not stats["n"] or stats["n"] < 3 or stats["high"] <= stats["low"]:
         return curve.agg(F.min(value).alias("epsilon"))
-    rows = curve.select(value).withColumn("r", F.row_number().over(w) - 1)
-    x, y = F.col("r") / (stats["n"] - 1), (F.col(value) - stats["low"]) / (stats["high"] - stats["low"])
-    inner = rows.where((F.col("r") > 0) & (F.col("r") < stats["n"] - 1)).withColumn("gap", F.abs(y - x))
-    return inner.orderBy(F.desc("gap"), "r").limit(1).select(F.col(value).alias("epsilon"))
+    # of equal values the first and the last place count, so one row a value is enough
+    per = stored(curve.groupBy(F.col(value).alias("v")).agg(F.count(F.lit(1)).alias("c")), "curve")
+    per = before(ranged(per, "v"), [], ["v"], F.col("c"), "sum", "r").withColumn("r", F.coalesce("r", F.lit(0)))
+    ends = per.select("v", F.explode(F.array(F.greatest("r", F.lit(1)), F.least(F.col("r") + F.col("c") - 1, F.lit(stats["n"] - 2)))).alias("p"), "r", "c")
+    ends = ends.where((F.col("p") >= F.col("r")) & (F.col("p") < F.col("r") + F.col("c")))
+    gap = F.abs((F.col("v") - stats["low"]) / (stats["high"] - stats["low"]) - F.col("p") / (stats["n"] - 1))
+    return ends.withColumn("gap", gap).orderBy(F.desc("gap"), "p").limit(1).select(F.col("v").alias("epsilon"))
 
 
 def specificity(points: DataFrame, k: int = 8) -> DataFrame:
     """i, specificity: the rank (0 to 1) of one minus the mean similarity of the k nearest."""
     right = points.select(F.col("i").alias("j"), F.col("x").alias("y"))
     near = epsjoin.nearest(points, right, "cosine", k=k, other=True).groupBy("i").agg(F.avg("d").alias("far"))
-    return near.select("i", F.percent_rank().over(Window.orderBy("far", "i")).alias("specificity"))
+    near = stored(near, "specificity")
+    n = near.count()
+    rows = before(ranged(near, "far"), [], ["far", "i"], F.lit(1), "count", "r")
+    return rows.select("i", (F.coalesce("r", F.lit(0)) / F.lit(float(max(1, n - 1)))).alias("specificity"))
 
 
 class IsolationForest:

@@ -6,13 +6,14 @@ from collections import OrderedDict, deque
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from novelspark.functions import metrics
 from novelspark.operators.packing import first_fit_vectors
 from novelspark.plans import epsjoin
-from novelspark.plans.shared import stored
+from novelspark.plans.ordered import before, ranged
+from novelspark.plans.shared import small, stored
 
 
 def reuse(labels: DataFrame, truth: DataFrame, seq: str, label: str) -> DataFrame:
@@ -67,26 +68,53 @@ def margin(points: DataFrame, label: str, distance: str = "cosine") -> DataFrame
     return out.withColumn("margin", F.col("least_cross") - F.col("most_within"))
 
 
+#: Candidates for the next picks that one job brings, the furthest points.
+AHEAD = 256
+
+
 def packing_curve(points: DataFrame, grid: list[float], distance: str = "cosine") -> DataFrame:
     """epsilon, picks: farthest-point picks beyond the first point until all are within epsilon.
 
     One pass of picks serves the whole grid: the k-th pick's distance falls, so a grid
-    entry's count is how many picks were further than it.  Each pick is one job over the
-    points, which keep their distance to the picks so far.
+    entry's count is how many picks were further than it.  A job brings the ``AHEAD``
+    furthest points; picks are made among them while the furthest is further than every
+    point that was not brought, then the points' distances take these picks in.
     """
-    of = metrics.metric(distance)
     least = min(grid)
-    seed = points.orderBy("i").select("x").first()
-    now = stored(points.withColumn("d", of(F.col("x"), F.array(*[F.lit(float(v)) for v in seed["x"]]))), "farthest")
+    seed = points.orderBy("i").select("i", "x").first()
     far: list[float] = []
+    if seed is None:
+        return points.sparkSession.createDataFrame([(float(e), 0) for e in grid], "epsilon double, picks bigint")
+
+    def closer(rows: DataFrame, picks: np.ndarray) -> DataFrame:
+        def run(batches):
+            for batch in batches:
+                x = np.stack(batch["x"].to_numpy()) if len(batch) else np.zeros((0, picks.shape[1]))
+                d = batch["d"].to_numpy(dtype=float)
+                for p in picks:
+                    d = np.minimum(d, metrics.exact(distance, x, np.broadcast_to(p, x.shape)))
+                yield batch.assign(d=d)
+
+        return stored(rows.mapInPandas(run, "i bigint, x array<double>, d double"), "farthest")
+
+    rows = points.select(F.col("i").cast("bigint").alias("i"), metrics.doubles("x").alias("x"), F.lit(float("inf")).alias("d"))
+    now = closer(rows, np.array([seed["x"]], float))
     while True:
-        best = now.orderBy(F.desc("d"), "i").select("i", "x", "d").first()
-        if best is None or not best["d"] > least:
+        ahead = now.orderBy(F.desc("d"), "i").limit(AHEAD + 1).toPandas()  # at most AHEAD + 1 rows
+        rest = float(ahead["d"].iloc[-1]) if len(ahead) > AHEAD else -np.inf
+        ahead = ahead.iloc[:AHEAD]
+        x, d, i, picks = np.stack(ahead["x"].to_numpy()), ahead["d"].to_numpy(dtype=float).copy(), ahead["i"].to_numpy(), []
+        while True:
+            k = int(np.lexsort((i, -d))[0])
+            # an equal one that was not brought might come first: only the first pick may tie
+            if not d[k] > least or (d[k] <= rest and picks):
+                break
+            far.append(float(d[k]))
+            picks.append(x[k])
+            d = np.minimum(d, metrics.exact(distance, x, np.broadcast_to(x[k], x.shape)))
+        if not picks:
             break
-        far.append(best["d"])
-        now = now.withColumn("d", F.least("d", of(F.col("x"), F.array(*[F.lit(float(v)) for v in best["x"]]))))
-        if len(far) % 10 == 0:
-            now = stored(now, "farthest")
+        now = closer(now, np.array(picks))
     rows = [(float(e), sum(d > e for d in far)) for e in grid]
     return points.sparkSession.createDataFrame(rows, "epsilon double, picks bigint")
 
@@ -104,8 +132,17 @@ def economics(labels: DataFrame, tokens: float, price: float) -> DataFrame:
     return out.withColumns({"ratio": F.round(F.col("rows") / F.col("representatives"), 9), "saved_share": F.round(spare / F.col("rows"), 9), "saved_cost": F.round(spare * F.lit(tokens * price), 9)})
 
 
+#: Most settings that are compared with one another.
+SETTINGS = 10_000
+
+
 def pareto(rows: DataFrame, name: str, gains: list[str]) -> DataFrame:
-    """Rows that no other one equals or beats in all gains and beats in one (a few settings)."""
+    """Rows that no other one equals or beats in all gains and beats in one.
+
+    Rows are the settings of a sweep: at most ``SETTINGS``, which are broadcast.
+    """
+    if not small(rows, SETTINGS):
+        raise ValueError(f"more than {SETTINGS} settings")
     other = rows.select(F.col(name).alias("_n"), *[F.col(g).alias(f"_{g}") for g in gains])
     better = F.lit(True)
     strict = F.lit(False)
@@ -248,10 +285,10 @@ def ids_gate(benign: DataFrame, asked: DataFrame, epsilon: float, distance: str
 
 def auc(rows: DataFrame, score: str, positive: Column) -> DataFrame:
     """auc: the share of (positive, other) pairs that the score orders right, ties half."""
-    per = rows.groupBy(score).agg(F.sum(positive.cast("bigint")).alias("p"), F.sum((~positive).cast("bigint")).alias("n"))
-    w = Window.orderBy(score).rowsBetween(Window.unboundedPreceding, -1)
-    per = per.withColumn("below", F.coalesce(F.sum("n").over(w), F.lit(0)))
-    return per.agg((F.sum(F.col("p") * (F.col("below") + F.col("n") / 2)) / (F.sum("p") * F.sum("n"))).alias("auc"))
+    per = rows.groupBy(F.col(score).alias("v")).agg(F.sum(positive.cast("bigint")).alias("p"), F.sum((~positive).cast("bigint")).alias("n"))
+    per = before(ranged(stored(per, "scores"), "v"), [], ["v"], F.col("n"), "sum", "below")
+    below = F.coalesce("below", F.lit(0))
+    return per.agg((F.sum(F.col("p") * (below + F.col("n") / 2)) / (F.sum("p") * F.sum("n"))).alias("auc"))
 
 
 def wilson(successes: Column, n: Column, z: float = 1.959963984540054) -> tuple[Column, Column]:
@@ -261,11 +298,11 @@ def wilson(successes: Column, n: Column, z: float = 1.959963984540054) -> tuple[
     return (middle - wide) / (1 + z * z / n), (middle + wide) / (1 + z * z / n)
 
 
-def permutation_test(differences: DataFrame, value: str, rounds: int = 1000, seed: int = 0) -> DataFrame:
-    """mean, p_value of matched differences under random signs; each round is one group."""
-    flip = F.when(F.pmod(F.xxhash64("_id", "_r", F.lit(seed)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
-    rows = differences.withColumn("_id", F.monotonically_increasing_id())
-    signs = rows.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+def permutation_test(differences: DataFrame, value: str, seq: str, rounds: int = 1000, seed: int = 0) -> DataFrame:
+    """mean, p_value of matched differences under random signs, which ``seq`` (unique) draws;
+    each round is one group."""
+    flip = F.when(F.pmod(F.xxhash64(seq, "_r", F.lit(seed)), F.lit(2)) == 0, 1.0).otherwise(-1.0)
+    signs = differences.withColumn("_r", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
     means = signs.groupBy("_r").agg(F.avg(F.col(value) * flip).alias("m"))
     real = differences.agg(F.avg(value)).first()[0]
     return means.agg(F.lit(real).alias("mean"), ((F.sum((F.abs("m") >= abs(real)).cast("int")) + 1) / (F.lit(rounds) + 1)).alias("p_value"))

@@ -3,8 +3,10 @@
 First fit is the first maximal independent set in row order of the graph "an earlier row
 would cover me", so it is found in rounds: an undecided row with no undecided row before
 it that would cover it is a representative; rows that a representative covers are done.
-A few rounds decide rows in any usual order.  Where a chain makes too many, the rest is
-labelled row by row, each key in a task of its own.
+A few rounds decide rows in any usual order.  Where a chain makes more than ``ROUNDS``, the
+undecided rows are settled block by block in row order: a block of at most
+``SETTLE_ROWS`` rows is labelled row by row, then what its representatives cover leaves
+the blocks that follow.  Any stream so ends, and no task gets more than a block.
 """
 
 from __future__ import annotations
@@ -15,85 +17,103 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from novelspark.functions import metrics
-from novelspark.operators.novelty import around, cells
+from novelspark.operators.novelty import cells, near_pairs
 from novelspark.plans import epsjoin
+from novelspark.plans.ordered import before, ranged
 from novelspark.plans.shared import stored
 
-MAX_ROUNDS = 200
+ROUNDS = 12
+#: Undecided rows that are labelled row by row at a time.
+SETTLE_ROWS = 4000
 #: Rows of one order block of vectors: each block is compared with earlier
 #: representatives first, and only what is left is joined with itself.
 ORDER_BLOCK = 20_000
 
 
-def first_fit(df: DataFrame, seq: str, x: Column, epsilon: float, dimension: int = 1, distance: str = "linf", keys: list[str] | None = None, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def first_fit(df: DataFrame, seq: str, x: Column, epsilon: float, dimension: int = 1, distance: str = "linf", keys: list[str] | None = None, rounds: int = ROUNDS) -> DataFrame:
     """keys, seq, is_novel, representative (seq of the closest earlier representative that
     covers the row, or its own), distance; in a few dimensions, by cells."""
     keys = keys or []
     points = stored(df.select(*keys, F.col(seq).alias("s"), x.alias("p")), "points")
-    measure = metrics.metric(distance)
+    near = lambda few, many: near_pairs(few, "fp", many, "p", keys, epsilon, dimension, distance)
     # rows at one point share the fate of the first of them
-    left = points.groupBy(*keys, "p").agg(F.min("s").alias("s")).withColumn("cell", cells(F.col("p"), epsilon, dimension, distance))
-    left = stored(left, "undecided")
+    left = points.groupBy(*keys, "p").agg(F.min("s").alias("s"))
+    left = stored(left.withColumn("cell", cells(F.col("p"), epsilon, dimension, distance) if epsilon > 0 else F.col("p")), "undecided")
     found: DataFrame | None = None
-    for _ in range(max_rounds):
-        if not left.head(1):
-            break
-        first = left.groupBy(*keys, "cell").agg(F.min(F.struct("s", "p")).alias("f")).select(*keys, "cell", F.col("f.s").alias("fs"), F.col("f.p").alias("fp"))
-        near = around(first, dimension, distance).drop("cell").withColumnRenamed("near", "cell")
-        within = measure(F.col("fp"), F.col("p")) <= F.lit(epsilon)
-        blocked = near.join(left, [*keys, "cell"]).where((F.col("s") < F.col("fs")) & within).select(*keys, "fs").distinct()
-        new = stored(first.join(blocked, [*keys, "fs"], "left_anti"), "representatives")
+
+    def take(new: DataFrame) -> None:
+        """Adds representatives (keys, fs, fp), and drops what they cover."""
+        nonlocal found, left
+        new = stored(new, "representatives")
         found = new if found is None else found.unionByName(new)
-        near = around(new, dimension, distance).drop("cell").withColumnRenamed("near", "cell")
-        done = near.join(left, [*keys, "cell"]).where((F.col("s") >= F.col("fs")) & within).select(*keys, "s").distinct()
+        done = near(new, left.drop("cell")).where(F.col("s") >= F.col("fs")).select(*keys, "s").distinct()
         left = stored(left.join(done, [*keys, "s"], "left_anti").select(*left.columns), "undecided")
-    else:
-        if left.head(1):
-            found = found.unionByName(_one_by_one(left, found, keys, epsilon, distance))
+
+    for _ in range(rounds):
+        if not left.head(1):
+            break
+        first = left.groupBy(*keys, "cell").agg(F.min(F.struct("s", "p")).alias("f")).select(*keys, F.col("f.s").alias("fs"), F.col("f.p").alias("fp"))
+        blocked = near(first, left.drop("cell")).where(F.col("s") < F.col("fs")).select(*keys, "fs").distinct()
+        take(first.join(blocked, [*keys, "fs"], "left_anti"))
+    while left.head(1):
+        take(_one_by_one(left.orderBy("s", *keys).limit(SETTLE_ROWS), keys, epsilon, distance))
     if found is None:
         return points.select(*keys, F.col("s").alias(seq), F.lit(True).alias("is_novel"), F.col("s").alias("representative"), F.lit(0.0).alias("distance"))
-    near = around(found, dimension, distance).drop("cell").withColumnRenamed("near", "cell")
-    every = points.withColumn("cell", cells(F.col("p"), epsilon, dimension, distance))
-    d = measure(F.col("fp"), F.col("p"))
-    near = every.join(near, [*keys, "cell"]).withColumn("d", d).where((F.col("s") >= F.col("fs")) & (F.col("d") <= F.lit(epsilon)))
-    best = near.groupBy(*keys, "s").agg(F.min(F.struct(F.when(F.col("s") == F.col("fs"), F.lit(-1.0)).otherwise(F.col("d")).alias("o"), "fs", "d")).alias("m"))
+    covering = near(found, points).where(F.col("s") >= F.col("fs"))
+    best = covering.groupBy(*keys, "s").agg(F.min(F.struct(F.when(F.col("s") == F.col("fs"), F.lit(-1.0)).otherwise(F.col("d")).alias("o"), "fs", "d")).alias("m"))
     return best.select(*keys, F.col("s").alias(seq), (F.col("m.fs") == F.col("s")).alias("is_novel"), F.col("m.fs").alias("representative"), F.col("m.d").alias("distance"))
 
 
-def _one_by_one(left: DataFrame, found: DataFrame, keys: list[str], epsilon: float, distance: str) -> DataFrame:
-    schema = left.select(*keys, "cell", F.col("s").alias("fs"), F.col("p").alias("fp")).schema
-    one = [F.lit(0).alias("_k")]
-    a = left.select(*(keys or one), "cell", "s", "p")
-    b = found.select(*(keys or one), "fs", "fp")
+def _one_by_one(left: DataFrame, keys: list[str], epsilon: float, distance: str) -> DataFrame:
+    """The representatives among at most ``SETTLE_ROWS`` rows that no representative covers yet."""
+    out = left.select(*keys, F.col("s").alias("fs"), F.col("p").alias("fp"))
 
-    def run(rows: pd.DataFrame, reps: pd.DataFrame) -> pd.DataFrame:
-        have = [np.array(v) for v in reps["fp"]]
-        at = []
-        for k, p in zip(rows.sort_values("s").index, rows.sort_values("s")["p"], strict=True):
-            v = np.array(p)
-            if not have or metrics.exact(distance, np.stack(have), np.tile(v, (len(have), 1))).min() > epsilon:
-                have.append(v)
-                at.append(k)
-        out = rows.loc[at].rename(columns={"s": "fs", "p": "fp"})
-        return out[[f.name for f in schema]]
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("fs")
+        v = np.stack(rows["fp"].to_numpy())
+        free, kept = np.ones(len(v), bool), []
+        for i in range(len(v)):
+            if free[i]:
+                kept.append(i)
+                free[i:] &= metrics.exact(distance, np.broadcast_to(v[i], v[i:].shape), v[i:]) > epsilon
+        return rows.iloc[kept]
 
-    by = keys or ["_k"]
-    return a.groupBy(*by).cogroup(b.groupBy(*by)).applyInPandas(run, schema)
+    if keys:
+        return out.groupBy(*keys).applyInPandas(run, out.schema)
+    return out.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(lambda rows: run(rows.drop(columns="_one")), out.schema)
 
 
-def independent(nodes: DataFrame, edges: DataFrame, max_rounds: int = MAX_ROUNDS) -> DataFrame:
+def independent(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     """``nodes`` (i) that are representatives, for ``edges`` (i, j): j is earlier and would cover i."""
     left, links, found = nodes.select("i"), edges.select("i", "j"), None
-    for _ in range(max_rounds):
-        waiting = links.select("i").distinct()
-        new = stored(left.join(waiting, "i", "left_anti"), "representatives")
+
+    def take(new: DataFrame) -> None:
+        nonlocal found, left, links
+        new = stored(new, "representatives")
         found = new if found is None else found.union(new)
         covered = links.join(new.select(F.col("i").alias("j")), "j", "left_semi").select("i").distinct()
         left = stored(left.join(new, "i", "left_anti").join(covered, "i", "left_anti"), "undecided")
+        links = stored(links.join(left, "i", "left_semi").join(left.select(F.col("i").alias("j")), "j", "left_semi").select("i", "j"), "edges")
+
+    for _ in range(rounds):
+        take(left.join(links.select("i").distinct(), "i", "left_anti"))
         if not left.head(1):
             return found
-        links = stored(links.join(left, "i", "left_semi").join(left.select(F.col("i").alias("j")), "j", "left_semi").select("i", "j"), "edges")
-    raise RuntimeError(f"undecided rows after {max_rounds} rounds; use keys to split the stream")
+    while left.head(1):
+        block = stored(left.orderBy("i").limit(SETTLE_ROWS), "block")
+        own = links.join(block, "i", "left_semi").join(block.select(F.col("i").alias("j")), "j", "left_semi")
+        # one row for each row of the block, with its earlier neighbours in it
+        lists = block.join(own.groupBy("i").agg(F.collect_list("j").alias("js")), "i", "left")
+
+        def run(rows: pd.DataFrame) -> pd.DataFrame:
+            kept: set[int] = set()
+            for i, js in rows.sort_values("i")[["i", "js"]].itertuples(index=False):
+                if js is None or kept.isdisjoint(js):
+                    kept.add(i)
+            return pd.DataFrame({"i": sorted(kept)}, dtype="int64")
+
+        take(lists.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(run, "i bigint"))
+    return found
 
 
 def first_fit_vectors(df: DataFrame, seq: str, x: str, epsilon: float, distance: str = "cosine", radius: Column | None = None) -> DataFrame:
@@ -188,5 +208,9 @@ def stats(labels: DataFrame, group: list[str] | None = None) -> DataFrame:
 
 def slots(labels: DataFrame, seq: str, keys: list[str] | None = None) -> DataFrame:
     """Representatives with their slot (rank among the representatives of a key, from 0)."""
-    w = Window.partitionBy(*(keys or [F.lit(0)])).orderBy(seq)
-    return labels.where("is_novel").withColumn("slot", (F.row_number().over(w) - 1).cast("bigint"))
+    reps = labels.where("is_novel")
+    if keys:
+        w = Window.partitionBy(*keys).orderBy(seq)
+        return reps.withColumn("slot", (F.row_number().over(w) - 1).cast("bigint"))
+    rows = ranged(stored(reps, "representatives"), seq)
+    return before(rows, [], [seq], F.lit(1), "count", "slot").drop("_range").withColumn("slot", F.col("slot").cast("bigint"))

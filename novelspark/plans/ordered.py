@@ -9,20 +9,32 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Most ranges that rows are cut into.
-RANGES = 128
-ROWS_A_RANGE = 5000
+ROWS_A_RANGE = 50_000
+#: Cuts that are looked for in a list; more are found by the number of a coarse one first.
+LISTED = 64
 
 
 def ranged(df: DataFrame, by: str, out: str = "_range") -> DataFrame:
-    """Adds the number of the range of ``by`` that a row is in; equal values are together."""
+    """Adds the number of the range of ``by`` that a row is in; equal values are together.
+
+    There are as many ranges as ``ROWS_A_RANGE`` asks for, or a few for each shuffle
+    partition of the session if that is more, whatever the number of rows.
+    """
     n = df.count()
-    parts = min(RANGES, max(1, n // ROWS_A_RANGE))
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(1, min(n // 500, max(least, n // ROWS_A_RANGE)))
     if parts == 1:
         return df.withColumn(out, F.lit(0))
-    cuts = df.select(F.percentile_approx(by, [i / parts for i in range(1, parts)], 2000)).first()[0] or []
-    listed = F.array(*[F.lit(c) for c in sorted(set(cuts))])
-    return df.withColumn(out, F.size(F.filter(listed, lambda c: c < F.col(by))))
+    cuts = df.select(F.percentile_approx(by, [i / parts for i in range(1, parts)], 4 * parts)).first()[0] or []
+    return df.withColumn(out, _above(sorted(set(cuts)), F.col(by)))
+
+
+def _above(cuts: list, value: Column) -> Column:
+    """How many cuts are below the value, by a tree of conditions."""
+    if len(cuts) <= LISTED:
+        return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < value)) if cuts else F.lit(0)
+    middle = len(cuts) // 2
+    return F.when(cuts[middle] < value, F.lit(middle + 1) + _above(cuts[middle + 1 :], value)).otherwise(_above(cuts[:middle], value))
 
 
 def before(df: DataFrame, group: list[str], order: list[Column | str], value: Column, kind: str, out: str, part: str = "_range", after: bool = False) -> DataFrame:

@@ -10,7 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession, what: str) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + os.path.join(tempfile.gettempdir(), "novelspark-shared")
+    """A new folder below ``spark.checkpoint.dir``; only in local mode may that be unset."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = "file://" + os.path.join(tempfile.gettempdir(), "novelspark-shared")
     return f"{root.rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 

@@ -1,6 +1,7 @@
 import numpy as np
 from pyspark.sql import functions as F
 
+from novelspark.functions import metrics
 from novelspark.operators import adaptive, evaluate, persistence, replicas, tower, traces
 from novelspark.plans import ordered
 
@@ -112,6 +113,49 @@ def test_call_tree_and_depths(spark):
 
 
 def test_permutation_test(spark):
-    df = spark.createDataFrame([(1.0,)] * 12, "d double")
-    r = evaluate.permutation_test(df, "d", 200).first()
+    df = spark.createDataFrame([(i, 1.0) for i in range(12)], "seq bigint, d double")
+    r = evaluate.permutation_test(df, "d", "seq", 200).first()
     assert r["mean"] == 1.0 and r.p_value < 0.05
+    # signs are drawn by seq, however rows are dealt
+    mixed = spark.createDataFrame([(i, (-1.0) ** i * i) for i in range(40)], "seq bigint, d double")
+    one, two = (evaluate.permutation_test(d, "d", "seq", 100).first() for d in (mixed, mixed.repartition(7)))
+    assert one.p_value == two.p_value
+
+
+def test_packing_curve_is_farthest_first(spark, monkeypatch):
+    monkeypatch.setattr(evaluate, "AHEAD", 7)
+    rng = np.random.default_rng(3)
+    x = np.round(rng.random((120, 3)), 1)
+    grid = [0.1, 0.25, 0.5, 0.8]
+    for distance in ("l2", "linf"):
+        d, far = metrics.exact(distance, x, np.broadcast_to(x[0], x.shape)), []
+        while d.max() > min(grid):
+            k = int(np.argmax(d))
+            far.append(d[k])
+            d = np.minimum(d, metrics.exact(distance, x, np.broadcast_to(x[k], x.shape)))
+        got = evaluate.packing_curve(spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(x)], "i bigint, x array<double>"), grid, distance).collect()
+        assert [(r.epsilon, r.picks) for r in got] == [(e, sum(f > e for f in far)) for e in grid]
+
+
+def test_knee_and_specificity_by_ranges(spark):
+    rng = np.random.default_rng(4)
+    values = np.round(np.sort(rng.random(2300) ** 3), 2)
+    got = adaptive.knee(spark.createDataFrame([(float(v),) for v in values], "d double"), "d").first().epsilon
+    gap = np.abs((values - values[0]) / (values[-1] - values[0]) - np.arange(len(values)) / (len(values) - 1))
+    assert got == values[1 + int(np.argmax(gap[1:-1]))] == adaptive.EpsilonTree.knee_of(values)
+    assert adaptive.knee(spark.createDataFrame([(1.0,), (1.0,)], "d double"), "d").first().epsilon == 1.0
+    v = rng.standard_normal((60, 4))
+    points = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(v)], "i bigint, x array<double>")
+    unit = v / np.linalg.norm(v, axis=1)[:, None]
+    far = np.sort(1 - unit @ unit.T, axis=1)[:, 1:9].mean(axis=1)
+    want = np.argsort(np.argsort(far, kind="stable"), kind="stable") / 59
+    assert np.allclose([r.specificity for r in adaptive.specificity(points).orderBy("i").collect()], want)
+
+
+def test_tower_query_names_the_unseen_levels(spark):
+    seen = spark.createDataFrame([(0, 0.8), (1, 0.1), (2, 0.7)], "seq bigint, v double")
+    table = tower.occupancy(seen, "seq", "v", 0.0, 1.0, 4)
+    asked = spark.createDataFrame([(0.8,), (0.85,), (0.3,), (0.6,), (2.0,)], "q double")
+    got = {r.q: r.unseen for r in tower.query(asked, "q", table, 0.0, 1.0, 4).collect()}
+    cells = [{int(v * 2**k) for v in (0.8, 0.1, 0.7)} for k in range(4)]
+    assert got == {q: [k for k in range(4) if int(q * 2**k) not in cells[k]] for q in (0.8, 0.85, 0.3, 0.6)}

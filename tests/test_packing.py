@@ -31,7 +31,7 @@ def test_first_fit_by_cells(spark, dimension, distance, epsilon):
 def test_sequential_rest_equals_rounds(spark):
     df = spark.createDataFrame([(i, "ab"[i % 2], i * 0.3) for i in range(60)], "seq bigint, k string, v double")
     rounds = packing.first_fit(df, "seq", novelty.vector("v"), 1.0, keys=["k"]).collect()
-    forced = packing.first_fit(df, "seq", novelty.vector("v"), 1.0, keys=["k"], max_rounds=1).collect()
+    forced = packing.first_fit(df, "seq", novelty.vector("v"), 1.0, keys=["k"], rounds=1).collect()
     assert sorted(map(tuple, rounds)) == sorted(map(tuple, forced))
 
 
@@ -116,3 +116,34 @@ def test_invalid_and_empty(spark):
     assert packing.first_fit(none, "seq", novelty.vector("v"), 1.0).count() == 0
     assert intervals.observe(none, "seq", "v", 1.0).count() == 0
     assert intervals.union(none, F.col("v"), F.col("v")).count() == 0
+
+
+def test_drift_of_any_length(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SETTLE_ROWS", 150)
+    rows = [(i, [0.9 * i, 0.0]) for i in range(500)]
+    df = spark.createDataFrame(rows, "seq bigint, x array<double>")
+    want = {i: i % 2 == 0 for i in range(500)}
+    got = {r.seq: r.is_novel for r in packing.first_fit_vectors(df, "seq", "x", 1.0, "l2").collect()}
+    assert got == want
+    line = packing.first_fit(df, "seq", novelty.vector(F.element_at("x", 1)), 1.0)
+    assert {r.seq: r.is_novel for r in line.collect()} == want
+
+
+@pytest.mark.parametrize("distance", ["linf", "l1", "l2"])
+@pytest.mark.parametrize("dimension", [1, 2, 5, 8])
+def test_boxes_to_eight_axes(spark, distance, dimension):
+    rng = np.random.default_rng(dimension)
+    points = np.round(rng.random((220, dimension)) * 2, 2)
+    epsilon = {1: 0.05, 2: 0.2, 5: 0.7, 8: 1.0}[dimension] * {"linf": 1.0, "l2": 1.3, "l1": 2.0}[distance]
+    df = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "seq bigint, x array<double>")
+    kept, novel, history = [], [], []
+    for i, p in enumerate(points):
+        far = [metrics.exact(distance, q[None], p[None])[0] for q in points[:i]]
+        history.append(not any(d <= epsilon for d in far))
+        novel.append(not any(far[j] <= epsilon for j in kept))
+        if novel[-1]:
+            kept.append(i)
+    got = {r.seq: r.is_novel for r in packing.first_fit(df, "seq", F.col("x"), epsilon, dimension, distance).collect()}
+    assert [got[i] for i in range(len(points))] == novel
+    seen = {r.seq: r.is_novel for r in novelty.history_novelty(df, "seq", F.col("x"), epsilon, dimension, distance).collect()}
+    assert [seen[i] for i in range(len(points))] == history
