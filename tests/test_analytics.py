@@ -145,8 +145,8 @@ def test_knee_and_specificity_by_ranges(spark):
     assert got == values[1 + int(np.argmax(gap[1:-1]))] == adaptive.EpsilonTree.knee_of(values)
     assert adaptive.knee(spark.createDataFrame([(1.0,), (1.0,)], "d double"), "d").first().epsilon == 1.0
     v = rng.standard_normal((60, 4))
-    points = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(v)], "i bigint, x array<double>")
     unit = v / np.linalg.norm(v, axis=1)[:, None]
+    points = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(unit)], "i bigint, x array<double>")
     far = np.sort(1 - unit @ unit.T, axis=1)[:, 1:9].mean(axis=1)
     want = np.argsort(np.argsort(far, kind="stable"), kind="stable") / 59
     assert np.allclose([r.specificity for r in adaptive.specificity(points).orderBy("i").collect()], want)
