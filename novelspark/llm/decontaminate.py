@@ -222,7 +222,6 @@ def matches(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFr
     order = Window.partitionBy(*at).orderBy("item_place")
     own = Window.partitionBy(*at, "raw").orderBy("item_place")
     places = places.withColumns({"run": F.col("item_place") - F.row_number().over(order), "streak": F.col("item_place") - F.row_number().over(own)})
-    places = stored(places, "places")
     pair = F.explode(F.arrays_zip(F.col("t.item_slots").alias("i"), F.col("t.slots").alias("d"))).alias("s")
     slots = places.where("t is not null").select(*at, "run", pair).where("s.i != 0")
     slots = slots.groupBy(*at, "run", F.col("s.i").alias("i")).agg(F.min("s.d").alias("least"), F.max("s.d").alias("most")).where("least != most")
