@@ -19,7 +19,9 @@ U(A) / P(A) of an upper set A of its scores bounds the share of positives from a
 that of the least upper confidence bound is taken, less three standard errors.  Halves are told by a hash of the text; the words of a
 text are looked up in the counts of the other half, so no text is its own evidence.
 
-Nothing is sampled: counts, quantiles, prior and risk cover all rows.  What comes to the
+At most ``POSITIVES`` trusted rows are learnt from (a bounded sample of the labels, whole
+texts); on the unlabelled side nothing is sampled: counts, quantiles, prior and risk cover
+all documents.  What comes to the
 driver are tables of ``BUCKETS``, ``GRID`` and bins, whatever the input.
 
 Edge cases: a null or empty text has measures of 0 and a score like any other; without
@@ -39,8 +41,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import textvec
-from .common import array_sums, held_out, small, stored, table
+from .common import array_sums, held_out, stored, table
 
+#: Trusted rows that are learnt from at most, chosen by a hash of doc_id; they are broadcast.
+POSITIVES = 40_000
 BINS = 24
 #: Hashed words, and hashed pairs of words, that documents are counted by.
 BUCKETS = 1 << 16
@@ -373,11 +377,9 @@ def half_of(text: str = "text") -> Column:
 
 def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model | None:
     trusted = labels.where((F.col("quality") == 1) & F.col("doc_id").isNotNull() & ~held_out()).select(F.col("doc_id").cast("bigint").alias("_id")).distinct()
-    trusted = stored(trusted, "trusted")
-    if small(trusted):
-        trusted = F.broadcast(trusted)
+    trusted = trusted.orderBy(F.md5(F.col("_id").cast("string"))).limit(POSITIVES)
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"))
-    rows = rows.join(trusted, F.col("doc_id") == F.col("_id"), "left").select("text", half_of(), F.col("_id").isNotNull().cast("int").alias("trusted"))
+    rows = rows.join(F.broadcast(stored(trusted, "trusted")), F.col("doc_id") == F.col("_id"), "left").select("text", half_of(), F.col("_id").isNotNull().cast("int").alias("trusted"))
     tables = word_tables(rows)
     if not tables.n_good.sum() or not tables.n_web.sum():
         return None
