@@ -504,6 +504,94 @@ def test_pipeline_stages(spark):
     assert last.count() == mixed.count()
 
 
+def brute_counts(docs, temperature=0.5):
+    """How often each row of the mix is repeated: Poisson by inversion of an MD5 draw."""
+    import hashlib
+
+    size = Counter()
+    for r in docs:
+        size[r.source] += len((r.text or "").encode())
+    share = {s: n**temperature if n else 0.0 for s, n in size.items()}
+    out = []
+    for r in docs:
+        rate = sum(size.values()) * share[r.source] / sum(share.values()) / size[r.source] if share[r.source] else 0.0
+        parts, n = max(1, math.ceil(rate / mixing.MOST_MEAN)), 0
+        for j in range(1, parts + 1):
+            draw = (int(hashlib.md5(f"mix|{'' if r.doc_id is None else r.doc_id}|{j}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52
+            p = c = math.exp(-rate / parts)
+            k = 0
+            while c <= draw and k < 1000:
+                k += 1
+                p *= rate / parts / k
+                c += p
+            n += k
+        out.append(n)
+    return out
+
+
+def brute_shard(doc_id, tree=None):
+    """The shard of a doc_id: one level of the weighted hash tree after the other."""
+    import hashlib
+
+    leaves = (tree or sharding.Topology.regular(sharding.SHARDS)).leaves
+    clock = lambda level, node, w: (-math.log((int(hashlib.md5(f"{level}|{node}|{'' if doc_id is None else doc_id}".encode()).hexdigest()[:13], 16) + 0.5) / 2**52) / w, node)
+    for level in ("region", "rack", "shard"):
+        weights = Counter()
+        for x in leaves:
+            weights[getattr(x, level)] += x.weight
+        node = next(iter(weights)) if len(weights) == 1 else min(clock(level, n, w) for n, w in weights.items())[1]
+        leaves = [x for x in leaves if getattr(x, level) == node]
+    return leaves[0].shard
+
+
+def test_pipeline_runs_as_its_stages_by_brute_force(spark, tmp_path):
+    """run() on a small corpus: every stage's rows by plain Python from the stage before."""
+    import random
+
+    from tests.llm import test_pairs as pairs
+
+    rng = random.Random(12)
+    calm = [f"{c}{v}{i}" for i in range(14) for c in "bdgk" for v in "aeo"]
+    bad = ["snarl", "snarls", "grimble", "grimbled"]
+    item = "If a train of 12 cars leaves Paris at 7 and needs 3 hours to reach the coast how fast does it go"
+    rows = []
+    for i in range(150):
+        words = rng.choices(calm, k=rng.randint(12, 50))
+        if i % 5 == 0:
+            for _ in range(3):
+                words.insert(rng.randrange(len(words)), rng.choice(bad))
+        rows.append(" ".join(words))
+    rows += [rows[i] + " tail" for i in (1, 2, 3, 6)] + [rows[4], "so " + item, "well " + item.replace("12", "15").replace("7", "9"), "", None]
+    docs = [(i, t, "en", "abc"[i % 3] if i % 11 else None, len(t or "")) for i, t in enumerate(rows)]
+    labels = {i: int(i % 5 == 0) for i in range(140)}
+    frames = {
+        "documents": spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint"),
+        "labels": spark.createDataFrame([(i, 1, y) for i, y in labels.items()], "doc_id bigint, quality int, toxic int"),
+        "benchmark": spark.createDataFrame([(1, item)], "item_id bigint, text string"),
+    }
+    for name, frame_ in frames.items():
+        frame_.write.parquet(f"file://{tmp_path}/{name}.parquet")
+    out = corpus_pipeline.run(spark, f"file://{tmp_path}").collect()
+    scores, _ = brute_toxicity([(d[0], d[1]) for d in docs], labels)
+    kept = [d for d, s in zip(docs, scores, strict=True) if s < 0.5]
+    assert 20 <= len(docs) - len(kept) <= 40
+    groups = pairs.brute_components([(d[0], d[1]) for d in kept], 5, 80)
+    kept = [d for d, g in zip(kept, groups, strict=True) if not g[0] or g[1] == d[0]]
+    leaks = {m[0] for m in pairs.brute_matches([(d[0], d[1]) for d in kept], [(1, item)])}
+    assert len(leaks) == 2
+    kept = [d for d in kept if d[0] not in leaks]
+    as_rows = spark.createDataFrame(kept, frames["documents"].schema).collect()
+    want = Counter()
+    for d, n in zip(kept, brute_counts(as_rows), strict=True):
+        if n:
+            want[(*d, brute_shard(d[0]))] += n
+    assert Counter((*r[:5], r.shard) for r in out) == want
+    slots = {}
+    for r in out:
+        slots.setdefault(r.shard, []).append(r.slot)
+    assert all(sorted(s) == list(range(len(s))) for s in slots.values())
+
+
 def test_pipeline_drops_copies_from_four_fifths_on(spark):
     words = [f"w{i}" for i in range(100)]
     near = [*words, *(f"x{i}" for i in range(20))]  # 96 of 116 five-word shingles
