@@ -53,5 +53,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Toxicity and templates are not SQL; tests check every stage against brute force.
+#: Toxicity and templates are not SQL; a test runs all stages against plain Python.
 ORACLE_SQL = None
