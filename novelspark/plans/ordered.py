@@ -26,15 +26,15 @@ def ranged(df: DataFrame, by: str, out: str = "_range") -> DataFrame:
     if parts == 1:
         return df.withColumn(out, F.lit(0))
     cuts = df.select(F.percentile_approx(by, [i / parts for i in range(1, parts)], 4 * parts)).first()[0] or []
-    return df.withColumn(out, _above(sorted(set(cuts)), F.col(by)))
+    return df.withColumn(out, above(sorted(set(cuts)), F.col(by)))
 
 
-def _above(cuts: list, value: Column) -> Column:
+def above(cuts: list, value: Column) -> Column:
     """How many cuts are below the value, by a tree of conditions."""
     if len(cuts) <= LISTED:
         return F.size(F.filter(F.array(*[F.lit(c) for c in cuts]), lambda c: c < value)) if cuts else F.lit(0)
     middle = len(cuts) // 2
-    return F.when(cuts[middle] < value, F.lit(middle + 1) + _above(cuts[middle + 1 :], value)).otherwise(_above(cuts[:middle], value))
+    return F.when(cuts[middle] < value, F.lit(middle + 1) + above(cuts[middle + 1 :], value)).otherwise(above(cuts[:middle], value))
 
 
 def before(df: DataFrame, group: list[str], order: list[Column | str], value: Column, kind: str, out: str, part: str = "_range", after: bool = False) -> DataFrame:

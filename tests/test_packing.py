@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from novelspark.functions import metrics
 from novelspark.operators import intervals, novelty, packing, selection
+from novelspark.plans import epsjoin
 from novelspark.plans.config import PackConfig, capacity, memory_bytes
 
 
@@ -147,3 +148,56 @@ def test_boxes_to_eight_axes(spark, distance, dimension):
     assert [got[i] for i in range(len(points))] == novel
     seen = {r.seq: r.is_novel for r in novelty.history_novelty(df, "seq", F.col("x"), epsilon, dimension, distance).collect()}
     assert [seen[i] for i in range(len(points))] == history
+
+
+@pytest.mark.parametrize("distance", ["l2", "l1", "linf", "cosine"])
+def test_pivots_prune_and_lose_nothing(spark, monkeypatch, distance):
+    monkeypatch.setattr(epsjoin, "BLOCK_ROWS", 40)
+    rng = np.random.default_rng(6)
+    x = np.repeat(rng.standard_normal((12, 5)) * 8, 40, axis=0) + rng.standard_normal((480, 5)) * 0.2
+    if distance == "cosine":
+        x /= np.linalg.norm(x, axis=1)[:, None]
+    epsilon = {"l2": 0.6, "l1": 1.2, "linf": 0.4, "cosine": 0.0005}[distance]
+    ids = rng.permutation(480)
+    left = spark.createDataFrame([(int(i), p.tolist()) for i, p in zip(ids, x, strict=True)], "i bigint, x array<double>")
+    right = left.select(F.col("i").alias("j"), F.col("x").alias("y"))
+    d = np.stack([metrics.exact(distance, x, np.broadcast_to(p, x.shape)) for p in x])
+    want = {(int(ids[a]), int(ids[b])) for a, b in zip(*np.nonzero(d <= epsilon), strict=True)}
+    met = []
+    real = metrics.block
+    monkeypatch.setattr(metrics, "block", lambda *a: met.append(1) or real(*a))
+    for flags in ({}, {"earlier": True}, {"other": True}):
+        got = [(r.i, r.j) for r in epsjoin.block_pairs(left, right, distance, epsilon, **flags).collect()]
+        keep = {(i, j) for i, j in want if not flags or ("earlier" in flags and j < i) or ("other" in flags and i != j)}
+        assert len(got) == len(set(got)) and set(got) == keep
+    plan = epsjoin.block_pairs(left, right, distance, epsilon)
+    tiles = plan._jdf.queryExecution().executedPlan().toString()
+    assert "MapInPandas" not in tiles  # cells are stored, not computed again
+
+
+def test_fewer_cells_meet_than_there_are(spark, monkeypatch):
+    monkeypatch.setattr(epsjoin, "BLOCK_ROWS", 50)
+    rows = [(i, [100.0 * (i % 10), float(i % 7)]) for i in range(1000)]
+    left = spark.createDataFrame(rows, "i bigint, x array<double>")
+    right = left.select(F.col("i").alias("j"), F.col("x").alias("y"))
+    seen = []
+    real = spark.createDataFrame
+    monkeypatch.setattr(type(spark), "createDataFrame", lambda self, data, *a, **k: seen.append(len(data)) or real(data, *a, **k))
+    n = epsjoin.block_pairs(left, right, "l2", 2.0).count()
+    assert n == sum(abs(a[1] - b[1]) <= 2 and a[0] == b[0] for _, a in rows for _, b in rows)
+    assert max(seen) < 20 * 20  # pairs of cells that meet, of 400
+
+
+@pytest.mark.parametrize("earlier", [True, False])
+def test_one_cell_cut_by_number(spark, monkeypatch, earlier):
+    monkeypatch.setattr(epsjoin, "BLOCK_ROWS", 30)
+    rng = np.random.default_rng(7)
+    x = rng.integers(0, 4, (200, 3)).astype(float)
+    left = spark.createDataFrame([(i * i, p.tolist()) for i, p in enumerate(x)], "i bigint, x array<double>")
+    right = left.select(F.col("i").alias("j"), F.col("x").alias("y"))
+    got = {(r.i, r.j, r.d) for r in epsjoin.nearest(left, right, "l2", k=2, earlier=earlier, other=True).collect()}
+    want = set()
+    for i, p in enumerate(x):
+        near = sorted((float(np.sqrt(((p - q) ** 2).sum())), j * j) for j, q in enumerate(x) if (j < i if earlier else j != i))[:2]
+        want |= {(i * i, j, d) for d, j in near}
+    assert {(i, j) for i, j, _ in got} == {(i, j) for i, j, _ in want}
