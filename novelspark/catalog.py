@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from novelspark.functions import metrics
@@ -370,7 +370,10 @@ gaps AS (SELECT i, x, nx, nx - x AS gap FROM g WHERE nx IS NOT NULL),
 b AS (SELECT a.i, coalesce(max(c.i) + 1, 0) AS birth FROM gaps a LEFT JOIN gaps c ON c.i < a.i AND c.gap > a.gap GROUP BY a.i),
 diagram AS (SELECT b.birth, gaps.i + 1 AS death, s.x AS birth_value, (gaps.x + gaps.nx) / 2 AS death_value, (gaps.nx - gaps.x) / 2 AS persistence
   FROM b JOIN gaps USING (i) JOIN s ON s.r = b.birth)"""
-_PRIME = "primes AS (SELECT n AS prime FROM range(2, 3000) t(n) WHERE NOT EXISTS (SELECT 1 FROM range(2, 55) d(m) WHERE m < n AND n % m = 0))"
+#: The same of account balances, whose gaps are irregular, so that features are born at primes.
+_BALANCES = _DIAGRAM.replace("p_retailprice", "c_acctbal").replace("FROM part", "FROM customer")
+#: The primes below 300,000: at least as many as there are points on sf0.1.
+_PRIME = "primes AS (SELECT row_number() OVER (ORDER BY n) - 1 AS k, n AS prime FROM range(2, 300000) t(n) WHERE n NOT IN (SELECT a * b FROM range(2, 548) x(a), range(2, 150000) y(b) WHERE a * b < 300000))"
 
 
 def _diagram(spark, sf):
@@ -387,27 +390,41 @@ def persist_feature_count(spark, sf):
     return persistence.feature_count(_diagram(spark, sf), 0.05)
 
 
-@_query(f"WITH {_DIAGRAM}, {_PRIME} SELECT count(*) AS prime_cycles FROM diagram WHERE persistence >= 0.01 AND birth IN (SELECT prime FROM primes)")
+def _balances(spark, sf):
+    return persistence.diagram(_table(spark, sf, "customer"), "c_acctbal")
+
+
+def _primes(spark, sf):
+    """As many primes as there are points, so that every birth and death index has its own."""
+    return persistence.nth_primes(spark, _table(spark, sf, "customer").count())
+
+
+@_query(f"WITH {_BALANCES}, {_PRIME} SELECT count(*) AS prime_cycles FROM diagram WHERE persistence >= 0.5 AND birth IN (SELECT prime FROM primes)")
 def persist_prime_cycles(spark, sf):
-    d = _diagram(spark, sf)
-    return persistence.prime_cycle_count(d, 0.01, persistence.nth_primes(spark, 430))
+    return persistence.prime_cycle_count(_balances(spark, sf), 0.5, _primes(spark, sf))
 
 
-@_query(f"WITH {_DIAGRAM}, {_PRIME} SELECT round(exp(coalesce(sum(-ln(1 - pow(1 + persistence, -2.0))), 0)), 6) AS zeta FROM diagram WHERE persistence > 0 AND birth IN (SELECT prime FROM primes)")
+@_query(f"WITH {_BALANCES}, {_PRIME} SELECT round(ln(exp(coalesce(sum(-ln(1 - pow(1 + persistence, -6.0))), 0))), 6) AS log_zeta FROM diagram WHERE persistence > 2 AND birth IN (SELECT prime FROM primes)")
 def persist_selberg_zeta(spark, sf):
-    return persistence.selberg_zeta(_diagram(spark, sf), 2.0, persistence.nth_primes(spark, 430)).select(F.round("zeta", 6).alias("zeta"))
+    high = _balances(spark, sf).where("persistence > 2")
+    return persistence.selberg_zeta(high, 6.0, _primes(spark, sf)).select(F.round(F.log("zeta"), 6).alias("log_zeta"))
 
 
-@_query(f"WITH {_DIAGRAM} SELECT birth, death, max(persistence) AS persistence FROM (SELECT birth, death, persistence FROM diagram UNION ALL SELECT birth, death, persistence * 2 FROM diagram WHERE birth % 2 = 0) GROUP BY birth, death")
+@_query(f"""WITH {_BALANCES}, {_PRIME}, tagged AS (SELECT d.*, p.prime % 2305843009213693951 AS birth_prime, q.prime % 2305843009213693951 AS death_prime FROM diagram d JOIN primes p ON p.k = birth JOIN primes q ON q.k = death),
+pair AS (SELECT * FROM tagged UNION ALL SELECT * REPLACE (persistence * 2 AS persistence) FROM tagged WHERE birth % 2 = 0)
+SELECT birth_prime, death_prime, any_value(birth) AS birth, any_value(death) AS death, any_value(birth_value) AS birth_value, any_value(death_value) AS death_value, max(persistence) AS persistence FROM pair GROUP BY birth_prime, death_prime""")
 def persist_merge_features(spark, sf):
-    a = _diagram(spark, sf).withColumns({"birth_prime": F.col("birth"), "death_prime": F.col("death")})
-    b = a.where("birth % 2 = 0").withColumn("persistence", F.col("persistence") * 2)
-    return persistence.merge_features(a, b).select("birth", "death", "persistence")
+    a = persistence.tagged(_balances(spark, sf), _primes(spark, sf))
+    return persistence.merge_features(a, a.where("birth % 2 = 0").withColumn("persistence", F.col("persistence") * 2))
 
 
-@_query(f"WITH {_DIAGRAM} SELECT row_number() OVER (ORDER BY persistence, death) - 1 + (SELECT count(*) FROM s) AS node, persistence AS scale FROM diagram")
+_TREE = f"""{_DIAGRAM}, k AS (SELECT row_number() OVER (ORDER BY persistence, death) - 1 + (SELECT count(*) FROM s) AS node, persistence AS scale, birth, death FROM diagram),
+t AS (SELECT node, scale, coalesce((SELECT max(o.node) FROM k o WHERE o.birth = k.birth AND o.node < k.node), birth) AS "left", coalesce((SELECT max(o.node) FROM k o WHERE o.birth = k.death AND o.node < k.node), death) AS "right" FROM k)"""
+
+
+@_query(f'WITH {_TREE} SELECT t.node, t.scale, t."left", t."right", p.node AS parent FROM t LEFT JOIN t p ON p."left" = t.node OR p."right" = t.node')
 def persist_merge_tree(spark, sf):
-    return persistence.merge_tree(_diagram(spark, sf)).select("node", "scale")
+    return persistence.merge_tree(_diagram(spark, sf))
 
 
 @_query("SELECT c_custkey, round(d, 9) AS distance, d > 0.02 AS is_novel FROM (SELECT c_custkey, 900 + abs(c_acctbal) / 100 AS q, (SELECT min(abs(p_retailprice - (900 + abs(c_acctbal) / 100))) FROM part) AS d FROM customer)")
@@ -718,9 +735,10 @@ def lsh_hyperplane(spark, sf):
     return evaluate.lsh_novelty(_vectors(spark, sf), 4, 8, 64).select(F.col("i").alias("vec_id"), "is_novel")
 
 
-@_query(f"WITH {_E} SELECT event_type, seq, row_number() OVER (PARTITION BY event_type, value ORDER BY seq) = 1 AS is_novel FROM e")
+@_query(f"""WITH {_E}, f AS (SELECT event_type, value, min(seq) AS first FROM e GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY event_type ORDER BY first) AS k FROM f)
+SELECT e.event_type, e.seq, r.k > 500 OR e.seq = r.first AS is_novel FROM e JOIN r USING (event_type, value)""")
 def exact_set(spark, sf):
-    return evaluate.exact_set(_events(spark, sf), ["event_type"], "seq", "value", 10**9)
+    return evaluate.exact_set(_events(spark, sf), ["event_type"], "seq", "value", 500)
 
 
 @_query()
@@ -763,21 +781,54 @@ def _sessions(spark, sf):
     return s.withColumn("seq", F.datediff(F.to_date("day"), F.to_date(F.lit("2020-01-01"))).cast("bigint") * 1_000_000 + F.col("user_id"))
 
 
-@_query(f"WITH {_S} SELECT user_id, day, n, types, errors, round(total, 6) AS total, largest FROM s")
+_SPANS = "sp AS (SELECT user_id || '/' || strftime(ts, '%Y-%m-%d') AS trace_id, event_type, epoch_us(ts) AS us, value, row_number() OVER (PARTITION BY user_id, strftime(ts, '%Y-%m-%d') ORDER BY ts) AS k FROM events)"
+
+
+def _spans(spark, sf):
+    """A trace for each user and day: the k-th event is a span below the k/2-th one."""
+    e = _events(spark, sf).withColumn("trace_id", F.concat_ws("/", "user_id", F.date_format("ts", "yyyy-MM-dd")))
+    k = F.row_number().over(Window.partitionBy("trace_id").orderBy("ts"))  # the events of a user and day
+    return e.withColumn("k", k).select(
+        "trace_id", F.col("k").cast("string").alias("span_id"), F.when(F.col("k") > 1, F.floor(F.col("k") / 2).cast("string")).alias("parent_span_id"),
+        F.when(F.col("event_type") == "purchase", "INSERT order").otherwise(F.col("event_type")).alias("name"), (F.col("seq") * 1000).alias("start_ns"),
+        (F.col("seq") * 1000 + F.floor("value") * 1_000_000).alias("end_ns"), F.when(F.col("event_type") == "error", 2).otherwise(0).alias("status_code"),
+    )
+
+
+@_query(f"""WITH {_SPANS} SELECT trace_id, max(floor(log2(k)) + 1)::BIGINT AS depth, count(*) AS spans, round((max(us * 1000 + floor(value)::BIGINT * 1000000) - min(us * 1000)) / 1e6, 6) AS duration_ms,
+sum((event_type = 'error')::INTEGER)::BIGINT AS errors, sum((event_type = 'purchase')::INTEGER)::BIGINT AS db_spans FROM sp GROUP BY trace_id""")
 def trace_geometry(spark, sf):
-    return traces.sessions(_table(spark, sf, "events")).withColumn("total", F.round("total", 6))
+    out = traces.geometry(_spans(spark, sf))
+    return out.select("trace_id", F.col("depth").cast("bigint").alias("depth"), "spans", F.round("duration_ms", 6).alias("duration_ms"), "errors", "db_spans")
+
+
+#: A session as a trace: depth, fan-out, duration, retries and database queries, weighted; the
+#: key is the route, the version and the class of the status.
+_T = """s AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, arg_min(event_type, ts) AS route, user_id % 3 AS version, sum((event_type = 'error')::INTEGER) AS errors,
+  count(DISTINCT event_type) * 1.0::DOUBLE AS a, count(*) * 0.5::DOUBLE AS b, ((epoch_us(max(ts)) - epoch_us(min(ts))) / 6e7) * 0.02::DOUBLE AS c, sum((event_type = 'error')::INTEGER) * 1.5::DOUBLE AS d, sum((event_type = 'purchase')::INTEGER) * 0.5::DOUBLE AS f FROM events GROUP BY 1, 2, 4),
+q AS (SELECT user_id, day, [a, b, c, d, f] AS x, route || '/' || version || '/' || CASE WHEN errors > 1 THEN 5 WHEN errors = 1 THEN 4 ELSE 2 END AS key FROM s),
+n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY day, user_id) AS k FROM q)"""
 
 
 def _tail(spark, sf):
-    s = _sessions(spark, sf)
-    return traces.tail_sample(s, ["types"], "seq", [F.col("n") * 0.25, F.col("errors") * 2.0, F.col("largest") * 0.02], 0.55)
+    e = _events(spark, sf).withColumn("day", F.date_format("ts", "yyyy-MM-dd"))
+    of = lambda t: F.sum((F.col("event_type") == t).cast("bigint"))
+    s = e.groupBy("user_id", "day").agg(
+        F.min_by("event_type", "ts").alias("route"), F.countDistinct("event_type").alias("depth"), F.count(F.lit(1)).alias("fanout"),
+        ((F.max("seq") - F.min("seq")) / F.lit(6e7)).alias("duration"), of("error").alias("retries"), of("purchase").alias("queries"),
+    )
+    status = F.when(F.col("retries") > 1, 5).when(F.col("retries") == 1, 4).otherwise(2)
+    s = s.withColumns({"version": F.col("user_id") % 3, "status": status, "seq": F.datediff(F.to_date("day"), F.to_date(F.lit("2020-01-01"))).cast("bigint") * 1_000_000 + F.col("user_id")})
+    names = ("depth", "fanout", "duration", "retries", "queries")
+    return traces.tail_sample(s, ["route", "version", "status"], "seq", [F.col(n).cast("double") * w for n, w in zip(names, traces.SAMPLER_WEIGHTS, strict=True)], 0.55)
+
+
+_NEAR5 = "list_bool_or(list_transform(t.reps, lambda r: " + _L2.format(a="r", b="n.x").replace("lambda z:", "lambda z:") + " <= 0.55))"
 
 
-@_query(f"""WITH RECURSIVE {_S}, q AS (SELECT user_id, day, types, n * 0.25::DOUBLE AS a, errors * 2.0::DOUBLE AS b, largest * 0.02::DOUBLE AS c, row_number() OVER (PARTITION BY types ORDER BY day, user_id) AS k FROM s),
-t AS (SELECT k, types, user_id, day, true AS kept, [[a, b, c]] AS reps FROM q WHERE k = 1
-  UNION ALL SELECT q.k, q.types, q.user_id, q.day, NOT list_bool_or(list_transform(t.reps, lambda r: sqrt((r[1] - q.a) * (r[1] - q.a) + (r[2] - q.b) * (r[2] - q.b) + (r[3] - q.c) * (r[3] - q.c)) <= 0.55)),
-    CASE WHEN list_bool_or(list_transform(t.reps, lambda r: sqrt((r[1] - q.a) * (r[1] - q.a) + (r[2] - q.b) * (r[2] - q.b) + (r[3] - q.c) * (r[3] - q.c)) <= 0.55)) THEN t.reps ELSE list_append(t.reps, [q.a, q.b, q.c]) END
-  FROM t JOIN q ON q.types = t.types AND q.k = t.k + 1) SELECT user_id, day, kept FROM t""")
+@_query(f"""WITH RECURSIVE {_T}, t AS (SELECT k, key, user_id, day, true AS kept, [x] AS reps FROM n WHERE k = 1
+  UNION ALL SELECT n.k, n.key, n.user_id, n.day, NOT {_NEAR5}, CASE WHEN {_NEAR5} THEN t.reps ELSE list_append(t.reps, n.x) END FROM t JOIN n ON n.key = t.key AND n.k = t.k + 1)
+SELECT user_id, day, kept FROM t""")
 def tail_sampler(spark, sf):
     return _tail(spark, sf).select("user_id", "day", "kept")
 

@@ -92,10 +92,11 @@ def tagged(features: DataFrame, primes: DataFrame) -> DataFrame:
 
 
 def merge_features(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Of two tagged diagrams, per (birth_prime, death_prime) the feature of highest persistence."""
+    """Of two tagged diagrams, per (birth_prime, death_prime) the feature of highest
+    persistence, of equal ones the first by (birth, death) and values."""
     names = ["birth", "death", "birth_value", "death_value", "persistence"]
     both = a.unionByName(b)
-    best = both.groupBy("birth_prime", "death_prime").agg(F.max_by(F.struct(*names), "persistence").alias("f"))
+    best = both.groupBy("birth_prime", "death_prime").agg(F.min(F.struct((-F.col("persistence")).alias("o"), *names)).alias("f"))
     return best.select("birth_prime", "death_prime", *[F.col(f"f.{n}").alias(n) for n in names])
 
 

@@ -11,23 +11,31 @@ from novelspark.plans.shared import stored
 
 #: Weights of depth, spans, duration (ms), error spans and database spans (fixed values).
 WEIGHTS = (1.0, 0.25, 0.02, 2.0, 0.5)
+#: Weights of depth, fan-out, duration, retries and database queries of a sampled trace (fixed values).
+SAMPLER_WEIGHTS = (1.0, 0.5, 0.02, 1.5, 0.5)
 
 
-def depths(spans: DataFrame, most: int = 64) -> DataFrame:
-    """``spans`` with ``depth``: 1 for a root, one more than the parent's otherwise.
+def depths(spans: DataFrame) -> DataFrame:
+    """``spans`` with ``depth``: 1 for a root, one more than the parent's otherwise; null for
+    spans below a cycle of parents.
 
-    Spans whose chain of parents is a cycle or longer than ``most`` keep that depth.
+    Each round a span jumps over as many parents as it knows, so rounds grow with the
+    logarithm of the deepest chain.
     """
-    now = spans.select("trace_id", "span_id", "parent_span_id")
-    known = now.select("trace_id", F.col("span_id").alias("parent_span_id")).withColumn("_k", F.lit(True))
-    roots = now.join(known, ["trace_id", "parent_span_id"], "left").where("_k is null").select("trace_id", "span_id", F.lit(1).alias("depth"))
-    found, level = roots, stored(roots, "depth")
-    for d in range(2, most + 1):
-        level = stored(now.join(level.select("trace_id", F.col("span_id").alias("parent_span_id")), ["trace_id", "parent_span_id"]).select("trace_id", "span_id", F.lit(d).alias("depth")), "depth")
-        if not level.head(1):
+    ids = spans.select("trace_id", "span_id", "parent_span_id").dropDuplicates(["trace_id", "span_id"])
+    known = ids.select("trace_id", F.col("span_id").alias("parent_span_id"), F.lit(True).alias("_k"))
+    now = ids.join(known, ["trace_id", "parent_span_id"], "left")
+    now = stored(now.select("trace_id", "span_id", F.when(F.col("_k"), F.col("parent_span_id")).alias("up"), F.when(F.col("_k"), 1).otherwise(0).alias("steps")), "depth")
+    most = now.groupBy("trace_id").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 1
+    for _ in range(int(most).bit_length()):
+        if not now.where("up is not null").head(1):
             break
-        found = found.union(level)
-    return spans.join(found, ["trace_id", "span_id"], "left").withColumn("depth", F.coalesce("depth", F.lit(most)))
+        above = now.select("trace_id", F.col("span_id").alias("up"), F.col("up").alias("_up"), F.col("steps").alias("_steps"))
+        joined = now.where("up is not null").join(above, ["trace_id", "up"])
+        jumped = joined.select("trace_id", "span_id", F.col("_up").alias("up"), (F.col("steps") + F.col("_steps")).alias("steps"))
+        now = stored(now.where("up is null").unionByName(jumped), "depth")
+    found = now.where("up is null").select("trace_id", "span_id", (F.col("steps") + 1).alias("depth"))
+    return spans.join(found, ["trace_id", "span_id"], "left")
 
 
 def geometry(spans: DataFrame, weights: tuple[float, ...] = WEIGHTS) -> DataFrame:
