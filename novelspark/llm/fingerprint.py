@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from .common import small, stored, table
 
-SAMPLES = 64
+SAMPLES = 36
 #: Rows in one range of doc_ids, about.
 RANGE_ROWS = 2000
 #: Quantiles of doc_id between which ranges are of equal width.
