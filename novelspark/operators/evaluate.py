@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections import OrderedDict, deque
+from collections import OrderedDict
 
 import numpy as np
 import pandas as pd
@@ -256,17 +256,20 @@ def exact_set(df: DataFrame, keys: list[str], seq: str, x: str, capacity: int) -
     return _sequential(df, keys, seq, x, make)
 
 
-def k_centre(df: DataFrame, keys: list[str], seq: str, x: str, epsilon: float, capacity: int) -> DataFrame:
-    """First fit with at most ``capacity`` centres: the one closest to a new centre goes."""
+def k_centre(df: DataFrame, keys: list[str], seq: str, x: str, epsilon: float, capacity: int, distance: str = "linf") -> DataFrame:
+    """First fit of numbers or vectors with at most ``capacity`` centres: the one closest to
+    a new centre goes (the oldest on ties)."""
 
     def make():
-        held: deque = deque()
+        held: list[np.ndarray] = []
 
-        def see(v):
-            novel = not any(abs(v - h) <= epsilon for h in held)
+        def see(value):
+            v = np.atleast_1d(np.asarray(value, float))
+            d = metrics.exact(distance, np.stack(held), np.broadcast_to(v, (len(held), len(v)))) if held else np.zeros(0)
+            novel = not (d <= epsilon).any()
             if novel:
                 if len(held) >= capacity:
-                    del held[min(range(len(held)), key=lambda i: abs(held[i] - v))]
+                    del held[int(np.argmin(d))]
                 held.append(v)
             return novel
 

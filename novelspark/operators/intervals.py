@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from novelspark.operators.novelty import history_novelty, vector
+from novelspark.operators.novelty import history_novelty, near_pairs, vector
 from novelspark.plans.ordered import before, ranged
 from novelspark.plans.shared import stored
 
@@ -77,6 +77,24 @@ def observe(df: DataFrame, seq: str, x: str, epsilon: float) -> DataFrame:
     return history_novelty(df, seq, vector(x), epsilon)
 
 
+def observe_rounded(df: DataFrame, seq: str, x: str, epsilon: float, low: float, high: float) -> DataFrame:
+    """``df`` with ``is_novel`` where balls are rounded inwards: a row is covered only if its
+    distance to an earlier one, exactly, is at most epsilon.
+
+    Distances in doubles find all candidates (rounding never lifts a distance of at most
+    epsilon above it); the rounded ends of the earlier row's ball then decide.
+    """
+    points = df.groupBy((F.col(x) + F.lit(0.0)).alias("p")).agg(F.min(seq).alias("s"))
+    points = stored(points.withColumn("ball", rounded_ball(F.col("p"), epsilon, low, high)), "balls")
+    first = points.select(F.col("s").alias("fs"), F.array("p").alias("fp"))
+    many = points.select("s", F.array("p").alias("p"), "ball")
+    pairs = near_pairs(first, "fp", many, "p", [], epsilon, 1, "linf").where(F.col("s") < F.col("fs"))
+    value = F.element_at("fp", 1)
+    covered = pairs.where((value >= F.col("ball.lower")) & (value <= F.col("ball.upper"))).select("fs").distinct()
+    novel = first.select("fs").join(covered, "fs", "left_anti").select(F.col("fs").alias(seq), F.lit(True).alias("is_novel"))
+    return df.join(novel, seq, "left").withColumn("is_novel", F.coalesce("is_novel", F.lit(False)))
+
+
 def boxes(df: DataFrame, seq: str, columns: list[Column], epsilon: float) -> DataFrame:
     """``df`` with ``is_novel``: whether no earlier point's box (half-width epsilon) holds the point."""
     if not 1 <= len(columns) <= 8:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from novelspark.functions import metrics
 from novelspark.operators.novelty import cells, near_pairs
 from novelspark.plans import epsjoin
+from novelspark.plans.config import STATUS, PackConfig
 from novelspark.plans.ordered import before, ranged
 from novelspark.plans.shared import stored
 
@@ -151,12 +152,54 @@ def _covering(rows: DataFrame, reps: DataFrame, distance: str, epsilon: float, k
 
 def lookup(queries: DataFrame, reps: DataFrame, distance: str, epsilon: float) -> DataFrame:
     """i, covered, slot, distance: the closest representative (slot j, y) whose ball holds
-    the point; without one, the slot is -1 and the distance null."""
-    found = epsjoin.nearest(queries, reps, distance, epsilon)
+    the point; without one, the slot is -1 and the distance null.
+
+    With a column ``r`` each representative's ball has its own radius, above or below epsilon.
+    """
+    if "r" in reps.columns:
+        widest = reps.agg(F.max("r")).first()[0]
+        pairs = epsjoin.block_pairs(queries, reps, distance, float(widest or 0.0)).join(reps.select("j", "r"), "j").where("d <= r")
+        found = pairs.groupBy("i").agg(F.min(F.struct("d", "j")).alias("m")).select("i", F.col("m.j").alias("j"), F.col("m.d").alias("d"))
+    else:
+        found = epsjoin.nearest(queries, reps, distance, epsilon)
     out = queries.select("i").join(found, "i", "left")
     return out.select("i", F.col("j").isNotNull().alias("covered"), F.coalesce("j", F.lit(-1)).cast("bigint").alias("slot"), F.col("d").alias("distance"))
 
 
+def query(queries: DataFrame, reps: DataFrame, distance: str, epsilon: float) -> DataFrame:
+    """i, covered, slot, distance: like ``lookup``, but a miss reports the nearest
+    representative of all and how far it is (-1 and null only for an empty net)."""
+    nearest = epsjoin.nearest(queries, reps, distance).select("i", F.col("j").alias("nearest"), F.col("d").alias("away"))
+    out = lookup(queries, reps, distance, epsilon).join(nearest, "i", "left")
+    return out.select("i", "covered", F.when(F.col("covered"), F.col("slot")).otherwise(F.coalesce("nearest", F.lit(-1).cast("bigint"))).alias("slot"), F.coalesce("distance", "away").alias("distance"))
+
+
+def checked(df: DataFrame, x: str, config: PackConfig) -> DataFrame:
+    """``df`` with ``status``: ok, invalid argument (null, wrong length, not finite) or out of
+    range (outside the domain; by Poincare distance outside the open unit ball)."""
+    v = metrics.doubles(x)
+    finite = F.forall(v, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) != F.lit(float("inf"))))
+    valid = F.coalesce((F.size(v) == config.dimension) & finite, F.lit(False))
+    inside = F.lit(True)
+    for k in range(config.dimension):
+        e = F.element_at(v, k + 1)
+        if config.domain_min is not None:
+            inside = inside & (e >= F.lit(float(config.domain_min[k])))
+        if config.domain_max is not None:
+            inside = inside & (e <= F.lit(float(config.domain_max[k])))
+    if metrics.metric(config.distance) is metrics.poincare:
+        inside = inside & (metrics.squared_norm(v) < 1)
+    return df.withColumn("status", F.when(~valid, STATUS[1]).when(~inside, STATUS[2]).otherwise(STATUS[0]))
+
+
+def observe(df: DataFrame, seq: str, x: str, config: PackConfig) -> DataFrame:
+    """First fit under a configuration: seq, status, and for rows that are ok is_novel,
+    representative and distance; rows that are refused take no part."""
+    rows = stored(checked(df, x, config).select(seq, metrics.doubles(x).alias("x"), "status"), "checked")
+    labels = first_fit_vectors(rows.where(F.col("status") == STATUS[0]), seq, "x", config.epsilon, config.distance)
+    return rows.select(seq, "status").join(labels, seq, "left")
+
+
 def importance(reps: DataFrame, distance: str) -> DataFrame:
     """j, nearest, distance: each representative's nearest other one."""
     found = epsjoin.nearest(reps.select(F.col("j").alias("i"), F.col("y").alias("x")), reps, distance, other=True)
@@ -177,23 +220,23 @@ def violations(reps: DataFrame, distance: str, epsilon: float) -> DataFrame:
     return epsjoin.block_pairs(reps.select(F.col("j").alias("i"), F.col("y").alias("x")), reps, distance, epsilon, "pairs", earlier=True)
 
 
-def fifo(df: DataFrame, seq: str, x: str, epsilon: float, capacity: int, keys: list[str]) -> DataFrame:
-    """First fit on a line with at most ``capacity`` representatives a key: the oldest goes
-    when a novel row needs room.  Sequential by nature: one task a key."""
-    from collections import deque
-
+def fifo(df: DataFrame, seq: str, x: str, epsilon: float, capacity: int, keys: list[str], distance: str = "linf") -> DataFrame:
+    """First fit of numbers or vectors with at most ``capacity`` representatives a key: the
+    oldest goes when a novel row needs room.  Sequential by nature: one task a key."""
     schema = df.select(*keys, seq, F.lit(True).alias("is_novel"), F.lit(0).cast("bigint").alias("evictions")).schema
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(seq)
-        have: deque[float] = deque(maxlen=capacity)
+        points = np.stack([np.atleast_1d(np.asarray(v, float)) for v in rows[x]])
+        have = np.empty((0, points.shape[1]))
         out, gone, evictions = [], 0, []
-        for v in rows[x]:
-            novel = not any(abs(v - h) <= epsilon for h in have)
+        for v in points:
+            novel = not len(have) or metrics.exact(distance, have, np.broadcast_to(v, have.shape)).min() > epsilon
             if novel:
-                gone += len(have) == capacity
-                have.append(v)
-            out.append(novel)
+                full = len(have) == capacity
+                gone += full
+                have = np.concatenate([have[1:] if full else have, v[None]])
+            out.append(bool(novel))
             evictions.append(gone)
         return rows[[*keys, seq]].assign(is_novel=out, evictions=evictions)
 

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from novelspark.functions import metrics
+
 
 def _batch(rows: Iterator[pd.DataFrame], seq: str) -> pd.DataFrame:
     parts = list(rows)
@@ -15,37 +18,38 @@ def _batch(rows: Iterator[pd.DataFrame], seq: str) -> pd.DataFrame:
 
 
 class FirstFit(StatefulProcessor):
-    """First fit on a line for each key; state: the representatives, oldest first.
+    """First fit of numbers or vectors for each key; state: the representatives, oldest first.
 
     With ``window`` the net starts anew after so many rows of a key; with ``capacity`` the
     oldest representative goes when a novel row needs room.
     """
 
-    def __init__(self, seq: str, x: str, epsilon: float, capacity: int = 0, window: int = 0):
-        self.seq, self.x, self.epsilon, self.capacity, self.window = seq, x, epsilon, capacity, window
+    def __init__(self, seq: str, x: str, epsilon: float, capacity: int = 0, window: int = 0, distance: str = "linf"):
+        self.seq, self.x, self.epsilon, self.capacity, self.window, self.distance = seq, x, epsilon, capacity, window, distance
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.reps = handle.getListState("reps", "value double")
+        self.reps = handle.getListState("reps", "value array<double>")
         self.seen = handle.getValueState("seen", "n bigint")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         batch = _batch(rows, self.seq)
         if batch.empty:
             return
-        have = [r[0] for r in self.reps.get()] if self.reps.exists() else []
+        have = [np.array(r[0], float) for r in self.reps.get()] if self.reps.exists() else []
         n = self.seen.get()[0] if self.seen.exists() else 0
         out = []
-        for v in batch[self.x]:
+        for value in batch[self.x]:
+            v = np.atleast_1d(np.asarray(value, float))
             if self.window and n and n % self.window == 0:
                 have = []
             n += 1
-            novel = not any(abs(v - h) <= self.epsilon for h in have)
+            novel = not have or bool(metrics.exact(self.distance, np.stack(have), np.broadcast_to(v, (len(have), len(v)))).min() > self.epsilon)
             if novel:
                 have.append(v)
                 if self.capacity and len(have) > self.capacity:
                     have.pop(0)
             out.append(novel)
-        self.reps.put([(v,) for v in have])
+        self.reps.put([(v.tolist(),) for v in have])
         self.seen.update((n,))
         yield pd.DataFrame({"key": [str(key[0])] * len(batch), "seq": batch[self.seq].to_numpy(), "is_novel": out})
 
@@ -53,9 +57,9 @@ class FirstFit(StatefulProcessor):
         pass
 
 
-def first_fit_stream(stream: DataFrame, key: str, seq: str, x: str, epsilon: float, capacity: int = 0, window: int = 0) -> DataFrame:
+def first_fit_stream(stream: DataFrame, key: str, seq: str, x: str, epsilon: float, capacity: int = 0, window: int = 0, distance: str = "linf") -> DataFrame:
     """key, seq, is_novel of a stream; needs the RocksDB state store."""
-    return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=FirstFit(seq, x, epsilon, capacity, window), outputStructType="key string, seq bigint, is_novel boolean", outputMode="Append", timeMode="None")
+    return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=FirstFit(seq, x, epsilon, capacity, window, distance), outputStructType="key string, seq bigint, is_novel boolean", outputMode="Append", timeMode="None")
 
 
 class AnswerCache(StatefulProcessor):
@@ -101,3 +105,64 @@ class AnswerCache(StatefulProcessor):
 def answer_cache_stream(stream: DataFrame, key: str, seq: str, item: str, at: str, ttl: float, limit: int = 0) -> DataFrame:
     """key, seq, hit of a stream of requests."""
     return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=AnswerCache(seq, item, at, ttl, limit), outputStructType="key string, seq bigint, hit boolean", outputMode="Append", timeMode="None")
+
+
+class MetricCache(StatefulProcessor):
+    """Answers by nearness: a request within epsilon of a cached one gets its payload.
+
+    The closest unexpired entry answers (the oldest on ties); else the payload that came
+    with the request, or ``compute`` of it, is stored.  An entry is expired once more than
+    ``ttl`` has passed since it was stored: a request within epsilon of it then takes its
+    place.  Reading refreshes an entry's place in the order of use, not its age; beyond
+    ``limit`` entries the least recently used one goes.
+    """
+
+    def __init__(self, seq: str, x: str, payload: str, at: str, epsilon: float, distance: str = "cosine", ttl: float = 0.0, limit: int = 0, compute: Callable[[str | None], str] | None = None):
+        self.seq, self.x, self.payload, self.at, self.epsilon, self.distance, self.ttl, self.limit, self.compute = seq, x, payload, at, epsilon, distance, ttl, limit, compute
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.entries = handle.getMapState("entries", "id bigint", "x array<double>, payload string, stored double, used bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        batch = _batch(rows, self.seq)
+        if batch.empty:
+            return
+        held = {k[0]: (np.array(v[0], float), v[1], v[2], v[3]) for k, v in self.entries.iterator()}
+        before = dict(held)
+        clock = max((v[3] for v in held.values()), default=0)
+        new = max(held, default=-1) + 1
+        out = []
+        for x, given, at in zip(batch[self.x], batch[self.payload], batch[self.at], strict=True):
+            clock += 1
+            v, ids = np.asarray(x, float), sorted(held)
+            d = metrics.exact(self.distance, np.stack([held[k][0] for k in ids]), np.broadcast_to(v, (len(ids), len(v)))) if ids else np.zeros(0)
+            near = [(float(e), k) for e, k in zip(d, ids, strict=True) if e <= self.epsilon]
+            fresh = [n for n in near if not (self.ttl and at - held[n[1]][2] > self.ttl)]
+            if fresh:
+                distance, k = min(fresh)
+                held[k] = (*held[k][:3], clock)
+            else:
+                for _, k in near:
+                    del held[k]
+                distance, k = 0.0, new
+                new += 1
+                held[k] = (v, self.compute(given) if self.compute else given, float(at), clock)
+                if self.limit and len(held) > self.limit:
+                    del held[min(held, key=lambda i: held[i][3])]
+            out.append((bool(fresh), held[k][1], distance))
+        for k in before.keys() - held.keys():
+            self.entries.removeKey((k,))
+        for k, v in held.items():
+            if before.get(k) is not v:
+                self.entries.updateValue((k,), (v[0].tolist(), v[1], v[2], v[3]))
+        hits, payloads, distances = zip(*out, strict=True)
+        yield pd.DataFrame({"key": [str(key[0])] * len(batch), "seq": batch[self.seq].to_numpy(), "hit": hits, "payload": payloads, "distance": distances})
+
+    def close(self) -> None:
+        pass
+
+
+def metric_cache_stream(stream: DataFrame, key: str, seq: str, x: str, payload: str, at: str, epsilon: float, distance: str = "cosine", ttl: float = 0.0, limit: int = 0, compute: Callable[[str | None], str] | None = None) -> DataFrame:
+    """key, seq, hit, payload, distance of a stream of requests (vector, payload, time)."""
+    cache = MetricCache(seq, x, payload, at, epsilon, distance, ttl, limit, compute)
+    return stream.groupBy(key).transformWithStateInPandas(statefulProcessor=cache, outputStructType="key string, seq bigint, hit boolean, payload string, distance double", outputMode="Append", timeMode="None")

@@ -3,10 +3,11 @@ import json
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from novelspark.operators import novelty, packing
 from novelspark.sources import embeddings_file, snapshots, spans
-from novelspark.streaming.novelty import answer_cache_stream, first_fit_stream
+from novelspark.streaming.novelty import answer_cache_stream, first_fit_stream, metric_cache_stream
 
 
 def test_vector_files(spark, tmp_path):
@@ -75,3 +76,41 @@ def test_answer_cache(spark, tmp_path):
     _run(answer_cache_stream(stream, "k", "seq", "item", "at", ttl=10.0, limit=2), tmp_path, "out")
     got = [r.hit for r in spark.read.parquet(str(tmp_path / "out")).orderBy("seq").collect()]
     assert got == [False, False, True, False, False, False]
+
+
+def test_metric_cache(spark, tmp_path):
+    """Nearness, payloads, expiry and the least recently used entry, over two batches."""
+    rows = [
+        (0, [1.0, 0.0], "one", 0.0), (1, [0.99, 0.1], "x", 1.0), (2, [0.0, 1.0], "two", 2.0), (3, [-1.0, 0.0], "three", 3.0),
+        (4, [1.0, 0.0], "again", 4.0), (5, [0.0, 1.0], "y", 5.0), (6, [0.1, 1.0], "z", 30.0),
+    ]
+    df = spark.createDataFrame([(i, "k", v, p, t) for i, v, p, t in rows], "seq bigint, k string, v array<double>, p string, at double")
+    read = lambda: spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
+    for part, mode in (("seq < 4", "error"), ("seq >= 4", "append")):
+        df.where(part).coalesce(1).write.mode(mode).parquet(str(tmp_path / "in"))
+        _run(metric_cache_stream(read(), "k", "seq", "v", "p", "at", 0.2, "l2", ttl=10.0, limit=2, compute=str.upper), tmp_path, "out")
+    got = [(r.hit, r.payload) for r in spark.read.parquet(str(tmp_path / "out")).orderBy("seq").collect()]
+    # 3 drives out "one" (0, last read by 1); 4 drives out "two"; 5 drives out "three"; at 30 all are expired
+    assert got == [(False, "ONE"), (True, "ONE"), (False, "TWO"), (False, "THREE"), (False, "AGAIN"), (False, "Y"), (False, "Z")]
+
+
+def test_vector_stream_equals_batch(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(i, "ab"[i % 2], v.tolist()) for i, v in enumerate(rng.uniform(0, 3, (60, 3)))]
+    df = spark.createDataFrame(rows, "seq bigint, k string, v array<double>")
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    _run(first_fit_stream(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in")), "k", "seq", "v", 1.0, distance="l2"), tmp_path, "out")
+    got = {r.seq: r.is_novel for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    want = {r.seq: r.is_novel for r in packing.first_fit(df, "seq", F.col("v"), 1.0, 3, "l2", keys=["k"]).collect()}
+    assert got == want
+
+
+def test_span_attributes_of_all_kinds(spark, tmp_path):
+    values = [
+        {"key": "k", "value": {"intValue": "3"}}, {"key": "k", "value": {"stringValue": "later"}}, {"key": "list", "value": {"arrayValue": {"values": [{"stringValue": "a"}, {"intValue": "2"}]}}},
+        {"key": "map", "value": {"kvlistValue": {"values": [{"key": "x", "value": {"boolValue": True}}]}}}, {"key": "raw", "value": {"bytesValue": "AQI="}},
+    ]
+    otlp = {"resourceSpans": [{"resource": {"attributes": []}, "scopeSpans": [{"spans": [{"traceId": "t", "spanId": "a", "name": "n", "startTimeUnixNano": "5", "endTimeUnixNano": "9", "attributes": values}]}]}]}
+    (tmp_path / "o.json").write_text(json.dumps(otlp))
+    got = spans.read_otlp(spark, str(tmp_path / "o.json")).first().attributes
+    assert got["k"] == "later" and got["raw"] == "AQI=" and "a" in got["list"] and "2" in got["list"] and "x" in got["map"]

@@ -201,3 +201,52 @@ def test_one_cell_cut_by_number(spark, monkeypatch, earlier):
         near = sorted((float(np.sqrt(((p - q) ** 2).sum())), j * j) for j, q in enumerate(x) if (j < i if earlier else j != i))[:2]
         want |= {(i * i, j, d) for d, j in near}
     assert {(i, j) for i, j, _ in got} == {(i, j) for i, j, _ in want}
+
+
+def test_lookup_by_own_radius_and_misses(spark):
+    reps = spark.createDataFrame([(0, [0.0, 0.0], 0.5), (1, [4.0, 0.0], 3.0), (2, [9.0, 0.0], 0.0)], "j bigint, y array<double>, r double")
+    asked = spark.createDataFrame([(0, [0.4, 0.0]), (1, [1.2, 0.0]), (2, [9.0, 0.0]), (3, [8.0, 0.0])], "i bigint, x array<double>")
+    got = {r.i: (r.covered, r.slot, r.distance) for r in packing.query(asked, reps, "l2", 1.0).collect()}
+    assert got == {0: (True, 0, 0.4), 1: (True, 1, 2.8), 2: (True, 2, 0.0), 3: (False, 2, 1.0)}
+    plain = {r.i: (r.covered, r.slot) for r in packing.lookup(asked, reps.drop("r"), "l2", 1.0).collect()}
+    assert plain == {0: (True, 0), 1: (False, -1), 2: (True, 2), 3: (True, 2)}
+    assert packing.query(asked, reps.where("false"), "l2", 1.0).where("slot = -1 and distance is null").count() == 4
+
+
+def test_rows_outside_the_domain_are_refused(spark):
+    config = PackConfig(2, 0.5, "l2", [0.0, 0.0], [1.0, 1.0])
+    rows = [(0, [0.1, 0.1]), (1, [float("nan"), 0.0]), (2, [0.2, 2.0]), (3, None), (4, [0.5]), (5, [0.2, 0.2]), (6, [float("inf"), 0.0]), (7, [1.0, 1.0])]
+    df = spark.createDataFrame(rows, "seq bigint, x array<double>")
+    got = {r.seq: (r.status, r.is_novel) for r in packing.observe(df, "seq", "x", config).collect()}
+    bad = ("invalid argument", None)
+    assert got == {0: ("ok", True), 1: bad, 2: ("out of range", None), 3: bad, 4: bad, 5: ("ok", False), 6: bad, 7: ("ok", True)}
+    ball = packing.checked(spark.createDataFrame([(0, [0.6, 0.8]), (1, [0.6, 0.7])], "seq bigint, x array<double>"), "x", PackConfig(2, 0.5, "poincare"))
+    assert [r.status for r in ball.orderBy("seq").collect()] == ["out of range", "ok"]
+
+
+def test_balls_rounded_inwards(spark):
+    from fractions import Fraction
+
+    rng = np.random.default_rng(5)
+    base = rng.random(150)
+    x = np.concatenate([base, base + 0.1, base - 0.1, np.nextafter(base + 0.1, 2), [0.0, 1.0]])
+    x = np.clip(x, 0, 1)
+    df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(x)], "seq bigint, v double")
+    got = {r.seq: r.is_novel for r in intervals.observe_rounded(df, "seq", "v", 0.1, 0.0, 1.0).collect()}
+    e = Fraction(0.1)
+    exact = [Fraction(float(v)) for v in x]
+    want = {i: not any(abs(exact[j] - exact[i]) <= e for j in range(i)) for i in range(len(x))}
+    assert got == want
+
+
+def test_vectors_with_limited_room(spark):
+    rng = np.random.default_rng(6)
+    x = rng.random((80, 2))
+    df = spark.createDataFrame([(i, "k", p.tolist()) for i, p in enumerate(x)], "seq bigint, k string, x array<double>")
+    have, want = [], []
+    for p in x:
+        want.append(not any(np.sqrt(((p - q) ** 2).sum()) <= 0.2 for q in have))
+        if want[-1]:
+            have = [*have, p][-5:]
+    got = packing.fifo(df, "seq", "x", 0.2, 5, ["k"], "l2").orderBy("seq").collect()
+    assert [r.is_novel for r in got] == want
