@@ -250,3 +250,26 @@ def test_vectors_with_limited_room(spark):
             have = [*have, p][-5:]
     got = packing.fifo(df, "seq", "x", 0.2, 5, ["k"], "l2").orderBy("seq").collect()
     assert [r.is_novel for r in got] == want
+
+
+@pytest.mark.parametrize(("ahead", "edges"), [(256, 500_000), (3, 500_000), (5, 4)])
+@pytest.mark.parametrize("k", [None, 7, 40])
+def test_greedy_picks_in_batches(spark, monkeypatch, ahead, edges, k):
+    monkeypatch.setattr(selection, "AHEAD", ahead)
+    monkeypatch.setattr(selection, "AHEAD_EDGES", edges)
+    rng = np.random.default_rng(8)
+    x = np.round(rng.random((40, 2)), 1)
+    d = np.abs(x[:, None] - x[None]).max(axis=2)
+    sets = [set(np.flatnonzero(r <= 0.2).tolist()) for r in d]
+    points = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(x)], "i bigint, x array<double>")
+    cover = spark.createDataFrame([(a, b) for a in range(40) for b in sets[a]], "a bigint, b bigint")
+    for by_coordinates in (True, False):
+        covered, want = set(), []
+        while len(covered) < 40 if k is None else len(want) < k:
+            free = [i for i in range(40) if i not in {w[0] for w in want}]
+            best = min(free, key=lambda i: (-len(sets[i] - covered), tuple(x[i]) if by_coordinates else (), i))
+            gain = len(sets[best] - covered)
+            covered |= sets[best]
+            want.append((best, gain, len(covered)))
+        got = selection.greedy(points, cover, k, by_coordinates).orderBy("step").collect()
+        assert [(r.i, r.gain, r.covered) for r in got] == want
