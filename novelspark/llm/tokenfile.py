@@ -359,6 +359,9 @@ class Coder:
 def write_files(docs: DataFrame, path: str, to: str) -> None:
     """Tokenises, counts, codes and writes; ``to`` gets the folders ``table`` and ``blocks``."""
     spark = docs.sparkSession
+    largest = max(load(path).get_vocab().values())
+    if largest >= 1 << 16:
+        raise ValueError(f"ids go up to {largest}; blocks hold 16-bit ids")
     blocks = stored(tokenised(docs, path), "token-blocks")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -308,6 +308,13 @@ def test_only_changed_subtrees_move(spark):
     assert both and all(r.b // 8 == 0 for r in both)  # into the region of shard 0 only
 
 
+def test_token_files_refuse_wide_vocabularies(spark, tmp_path):
+    large = {"version": "1.0", "model": {"type": "WordLevel", "vocab": {f"w{i}": i for i in range((1 << 16) + 1)}, "unk_token": "w0"}, "added_tokens": [], "normalizer": None, "pre_tokenizer": None, "post_processor": None, "decoder": None, "truncation": None, "padding": None}
+    (tmp_path / "wide.json").write_text(json.dumps(large))
+    with pytest.raises(ValueError, match="16-bit"):
+        tokenfile.write_files(odd(spark), str(tmp_path / "wide.json"), f"file://{tmp_path}/w")
+
+
 def test_poisson_counts(spark):
     docs = frame(spark, [(i, "x" * 10, "ab"[i % 4 == 0]) for i in range(4000)] + [(None, None, None)])
     rates = mixing.source_rates(docs, targets={"a": 0.25, "b": 0.75})
