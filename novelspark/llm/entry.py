@@ -16,6 +16,7 @@ QUERIES = {
     "op8_mixing": ("mixing", "ORACLE"),
     "op9_token_files": ("tokenfile", None),
     "op10_quality": ("quality", None),
+    "op11_lm_scoring": ("lm", None),
 }
 
 
