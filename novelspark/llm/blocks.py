@@ -7,8 +7,8 @@ all blocks come back in the order in which the keys were sent, so neither positi
 n-grams travel back: a block read again makes the same sorted keys and finds the counts
 beside them.  An n-gram, however frequent, is one key a block, so no task is hot.
 
-Keys are hashes; two of D different n-grams meet with a chance of D * D / 2 ** 63 (or so),
-which is 0.001 for 10 ** 8 of them.
+Keys are hashes; that two of D different n-grams share one of b bits has a chance of about
+D * D / 2 ** (b + 1): for words, of 62 bits or more, 10 ** -5 at 10 ** 7 of them.
 """
 
 from __future__ import annotations
@@ -27,8 +27,8 @@ from .common import shared_dir
 #: Bytes of text, and documents, after which a block is full.  A longer text is a block.
 BLOCK_BYTES = 4 << 20
 BLOCK_DOCS = 40_000
-#: Bytes of text for each task that counts: some 6 million keys.
-COUNTED_BYTES = 24 << 20
+#: Bytes of text for each task that counts: some 4 million keys.
+COUNTED_BYTES = 12 << 20
 
 BLOCKS = "block bigint, kind int, docs bigint, bytes bigint, ids array<bigint>, langs array<string>, sizes binary, text binary"
 COUNTS = "block bigint, part int, n bigint, total binary, kept binary, tokens bigint, words bigint, kept_tokens bigint, kept_words bigint"
@@ -176,6 +176,7 @@ def texts(rows: pa.Table | pa.RecordBatch) -> Iterator[tuple[dict, bytes, np.nda
 
 
 SENT = "part int, block bigint, kind int, n bigint, keys binary, times binary"
+SENT_SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("times", pa.binary())])
 
 
 def sent(block: int, kind: int, keys: np.ndarray, parts: int) -> pa.RecordBatch:
@@ -185,8 +186,7 @@ def sent(block: int, kind: int, keys: np.ndarray, parts: int) -> pa.RecordBatch:
     cut = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
     rows = [(p, block, kind, b - a, _pack(np.diff(keys[a:b], prepend=np.uint64(0))), _pack(times[a:b].astype(np.uint64))) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
     columns = list(zip(*rows, strict=True)) if rows else [[]] * 6
-    types = [pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary()]
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, types, strict=True)], SENT.replace(",", "").split()[::2])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, SENT_SCHEMA.types, strict=True)], schema=SENT_SCHEMA)
 
 
 def parts_for(blocks: DataFrame) -> int:
@@ -200,9 +200,10 @@ def count(keys: DataFrame, parts: int, what: str, is_word: Callable[[np.ndarray]
     part, the sum and the number of the distinct keys that are words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = pa.Table.from_batches(list(batches), schema=None) if (batches := list(batches)) else None
-        if t is None or not len(t):
+        have = list(batches)
+        if not have:
             return
+        t = pa.Table.from_batches(have)
         block, kind, n, part = (t[c].to_pylist() for c in ("block", "kind", "n", "part"))
         own = [np.cumsum(_unpack(raw.as_py(), m)) for raw, m in zip(t["keys"], n, strict=True)]
         every, _ = sorted_keys(np.concatenate(own))
