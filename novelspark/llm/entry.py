@@ -17,6 +17,8 @@ QUERIES = {
     "op9_token_files": ("tokenfile", None),
     "op10_quality": ("quality", None),
     "op11_lm_scoring": ("lm", None),
+    "op12_centroids": ("centroids", "oracle"),
+    "op13_collocations": ("phrases", None),
 }
 
 
