@@ -154,7 +154,7 @@ class EpsilonTree:
     def _leaf(self, x: np.ndarray) -> float:
         if len(x) < 2:
             return 0.0
-        d = metrics.block(self.distance, x, x)
+        d = metrics.bounds(self.distance, x, x)[1].copy()
         np.fill_diagonal(d, np.inf)
         k = min(self.k, len(x) - 1)
         return self.knee_of(np.partition(d, k - 1, axis=1)[:, k - 1])

@@ -13,7 +13,7 @@ from novelspark.functions import metrics
 from novelspark.operators.packing import first_fit_vectors
 from novelspark.plans import epsjoin
 from novelspark.plans.ordered import before, ranged
-from novelspark.plans.shared import small, stored
+from novelspark.plans.shared import small, stored, unused
 
 
 def reuse(labels: DataFrame, truth: DataFrame, seq: str, label: str) -> DataFrame:
@@ -42,25 +42,29 @@ def truncated(x: Column, dimension: int, renormalise: bool = True) -> Column:
 def margin(points: DataFrame, label: str, distance: str = "cosine") -> DataFrame:
     """least_cross, most_within, margin over all pairs, by block maxima and minima.
 
-    Only one extreme a block of pairs leaves each task.
+    Every two parts of the rows meet once, and only one extreme of each kind leaves a task.
     """
-    blocks = max(1, -(-points.count() // epsjoin.BLOCK_ROWS))
-    a = points.select("i", "x", F.col(label).alias("l")).withColumn("bl", F.pmod(F.xxhash64("i"), F.lit(blocks)).cast("int"))
-    every = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))
-    left = a.withColumn("br", every)
-    right = a.withColumnRenamed("bl", "br").withColumn("bl", every)
+    parts = max(1, -(-points.count() // epsjoin.BLOCK_ROWS))
+    a = points.select("i", metrics.doubles("x").alias("x"), F.col(label).alias("l")).withColumn("part", F.pmod(F.xxhash64("i"), F.lit(parts)).cast("int"))
+    spread = lambda low, high: F.explode(F.sequence(low, high))
+    left = a.withColumn("bl", F.col("part")).withColumn("br", spread(F.col("part"), F.lit(parts - 1)))
+    right = a.withColumn("br", F.col("part")).withColumn("bl", spread(F.lit(0), F.col("part")))
 
     def run(p: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
-        out = {"cross": [], "within": []}
+        out: dict[str, list] = {"cross": [], "within": []}
         if len(p) and len(q):
             x, y = np.stack(p["x"].to_numpy()), np.stack(q["x"].to_numpy())
-            d = metrics.block(distance, x, y)
+            low, high = metrics.bounds(distance, x, y)
             other = p["i"].to_numpy()[:, None] != q["i"].to_numpy()[None, :]
             same = p["l"].to_numpy()[:, None] == q["l"].to_numpy()[None, :]
-            for name, mask, pick, miss in (("cross", other & ~same, np.argmin, np.inf), ("within", other & same, np.argmax, -np.inf)):
-                if mask.any():
-                    at = np.unravel_index(pick(np.where(mask, d, miss)), d.shape)
-                    out[name].append(float(metrics.exact(distance, x[at[0]][None], y[at[1]][None])[0]))
+            mask = other & ~same
+            if mask.any():  # all that may be the least
+                i, j = np.nonzero(mask & (low <= high[mask].min()))
+                out["cross"].append(float(metrics.exact(distance, x[i], y[j]).min()))
+            mask = other & same
+            if mask.any():
+                i, j = np.nonzero(mask & (high >= low[mask].max()))
+                out["within"].append(float(metrics.exact(distance, x[i], y[j]).max()))
         return pd.DataFrame({k: v or [None] for k, v in out.items()}, dtype=float)
 
     found = left.groupBy("bl", "br").cogroup(right.groupBy("bl", "br")).applyInPandas(run, "cross double, within double")
@@ -240,20 +244,18 @@ def exact_lru(df: DataFrame, keys: list[str], seq: str, x: str, capacity: int) -
 
 
 def exact_set(df: DataFrame, keys: list[str], seq: str, x: str, capacity: int) -> DataFrame:
-    """Novel unless held; nothing is held any more once ``capacity`` values are."""
-
-    def make():
-        held: set = set()
-
-        def see(v):
-            novel = v not in held
-            if novel and len(held) < capacity:
-                held.add(v)
-            return novel
-
-        return see
-
-    return _sequential(df, keys, seq, x, make)
+    """keys, seq, is_novel: novel unless held; nothing is held any more once ``capacity`` values
+    of the key are.  Values are held in the order of their first rows."""
+    value, first, place = unused(df, "value", "first", "place")
+    rows = df.select(*keys, seq, F.col(x).alias(value))
+    seen = stored(rows.groupBy(*keys, value).agg(F.min(seq).alias(first)), "first-sightings")
+    ranked = before(ranged(seen, first), keys, [first], F.lit(1), "count", place)
+    ranked = ranked.drop("_range").select(*[F.col(k).alias(k) for k in keys], value, first, place)
+    same = F.col(f"a.{value}").eqNullSafe(F.col(f"b.{value}"))
+    for k in keys:
+        same = same & F.col(f"a.{k}").eqNullSafe(F.col(f"b.{k}"))
+    held = (F.col(f"b.{place}") < F.lit(capacity)) & (F.col(f"a.{seq}") != F.col(f"b.{first}"))
+    return rows.alias("a").join(ranked.alias("b"), same).select(*[F.col(f"a.{k}").alias(k) for k in keys], F.col(f"a.{seq}").alias(seq), (~held).alias("is_novel"))
 
 
 def k_centre(df: DataFrame, keys: list[str], seq: str, x: str, epsilon: float, capacity: int, distance: str = "linf") -> DataFrame:

@@ -3,7 +3,9 @@
 First fit is the first maximal independent set in row order of the graph "an earlier row
 would cover me", so it is found in rounds: an undecided row with no undecided row before
 it that would cover it is a representative; rows that a representative covers are done.
-A few rounds decide rows in any usual order.  Where a chain makes more than ``ROUNDS``, the
+A few rounds decide rows in any usual order.  What is small is settled row by row in one task
+at once: a key of at most ``SETTLE_ROWS`` undecided rows, or that many rows of a net without keys.
+Where a chain makes more than ``ROUNDS``, the
 undecided rows are settled block by block in row order: a block of at most
 ``SETTLE_ROWS`` rows is labelled row by row, then what its representatives cover leaves
 the blocks that follow.  Any stream so ends, and no task gets more than a block.
@@ -26,9 +28,11 @@ from novelspark.plans.shared import stored
 ROUNDS = 12
 #: Undecided rows that are labelled row by row at a time.
 SETTLE_ROWS = 4000
-#: Rows of one order block of vectors: each block is compared with earlier
-#: representatives first, and only what is left is joined with itself.
-ORDER_BLOCK = 20_000
+#: Vectors are taken in a few prefixes, each so many times as long as the one before: what the
+#: representatives of a prefix cover leaves the next one, and only the rest is joined with
+#: itself.  No prefix but the first is shorter than ``LEAST_PREFIX``.
+PREFIX_GROWTH = 16
+LEAST_PREFIX = 5000
 
 
 def first_fit(df: DataFrame, seq: str, x: Column, epsilon: float, dimension: int = 1, distance: str = "linf", keys: list[str] | None = None, rounds: int = ROUNDS) -> DataFrame:
@@ -50,8 +54,11 @@ def first_fit(df: DataFrame, seq: str, x: Column, epsilon: float, dimension: int
         done = near(new, left.drop("cell")).where(F.col("s") >= F.col("fs")).select(*keys, "s").distinct()
         left = stored(left.join(done, [*keys, "s"], "left_anti").select(*left.columns), "undecided")
 
+    if keys:
+        few = left.groupBy(*keys).count().where(F.col("count") <= SETTLE_ROWS).drop("count")
+        take(_one_by_one(left.join(few, keys, "left_semi"), keys, epsilon, distance))
     for _ in range(rounds):
-        if not left.head(1):
+        if left.limit(SETTLE_ROWS + 1).count() <= SETTLE_ROWS:
             break
         first = left.groupBy(*keys, "cell").agg(F.min(F.struct("s", "p")).alias("f")).select(*keys, F.col("f.s").alias("fs"), F.col("f.p").alias("fp"))
         blocked = near(first, left.drop("cell")).where(F.col("s") < F.col("fs")).select(*keys, "fs").distinct()
@@ -65,89 +72,110 @@ def first_fit(df: DataFrame, seq: str, x: Column, epsilon: float, dimension: int
     return best.select(*keys, F.col("s").alias(seq), (F.col("m.fs") == F.col("s")).alias("is_novel"), F.col("m.fs").alias("representative"), F.col("m.d").alias("distance"))
 
 
+def settled(x: np.ndarray, r: np.ndarray, distance: str) -> np.ndarray:
+    """Which rows are representatives, taken one after the other; row i would cover within r[i]."""
+    kept: list[int] = []
+    for start in range(0, len(x), 512):
+        part = slice(start, start + 512)
+        covered = np.zeros(len(x[part]), bool)
+        if kept:
+            covered = metrics.within(distance, x[part], x[kept], r[kept]).any(axis=1)
+        inner = metrics.within(distance, x[part], x[part], r[part])
+        for i in range(len(covered)):
+            if not covered[i]:
+                kept.append(start + i)
+                covered[i:] |= inner[i:, i]
+    return np.array(kept, np.int64)
+
+
 def _one_by_one(left: DataFrame, keys: list[str], epsilon: float, distance: str) -> DataFrame:
-    """The representatives among at most ``SETTLE_ROWS`` rows that no representative covers yet."""
+    """The representatives among rows of which each key has at most ``SETTLE_ROWS``, and which
+    no representative covers yet."""
     out = left.select(*keys, F.col("s").alias("fs"), F.col("p").alias("fp"))
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("fs")
-        v = np.stack(rows["fp"].to_numpy())
-        free, kept = np.ones(len(v), bool), []
-        for i in range(len(v)):
-            if free[i]:
-                kept.append(i)
-                free[i:] &= metrics.exact(distance, np.broadcast_to(v[i], v[i:].shape), v[i:]) > epsilon
-        return rows.iloc[kept]
+        x = np.stack(rows["fp"].to_numpy())
+        return rows.iloc[settled(x, np.full(len(x), epsilon), distance)]
 
     if keys:
         return out.groupBy(*keys).applyInPandas(run, out.schema)
-    return out.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(lambda rows: run(rows.drop(columns="_one")), out.schema)
+    return out.withColumn("one", F.lit(0)).groupBy("one").applyInPandas(lambda rows: run(rows.drop(columns="one")), out.schema)
 
 
-def independent(nodes: DataFrame, edges: DataFrame, rounds: int = ROUNDS) -> DataFrame:
-    """``nodes`` (i) that are representatives, for ``edges`` (i, j): j is earlier and would cover i."""
-    left, links, found = nodes.select("i"), edges.select("i", "j"), None
-
-    def take(new: DataFrame) -> None:
-        nonlocal found, left, links
-        new = stored(new, "representatives")
-        found = new if found is None else found.union(new)
-        covered = links.join(new.select(F.col("i").alias("j")), "j", "left_semi").select("i").distinct()
-        left = stored(left.join(new, "i", "left_anti").join(covered, "i", "left_anti"), "undecided")
-        links = stored(links.join(left, "i", "left_semi").join(left.select(F.col("i").alias("j")), "j", "left_semi").select("i", "j"), "edges")
-
-    for _ in range(rounds):
-        take(left.join(links.select("i").distinct(), "i", "left_anti"))
-        if not left.head(1):
-            return found
-    while left.head(1):
-        block = stored(left.orderBy("i").limit(SETTLE_ROWS), "block")
-        own = links.join(block, "i", "left_semi").join(block.select(F.col("i").alias("j")), "j", "left_semi")
-        # one row for each row of the block, with its earlier neighbours in it
-        lists = block.join(own.groupBy("i").agg(F.collect_list("j").alias("js")), "i", "left")
-
-        def run(rows: pd.DataFrame) -> pd.DataFrame:
-            kept: set[int] = set()
-            for i, js in rows.sort_values("i")[["i", "js"]].itertuples(index=False):
-                if js is None or kept.isdisjoint(js):
-                    kept.add(i)
-            return pd.DataFrame({"i": sorted(kept)}, dtype="int64")
+def first_fit_vectors(df: DataFrame, seq: str, x: str, epsilon: float, distance: str = "cosine", radius: Column | None = None) -> DataFrame:
+    """seq, is_novel, representative, distance for vectors of any dimension.
 
-        take(lists.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(run, "i bigint"))
-    return found
+    With ``radius`` (finite, 0 or more, and of any size beside epsilon) each representative
+    covers its own radius; the closest one whose ball holds a row is reported.
+    """
+    rows = stored(df.select(F.col(seq).cast("bigint").alias("i"), metrics.doubles(x).alias("x"), (F.lit(float(epsilon)) if radius is None else radius.cast("double")).alias("r")), "vectors")
+    reps = _net(rows, distance)
+    best = _covering(rows, reps, distance, "nearest").groupBy("i").agg(F.min(F.struct("d", "j")).alias("m"))
+    out = rows.select("i").join(reps.select("i", F.lit(True).alias("own")), "i", "left").join(best, "i", "left")
+    own = F.col("own").isNotNull()
+    return out.select(F.col("i").alias(seq), own.alias("is_novel"), F.when(own, F.col("i")).otherwise(F.col("m.j")).alias("representative"), F.when(own, 0.0).otherwise(F.col("m.d")).alias("distance"))
 
 
-def first_fit_vectors(df: DataFrame, seq: str, x: str, epsilon: float, distance: str = "cosine", radius: Column | None = None) -> DataFrame:
-    """seq, is_novel, representative, distance for vectors of any dimension; with ``radius``
-    each representative covers its own radius, which must not exceed epsilon."""
-    rows = stored(df.select(F.col(seq).cast("bigint").alias("i"), metrics.doubles(x).alias("x"), (F.lit(epsilon) if radius is None else radius).alias("r")), "vectors")
-    n = rows.count()
-    parts = max(1, -(-n // ORDER_BLOCK))
-    cuts = [] if parts == 1 else sorted(set(rows.select(F.percentile_approx("i", [k / parts for k in range(1, parts)], 10_000)).first()[0]))
-    reps: DataFrame | None = None
+def _net(rows: DataFrame, distance: str) -> DataFrame:
+    """The representatives among ``rows`` (i, x, r)."""
+    # rows at one point share the fate of the first of them, if that would cover the others
+    covers_itself = metrics.metric(distance)(F.col("x"), F.col("x")) <= F.col("r")
+    alone = F.when(covers_itself, F.lit(None).cast("bigint")).otherwise(F.col("i"))
+    first = rows.groupBy("x", alone.alias("alone")).agg(F.min(F.struct("i", "r")).alias("f"))
+    points = stored(first.select(F.col("f.i").alias("i"), "x", F.col("f.r").alias("r")), "points")
+    n = points.count()
+    shares, share = [], 1.0 / PREFIX_GROWTH
+    while n * share >= LEAST_PREFIX:
+        shares.append(share)
+        share /= PREFIX_GROWTH
+    cuts = sorted(set(points.select(F.percentile_approx("i", shares, 10_000)).first()[0])) if shares else []
+    net: DataFrame | None = None
     for low, high in zip([None, *cuts], [*cuts, None], strict=True):
-        own = rows
+        own = points
         if low is not None:
             own = own.where(F.col("i") > low)
         if high is not None:
             own = own.where(F.col("i") <= high)
-        if reps is not None:
-            seen = _covering(own, reps, distance, epsilon, "covered" if radius is None else "pairs").select("i").distinct()
-            own = stored(own.join(seen, "i", "left_anti"), "survivors")
-        edges = stored(_covering(own, own, distance, epsilon, "pairs"), "edges")
-        new = own.join(independent(own, edges), "i", "left_semi")
-        reps = new if reps is None else reps.union(new)
-    reps = stored(reps, "net")
-    best = _covering(rows, reps, distance, epsilon, "nearest" if radius is None else "pairs").groupBy("i").agg(F.min(F.struct("d", "j")).alias("m"))
-    out = rows.select("i").join(reps.select("i", F.lit(True).alias("own")), "i", "left").join(best, "i", "left")
-    own = F.col("own").isNotNull()
-    return out.select(F.col("i").alias(seq), own.alias("is_novel"), F.when(own, F.col("i")).otherwise(F.col("m.j")).alias("representative"), F.when(own, 0.0).otherwise(F.col("m.d")).alias("distance"))
+        if net is not None:
+            own = own.join(_covering(own, net, distance, "covered").select("i").distinct(), "i", "left_anti")
+        new = _independent(own, distance)
+        net = new if net is None else net.union(new)
+    return stored(net, "net")
+
+
+def _independent(rows: DataFrame, distance: str, rounds: int = ROUNDS) -> DataFrame:
+    """The representatives among ``rows`` (i, x, r), none of which is covered yet."""
+    found, done = [], 0
+    left = stored(rows, "undecided")
+
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        block = block.sort_values("i")
+        return block.iloc[settled(np.stack(block["x"].to_numpy()), block["r"].to_numpy(), distance)][["i", "x", "r"]]
+
+    while n := left.count():
+        if n <= SETTLE_ROWS or done >= rounds:
+            first = left.orderBy("i").limit(SETTLE_ROWS).select("i", "x", "r", F.lit(0).alias("one"))
+            new = first.groupBy("one").applyInPandas(run, "i bigint, x array<double>, r double")
+        else:
+            # an undecided row that no undecided one before it would cover
+            new = left.join(_covering(left, left, distance, "covered").select("i").distinct(), "i", "left_anti")
+        new = stored(new, "representatives")
+        found.append(new)
+        if n <= SETTLE_ROWS:
+            break
+        covered = _covering(left, new, distance, "covered").select("i").distinct()
+        left = stored(left.join(new, "i", "left_anti").join(covered, "i", "left_anti").select("i", "x", "r"), "undecided")
+        done += 1
+    out = left.limit(0).select("i", "x", "r")
+    for one in found:
+        out = out.union(one.select("i", "x", "r"))
+    return out if len(found) <= 1 else stored(out, "representatives")
 
 
-def _covering(rows: DataFrame, reps: DataFrame, distance: str, epsilon: float, keep: str) -> DataFrame:
-    """i, j, d: earlier rows of ``reps`` whose ball holds a row of ``rows``."""
-    found = epsjoin.block_pairs(rows.select("i", "x"), reps.select(F.col("i").alias("j"), F.col("x").alias("y")), distance, epsilon, keep, earlier=True)
-    return found.join(reps.select(F.col("i").alias("j"), "r"), "j").where("d <= r").select("i", "j", "d")
+def _covering(rows: DataFrame, reps: DataFrame, distance: str, keep: str) -> DataFrame:
+    """i, j, d: earlier rows of ``reps`` (i, x, r) whose ball holds a row of ``rows``."""
+    return epsjoin.block_pairs(rows.select("i", "x"), reps.select(F.col("i").alias("j"), F.col("x").alias("y"), "r"), distance, None, keep, earlier=True)
 
 
 def lookup(queries: DataFrame, reps: DataFrame, distance: str, epsilon: float) -> DataFrame:
@@ -156,12 +184,7 @@ def lookup(queries: DataFrame, reps: DataFrame, distance: str, epsilon: float) -
 
     With a column ``r`` each representative's ball has its own radius, above or below epsilon.
     """
-    if "r" in reps.columns:
-        widest = reps.agg(F.max("r")).first()[0]
-        pairs = epsjoin.block_pairs(queries, reps, distance, float(widest or 0.0)).join(reps.select("j", "r"), "j").where("d <= r")
-        found = pairs.groupBy("i").agg(F.min(F.struct("d", "j")).alias("m")).select("i", F.col("m.j").alias("j"), F.col("m.d").alias("d"))
-    else:
-        found = epsjoin.nearest(queries, reps, distance, epsilon)
+    found = epsjoin.nearest(queries, reps, distance, epsilon)
     out = queries.select("i").join(found, "i", "left")
     return out.select("i", F.col("j").isNotNull().alias("covered"), F.coalesce("j", F.lit(-1)).cast("bigint").alias("slot"), F.col("d").alias("distance"))
 

@@ -1,7 +1,7 @@
 """Running values over a global order, without one task for all rows.
 
-Rows are cut into ranges of the order column at approximate quantiles; windows run
-inside each range, and what a range carries into the next comes from one row a range.
+Rows are cut into ranges of the order column; windows run inside each range, and what a
+range carries into the next comes from one row a range.
 """
 
 from __future__ import annotations
@@ -9,8 +9,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from novelspark.plans.shared import stored
+
 ROWS_A_RANGE = 50_000
-#: Cuts that are looked for in a list; more are found by the number of a coarse one first.
+#: Cuts that a plan lists as literals; more ranges are those of a shuffle.
 LISTED = 64
 
 
@@ -18,13 +20,17 @@ def ranged(df: DataFrame, by: str, out: str = "_range") -> DataFrame:
     """Adds the number of the range of ``by`` that a row is in; equal values are together.
 
     There are as many ranges as ``ROWS_A_RANGE`` asks for, or a few for each shuffle
-    partition of the session if that is more, whatever the number of rows.
+    partition of the session if that is more, whatever the number of rows.  A few ranges are
+    cut at approximate quantiles; many are the partitions of a range shuffle, which is stored,
+    so that a row's range is the same whenever it is read.
     """
     n = df.count()
     least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = max(1, min(n // 500, max(least, n // ROWS_A_RANGE)))
     if parts == 1:
         return df.withColumn(out, F.lit(0))
+    if parts > LISTED:
+        return stored(df.repartitionByRange(parts, by).withColumn(out, F.spark_partition_id()), "ranges")
     cuts = df.select(F.percentile_approx(by, [i / parts for i in range(1, parts)], 4 * parts)).first()[0] or []
     return df.withColumn(out, above(sorted(set(cuts)), F.col(by)))
 

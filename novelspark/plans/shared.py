@@ -29,3 +29,23 @@ def stored(df: DataFrame, what: str = "step") -> DataFrame:
 
 def small(df: DataFrame, rows: int = 20_000) -> bool:
     return df.limit(rows + 1).count() <= rows
+
+
+def unused(df: DataFrame, *wanted: str) -> list[str]:
+    """Names for helper columns that no column of ``df`` has, in any case of letters."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in wanted:
+        name = f"_{name}"
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def discard(df: DataFrame) -> None:
+    """Removes the files of a ``stored`` table that nothing reads any more."""
+    spark = df.sparkSession
+    for part in df.inputFiles()[:1]:  # none: an empty table
+        path = spark._jvm.org.apache.hadoop.fs.Path(part).getParent()
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -36,14 +36,15 @@ def test_sequential_rest_equals_rounds(spark):
     assert sorted(map(tuple, rounds)) == sorted(map(tuple, forced))
 
 
-def test_first_fit_vectors_in_order_blocks(spark, monkeypatch):
+def test_first_fit_vectors_by_prefixes(spark, monkeypatch):
     rng = np.random.default_rng(3)
     x = rng.standard_normal((120, 8))
     x /= np.linalg.norm(x, axis=1)[:, None]
     df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "seq bigint, x array<double>")
     want = loop(x, 0.5, "cosine")
-    for block in (1000, 50):
-        monkeypatch.setattr(packing, "ORDER_BLOCK", block)
+    for least, settle in ((5000, 4000), (5, 4000), (5, 10)):
+        monkeypatch.setattr(packing, "LEAST_PREFIX", least)
+        monkeypatch.setattr(packing, "SETTLE_ROWS", settle)
         got = {r.seq: (r.is_novel, r.representative) for r in packing.first_fit_vectors(df, "seq", "x", 0.5).collect()}
         assert [got[i] for i in range(len(x))] == want
 
@@ -107,7 +108,8 @@ def test_metrics_match_their_twins(spark):
     for name in ("l1", "l2", "linf", "cosine", "poincare"):
         got = [r[0] for r in df.select(metrics.metric(name)(F.col("a"), F.col("b"))).collect()]
         assert np.allclose(got, metrics.exact(name, a, b), rtol=0, atol=1e-15)
-        assert np.allclose(np.diag(metrics.block(name, a, b)), got, atol=1e-9)
+        low, high = metrics.bounds(name, a, b)
+        assert (np.diag(low) <= got).all() and (np.diag(high) >= got).all() and (high - low < 1e-6).all()
     with pytest.raises(ValueError):
         metrics.metric("nope")
 
@@ -164,8 +166,8 @@ def test_pivots_prune_and_lose_nothing(spark, monkeypatch, distance):
     d = np.stack([metrics.exact(distance, x, np.broadcast_to(p, x.shape)) for p in x])
     want = {(int(ids[a]), int(ids[b])) for a, b in zip(*np.nonzero(d <= epsilon), strict=True)}
     met = []
-    real = metrics.block
-    monkeypatch.setattr(metrics, "block", lambda *a: met.append(1) or real(*a))
+    real = metrics.bounds
+    monkeypatch.setattr(metrics, "bounds", lambda *a: met.append(1) or real(*a))
     for flags in ({}, {"earlier": True}, {"other": True}):
         got = [(r.i, r.j) for r in epsjoin.block_pairs(left, right, distance, epsilon, **flags).collect()]
         keep = {(i, j) for i, j in want if not flags or ("earlier" in flags and j < i) or ("other" in flags and i != j)}
@@ -273,3 +275,100 @@ def test_greedy_picks_in_batches(spark, monkeypatch, ahead, edges, k):
             want.append((best, gain, len(covered)))
         got = selection.greedy(points, cover, k, by_coordinates).orderBy("step").collect()
         assert [(r.i, r.gain, r.covered) for r in got] == want
+
+
+def far_out(distance, scale, n=200):
+    """Vectors and, for each, a later copy and a later one close by, far from the origin."""
+    rng = np.random.default_rng(int(scale) % 97 + len(distance))
+    x = rng.standard_normal((n, 64))
+    if distance in ("cosine", "poincare"):
+        x /= np.linalg.norm(x, axis=1)[:, None]
+        x *= 0.97 if distance == "poincare" else scale
+    else:
+        x = x * 1.0 + scale
+    near = x.copy()
+    near[:, 0] += 0.4 if distance not in ("cosine", "poincare") else 1e-9
+    return x, near
+
+
+CASES = [("l2", 1.0), ("l2", 1e3), ("l2", 1e5), ("l2", 1e6), ("l1", 1e5), ("linf", 1e6), ("poincare", 1.0), ("cosine", 1.0), ("cosine", 1e3)]
+
+
+@pytest.mark.parametrize(("distance", "scale"), CASES)
+def test_far_from_the_origin_nothing_is_lost(spark, monkeypatch, distance, scale):
+    monkeypatch.setattr(epsjoin, "BLOCK_ROWS", 150)
+    x, near = far_out(distance, scale)
+    every = np.concatenate([x, near])
+    d = np.stack([metrics.exact(distance, np.broadcast_to(v, every.shape), every) for v in every])
+    epsilon = float(np.sort(np.diag(d[:200, 200:]))[150])  # the distance of one pair exactly
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(every)], "i bigint, x array<double>")
+    right = df.select(F.col("i").alias("j"), F.col("x").alias("y"))
+    got = {(r.i, r.j): r.d for r in epsjoin.block_pairs(df, right, distance, epsilon, "pairs", earlier=True).collect()}
+    want = {(i, j): d[i, j] for i in range(400) for j in range(i) if d[i, j] <= epsilon}
+    assert got == want and len(want) > 100
+    nearest = {r.i: r.j for r in epsjoin.nearest(df, right, distance, other=True).collect()}
+    assert nearest == {i: min((d[i, j], j) for j in range(400) if j != i)[1] for i in range(400)}
+    net = {r.i: r.is_novel for r in packing.first_fit_vectors(df, "i", "x", epsilon, distance).collect()}
+    assert [net[i] for i in range(400)] == [novel for novel, _ in loop(every, epsilon, distance)]
+    history = {r.i: r.is_novel for r in novelty.history_novelty_vectors(df, "i", "x", epsilon, distance).collect()}
+    assert [history[i] for i in range(400)] == [not any(d[i, j] <= epsilon for j in range(i)) for i in range(400)]
+
+
+@pytest.mark.parametrize("distance", ["l2", "l1", "linf", "poincare"])
+def test_copies_at_radius_zero(spark, distance):
+    x, _ = far_out("cosine", 1.0)
+    x = x * 0.9
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(np.concatenate([x, x]))], "i bigint, x array<double>")
+    got = {r.i: r.is_novel for r in novelty.history_novelty_vectors(df, "i", "x", 0.0, distance).collect()}
+    net = {r.i: r.is_novel for r in packing.first_fit_vectors(df, "i", "x", 0.0, distance).collect()}
+    assert got == net == {i: i < 200 for i in range(400)}
+
+
+def test_copies_that_do_not_cover_themselves(spark):
+    # 1 - x.x exceeds epsilon for short vectors, so by cosine their copies are novel too
+    df = spark.createDataFrame([(i, [0.5, 0.0] if i % 2 else [1.0, 0.0]) for i in range(8)], "i bigint, x array<double>")
+    got = {r.i: r.is_novel for r in packing.first_fit_vectors(df, "i", "x", 0.25, "cosine").collect()}
+    rows = np.array([[0.5, 0.0] if i % 2 else [1.0, 0.0] for i in range(8)])
+    assert [got[i] for i in range(8)] == [n for n, _ in loop(rows, 0.25, "cosine")]
+
+
+@pytest.mark.parametrize(("distance", "settle"), [("l2", 4000), ("l1", 15), ("linf", 40)])
+def test_radii_of_any_size(spark, monkeypatch, distance, settle):
+    """Zero, tiny, huge and mixed radii, also above epsilon: row by row first fit."""
+    monkeypatch.setattr(packing, "SETTLE_ROWS", settle)
+    monkeypatch.setattr(packing, "LEAST_PREFIX", 20)
+    monkeypatch.setattr(epsjoin, "BLOCK_ROWS", 60)
+    rng = np.random.default_rng(11)
+    x = np.repeat(rng.standard_normal((40, 3)) * 20, 8, axis=0) + rng.standard_normal((320, 3)) * rng.choice([0.0, 0.01, 1.0], (320, 1))
+    x = x[rng.permutation(320)]
+    r = rng.choice([0.0, 1e-12, 0.02, 0.5, 1.0, 3.0, 17.0], 320)
+    r[[100, 200]] = 60.0
+    want, reps = [], []
+    for i in range(320):
+        d = metrics.exact(distance, x[reps], np.broadcast_to(x[i], x[reps].shape)) if reps else np.zeros(0)
+        holds = [(float(d[k]), reps[k]) for k in range(len(reps)) if d[k] <= r[reps[k]]]
+        want.append((not holds, min(holds)[1] if holds else i))
+        if not holds:
+            reps.append(i)
+    df = spark.createDataFrame([(i, v.tolist(), float(q)) for i, (v, q) in enumerate(zip(x, r, strict=True))], "i bigint, x array<double>, q double")
+    got = {s.i: (s.is_novel, s.representative) for s in packing.first_fit_vectors(df, "i", "x", 0.5, distance, F.col("q")).collect()}
+    assert [got[i] for i in range(320)] == want
+    assert 10 < sum(n for n, _ in want) < 300
+
+
+def test_jobs_do_not_grow_with_the_rows(spark, monkeypatch):
+    monkeypatch.setattr(packing, "SETTLE_ROWS", 100)
+    monkeypatch.setattr(packing, "LEAST_PREFIX", 25)
+    monkeypatch.setattr(epsjoin, "BLOCK_ROWS", 400)
+    rng = np.random.default_rng(4)
+
+    def jobs(n):
+        x = rng.standard_normal((40, 6))[rng.integers(0, 40, n)] * 10 + rng.standard_normal((n, 6)) * 0.05
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "i bigint, x array<double>")
+        group = f"count-{n}"
+        spark.sparkContext.setJobGroup(group, group)
+        assert packing.first_fit_vectors(df, "i", "x", 1.0, "l2").where("is_novel").count() == 40
+        spark.sparkContext.setJobGroup("other", "other")
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(4000) <= 1.5 * jobs(400)  # rounds, not blocks
