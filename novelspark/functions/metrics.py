@@ -180,10 +180,10 @@ def bounds(name: str, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndar
             near = np.where(wide > 0, 2 * np.arcsinh(low / wide), np.inf)
             far = np.where(narrow > 0, 2 * np.arcsinh(high / narrow), np.inf)
         return near * (1 - rounding), far * (1 + rounding)
-    out = np.empty((len(x), len(y)))
-    for i, row in enumerate(x):
-        gap = np.abs(y - row)
-        out[i] = gap.max(1) if of is linf else gap.cumsum(1)[:, -1]
+    out = np.zeros((len(x), len(y)))
+    for k in range(x.shape[1]):  # axis by axis, in order
+        gap = np.abs(x[:, k, None] - y[None, :, k])
+        out = np.maximum(out, gap) if of is linf else out + gap
     return out, out
 
 

@@ -189,10 +189,3 @@ class EpsilonTree:
             else:
                 todo += [node["right"], node["left"]]
         return out
-
-
-def hyperbolic_zoom(x: Column, centre: Column, scale: float = 1.0, cap: float = 0.92) -> Column:
-    """The point around its cluster's centre, its distance pressed by tanh to below ``cap``."""
-    gap = F.zip_with(x, centre, lambda a, b: a - b)
-    norm = F.sqrt(metrics.squared_norm(gap))
-    return F.transform(gap, lambda v: F.when(norm > 0, v / norm * F.least(F.lit(cap), F.tanh(norm * scale))).otherwise(0.0))

@@ -10,13 +10,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from novelspark.functions import metrics
-from novelspark.operators.packing import first_fit_vectors
+from novelspark.operators.packing import first_fit_vectors, labelled, sweep
+from novelspark.operators.packing import nets as _nets
 from novelspark.plans import epsjoin
 from novelspark.plans.ordered import before, ranged
 from novelspark.plans.shared import small, stored, unused
 
 
-def reuse(labels: DataFrame, truth: DataFrame, seq: str, label: str) -> DataFrame:
+def reuse(labels: DataFrame, truth: DataFrame, seq: str, label: str, group: list[str] | None = None) -> DataFrame:
     """n, representatives, reused, correct, incorrect, missed, reuse_rate, precision.
 
     A reused row is correct if its representative has its label; a novel one is missed if
@@ -28,7 +29,11 @@ def reuse(labels: DataFrame, truth: DataFrame, seq: str, label: str) -> DataFram
     rows = labels.join(t, seq).join(rep, "representative").join(first, label)
     reused = ~F.col("is_novel")
     count = lambda c: F.coalesce(F.sum(c.cast("bigint")), F.lit(0))
-    out = rows.agg(F.count(F.lit(1)).alias("n"), count(F.col("is_novel")).alias("representatives"), count(reused).alias("reused"), count(reused & (F.col(label) == F.col("_rep_label"))).alias("correct"), count(reused & (F.col(label) != F.col("_rep_label"))).alias("incorrect"), count(F.col("is_novel") & (F.col("_first") < F.col(seq))).alias("missed"))
+    same = F.col(label) == F.col("_rep_label")
+    out = rows.groupBy(*(group or [])).agg(
+        F.count(F.lit(1)).alias("n"), count(F.col("is_novel")).alias("representatives"), count(reused).alias("reused"),
+        count(reused & same).alias("correct"), count(reused & ~same).alias("incorrect"), count(F.col("is_novel") & (F.col("_first") < F.col(seq))).alias("missed"),
+    )
     return out.withColumns({"reuse_rate": F.round(F.col("reused") / F.col("n"), 9), "precision": F.when(F.col("reused") > 0, F.round(F.col("correct") / F.col("reused"), 9))})
 
 
@@ -178,12 +183,71 @@ def evidence_groups(relevant: DataFrame, least: int = 2) -> DataFrame:
 
 
 def epsilon_sweep(points: DataFrame, seq: str, x: str, label: str, grid: list[float], distance: str = "cosine") -> DataFrame:
-    """The reuse measures at each epsilon of a grid."""
-    out = None
-    for e in grid:
-        one = reuse(first_fit_vectors(points, seq, x, e, distance), points, seq, label).withColumn("epsilon", F.lit(float(e)))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """The reuse measures at each epsilon of a grid, all nets found together."""
+    rows, nets = sweep(points.select(F.col(seq).alias("i"), F.col(x).alias("x")), grid, distance)
+    labels = labelled(rows, nets, distance).select("g", F.col("i").alias(seq), "is_novel", "representative")
+    return _by_entry(reuse(labels, points, seq, label, ["g"]), grid, "epsilon", "double")
+
+
+def matryoshka_sweep(points: DataFrame, seq: str, x: str, label: str, dimensions: list[int], epsilon: float) -> DataFrame:
+    """The reuse measures by cosine of the first coordinates of the vectors, scaled to unit
+    length again.  Cut vectors are filled with zeros, which no distance sees, so all nets are
+    found together."""
+    v = metrics.doubles(x)
+    cuts = [F.struct(F.lit(g).alias("g"), truncated(v, d).alias("cut"), F.lit(d).alias("d")) for g, d in enumerate(dimensions)]
+    wide = points.select(F.col(seq).cast("bigint").alias("i"), F.size(v).alias("n"), F.explode(F.array(*cuts)).alias("e"))
+    filled = F.concat("e.cut", F.array_repeat(F.lit(0.0), F.col("n") - F.size("e.cut")))
+    rows = stored(wide.select("e.g", "i", filled.alias("x"), F.lit(float(epsilon)).alias("r")), "sweep")
+    labels = labelled(rows, _nets(rows, "cosine"), "cosine").select("g", F.col("i").alias(seq), "is_novel", "representative")
+    return _by_entry(reuse(labels, points, seq, label, ["g"]), dimensions, "dimension", "int")
+
+
+def _by_entry(measures: DataFrame, grid: list, name: str, kind: str) -> DataFrame:
+    entries = measures.sparkSession.createDataFrame(list(enumerate(grid)), f"g int, {name} {kind}")
+    return measures.join(F.broadcast(entries), "g").drop("g")
+
+
+def judged_sweep(points: DataFrame, grid: list[float], relevant: DataFrame, payloads: DataFrame, evidence: DataFrame, distance: str = "cosine") -> DataFrame:
+    """What an answer cache over the stream ``points`` (i, x) would have done at each epsilon.
+
+    ``relevant`` (i, doc): what answers request i; ``payloads`` (i, doc): what was fetched for
+    it; ``evidence`` (i, part): the groups of evidence that it needs.  A reused answer is judged
+    if anything is relevant to the request, and correct if one of the documents fetched for
+    its representative is.  A request can be a repeat if one of its groups was needed
+    before; a novel one of these is a missed re-ask.
+    Returns epsilon, representatives, hits, reuse_rate, judged, correct, precision (null: none
+    judged), repeats, missed.
+    """
+    rows, found = sweep(points.select("i", "x"), grid, distance)
+    labels = stored(labelled(rows, found, distance), "labels")
+    # a group is seen from its first request on
+    seen = evidence.groupBy("part").agg(F.min("i").alias("first"))
+    repeats = evidence.join(seen, "part").where("first < i").select("i").distinct().withColumn("repeat", F.lit(True))
+    judged = relevant.select("i").distinct().withColumn("judged", F.lit(True))
+    hits = labels.where("not is_novel").select("g", "i", "representative")
+    fetched = payloads.select(F.col("i").alias("representative"), "doc")
+    right = hits.join(relevant.select("i", "doc"), "i").join(fetched, ["representative", "doc"], "left_semi").select("g", "i").distinct()
+    every = labels.join(repeats, "i", "left").join(judged, "i", "left").join(right.withColumn("right", F.lit(True)), ["g", "i"], "left")
+    of = lambda c: F.sum(F.coalesce(c, F.lit(False)).cast("bigint"))
+    out = every.groupBy("g").agg(
+        F.count(F.lit(1)).alias("n"), of(F.col("is_novel")).alias("representatives"), of(~F.col("is_novel")).alias("hits"),
+        of(~F.col("is_novel") & F.col("judged")).alias("judged"), of(F.col("right")).alias("correct"),
+        of(F.col("repeat")).alias("repeats"), of(F.col("repeat") & F.col("is_novel")).alias("missed"),
+    )
+    out = out.withColumns({"reuse_rate": F.round(F.col("hits") / F.col("n"), 9), "precision": F.when(F.col("judged") > 0, F.round(F.col("correct") / F.col("judged"), 9))})
+    return _by_entry(out, grid, "epsilon", "double").select("epsilon", "representatives", "hits", "reuse_rate", "judged", "correct", "precision", "repeats", "missed")
+
+
+def at_least(sweep_rows: DataFrame, least: float, order: str = "epsilon") -> DataFrame:
+    """The entry of a sweep (reuse_rate, precision) with the most reuse among those of at least
+    so much precision, and target_met; if there are none, the most precise one; if none was
+    judged, the first.  Ties go to the higher other measure, then to ``order``."""
+    met = F.coalesce(F.col("precision") >= F.lit(least), F.lit(False))
+    judged = F.col("precision").isNotNull()
+    rows = sweep_rows.withColumn("target_met", met)
+    first = F.when(met, F.col("reuse_rate")).when(judged, F.col("precision"))
+    second = F.when(met, F.col("precision")).when(judged, F.col("reuse_rate"))
+    return rows.orderBy(F.desc("target_met"), judged.desc(), first.desc_nulls_last(), second.desc_nulls_last(), order).limit(1)
 
 
 def lsh_pairs(points: DataFrame, tables: int, bits: int, dimension: int, seed: int = 0) -> DataFrame:

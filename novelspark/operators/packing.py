@@ -109,22 +109,36 @@ def first_fit_vectors(df: DataFrame, seq: str, x: str, epsilon: float, distance:
     With ``radius`` (finite, 0 or more, and of any size beside epsilon) each representative
     covers its own radius; the closest one whose ball holds a row is reported.
     """
-    rows = stored(df.select(F.col(seq).cast("bigint").alias("i"), metrics.doubles(x).alias("x"), (F.lit(float(epsilon)) if radius is None else radius.cast("double")).alias("r")), "vectors")
-    reps = _net(rows, distance)
-    best = _covering(rows, reps, distance, "nearest").groupBy("i").agg(F.min(F.struct("d", "j")).alias("m"))
-    out = rows.select("i").join(reps.select("i", F.lit(True).alias("own")), "i", "left").join(best, "i", "left")
+    r = (F.lit(float(epsilon)) if radius is None else radius).cast("double")
+    rows = stored(df.select(F.lit(0).alias("g"), F.col(seq).cast("bigint").alias("i"), metrics.doubles(x).alias("x"), r.alias("r")), "vectors")
+    return labelled(rows, nets(rows, distance), distance).select(F.col("i").alias(seq), "is_novel", "representative", "distance")
+
+
+def labelled(rows: DataFrame, reps: DataFrame, distance: str) -> DataFrame:
+    """g, i, is_novel, representative, distance of ``rows`` (g, i, x, r) by their nets."""
+    best = _covering(rows, reps, distance, "nearest").groupBy("g", "i").agg(F.min(F.struct("d", "j")).alias("m"))
+    out = rows.select("g", "i").join(reps.select("g", "i", F.lit(True).alias("own")), ["g", "i"], "left").join(best, ["g", "i"], "left")
     own = F.col("own").isNotNull()
-    return out.select(F.col("i").alias(seq), own.alias("is_novel"), F.when(own, F.col("i")).otherwise(F.col("m.j")).alias("representative"), F.when(own, 0.0).otherwise(F.col("m.d")).alias("distance"))
+    return out.select("g", "i", own.alias("is_novel"), F.when(own, F.col("i")).otherwise(F.col("m.j")).alias("representative"), F.when(own, 0.0).otherwise(F.col("m.d")).alias("distance"))
+
 
+def sweep(points: DataFrame, grid: list[float], distance: str = "cosine") -> tuple[DataFrame, DataFrame]:
+    """The rows of ``points`` (i, x) once for each entry g of a grid of resolutions (g, i, x, r),
+    and the nets of all of them (g, i, x, r): as many jobs for a long grid as for one entry."""
+    entry = F.explode(F.array(*[F.struct(F.lit(g).alias("g"), F.lit(float(e)).alias("r")) for g, e in enumerate(grid)])).alias("e")
+    rows = points.select(F.col("i").cast("bigint").alias("i"), metrics.doubles("x").alias("x"), entry).select("e.g", "i", "x", "e.r")
+    rows = stored(rows, "sweep")
+    return rows, nets(rows, distance)
 
-def _net(rows: DataFrame, distance: str) -> DataFrame:
-    """The representatives among ``rows`` (i, x, r)."""
+
+def nets(rows: DataFrame, distance: str) -> DataFrame:
+    """The representatives among ``rows`` (g, i, x, r) for each g."""
     # rows at one point share the fate of the first of them, if that would cover the others
     covers_itself = metrics.metric(distance)(F.col("x"), F.col("x")) <= F.col("r")
     alone = F.when(covers_itself, F.lit(None).cast("bigint")).otherwise(F.col("i"))
-    first = rows.groupBy("x", alone.alias("alone")).agg(F.min(F.struct("i", "r")).alias("f"))
-    points = stored(first.select(F.col("f.i").alias("i"), "x", F.col("f.r").alias("r")), "points")
-    n = points.count()
+    first = rows.groupBy("g", "x", alone.alias("alone")).agg(F.min(F.struct("i", "r")).alias("f"))
+    points = stored(first.select("g", F.col("f.i").alias("i"), "x", F.col("f.r").alias("r")), "points")
+    n = points.groupBy("g").count().agg(F.max("count")).first()[0] or 0
     shares, share = [], 1.0 / PREFIX_GROWTH
     while n * share >= LEAST_PREFIX:
         shares.append(share)
@@ -138,44 +152,49 @@ def _net(rows: DataFrame, distance: str) -> DataFrame:
         if high is not None:
             own = own.where(F.col("i") <= high)
         if net is not None:
-            own = own.join(_covering(own, net, distance, "covered").select("i").distinct(), "i", "left_anti")
+            own = own.join(_covering(own, net, distance, "covered").select("g", "i").distinct(), ["g", "i"], "left_anti")
         new = _independent(own, distance)
         net = new if net is None else net.union(new)
     return stored(net, "net")
 
 
 def _independent(rows: DataFrame, distance: str, rounds: int = ROUNDS) -> DataFrame:
-    """The representatives among ``rows`` (i, x, r), none of which is covered yet."""
+    """The representatives among ``rows`` (g, i, x, r), none of which is covered yet."""
+    schema, columns = "g int, i bigint, x array<double>, r double", ["g", "i", "x", "r"]
     found, done = [], 0
-    left = stored(rows, "undecided")
+    left = stored(rows.select(*columns), "undecided")
 
     def run(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values("i")
-        return block.iloc[settled(np.stack(block["x"].to_numpy()), block["r"].to_numpy(), distance)][["i", "x", "r"]]
-
-    while n := left.count():
-        if n <= SETTLE_ROWS or done >= rounds:
-            first = left.orderBy("i").limit(SETTLE_ROWS).select("i", "x", "r", F.lit(0).alias("one"))
-            new = first.groupBy("one").applyInPandas(run, "i bigint, x array<double>, r double")
-        else:
+        return block.iloc[settled(np.stack(block["x"].to_numpy()), block["r"].to_numpy(), distance)][columns]
+
+    while sizes := {r.g: r["count"] for r in left.groupBy("g").count().collect()}:  # a row an entry
+        small = [g for g, n in sizes.items() if n <= SETTLE_ROWS]
+        large = [g for g in sizes if g not in small]
+        new = left.where(F.col("g").isin(small)).groupBy("g").applyInPandas(run, schema)
+        rest = left.where(F.col("g").isin(large))
+        if large and done < rounds:
             # an undecided row that no undecided one before it would cover
-            new = left.join(_covering(left, left, distance, "covered").select("i").distinct(), "i", "left_anti")
+            new = new.union(rest.join(_covering(rest, rest, distance, "covered").select("g", "i").distinct(), ["g", "i"], "left_anti").select(*columns))
+        for g in large if done >= rounds else []:  # as many as entries
+            first = rest.where(F.col("g") == g).orderBy("i").limit(SETTLE_ROWS)
+            new = new.union(first.groupBy("g").applyInPandas(run, schema))
         new = stored(new, "representatives")
         found.append(new)
-        if n <= SETTLE_ROWS:
+        if not large:
             break
-        covered = _covering(left, new, distance, "covered").select("i").distinct()
-        left = stored(left.join(new, "i", "left_anti").join(covered, "i", "left_anti").select("i", "x", "r"), "undecided")
+        covered = _covering(rest, new, distance, "covered").select("g", "i").distinct()
+        left = stored(rest.join(new, ["g", "i"], "left_anti").join(covered, ["g", "i"], "left_anti").select(*columns), "undecided")
         done += 1
-    out = left.limit(0).select("i", "x", "r")
+    out = left.limit(0)
     for one in found:
-        out = out.union(one.select("i", "x", "r"))
+        out = out.union(one.select(*columns))
     return out if len(found) <= 1 else stored(out, "representatives")
 
 
 def _covering(rows: DataFrame, reps: DataFrame, distance: str, keep: str) -> DataFrame:
-    """i, j, d: earlier rows of ``reps`` (i, x, r) whose ball holds a row of ``rows``."""
-    return epsjoin.block_pairs(rows.select("i", "x"), reps.select(F.col("i").alias("j"), F.col("x").alias("y"), "r"), distance, None, keep, earlier=True)
+    """g, i, j, d: earlier rows of ``reps`` (g, i, x, r) whose ball holds a row of ``rows``."""
+    return epsjoin.block_pairs(rows.select("g", "i", "x"), reps.select("g", F.col("i").alias("j"), F.col("x").alias("y"), "r"), distance, None, keep, earlier=True)
 
 
 def lookup(queries: DataFrame, reps: DataFrame, distance: str, epsilon: float) -> DataFrame:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from itertools import product
 
 import numpy as np
 import pandas as pd
@@ -11,6 +12,9 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from novelspark.functions import metrics
 
+#: Axes of the cells that representatives are kept by.
+CELL_AXES = 3
+
 
 def _batch(rows: Iterator[pd.DataFrame], seq: str) -> pd.DataFrame:
     parts = list(rows)
@@ -18,39 +22,78 @@ def _batch(rows: Iterator[pd.DataFrame], seq: str) -> pd.DataFrame:
 
 
 class FirstFit(StatefulProcessor):
-    """First fit of numbers or vectors for each key; state: the representatives, oldest first.
+    """First fit of numbers or vectors for each key; state: the representatives, by cells.
 
-    With ``window`` the net starts anew after so many rows of a key; with ``capacity`` the
-    oldest representative goes when a novel row needs room.
+    A cell is as wide as epsilon on the first axes (``CELL_AXES``), so a row is compared only with the
+    representatives of the cells around its own; a row changes one cell at most.  By cosine,
+    and for epsilon 0, a key is one cell and one for each point.  With ``window`` the net starts
+    anew after so many rows of a key; with ``capacity`` the oldest representative goes when
+    a novel row needs room.
     """
 
     def __init__(self, seq: str, x: str, epsilon: float, capacity: int = 0, window: int = 0, distance: str = "linf"):
         self.seq, self.x, self.epsilon, self.capacity, self.window, self.distance = seq, x, epsilon, capacity, window, distance
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.reps = handle.getListState("reps", "value array<double>")
-        self.seen = handle.getValueState("seen", "n bigint")
+        self.cells = handle.getMapState("cells", "cell string", "ids array<bigint>, xs array<array<double>>")
+        # the oldest representative, the next number, rows seen, and the cell of each representative
+        self.numbers = handle.getValueState("numbers", "oldest bigint, next bigint, seen bigint")
+        self.where = handle.getMapState("where", "id bigint", "cell string")
+
+    def _place(self, v: np.ndarray) -> tuple[int, ...]:
+        if metrics.metric(self.distance) not in (metrics.l1, metrics.l2, metrics.linf):
+            return ()
+        if self.epsilon == 0:
+            return tuple((v + 0.0).view(np.int64).tolist())
+        return tuple(np.floor(v[:CELL_AXES] / (self.epsilon * (1 + 1e-9))).astype(np.int64).tolist())
+
+    def _around(self, place: tuple[int, ...]) -> Iterator[str]:
+        if self.epsilon == 0 or not place:
+            yield repr(place)
+            return
+        for step in product((-1, 0, 1), repeat=len(place)):
+            yield repr(tuple(p + s for p, s in zip(place, step, strict=True)))
+
+    def _get(self, cell: str) -> tuple[list, list]:
+        return tuple(map(list, self.cells.getValue((cell,)))) if self.cells.containsKey((cell,)) else ([], [])
+
+    def _forget(self, ident: int) -> None:
+        cell = self.where.getValue((ident,))[0]
+        ids, xs = self._get(cell)
+        at = ids.index(ident)
+        del ids[at], xs[at]
+        self.where.removeKey((ident,))
+        if ids:
+            self.cells.updateValue((cell,), (ids, xs))
+        else:
+            self.cells.removeKey((cell,))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         batch = _batch(rows, self.seq)
         if batch.empty:
             return
-        have = [np.array(r[0], float) for r in self.reps.get()] if self.reps.exists() else []
-        n = self.seen.get()[0] if self.seen.exists() else 0
+        oldest, following, n = tuple(self.numbers.get()) if self.numbers.exists() else (0, 0, 0)
         out = []
         for value in batch[self.x]:
-            v = np.atleast_1d(np.asarray(value, float))
+            v = np.atleast_1d(np.asarray(value, float)) + 0.0
             if self.window and n and n % self.window == 0:
-                have = []
+                for ident in range(oldest, following):
+                    self._forget(ident)
+                oldest = following
             n += 1
-            novel = not have or bool(metrics.exact(self.distance, np.stack(have), np.broadcast_to(v, (len(have), len(v)))).min() > self.epsilon)
+            place = self._place(v)
+            near = [x for cell in self._around(place) for x in self._get(cell)[1]]
+            novel = not near or bool(metrics.exact(self.distance, np.array(near, float), np.broadcast_to(v, (len(near), len(v)))).min() > self.epsilon)
             if novel:
-                have.append(v)
-                if self.capacity and len(have) > self.capacity:
-                    have.pop(0)
+                ids, xs = self._get(repr(place))
+                self.cells.updateValue((repr(place),), ([*ids, following], [*xs, v.tolist()]))
+                self.where.updateValue((following,), (repr(place),))
+                following += 1
+                if self.capacity and following - oldest > self.capacity:
+                    self._forget(oldest)
+                    oldest += 1
             out.append(novel)
-        self.reps.put([(v.tolist(),) for v in have])
-        self.seen.update((n,))
+        self.numbers.update((oldest, following, n))
         yield pd.DataFrame({"key": [str(key[0])] * len(batch), "seq": batch[self.seq].to_numpy(), "is_novel": out})
 
     def close(self) -> None:
