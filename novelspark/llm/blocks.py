@@ -31,7 +31,7 @@ BLOCK_DOCS = 40_000
 COUNTED_BYTES = 12 << 20
 
 BLOCKS = "block bigint, kind int, docs bigint, bytes bigint, ids array<bigint>, langs array<string>, sizes binary, text binary"
-COUNTS = "block bigint, part int, n bigint, total binary, kept binary, tokens bigint, words bigint, kept_tokens bigint, kept_words bigint"
+COUNTS = "block bigint, part int, n bigint, total binary, kept binary, first binary, tokens bigint, words bigint, kept_tokens bigint, kept_words bigint"
 
 #: Kinds of blocks: what is never counted, what counts in ``total`` only, what counts in both.
 UNCOUNTED, DELETED, KEPT = 0, 1, 2
@@ -179,9 +179,14 @@ SENT = "part int, block bigint, kind int, n bigint, keys binary, times binary"
 SENT_SCHEMA = pa.schema([("part", pa.int32()), ("block", pa.int64()), ("kind", pa.int32()), ("n", pa.int64()), ("keys", pa.binary()), ("times", pa.binary())])
 
 
-def sent(block: int, kind: int, keys: np.ndarray, parts: int) -> pa.RecordBatch:
-    """The keys of a block (as they occur) as rows for the tasks that count."""
-    keys, times = sorted_keys(keys)
+def sent(block: int, kind: int, keys: np.ndarray, parts: int, times: np.ndarray | None = None) -> pa.RecordBatch:
+    """The keys of a block (as they occur, or distinct ones with the times that they occur) as
+    rows for the tasks that count."""
+    if times is None:
+        keys, times = sorted_keys(keys)
+    else:
+        order = np.argsort(keys)
+        keys, times = keys[order], times[order]
     part = ((keys >> np.uint64(32)) * np.uint64(parts)) >> np.uint64(32)
     cut = np.searchsorted(part, np.arange(parts + 1, dtype=np.uint64))
     rows = [(p, block, kind, b - a, _pack(np.diff(keys[a:b], prepend=np.uint64(0))), _pack(times[a:b].astype(np.uint64))) for p, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
@@ -196,8 +201,9 @@ def parts_for(blocks: DataFrame) -> int:
 
 def count(keys: DataFrame, parts: int, what: str, is_word: Callable[[np.ndarray], np.ndarray] = lambda k: np.ones(len(k), bool)) -> DataFrame:
     """Counts for the rows of ``sent``, as a stored table: for each block and part the total
-    of every key, in order, and for DELETED blocks the total of the KEPT ones; and once a
-    part, the sum and the number of the distinct keys that are words."""
+    of every key, in order, for DELETED blocks the total of the KEPT ones, and a bit that is
+    set in one block that has the key; and once a part, the sum and the number of the
+    distinct keys that are words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         have = list(batches)
@@ -219,9 +225,12 @@ def count(keys: DataFrame, parts: int, what: str, is_word: Callable[[np.ndarray]
         word = is_word(every)
         sums = [int(total[word].sum()), int((total[word] > 0).sum()), int(kept[word].sum()), int((kept[word] > 0).sum())]
         names = COUNTS.replace(",", "").split()[::2]
-        types = [pa.int64(), pa.int32(), pa.int64(), pa.binary(), pa.binary(), *[pa.int64()] * 4]
+        types = [pa.int64(), pa.int32(), pa.int64(), *[pa.binary()] * 3, *[pa.int64()] * 4]
+        had = np.zeros(len(every), bool)
         for first, (where, b, p, k) in enumerate(zip(at, block, part, kind, strict=True)):
-            row = [b, p, len(where), _pack(total[where]), _pack(kept[where]) if k == DELETED else None, *(sums if not first else [0] * 4)]
+            new = ~had[where]
+            had[where] = True
+            row = [b, p, len(where), _pack(total[where]), _pack(kept[where]) if k == DELETED else None, np.packbits(new).tobytes(), *(sums if not first else [0] * 4)]
             yield pa.RecordBatch.from_arrays([pa.array([v], ty) for v, ty in zip(row, types, strict=True)], names)
 
     path = shared_dir(keys.sparkSession, what)
@@ -229,6 +238,16 @@ def count(keys: DataFrame, parts: int, what: str, is_word: Callable[[np.ndarray]
     return keys.sparkSession.read.schema(COUNTS).parquet(path)
 
 
+def first_of(rows: pa.Table, distinct: int) -> np.ndarray:
+    """Which of a block's distinct keys, in their order, are told by this block."""
+    rows = rows.sort_by("part")
+    bits = [np.unpackbits(np.frombuffer(raw.as_py(), np.uint8), count=n) for raw, n in zip(rows["first"], rows["n"].to_pylist(), strict=True)]
+    out = np.concatenate(bits).astype(bool) if bits else np.zeros(0, bool)
+    if len(out) != distinct:
+        raise ValueError(f"a block has {distinct} keys, and bits of {len(out)}")
+    return out
+
+
 def counted(rows: pa.Table, distinct: int, column: str = "total") -> np.ndarray:
     """The counts of a block's distinct keys, in their order, from its rows of ``count``."""
     rows = rows.sort_by("part")

@@ -11,10 +11,11 @@ states are the classes of substrings with the same end positions, its suffix lin
 a substring to the one without its first word, and the size of the set of end positions is
 how often a substring occurs in the shard.  ``Automaton`` builds the tree of suffix links,
 depth by depth, from the end positions themselves, and enumerates all substrings with
-their counts; counts of all shards are summed.  A word rarer than the
-threshold is in no candidate, nor is a pair of neighbouring words that is: both are counted
-first, by the exchange of ``blocks``, and shards are cut there, so an automaton
-holds what can still be frequent and nothing else.  That cuts no candidate off.
+their counts; the exchange of ``blocks`` sums them over all shards.  A phrase cannot be
+frequent if a part of it is not, so words are counted first, then pairs of frequent words, then
+triples of frequent pairs, then what is longer; the automaton of a shard is cut where a shorter
+substring is too rare, and so holds what can still be frequent and nothing else.  That cuts
+no candidate off.  One shard tells each frequent phrase.
 
 A longer phrase is at most as frequent as a part of it, so a phrase is inside an equally
 frequent one if and only if it is so inside one with one word more: at the front (its
@@ -30,6 +31,7 @@ gives an empty result; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -70,37 +72,29 @@ class Shard:
         self.joined[1:] = words.piece[1:] == words.piece[:-1]
         self.totals = np.bincount(lang, minlength=len(self.langs))
 
-    def frequent(self, rows: pa.Table, least: int) -> np.ndarray:
-        """Which distinct words occur at least so often in all blocks, given their counts."""
-        order = np.argsort(self.hash)
-        out = np.zeros(len(self.hash), bool)
-        out[order] = B.counted(rows, len(order)) >= least
+    def keys(self, code: np.ndarray, end: np.ndarray, d: int) -> np.ndarray:
+        """Keys of the substrings of d words that end there."""
+        out = self.hash[code[end - d + 1]]
+        for back in range(d - 2, -1, -1):
+            out = B.mixed(out, self.hash[code[end - back]])
         return out
 
-    def pairs(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Places where two neighbouring words of a piece are both frequent, and their keys."""
-        use = words[self.code]
-        at = np.flatnonzero(self.joined[1:] & use[1:] & use[:-1]) + 1
-        return at, B.mixed(self.hash[self.code[at - 1]], self.hash[self.code[at]])
-
 
 class Automaton:
     """Substrings of up to ``depth`` words of one shard, as the tree of suffix links.
 
-    ``code``: words; ``joined``: whether a word may follow the one before it.  ``link[d]``
-    gives for each substring of d + 1 words the one without its first word, ``count[d]``
-    the size of its set of end positions, ``end[d]`` one of them.  Two substrings joined by
-    a link with equal counts are of one state, whose longest is the one with the most words.
+    ``code``: words; ``left``: how many words before each one may stand in a substring that
+    ends with it.  ``link[d]`` gives for each substring of d + 1 words the one without its
+    first word, ``count[d]`` the size of its set of end positions, ``end[d]`` one of them.
+    Two substrings joined by a link with equal counts are of one state, whose longest is the
+    one with the most words.
     """
 
-    def __init__(self, code: np.ndarray, joined: np.ndarray, depth: int = LONGEST) -> None:
+    def __init__(self, code: np.ndarray, left: np.ndarray, depth: int = LONGEST) -> None:
         self.code, self.link, self.count, self.end = code, [], [], []
-        # words to the left of each word that belong to its run
-        at = np.arange(len(code))
-        run = at - np.maximum.accumulate(np.where(joined, 0, at)) if len(code) else at
-        ends, state = at, np.zeros(len(code), np.int64)
+        ends, state = np.arange(len(code)), np.zeros(len(code), np.int64)
         for d in range(depth):
-            deep = run[ends] >= d
+            deep = left[ends] >= d
             ends, state = ends[deep], state[deep]
             if not len(ends):
                 break
@@ -117,6 +111,58 @@ class Automaton:
             yield d + 1, end, count
 
 
+def run_lengths(flags: np.ndarray) -> np.ndarray:
+    """How many flags in a row are set up to each place."""
+    at = np.arange(len(flags))
+    return at - np.maximum.accumulate(np.where(flags, -1, at)) if len(flags) else at
+
+
+class Cut:
+    """The words of a shard that may be in frequent phrases, by the counts found so far.
+
+    ``levels``: for words (1), pairs (2), triples (3) and longer ones (4) the distinct keys
+    of the shard in order, how often each occurs in all, and whether this shard tells it.
+    """
+
+    def __init__(self, shard: Shard, counts: pa.Table, least: int, level: int) -> None:
+        self.shard, self.counts, self.levels = shard, counts, {}
+        keys = self._learn(1, np.sort(shard.hash))
+        use = self._often(keys, shard.hash, 1, least)[shard.code]
+        self.code = shard.code[use]
+        # frequent words that follow one another without a gap
+        joined = shard.joined.copy()
+        joined[1:] &= use[:-1]
+        self.left = run_lengths(joined[use])
+        for d in range(2, level):
+            self._shorten(d, least)
+
+    def _learn(self, level: int, keys: np.ndarray) -> np.ndarray:
+        rows = self.counts.filter(pc.equal(self.counts["level"], level))
+        self.levels[level] = (keys, B.counted(rows, len(keys)), B.first_of(rows, len(keys)))
+        return keys
+
+    def _often(self, keys: np.ndarray, wanted: np.ndarray, level: int, least: int) -> np.ndarray:
+        return self.levels[level][1][np.searchsorted(keys, wanted)] >= least
+
+    def ends(self, d: int) -> tuple[np.ndarray, np.ndarray]:
+        """Where substrings of d words end, and their keys."""
+        end = np.flatnonzero(self.left >= d - 1)
+        return end, self.shard.keys(self.code, end, d)
+
+    def _shorten(self, d: int, least: int) -> None:
+        """Substrings may reach back only over frequent ones of d words."""
+        end, keys = self.ends(d)
+        distinct = self._learn(d, np.unique(keys))
+        often = np.zeros(len(self.left), bool)
+        often[end] = self._often(distinct, keys, d, least) if len(end) else False
+        self.left = np.minimum(self.left, run_lengths(often) + d - 2)
+
+    def longer(self, longest: int) -> tuple[np.ndarray, np.ndarray]:
+        """Keys and counts in the shard of the substrings of 4 words and more."""
+        found = [(self.shard.keys(self.code, end, d), count) for d, end, count in Automaton(self.code, self.left, longest).substrings() if d > 3]
+        return tuple(map(np.concatenate, zip(*found, strict=True))) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+
 def _send_words(parts: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -127,49 +173,45 @@ def _send_words(parts: int):
     return run
 
 
-def _send_pairs(parts: int, least: int):
+def _send(parts: int, least: int, level: int, longest: int):
+    """Keys of pairs (level 2), triples (3) and what is longer (4), given the counts before."""
+
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row, text, sizes in B.texts(left):
-            shard = Shard(row, text, sizes)
-            _, keys = shard.pairs(shard.frequent(right, least))
-            out.append(B.sent(row["block"].as_py(), B.KEPT, keys, parts))
+            cut = Cut(Shard(row, text, sizes), right, least, level)
+            keys, times = (cut.ends(level)[1], None) if level < 4 else cut.longer(longest)
+            out.append(B.sent(row["block"].as_py(), B.KEPT, keys, parts, times))
         return pa.Table.from_batches(out, B.SENT_SCHEMA)
 
     return run
 
 
 FOUND = "lang string, phrase string, words int, f bigint"
+FOUND_SCHEMA = pa.schema([("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("f", pa.int64())])
+
 
+def _tell(least: int, longest: int):
+    """The frequent phrases that a shard tells, and how many words of each language it has."""
 
-def _substrings(least: int, longest: int):
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for row, text, sizes in B.texts(left):
             shard = Shard(row, text, sizes)
-            words = shard.frequent(right.filter(pc.equal(right["level"], 1)), least)
-            at, keys = shard.pairs(words)
-            distinct, place = np.unique(keys, return_inverse=True)
-            often = (B.counted(right.filter(pc.equal(right["level"], 2)), len(distinct)) >= least)[place]
-            joined = np.zeros(len(shard.code), bool)
-            joined[at[often]] = True
-            # only frequent words stay; a run is one or more of them
-            use = words[shard.code]
-            code = shard.code[use]
-            automaton = Automaton(code, joined[use], longest)
-            langs, phrases, sizes_, counts = [shard.langs], [[None] * len(shard.langs)], [np.zeros(len(shard.langs), np.int32)], [shard.totals]
-            name = np.array(shard.langs, object)
-            text_of = pa.array(shard.word, pa.binary())
-            for d, end, count in automaton.substrings():
-                parts = [text_of.take(pa.array(code[end - back])) for back in range(d - 1, -1, -1)]
-                joined_text = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())) if d > 1 else parts[0]
-                langs.append(name[shard.lang[code[end]]])
-                phrases.append(joined_text.cast(pa.string()))
-                sizes_.append(np.full(len(end), d, np.int32))
-                counts.append(count)
-            for one in zip(langs, phrases, sizes_, counts, strict=True):
-                columns = [pa.array(c, t) if not isinstance(c, pa.Array) else c for c, t in zip(one, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)]
-                out.append(pa.table(columns, ["lang", "phrase", "words", "f"]))
+            cut = Cut(shard, right, least, 4)
+            cut._learn(4, np.sort(cut.longer(longest)[0]))
+            n = len(shard.langs)
+            out.append(pa.table([shard.langs, pa.nulls(n, pa.string()), np.zeros(n, np.int32), shard.totals.astype(np.int64)], schema=FOUND_SCHEMA))
+            name, word = np.array(shard.langs, object), pa.array(shard.word, pa.binary())
+            for d, end, _ in Automaton(cut.code, cut.left, longest).substrings():
+                keys, count, told = cut.levels[min(d, 4)]
+                at = np.searchsorted(keys, shard.keys(cut.code, end, d))
+                keep = (count[at] >= least) & told[at]
+                end, f = end[keep], count[at][keep]
+                parts = [word.take(pa.array(cut.code[end - back])) for back in range(d - 1, -1, -1)]
+                phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())) if d > 1 else parts[0]
+                langs = pa.array(name[shard.lang[cut.code[end]]].tolist(), pa.string())
+                out.append(pa.table([langs, phrase.cast(pa.string()), np.full(len(end), d, np.int32), f], schema=FOUND_SCHEMA))
         return pa.concat_tables(out)
 
     return run
@@ -181,15 +223,14 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     without phrase gives the number of words of the language."""
     blocks = B.write_blocks(docs)
     parts = B.parts_for(blocks)
-    words = B.count(blocks.mapInArrow(_send_words(parts), B.SENT), parts, "word-counts")
-    grouped = blocks.groupBy("block")
-    sent = grouped.cogroup(words.groupBy("block")).applyInArrow(_send_pairs(parts, least), B.SENT)
-    pairs = B.count(sent, parts, "pair-counts")
-    both = words.withColumn("level", F.lit(1)).unionByName(pairs.withColumn("level", F.lit(2)))
-    shards = grouped.cogroup(both.groupBy("block")).applyInArrow(_substrings(least, longest), FOUND)
-    total = shards.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f"))
-    out = stored(total.where((F.col("words") == 0) | (F.col("f") >= least)), "frequent-phrases")
-    for done in (blocks, words, pairs):
+    known = [B.count(blocks.mapInArrow(_send_words(parts), B.SENT), parts, "word-counts").withColumn("level", F.lit(1))]
+    together = lambda: reduce(DataFrame.unionByName, known).groupBy("block")
+    for level in (2, 3, 4):
+        sent = blocks.groupBy("block").cogroup(together()).applyInArrow(_send(parts, least, level, longest), B.SENT)
+        known.append(B.count(sent, parts, "phrase-counts").withColumn("level", F.lit(level)))
+    told = blocks.groupBy("block").cogroup(together()).applyInArrow(_tell(least, longest), FOUND)
+    out = stored(told.groupBy("lang", "phrase", "words").agg(F.sum("f").alias("f")), "frequent-phrases")
+    for done in (blocks, *known):
         discard(docs.sparkSession, done)
     return out
 

@@ -312,7 +312,7 @@ def test_automaton_counts_end_positions():
     rng = np.random.default_rng(2)
     code, joined = rng.integers(0, 3, 500), rng.random(500) < 0.8
     joined[0] = False
-    auto = phrases.Automaton(code, joined, 5)
+    auto = phrases.Automaton(code, phrases.run_lengths(joined), 5)
     want = Counter()
     for i in range(500):
         for k in range(1, 6):
