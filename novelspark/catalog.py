@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from novelspark.functions import metrics
-from novelspark.operators import adaptive, embedding, evaluate, intervals, mdl, novelty, packing, persistence, replicas, selection, tower, traces
+from novelspark.operators import (
+    adaptive, anchors, clusters, embedding, evaluate, history, intervals, mdl, novelty,
+    packing, persistence, replicas, selection, tower, traces,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -82,6 +85,25 @@ t AS (SELECT 1::BIGINT AS k, [{{'i': i, 'x': x}}] AS reps FROM n WHERE k = 1
 net AS (SELECT r.i AS i, r.x AS x FROM (SELECT unnest(reps) AS r FROM t WHERE k = (SELECT max(k) FROM t)))"""
 
 
+def _nets(distance: str, grid: list[float], rows: str = "v", x: str = "x") -> str:
+    """CTEs m, e, u and nets(g, i, x): the net of ``rows`` for each entry of a grid, row by row."""
+    d = distance.format(a="r.x", b="m.x")
+    entries = ", ".join(f"({g}, {e}::DOUBLE)" for g, e in enumerate(grid))
+    held = f"list_bool_or(list_transform(u.reps, lambda r: {d} <= u.eps))"
+    return f"""m AS (SELECT row_number() OVER (ORDER BY i) AS k, i, {x} AS x FROM {rows}), e AS (SELECT * FROM (VALUES {entries}) AS e(g, eps)),
+u AS (SELECT 1::BIGINT AS k, e.g, e.eps, [{{'i': i, 'x': x}}] AS reps FROM m, e WHERE k = 1
+  UNION ALL SELECT m.k, u.g, u.eps, CASE WHEN {held} THEN u.reps ELSE list_append(u.reps, {{'i': m.i, 'x': m.x}}) END FROM u JOIN m ON m.k = u.k + 1),
+nets AS (SELECT g, eps, r.i AS i, r.x AS x FROM (SELECT g, eps, unnest(reps) AS r FROM u WHERE k = (SELECT max(k) FROM m)))"""
+
+
+def _reused(distance: str) -> str:
+    """CTE l(g, i, novel, rep): each row's own or its closest earlier representative."""
+    d = distance.format(a="m.x", b="nets.x")
+    return f"""b AS (SELECT nets.g, m.i, min({{'d': {d}, 'j': nets.i}}) AS b FROM m JOIN nets ON nets.i < m.i AND {d} <= nets.eps GROUP BY nets.g, m.i),
+l AS (SELECT e.g, e.eps, m.i, o.i IS NOT NULL AS novel, CASE WHEN o.i IS NOT NULL THEN m.i ELSE b.b.j END AS rep, CASE WHEN o.i IS NOT NULL THEN 0.0 ELSE b.b.d END AS d
+  FROM m CROSS JOIN e LEFT JOIN nets o ON o.g = e.g AND o.i = m.i LEFT JOIN b ON b.g = e.g AND b.i = m.i)"""
+
+
 def _first_fit_sql(distance: str, epsilon: float) -> str:
     d = distance.format(a="n.x", b="net.x")
     return f"""WITH RECURSIVE {_net(distance, epsilon)},
@@ -150,6 +172,32 @@ def first_fit_linf(spark, sf):
     return _fit(spark, sf, 0.42, "linf")
 
 
+_PRICES = "v AS (SELECT p_partkey AS i, [p_retailprice * 100.0::DOUBLE, p_size * 1.0::DOUBLE] AS x FROM part)"
+
+
+def _prices(spark, sf):
+    return _table(spark, sf, "part").select(F.col("p_partkey").alias("i"), F.array(F.col("p_retailprice") * 100.0, F.col("p_size") * 1.0).alias("x"))
+
+
+@_query(f"WITH RECURSIVE {_PRICES}, {_nets(_L2, [250.0])}, {_reused(_L2)} SELECT i AS p_partkey, novel AS is_novel, rep AS representative, round(d, 6) AS distance FROM l")
+def first_fit_prices(spark, sf):
+    out = packing.first_fit_vectors(_prices(spark, sf), "i", "x", 250.0, "l2")
+    return out.select(F.col("i").alias("p_partkey"), "is_novel", "representative", F.round("distance", 6).alias("distance"))
+
+
+_MIXED = "CASE label % 4 WHEN 0 THEN 0.0 WHEN 1 THEN 0.4 WHEN 2 THEN 0.75 ELSE 1.1 END"
+
+
+@_query(f"""WITH RECURSIVE {_V}, n AS (SELECT row_number() OVER (ORDER BY i) AS k, i, x, ({_MIXED})::DOUBLE AS r FROM v),
+t AS (SELECT 1::BIGINT AS k, i, true AS is_novel, [{{'x': x, 'r': r}}] AS reps FROM n WHERE k = 1
+  UNION ALL SELECT n.k, n.i, NOT list_bool_or(list_transform(t.reps, lambda q: {_L2.format(a='q.x', b='n.x')} <= q.r)),
+    CASE WHEN list_bool_or(list_transform(t.reps, lambda q: {_L2.format(a='q.x', b='n.x')} <= q.r)) THEN t.reps ELSE list_append(t.reps, {{'x': n.x, 'r': n.r}}) END
+  FROM t JOIN n ON n.k = t.k + 1) SELECT i AS vec_id, is_novel FROM t""")
+def first_fit_mixed_radii(spark, sf):
+    v = _vectors(spark, sf)
+    return packing.first_fit_vectors(v, "i", "x", 0.4, "l2", F.expr(_MIXED)).select(F.col("i").alias("vec_id"), "is_novel")
+
+
 _SEQ_1D = """WITH RECURSIVE {e}, n AS (SELECT row_number() OVER (PARTITION BY event_type ORDER BY seq) AS k, event_type, seq, value FROM e),
 t AS (SELECT k, event_type, seq, true AS is_novel, [value] AS reps FROM n WHERE k = 1
   UNION ALL SELECT n.k, n.event_type, n.seq, NOT list_bool_or(list_transform(t.reps, lambda r: abs(r - n.value) <= {eps})),
@@ -306,9 +354,15 @@ def _state(spark, sf):
     return replicas.occupants(_cells(spark, sf), ["replica"], "cell", "seq")
 
 
-@_query("SELECT j, [((j % 4) + 0.5) * 0.25, (((j // 4) % 4) + 0.5) * 0.25, (((j // 16) % 4) + 0.5) * 0.25]::DOUBLE[] AS y FROM range(64) r(j)")
+_GRID4 = " + ".join(f"least(greatest(ceil(({v} - 0.0) / 0.25)::BIGINT - 1, 0), 3) * {4**k}" for k, v in enumerate("abc"))
+
+
+@_query(f"""WITH {_P}, c AS (SELECT {_GRID4} AS j, count(*) AS points FROM p GROUP BY 1)
+SELECT r.j, [((r.j % 4) + 0.5) * 0.25, (((r.j // 4) % 4) + 0.5) * 0.25, (((r.j // 16) % 4) + 0.5) * 0.25]::DOUBLE[] AS y, coalesce(points, 0) AS points FROM range(64) r(j) LEFT JOIN c ON c.j = r.j""")
 def grid_anchors(spark, sf):
-    return replicas.grid_anchors(spark, [0.0] * 3, [1.0] * 3, 4)
+    cell = replicas.grid_cell(F.array("a", "b", "c"), [0.0] * 3, [1.0] * 3, 4)
+    points = _points3(spark, sf).groupBy(cell.alias("j")).agg(F.count(F.lit(1)).alias("points"))
+    return replicas.grid_anchors(spark, [0.0] * 3, [1.0] * 3, 4).join(points, "j", "left").fillna(0, ["points"])
 
 
 @_query(f"WITH {_CELLS} SELECT seq, cell FROM c")
@@ -352,14 +406,33 @@ def crdt_priority(spark, sf):
     return v.select(F.col("i").alias("vec_id"), replicas.priority(F.col("x"), F.col("label").cast("string").cast("binary")).alias("priority"))
 
 
-@_query("SELECT j, round(list_sum(list_transform(range(0, 10), lambda k: ((j >> k) & 1) / (2.0 ** (k + 1)))), 9) AS a, round(list_sum(list_transform(range(0, 7), lambda k: ((j // (3 ** k)::BIGINT) % 3) / (3.0 ** (k + 1)))), 9) AS b FROM range(1000) r(j)")
+_HALTON = "h AS (SELECT j, [list_sum(list_transform(range(0, 10), lambda k: ((j >> k) & 1) / (2.0::DOUBLE ** (k + 1)))), list_sum(list_transform(range(0, 7), lambda k: ((j // (3 ** k)::BIGINT) % 3) / (3.0::DOUBLE ** (k + 1))))] AS y FROM range(256) r(j))"
+
+
+@_query(f"""WITH {_HALTON}, p AS (SELECT DISTINCT l_discount / 0.1 + 0.0 AS a, l_tax / 0.08 + 0.0 AS b FROM lineitem),
+m AS (SELECT p.a, p.b, min({{'d': round({_L2.format(a='[p.a, p.b]', b='h.y')}, 12), 'j': h.j}}) AS m FROM p, h GROUP BY p.a, p.b)
+SELECT h.j, round(h.y[1], 9) AS a, round(h.y[2], 9) AS b, count(m.m) AS points FROM h LEFT JOIN m ON m.m.j = h.j GROUP BY h.j, h.y""")
 def halton_anchors(spark, sf):
-    return replicas.halton(spark, 1000, [0.0] * 2, [1.0] * 2).select("j", F.round(F.col("y")[0], 9).alias("a"), F.round(F.col("y")[1], 9).alias("b"))
+    points = _table(spark, sf, "lineitem").select((F.col("l_discount") / 0.1 + 0.0).alias("a"), (F.col("l_tax") / 0.08 + 0.0).alias("b")).distinct()
+    points = points.select(F.hash("a", "b").cast("bigint").alias("i"), F.array("a", "b").alias("x"))
+    found = replicas.halton(spark, 256, [0.0] * 2, [1.0] * 2)
+    near = replicas.quantize(points, found, "l2").groupBy(F.col("cell").alias("j")).agg(F.count(F.lit(1)).alias("points"))
+    return found.join(near, "j", "left").fillna(0, ["points"]).select("j", F.round(F.col("y")[0], 9).alias("a"), F.round(F.col("y")[1], 9).alias("b"), "points")
 
 
-@_query()
+#: Discounts and taxes of all line items, a full grid, as anchors of the unit square; no point
+#: is further from them than half of the widest gap.
+_GAPS = """p AS (SELECT DISTINCT l_discount / 0.1 + 0.0 AS a, l_tax / 0.08 + 0.0 AS b FROM lineitem),
+s AS (SELECT a AS v, 0 AS axis FROM p UNION SELECT b, 1 FROM p), g AS (SELECT axis, v, lead(v) OVER (PARTITION BY axis ORDER BY v) - v AS gap FROM s),
+r AS (SELECT max(greatest(gap, 2 * low, 2 * (1 - high))) / 2 AS radius FROM (SELECT axis, max(gap) AS gap, min(v) AS low, max(v) AS high FROM g GROUP BY axis))"""
+
+
+@_query(f"WITH {_GAPS} SELECT target, target >= (SELECT radius FROM r) AS certified FROM (VALUES (0.03::DOUBLE), (0.055), (0.07), (0.1)) AS t(target)")
 def covering_radius(spark, sf):
-    return replicas.estimated_radius(spark, replicas.grid_anchors(spark, [0.0] * 2, [1.0] * 2, 8), [0.0] * 2, [1.0] * 2, "l2").select(F.round("radius", 9).alias("radius"))
+    given = _table(spark, sf, "lineitem").select((F.col("l_discount") / 0.1 + 0.0).alias("a"), (F.col("l_tax") / 0.08 + 0.0).alias("b")).distinct()
+    given = given.select(F.hash("a", "b").cast("bigint").alias("j"), F.array("a", "b").alias("y"))
+    _, most = anchors.covering_radius(given, [0.0] * 2, [1.0] * 2, "linf", tolerance=0.05)
+    return spark.createDataFrame([(t, most <= t) for t in (0.03, 0.055, 0.07, 0.1)], "target double, certified boolean")
 
 
 # ---- persistence ------------------------------------------------------------------
@@ -433,9 +506,11 @@ def persist_novel_at(spark, sf):
     return persistence.novel_at(asked, "q", _table(spark, sf, "part"), "p_retailprice", 0.02).select("c_custkey", F.round("distance", 9).alias("distance"), "is_novel")
 
 
-@_query("WITH p AS (SELECT n AS prime FROM range(2, 8000) t(n) WHERE NOT EXISTS (SELECT 1 FROM range(2, 90) d(m) WHERE m < n AND n % m = 0)) SELECT row_number() OVER (ORDER BY prime) - 1 AS index, prime FROM p ORDER BY prime LIMIT 1000")
+@_query(f"WITH {_PRIME}, o AS (SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) - 1 AS birth_index FROM customer) SELECT c_custkey, birth_index, prime FROM o JOIN primes p ON p.k = birth_index")
 def nth_primes(spark, sf):
-    return persistence.nth_primes(spark, 1000)
+    keys = _table(spark, sf, "customer").select(F.col("c_custkey").alias("i"))
+    numbered = history.numbered(keys, "i", "birth_index")
+    return numbered.join(_primes(spark, sf).select(F.col("index").alias("birth_index"), "prime"), "birth_index").select(F.col("i").alias("c_custkey"), "birth_index", "prime")
 
 
 _ND = f"""WITH RECURSIVE {_net(_COS, 0.8)}, k AS (SELECT a.i AS j, min({_COS.format(a='a.x', b='b.x')}) AS nearest_distance FROM net a LEFT JOIN net b ON b.i <> a.i GROUP BY a.i)"""
@@ -468,6 +543,43 @@ def persist_nd_novel_at(spark, sf):
     return persistence.vectors_novel_at(v.where("i % 2 = 1"), _reps(v.where("i % 2 = 0")), "l2", 1.1).select(F.col("i").alias("vec_id"), "is_novel")
 
 
+#: The net of four fifths of the vectors; those nearest to another one were evicted, then the
+#: rest is asked for.
+_PAST = f"""{_V}, h AS (SELECT i, x FROM v WHERE i % 5 <> 0), {_nets(_COS, [0.8], 'h')},
+k AS (SELECT a.i AS j, a.x AS y, min({_COS.format(a='a.x', b='b.x')}) - 0.8 AS persistence FROM nets a LEFT JOIN nets b ON b.i <> a.i GROUP BY a.i, a.x),
+stay AS (SELECT * FROM k WHERE persistence IS NULL OR persistence >= 0.03)"""
+
+
+def _past(spark, sf):
+    v = _vectors(spark, sf)
+    past = v.where("i % 5 <> 0").select("i", "x")
+    labels = packing.first_fit_vectors(past, "i", "x", 0.8)
+    net = history.born(labels, past, 0.8, persistence.nth_primes(spark, past.count()))
+    return v, past, net, persistence.net_persistence(net.select("j", "y"), "cosine", 0.8)
+
+
+@_query(f"WITH RECURSIVE {_PAST}, {_PRIME}, b AS (SELECT i, row_number() OVER (ORDER BY i) - 1 AS birth_index FROM h) SELECT k.j AS slot, birth_index, prime AS birth_prime, round(persistence, 9) AS persistence FROM k JOIN b ON b.i = k.j JOIN primes p ON p.k = birth_index")
+def net_births(spark, sf):
+    _, _, net, kept = _past(spark, sf)
+    return net.join(kept.select("j", "persistence"), "j").select(F.col("j").alias("slot"), "birth_index", "birth_prime", F.round("persistence", 9).alias("persistence"))
+
+
+@_query(f"WITH RECURSIVE {_PAST} SELECT j AS slot FROM stay")
+def net_evict_below(spark, sf):
+    return history.evict_below(_past(spark, sf)[3], 0.03).select(F.col("j").alias("slot"))
+
+
+@_query(f"""WITH RECURSIVE {_PAST}, a AS (SELECT i, x FROM v WHERE i % 5 = 0),
+r AS (SELECT a.i, EXISTS (SELECT 1 FROM stay WHERE {_COS.format(a='a.x', b='stay.y')} <= 0.8) AS covered, EXISTS (SELECT 1 FROM h WHERE {_COS.format(a='a.x', b='h.x')} <= 0.8) AS seen FROM a)
+SELECT i AS vec_id, covered, seen, seen AND NOT covered AS resurgent FROM r""")
+def resurgent_queries(spark, sf):
+    v, past, net, kept = _past(spark, sf)
+    last = past.agg(F.max("i")).first()[0]
+    gone = kept.join(history.evict_below(kept, 0.03).select("j"), "j", "left_anti").select("j", F.lit(last).alias("at"))
+    asked = v.where("i % 5 = 0").select("i", "x", F.lit(last + 1).alias("at"))
+    return history.resurgent(asked, past, history.versions(net, gone), "cosine", 0.8).withColumnRenamed("i", "vec_id")
+
+
 # ---- selection ---------------------------------------------------------------------
 
 _COVER = f"{_V}, cover AS (SELECT a.i AS a, b.i AS b FROM v a JOIN v b ON a.i = b.i OR {_COS.format(a='a.x', b='b.x')} <= 0.8), chosen AS (SELECT i FROM v WHERE i % 10 = 0)"
@@ -543,6 +655,30 @@ def mdl_select(spark, sf):
     return out.select("idx", "epsilon", "representatives", F.round("total_bits", 6).alias("total_bits"))
 
 
+_MDL = f"""{_V}, {_nets(_COS, [0.5, 0.7, 0.9])},
+d AS (SELECT nets.g, nets.eps, m.i, min({_COS.format(a='m.x', b='nets.x')}) AS d FROM m JOIN nets ON {_COS.format(a='m.x', b='nets.x')} <= nets.eps GROUP BY nets.g, nets.eps, m.i),
+s AS (SELECT d.g, d.eps, count(*) AS n, sum(d.d * d.d) AS squared_error, (SELECT count(*) FROM nets WHERE nets.g = d.g) AS r FROM d GROUP BY d.g, d.eps),
+o AS (SELECT g::INTEGER AS idx, eps AS epsilon, r AS representatives, squared_error, ((272 + 2 * (32 + 8 * 64) + r * (48 + 8 * 64)) * 8)::DOUBLE AS model_bits, log2(g + 2) AS epsilon_bits,
+  n * log2(r::DOUBLE) + 2.0 * squared_error AS data_bits FROM s),
+p AS (SELECT *, model_bits + epsilon_bits + data_bits AS total_bits FROM o)"""
+_BITS = ("squared_error", "model_bits", "epsilon_bits", "data_bits", "total_bits")
+_BITS_SQL = ", ".join(f"round({c}, 6) AS {c}" for c in _BITS)
+
+
+def _mdl_cosine(spark, sf):
+    return mdl.curve(_vectors(spark, sf), "i", F.col("x"), [0.5, 0.7, 0.9], 64, "cosine", weight=2.0)
+
+
+@_query(f"WITH RECURSIVE {_MDL} SELECT idx, epsilon, representatives, {_BITS_SQL} FROM p")
+def mdl_curve_cosine(spark, sf):
+    return _mdl_cosine(spark, sf).select("idx", "epsilon", "representatives", *[F.round(c, 6).alias(c) for c in _BITS])
+
+
+@_query(f"WITH RECURSIVE {_MDL} SELECT idx, epsilon, representatives, round(total_bits, 6) AS total_bits FROM p ORDER BY p.total_bits, idx LIMIT 1")
+def mdl_select_cosine(spark, sf):
+    return mdl.select(_mdl_cosine(spark, sf)).select("idx", "epsilon", "representatives", F.round("total_bits", 6).alias("total_bits"))
+
+
 # ---- embeddings and calibration ----------------------------------------------------------
 
 _ANCHORS = [[(1.0 if k == a else 0.0) for k in range(64)] for a in range(0, 64, 8)]
@@ -555,10 +691,16 @@ def anchor_embedding(spark, sf):
     return _vectors(spark, sf).select(F.col("i").alias("vec_id"), F.transform(e, lambda d: F.round(d, 9)).alias("distances"))
 
 
-@_query()
+_SCALED = "z AS (SELECT p_partkey AS i, [(p_retailprice - 900) / 1200.0::DOUBLE, p_size / 51.0::DOUBLE] AS x FROM part)"
+_GRID_LIST = "[" + ", ".join(f"[{(j % 5 + 0.5) * 0.2!r}, {(j // 5 % 5 + 0.5) * 0.2!r}]::DOUBLE[]" for j in range(25)) + "]"
+
+
+@_query(f"""WITH RECURSIVE {_SCALED}, v AS (SELECT i, list_transform({_GRID_LIST}, lambda a: {_LINF.format(a='z.x', b='a')}) AS x FROM z), {_nets(_LINF, [0.1])}, {_reused(_LINF)}
+SELECT i AS p_partkey, novel AS is_novel, rep AS representative FROM l""".replace("lambda z: abs", "lambda q: abs").replace("z[1] - z[2]", "q[1] - q[2]"))
 def embedded_net(spark, sf):
-    out = embedding.embedded_net(_vectors(spark, sf), "i", "x", _ANCHORS, "l2", 0.2, 0.05)
-    return out.select(F.col("i").alias("vec_id"), "is_novel", "representative")
+    scaled = _table(spark, sf, "part").select(F.col("p_partkey").alias("i"), F.array((F.col("p_retailprice") - 900) / 1200.0, F.col("p_size") / 51.0).alias("x"))
+    _, net = anchors.embed_pack(scaled, "i", "x", 0.3, [0.0, 0.0], [1.0, 1.0], 0.1, "linf")
+    return net.select(F.col("i").alias("p_partkey"), "is_novel", "representative")
 
 
 _NORM2 = "list_reduce(list_prepend(0.0::DOUBLE, list_transform({a}, lambda z: z * z)), lambda p, q: p + q)"
@@ -585,6 +727,27 @@ def adaptive_radii(spark, sf):
     return _vectors(spark, sf).select(F.col("i").alias("vec_id"), F.round(r, 9).alias("radius"))
 
 
+_SQUARES = "list_reduce(list_prepend(0.0::DOUBLE, list_transform(list_zip({a}, {b}), lambda z: (z[1] - z[2]) * (z[1] - z[2]))), lambda p, q: p + q)"
+
+
+def _kmeans_sql(k: int, rounds: int) -> str:
+    ctes = [f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h, i) - 1 AS c, x FROM (SELECT md5('0:' || i) AS h, i, x FROM v ORDER BY h, i LIMIT {k}))"]
+    for r in range(rounds):
+        ctes.append(f"a{r} AS MATERIALIZED (SELECT v.i, v.x, min({{'d': {_SQUARES.format(a='v.x', b='c.x')}, 'c': c.c}}) AS m FROM v, c{r} c GROUP BY v.i, v.x)")
+        ctes.append(f"""c{r + 1} AS MATERIALIZED (SELECT o.c, coalesce(s.x, o.x) AS x FROM c{r} o LEFT JOIN (SELECT c, list(w ORDER BY p) AS x FROM (SELECT m.c AS c, p, avg(x[p]) AS w FROM a{r}, range(1, 65) g(p) GROUP BY m.c, p) GROUP BY c) s ON s.c = o.c)""")
+    return ", ".join(ctes)
+
+
+@_query(f"""WITH {_V}, {_kmeans_sql(5, 3)}, w AS (SELECT a.i, a.m.c AS cluster, c.x AS p, list_transform(list_zip(a.x, c.x), lambda z: z[1] - z[2]) AS d FROM a2 a JOIN c3 c ON c.c = a.m.c),
+n AS (SELECT *, sqrt({_SQUARES.format(a='d', b='list_transform(d, lambda y: 0.0::DOUBLE)')}) AS r FROM w),
+o AS (SELECT i, cluster, list_transform(list_zip(p, d), lambda z: z[1] + z[2] * CASE WHEN r > 0 THEN tanh(r / 2) / r ELSE 0.5 END) AS y FROM n),
+q AS (SELECT *, sqrt({_SQUARES.format(a='y', b='list_transform(y, lambda t: 0.0::DOUBLE)')}) AS s FROM o)
+SELECT i AS vec_id, cluster::INTEGER AS cluster, list_transform(y, lambda e: round(CASE WHEN s > 0.92 THEN e * (0.92 / s) ELSE e END, 8)) AS z FROM q""")
+def hyperbolic_zoom(spark, sf):
+    out = clusters.hyperbolic_zoom(_vectors(spark, sf).select("i", "x"), 5, 3)
+    return out.select(F.col("i").alias("vec_id"), "cluster", F.transform("z", lambda e: F.round(e, 8)).alias("z"))
+
+
 _KD = f"""{_V}, d AS (SELECT a.i, {_L2.format(a='a.x', b='b.x')} AS d, b.i AS j FROM v a JOIN v b ON a.i <> b.i),
 kd AS (SELECT i, d AS distance FROM (SELECT *, row_number() OVER (PARTITION BY i ORDER BY d, j) AS r FROM d) WHERE r = 3)"""
 
@@ -648,21 +811,66 @@ def reuse_metrics(spark, sf):
     return evaluate.reuse(packing.first_fit_vectors(v, "i", "x", 0.8), v, "i", "label")
 
 
-@_query()
+_MEASURES = """z AS (SELECT l.*, v.label, r.label AS rl, min(l.i) OVER (PARTITION BY l.g, v.label) AS f FROM l JOIN v ON v.i = l.i JOIN v r ON r.i = l.rep)
+SELECT {entry}, count(*) AS n, sum(novel::INTEGER)::BIGINT AS representatives, sum((NOT novel)::INTEGER)::BIGINT AS reused, sum((NOT novel AND label = rl)::INTEGER)::BIGINT AS correct,
+sum((NOT novel AND label <> rl)::INTEGER)::BIGINT AS incorrect, sum((novel AND f < i)::INTEGER)::BIGINT AS missed, round(sum((NOT novel)::INTEGER) / count(*)::DOUBLE, 9) AS reuse_rate,
+CASE WHEN sum((NOT novel)::INTEGER) > 0 THEN round(sum((NOT novel AND label = rl)::INTEGER) / sum((NOT novel)::INTEGER)::DOUBLE, 9) END AS precision FROM z GROUP BY {entry}"""
+_CUT = "list_transform(x[1:{d}], lambda e: e / sqrt(list_reduce(list_prepend(0.0::DOUBLE, list_transform(x[1:{d}], lambda z: z * z)), lambda p, q: p + q)))"
+
+
+def _matryoshka_sql() -> str:
+    nets = " UNION ALL ".join(f"SELECT {d} AS dimension, z.* FROM ({_one_cut(d)}) z" for d in (16, 32, 64))
+    return nets
+
+
+def _one_cut(d: int) -> str:
+    return f"""WITH RECURSIVE {_V}, w AS (SELECT i, {_CUT.format(d=d)} AS y FROM v), {_nets(_COS, [0.8], "w", "y")}, {_reused(_COS)}, {_MEASURES.format(entry="g")}"""
+
+
+@_query(f"SELECT dimension::INTEGER AS dimension, * EXCLUDE (dimension, g) FROM ({_matryoshka_sql()})")
 def matryoshka_sweep(spark, sf):
-    v, out = _vectors(spark, sf), None
-    for d in (16, 32, 64):
-        cut = v.select("i", evaluate.truncated(F.col("x"), d).alias("x"), "label")
-        one = evaluate.reuse(packing.first_fit_vectors(cut, "i", "x", 0.8), cut, "i", "label").withColumn("dimension", F.lit(d))
-        out = one if out is None else out.unionByName(one)
-    return out
+    return evaluate.matryoshka_sweep(_vectors(spark, sf), "i", "x", "label", [16, 32, 64], 0.8)
 
 
-@_query()
+@_query(f"WITH RECURSIVE {_V}, {_nets(_COS, [0.7, 0.8, 0.9])}, {_reused(_COS)}, {_MEASURES.format(entry='eps')}".replace("SELECT eps, count", "SELECT eps AS epsilon, count"))
 def epsilon_sweep(spark, sf):
     return evaluate.epsilon_sweep(_vectors(spark, sf), "i", "x", "label", [0.7, 0.8, 0.9])
 
 
+#: Every fifth vector is a request; its nearest three others are fetched for it, those of its
+#: label are relevant, and what at least two requests need is evidence.
+_JUDGED = f"""{_V}, q AS (SELECT i, x FROM v WHERE i % 5 = 0), {_nets(_COS, [0.7, 0.8, 0.9], 'q')}, {_reused(_COS)},
+f AS (SELECT i, j FROM (SELECT a.i, b.i AS j, row_number() OVER (PARTITION BY a.i ORDER BY {_COS.format(a='a.x', b='b.x')}, b.i) AS rank FROM v a JOIN v b ON b.i % 5 <> 0 WHERE a.i % 5 = 0) WHERE rank <= 3),
+rel AS (SELECT a.i, b.i AS j FROM v a JOIN v b ON a.label = b.label WHERE a.i % 5 = 0 AND b.i % 5 <> 0),
+ev AS (SELECT i, j FROM rel WHERE j IN (SELECT j FROM rel GROUP BY j HAVING count(DISTINCT i) >= 2)),
+rp AS (SELECT DISTINCT ev.i FROM ev JOIN (SELECT j, min(i) AS first FROM ev GROUP BY j) s ON s.j = ev.j AND s.first < ev.i),
+k AS (SELECT l.g, l.eps, l.i, l.novel, l.i IN (SELECT i FROM rel) AS judged, l.i IN (SELECT i FROM rp) AS again,
+  EXISTS (SELECT 1 FROM rel JOIN f ON f.j = rel.j WHERE rel.i = l.i AND f.i = l.rep) AS good FROM l),
+o AS (SELECT eps AS epsilon, sum(novel::INTEGER)::BIGINT AS representatives, sum((NOT novel)::INTEGER)::BIGINT AS hits, round(sum((NOT novel)::INTEGER) / count(*)::DOUBLE, 9) AS reuse_rate,
+  sum((NOT novel AND judged)::INTEGER)::BIGINT AS judged, sum((NOT novel AND good)::INTEGER)::BIGINT AS correct,
+  CASE WHEN sum((NOT novel AND judged)::INTEGER) > 0 THEN round(sum((NOT novel AND good)::INTEGER) / sum((NOT novel AND judged)::INTEGER)::DOUBLE, 9) END AS precision,
+  sum(again::INTEGER)::BIGINT AS repeats, sum((again AND novel)::INTEGER)::BIGINT AS missed FROM k GROUP BY eps)"""
+
+
+def _judged(spark, sf):
+    relevant = _relevant(spark, sf)
+    groups = evaluate.evidence_groups(relevant).select("j")
+    fetched = _top(spark, sf).select("i", F.col("j").alias("doc"))
+    evidence = relevant.join(groups, "j").select("i", F.col("j").alias("part"))
+    asked = _vectors(spark, sf).where("i % 5 = 0").select("i", "x")
+    return evaluate.judged_sweep(asked, [0.7, 0.8, 0.9], relevant.select("i", F.col("j").alias("doc")), fetched, evidence)
+
+
+@_query(f"WITH RECURSIVE {_JUDGED} SELECT * FROM o")
+def judged_sweep(spark, sf):
+    return _judged(spark, sf)
+
+
+@_query(f"WITH RECURSIVE {_JUDGED} SELECT *, coalesce(precision >= 0.3, false) AS target_met FROM o ORDER BY target_met DESC, precision IS NOT NULL DESC, CASE WHEN target_met THEN reuse_rate ELSE precision END DESC NULLS LAST, CASE WHEN target_met THEN precision ELSE reuse_rate END DESC NULLS LAST, epsilon LIMIT 1")
+def least_precision(spark, sf):
+    return evaluate.at_least(_judged(spark, sf), 0.3)
+
+
 @_query(f"""WITH {_V}, p AS (SELECT a.label = b.label AS same, {_COS.format(a='a.x', b='b.x')} AS d FROM v a JOIN v b ON a.i < b.i)
 SELECT round(min(CASE WHEN NOT same THEN d END), 9) AS least_cross, round(max(CASE WHEN same THEN d END), 9) AS most_within, round(min(CASE WHEN NOT same THEN d END) - max(CASE WHEN same THEN d END), 9) AS margin FROM p""")
 def discriminative_margin(spark, sf):
@@ -730,7 +938,18 @@ def lsh_grid_1d(spark, sf):
     return evaluate.grid_lsh_novelty(_events(spark, sf), "seq", "value", 1.0)
 
 
-@_query()
+def _lsh_sql(tables: int, bits: int, dimension: int) -> str:
+    """Keys by the same planes as the query's, written out."""
+    planes = evaluate.hyperplanes(tables, bits, dimension)
+    keys = []
+    for t in range(tables):
+        signs = " || ".join(f"CASE WHEN list_dot_product(x, {[float(a) for a in planes[t, b]]}::DOUBLE[]) >= 0 THEN '1' ELSE '0' END" for b in range(bits))
+        keys.append(f"SELECT i, {t} AS t, {signs} AS key FROM v")
+    return f"""WITH {_V}, k AS ({' UNION ALL '.join(keys)}), f AS (SELECT t, key, min(i) AS first FROM k GROUP BY t, key)
+SELECT k.i AS vec_id, min(f.first) = k.i AS is_novel FROM k JOIN f USING (t, key) GROUP BY k.i"""
+
+
+@_query(_lsh_sql(4, 8, 64))
 def lsh_hyperplane(spark, sf):
     return evaluate.lsh_novelty(_vectors(spark, sf), 4, 8, 64).select(F.col("i").alias("vec_id"), "is_novel")
 
@@ -751,7 +970,8 @@ def k_centre(spark, sf):
     return evaluate.k_centre(_events(spark, sf), ["event_type"], "seq", "value", 1.0, 64)
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {_V}, h AS (SELECT i, x FROM v WHERE label < 5), {_nets(_L2, [1.1], 'h')}
+SELECT a.i AS vec_id, min({_L2.format(a='a.x', b='nets.x')}) > 1.1 AS novel, round(min({_L2.format(a='a.x', b='nets.x')}), 9) AS distance FROM v a, nets WHERE a.label >= 5 GROUP BY a.i""")
 def ids_gate(spark, sf):
     v = _vectors(spark, sf).select("i", "x", "label")
     return evaluate.ids_gate(v.where("label < 5").select("i", "x"), v.where("label >= 5").select("i", "x"), 1.1).select(F.col("i").alias("vec_id"), "novel", F.round("distance", 9).alias("distance"))
@@ -805,8 +1025,9 @@ def trace_geometry(spark, sf):
 #: A session as a trace: depth, fan-out, duration, retries and database queries, weighted; the
 #: key is the route, the version and the class of the status.
 _T = """s AS (SELECT user_id, strftime(ts, '%Y-%m-%d') AS day, arg_min(event_type, ts) AS route, user_id % 3 AS version, sum((event_type = 'error')::INTEGER) AS errors,
-  count(DISTINCT event_type) * 1.0::DOUBLE AS a, count(*) * 0.5::DOUBLE AS b, ((epoch_us(max(ts)) - epoch_us(min(ts))) / 6e7) * 0.02::DOUBLE AS c, sum((event_type = 'error')::INTEGER) * 1.5::DOUBLE AS d, sum((event_type = 'purchase')::INTEGER) * 0.5::DOUBLE AS f FROM events GROUP BY 1, 2, 4),
-q AS (SELECT user_id, day, [a, b, c, d, f] AS x, route || '/' || version || '/' || CASE WHEN errors > 1 THEN 5 WHEN errors = 1 THEN 4 ELSE 2 END AS key FROM s),
+  count(DISTINCT event_type) * 1.0::DOUBLE AS a, count(*) * 0.5::DOUBLE AS b, ((epoch_us(max(ts)) - epoch_us(min(ts))) / 6e7) * 0.02::DOUBLE AS c, sum((event_type = 'error')::INTEGER) * 1.5::DOUBLE AS d, sum((event_type = 'purchase')::INTEGER) * 0.5::DOUBLE AS f,
+  floor((epoch_us(max(ts)) - epoch_us(min(ts))) / 6e7 / 20) AS w FROM events GROUP BY 1, 2, 4),
+q AS (SELECT user_id, day, w, [a, b, c, d, f] AS x, route || '/' || version || '/' || CASE WHEN errors > 1 THEN 5 WHEN errors = 1 THEN 4 ELSE 2 END AS key FROM s),
 n AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY day, user_id) AS k FROM q)"""
 
 
@@ -857,14 +1078,26 @@ def first_sighting(spark, sf):
     return traces.scorecard(kept, "seq", "kind")
 
 
-@_query()
+@_query(f"""WITH RECURSIVE {_T}, t AS (SELECT k, key, user_id, day, true AS kept, [x] AS reps FROM n WHERE k = 1
+  UNION ALL SELECT n.k, n.key, n.user_id, n.day, NOT {_NEAR5}, CASE WHEN {_NEAR5} THEN t.reps ELSE list_append(t.reps, n.x) END FROM t JOIN n ON n.key = t.key AND n.k = t.k + 1),
+o AS (SELECT t.kept, row_number() OVER (ORDER BY t.day, t.user_id) AS r, row_number() OVER (PARTITION BY n.key, n.x[1], n.x[2], n.x[4], n.x[5], n.w ORDER BY n.day, n.user_id) = 1 AS first
+  FROM t JOIN n ON n.day = t.day AND n.user_id = t.user_id),
+c AS (SELECT DISTINCT ceil((SELECT count(*) FROM o) * share)::BIGINT AS seen FROM (VALUES (0.1::DOUBLE), (0.25), (0.5), (0.75), (1.0)) AS s(share))
+SELECT seen, sum(first::INTEGER)::BIGINT AS exact, sum(kept::INTEGER)::BIGINT AS representatives, round(sum(kept::INTEGER) / sum(first::INTEGER)::DOUBLE, 9) AS damping,
+round(1 - sum(kept::INTEGER) / seen::DOUBLE, 9) AS suppression FROM c JOIN o ON o.r <= c.seen GROUP BY seen""")
 def growth_law(spark, sf):
-    s = _tail(spark, sf).withColumn("is_novel", F.col("kept"))
-    ranked = traces.ranked(s, ["types"], "seq").where("types = 1")
-    return traces.growth(ranked, "rank", [10, 20, 50, 100])
+    s = _tail(spark, sf).withColumn("window", F.floor(F.col("duration") / 20))
+    exact = ["route", "version", "status", "depth", "fanout", "retries", "queries", "window"]
+    return traces.growth_law(s, "seq", "kept", exact, [0.1, 0.25, 0.5, 0.75, 1.0])
 
 
-@_query()
+_BY_TYPE = _SEQ_1D.format(e=_E, eps=1.0, then="list_append(t.reps, n.value)").rsplit("SELECT", 1)[0]
+
+
+@_query(f"""{_BY_TYPE.rstrip()}, r AS (SELECT n.event_type, n.seq, n.value FROM n JOIN t ON t.event_type = n.event_type AND t.k = n.k WHERE t.is_novel),
+b AS (SELECT n.event_type, n.seq, min({{'d': abs(n.value - r.value), 'j': r.seq}}) AS b FROM n JOIN r ON r.event_type = n.event_type AND r.seq < n.seq AND abs(n.value - r.value) <= 1.0
+  WHERE NOT EXISTS (SELECT 1 FROM r o WHERE o.event_type = n.event_type AND o.seq = n.seq) GROUP BY n.event_type, n.seq)
+SELECT event_type, b.j AS representative, count(*) AS members, round(avg(b.d), 9) AS mean_distance, max(b.d) AS largest FROM b GROUP BY event_type, b.j""")
 def suppressed_clusters(spark, sf):
     out = packing.first_fit(_events(spark, sf), "seq", novelty.vector("value"), 1.0, keys=["event_type"])
     return traces.absorbed(out, ["event_type"])

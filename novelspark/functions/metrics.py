@@ -23,6 +23,11 @@ def doubles(x: Column | str) -> Column:
     return F.col(x).cast("array<double>") if isinstance(x, str) else x.cast("array<double>")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, also where body uses it for every element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def dot(a: Column, b: Column) -> Column:
     return _total(F.zip_with(a, b, lambda p, q: p * q))
 

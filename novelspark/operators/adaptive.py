@@ -17,9 +17,8 @@ from novelspark.plans.shared import stored
 
 def poincare_embed(x: Column, specificity: Column, low: float = 0.05, high: float = 0.9) -> Column:
     """The unit direction of x, at a radius between low and high by specificity (0 to 1)."""
-    norm = F.sqrt(metrics.squared_norm(x))
     radius = F.lit(low) + F.lit(high - low) * specificity
-    return F.transform(x, lambda v: F.when(norm > 0, v / norm * radius).otherwise(0.0))
+    return metrics.let(F.sqrt(metrics.squared_norm(x)), lambda norm: F.transform(x, lambda v: F.when(norm > 0, v / norm * radius).otherwise(0.0)))
 
 
 def radii(z: Column, score: Column, base: float, gamma: float, decay: float, low: float, high: float, margin: Column | None = None, safety: float = 0.5) -> Column:

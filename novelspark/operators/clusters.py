@@ -66,12 +66,11 @@ def kmeans(points: DataFrame, k: int, rounds: int = 20, seed: int = 0) -> tuple[
 def zoom(x: Column, centre: Column, cap: float = 0.92) -> Column:
     """centre + v tanh(|v| / 2) / |v| for v = x - centre, scaled to a norm of at most ``cap``:
     far points come near the boundary of the ball, where distances grow."""
-    v = F.zip_with(x, centre, lambda a, b: a - b)
-    r = F.sqrt(metrics.squared_norm(v))
-    scale = F.when(r > 0, F.tanh(r / 2) / r).otherwise(0.5)
-    out = F.zip_with(centre, v, lambda p, e: p + e * scale)
-    norm = F.sqrt(metrics.squared_norm(out))
-    return F.transform(out, lambda e: F.when(norm > cap, e * (F.lit(cap) / norm)).otherwise(e))
+    size = lambda v: F.sqrt(metrics.squared_norm(v))
+    capped = lambda out: metrics.let(size(out), lambda n: F.transform(out, lambda e: F.when(n > cap, e * (F.lit(cap) / n)).otherwise(e)))
+    pressed = lambda v: metrics.let(size(v), lambda r: F.when(r > 0, F.tanh(r / 2) / r).otherwise(0.5))
+    placed = lambda v: metrics.let(pressed(v), lambda scale: F.zip_with(centre, v, lambda p, e: p + e * scale))
+    return metrics.let(metrics.let(F.zip_with(x, centre, lambda a, b: a - b), placed), capped)
 
 
 def hyperbolic_zoom(points: DataFrame, k: int, rounds: int = 20, seed: int = 0, cap: float = 0.92) -> DataFrame:

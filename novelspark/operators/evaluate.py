@@ -40,8 +40,7 @@ def reuse(labels: DataFrame, truth: DataFrame, seq: str, label: str, group: list
 def truncated(x: Column, dimension: int, renormalise: bool = True) -> Column:
     """The first coordinates of a vector, scaled to unit length again."""
     cut = F.slice(x, 1, dimension)
-    norm = F.sqrt(metrics.squared_norm(cut))
-    return F.transform(cut, lambda v: v / norm) if renormalise else cut
+    return metrics.let(F.sqrt(metrics.squared_norm(cut)), lambda norm: F.transform(cut, lambda v: v / norm)) if renormalise else cut
 
 
 def margin(points: DataFrame, label: str, distance: str = "cosine") -> DataFrame:
@@ -250,10 +249,13 @@ def at_least(sweep_rows: DataFrame, least: float, order: str = "epsilon") -> Dat
     return rows.orderBy(F.desc("target_met"), judged.desc(), first.desc_nulls_last(), second.desc_nulls_last(), order).limit(1)
 
 
+def hyperplanes(tables: int, bits: int, dimension: int, seed: int = 0) -> np.ndarray:
+    return np.random.Generator(np.random.PCG64(seed)).standard_normal((tables, bits, dimension))
+
+
 def lsh_pairs(points: DataFrame, tables: int, bits: int, dimension: int, seed: int = 0) -> DataFrame:
     """table, key, i: signs of random projections, grouped into keys of ``bits`` bits."""
-    rng = np.random.Generator(np.random.PCG64(seed))
-    planes = rng.standard_normal((tables, bits, dimension))
+    planes = hyperplanes(tables, bits, dimension, seed)
     keys = []
     for t in range(tables):
         signs = [F.when(metrics.dot(F.col("x"), F.array(*[F.lit(float(v)) for v in planes[t, b]])) >= 0, "1").otherwise("0") for b in range(bits)]

@@ -11,6 +11,12 @@ from novelspark.plans.ordered import before, ranged
 from novelspark.plans.shared import stored
 
 
+def numbered(rows: DataFrame, seq: str, out: str) -> DataFrame:
+    """``rows`` with how many rows of the table are before each one (from 0)."""
+    counted = before(ranged(stored(rows, "rows"), seq), [], [seq], F.lit(1), "count", out)
+    return counted.drop("_range").withColumn(out, F.col(out).cast("bigint"))
+
+
 def born(labels: DataFrame, points: DataFrame, radius: float, primes: DataFrame) -> DataFrame:
     """j, y, r, birth_index, birth_prime of the representatives of a net.
 
@@ -18,8 +24,7 @@ def born(labels: DataFrame, points: DataFrame, radius: float, primes: DataFrame)
     birth index is the number of observations before it, its prime the one of that index
     (``primes``: index, prime, at least one an observation).
     """
-    ordered = before(ranged(stored(labels.select("i", "is_novel"), "labels"), "i"), [], ["i"], F.lit(1), "count", "birth_index")
-    reps = ordered.where("is_novel").select("i", F.col("birth_index").cast("bigint").alias("birth_index"))
+    reps = numbered(labels.select("i", "is_novel"), "i", "birth_index").where("is_novel").select("i", "birth_index")
     tagged = reps.join(primes.select(F.col("index").alias("birth_index"), F.col("prime").alias("birth_prime")), "birth_index")
     return tagged.join(points.select("i", metrics.doubles("x").alias("y")), "i").select(F.col("i").alias("j"), "y", F.lit(float(radius)).alias("r"), "birth_index", "birth_prime")
 

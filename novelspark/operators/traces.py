@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from novelspark.operators.novelty import vector
 from novelspark.operators.packing import first_fit
-from novelspark.plans.shared import stored
+from novelspark.plans.ordered import before, ranged
+from novelspark.plans.shared import stored, unused
 
 #: Weights of depth, spans, duration (ms), error spans and database spans (fixed values).
 WEIGHTS = (1.0, 0.25, 0.02, 2.0, 0.5)
@@ -99,11 +102,23 @@ def scorecard(sampled: DataFrame, seq: str, kind: str) -> DataFrame:
     return both.withColumn("suppression", F.round(1 - F.col("kept") / F.col("traces"), 9))
 
 
-def growth(labels: DataFrame, seq_rank: str, checkpoints: list[int]) -> DataFrame:
-    """seen, representatives, suppression after so many rows; ``seq_rank`` counts rows from 1."""
-    rows = labels.select(F.col(seq_rank).alias("r"), F.col("is_novel").cast("bigint").alias("n"), F.explode(F.array(*[F.lit(c) for c in checkpoints])).alias("seen")).where("r <= seen")
-    out = rows.groupBy("seen").agg(F.sum("n").alias("representatives"), F.count(F.lit(1)).alias("rows"))
-    return out.select("seen", "representatives", F.round(1 - F.col("representatives") / F.col("rows"), 9).alias("suppression"))
+def growth_law(traces: DataFrame, seq: str, novel: str, exact: list[str], shares: list[float]) -> DataFrame:
+    """seen, exact, representatives, damping, suppression after each share of all traces.
+
+    ``exact``: the columns by which an exact matcher would tell traces apart; damping is
+    representatives over the distinct values of these, suppression the share of traces that
+    are no representatives.  Traces are counted in the order of ``seq`` over the whole table.
+    """
+    first, rank = unused(traces, "first", "rank")
+    rows = traces.select(seq, novel, *exact)
+    earliest = rows.groupBy(*exact).agg(F.min(seq).alias(seq)).select(seq, F.lit(1).alias(first))
+    rows = stored(rows.select(seq, F.col(novel).cast("bigint").alias(novel)).join(earliest, seq, "left"), "traces")
+    n = rows.count()
+    rows = before(ranged(rows, seq), [], [seq], F.lit(1), "count", rank)
+    points = sorted({math.ceil(n * share) for share in shares})
+    sums = [F.struct(F.lit(c).cast("bigint").alias("seen"), F.sum(F.when(F.col(rank) < c, F.col(first))).alias("exact"), F.sum(F.when(F.col(rank) < c, F.col(novel))).alias("representatives")) for c in points]
+    out = rows.agg(F.array(*sums).alias("rows")).select(F.explode("rows").alias("r")).select("r.*").where("seen > 0")
+    return out.select("seen", "exact", "representatives", F.round(F.col("representatives") / F.col("exact"), 9).alias("damping"), F.round(1 - F.col("representatives") / F.col("seen"), 9).alias("suppression"))
 
 
 def absorbed(labels: DataFrame, group: list[str] | None = None) -> DataFrame:
