@@ -18,10 +18,10 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import textvec
 from .common import shared_dir
 
 #: Bytes of text, and documents, after which a block is full.  A longer text is a block.
@@ -109,8 +109,8 @@ _LOWER[65:91] += 32
 
 
 class Words:
-    """The words of a block's documents, A-Z lower-cased: ``code`` of each occurrence in
-    ``distinct`` (a list of byte strings), its ``doc``, and its ``piece`` where there are
+    """The words of a block's documents, A-Z lower-cased: the ``code`` of each occurrence in
+    ``distinct`` (an Arrow array of bytes), its ``doc``, and its ``piece`` where there are
     bytes that split; no word or piece reaches over two documents."""
 
     def __init__(self, text: bytes, sizes: np.ndarray, blank: bytes, split: bytes = b"") -> None:
@@ -134,19 +134,27 @@ class Words:
         if len(edges):
             both = pa.Array.from_buffers(pa.large_binary(), len(edges) - 1, [None, pa.py_buffer(edges), pa.py_buffer(raw)])
             words = both.dictionary_encode()
-            codes = words.indices.to_numpy()[::2]
-            used = np.zeros(len(words.dictionary), bool)
-            used[codes] = True
-            self.code = (np.cumsum(used) - 1)[codes]
-            self.distinct = words.dictionary.filter(pa.array(used)).to_pylist()
+            self.code, self.distinct = dense(words.indices.to_numpy()[::2], words.dictionary)
         else:
-            self.code, self.distinct = np.zeros(0, np.int64), []
+            self.code, self.distinct = np.zeros(0, np.int64), pa.array([], pa.large_binary())
         self.doc = np.searchsorted(begins + sizes, starts, "right")
-        self.piece = np.cumsum(of == 2)[starts] + self.doc if split and len(starts) else self.doc
+        self.piece = np.searchsorted(np.flatnonzero(of == 2), starts) + self.doc if split else self.doc
 
-    def hashes(self, prefix: bytes = b"") -> np.ndarray:
+    def hashes(self) -> np.ndarray:
         """A 64-bit hash for each distinct word."""
-        return np.array([xxhash.xxh3_64_intdigest(prefix + w) for w in self.distinct], np.uint64)
+        n = len(self.distinct)
+        if not n:
+            return np.zeros(0, np.uint64)
+        at = np.frombuffer(self.distinct.buffers()[1], np.int64)[self.distinct.offset : self.distinct.offset + n + 1]
+        data = self.distinct.buffers()[2]
+        return textvec.Hasher(np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8))(at[:-1], at[1:])
+
+
+def dense(codes: np.ndarray, values: pa.Array | np.ndarray) -> tuple[np.ndarray, pa.Array | np.ndarray]:
+    """Codes into ``values``, renumbered without the values that none of them is."""
+    used = np.zeros(len(values), bool)
+    used[codes] = True
+    return (np.cumsum(used) - 1)[codes], values.filter(pa.array(used)) if isinstance(values, pa.Array) else values[used]
 
 
 def mixed(a: np.ndarray, b: np.ndarray | int = 0) -> np.ndarray:

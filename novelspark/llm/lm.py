@@ -42,7 +42,7 @@ DELETE_ONE_IN = 8
 #: Ratios of two estimates are counted by 1/32 of a power of two, from 2 ** -64 to 2 ** 64.
 STEPS, MIDDLE = 32, 2048
 CLASSES = 63
-#: The end is no word, as words have no blanks.
+#: The hash of the end, which is no word.
 END = np.uint64(xxhash.xxh3_64_intdigest(b" "))
 
 

@@ -63,11 +63,12 @@ class Shard:
         self.langs = langs.tolist()
         lang = of_doc[words.doc] if len(words.doc) else np.zeros(0, np.int64)
         # the same word of two languages is two
-        pair, self.code = np.unique(lang * max(len(words.distinct), 1) + words.code, return_inverse=True)
-        self.lang, word = np.divmod(pair, max(len(words.distinct), 1))
+        n = max(len(words.distinct), 1)
+        self.code, pair = B.dense(lang * n + words.code, np.arange(n * max(len(self.langs), 1)))
+        self.lang, self.word = np.divmod(pair, n)
         seeds = B.mixed(np.array([xxhash.xxh3_64_intdigest(x.encode()) for x in self.langs], np.uint64)) if self.langs else np.zeros(0, np.uint64)
-        self.hash = B.mixed(words.hashes()[word], seeds[self.lang]) if len(pair) else np.zeros(0, np.uint64)
-        self.word = [words.distinct[w] for w in word.tolist()]
+        self.hash = B.mixed(words.hashes()[self.word], seeds[self.lang]) if len(pair) else np.zeros(0, np.uint64)
+        self.distinct = words.distinct
         self.joined = np.zeros(len(words.code), bool)  # follows the word before, in its piece
         self.joined[1:] = words.piece[1:] == words.piece[:-1]
         self.totals = np.bincount(lang, minlength=len(self.langs))
@@ -202,16 +203,16 @@ def _tell(least: int, longest: int):
             cut._learn(4, np.sort(cut.longer(longest)[0]))
             n = len(shard.langs)
             out.append(pa.table([shard.langs, pa.nulls(n, pa.string()), np.zeros(n, np.int32), shard.totals.astype(np.int64)], schema=FOUND_SCHEMA))
-            name, word = np.array(shard.langs, object), pa.array(shard.word, pa.binary())
+            name, word = np.array(shard.langs, object), shard.distinct.take(pa.array(shard.word))
             for d, end, _ in Automaton(cut.code, cut.left, longest).substrings():
                 keys, count, told = cut.levels[min(d, 4)]
                 at = np.searchsorted(keys, shard.keys(cut.code, end, d))
                 keep = (count[at] >= least) & told[at]
                 end, f = end[keep], count[at][keep]
                 parts = [word.take(pa.array(cut.code[end - back])) for back in range(d - 1, -1, -1)]
-                phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.binary())) if d > 1 else parts[0]
+                phrase = pc.binary_join_element_wise(*parts, pa.scalar(b" ", pa.large_binary())) if d > 1 else parts[0]
                 langs = pa.array(name[shard.lang[cut.code[end]]].tolist(), pa.string())
-                out.append(pa.table([langs, phrase.cast(pa.string()), np.full(len(end), d, np.int32), f], schema=FOUND_SCHEMA))
+                out.append(pa.table([langs, phrase.cast(pa.large_string()).cast(pa.string()), np.full(len(end), d, np.int32), f], schema=FOUND_SCHEMA))
         return pa.concat_tables(out)
 
     return run
