@@ -763,31 +763,27 @@ def knee_epsilon(spark, sf):
     return adaptive.knee(adaptive.k_distances(_vectors(spark, sf), "l2", 3), "distance").select(F.round("epsilon", 9).alias("epsilon"))
 
 
-#: Rows that forests and trees are calibrated on (a bounded sample, by hash).
-CALIBRATION_ROWS = 2000
-
-
-def _calibration(v: DataFrame):
-    import numpy as np
-
-    rows = v.orderBy(F.xxhash64("i"), "i").limit(CALIBRATION_ROWS).select("x").collect()
-    return np.array([r.x for r in rows])
-
-
 @_query()
 def isolation_scores(spark, sf):
     v = _vectors(spark, sf)
-    forest = adaptive.IsolationForest().fit(_calibration(v))
+    forest = adaptive.IsolationForest().fit(v)
     return v.select(F.col("i").alias("vec_id"), F.round(forest.score(F.col("x")), 9).alias("score"))
 
 
 @_query()
 def epsilon_tree(spark, sf):
     v = _vectors(spark, sf)
-    tree = adaptive.EpsilonTree().fit(_calibration(v))
+    tree = adaptive.EpsilonTree().fit(v)
     return v.select(F.col("i").alias("vec_id"), F.round(tree.epsilon(F.col("x")), 9).alias("epsilon"))
 
 
+@_query()
+def controlled_radii(spark, sf):
+    ball = _vectors(spark, sf).select("i", adaptive.poincare_embed(F.col("x"), F.col("label") / 10.0).alias("x"))
+    control = adaptive.RadiusController(0.8, 1.5, 2.0, 0.01, 0.5, forest=adaptive.IsolationForest().fit(ball))
+    return ball.select(F.col("i").alias("vec_id"), F.round(control.radius(F.col("x")), 9).alias("radius"))
+
+
 # ---- evaluation -----------------------------------------------------------------------------
 
 

@@ -78,21 +78,59 @@ def test_merge_is_commutative_and_idempotent(spark):
     assert of(a, a) == [(1, 5), (2, 7)]
 
 
-def test_isolation_forest_finds_the_outlier():
+def _frame(spark, x):
+    return spark.createDataFrame([(i, [float(a) for a in v]) for i, v in enumerate(x)], "i bigint, x array<double>")
+
+
+def test_isolation_forest_finds_the_outlier(spark):
     rng = np.random.default_rng(0)
     x = np.vstack([rng.standard_normal((512, 6)), np.full((1, 6), 4.0)])
-    s = adaptive.IsolationForest(seed=1).fit(x).scores(x)
+    forest = adaptive.IsolationForest(trees=48, sample=64, seed=1).fit(_frame(spark, x))
+    s = forest.scores(x)
     assert s.argmax() == 512 and 0 < s.min() < s.max() < 1
-
-
-def test_epsilon_tree_separates_scales(spark):
+    assert len(forest.trees) == 48 and all(len(t[0]) <= 2 * 64 for t in forest.trees)
+    # whatever the partitions, and from the hashes alone
+    again = adaptive.IsolationForest(trees=48, sample=64, seed=1).fit(_frame(spark, x).repartition(7))
+    assert (again.scores(x) == s).all()
+    drawn = forest.subsamples(_frame(spark, x), 513).groupBy("tree").agg(F.count_distinct("i").alias("n")).collect()
+    assert [r.n for r in drawn] == [64] * 48
+    of = [r[0] for r in _frame(spark, x).select(forest.score(F.col("x"))).collect()]
+    assert np.allclose(of, s)
+    control = adaptive.RadiusController(0.8, 1.5, 2.0, 0.01, 0.5, 0.5, forest)
+    z = _frame(spark, x / 20)
+    got = [r[0] for r in z.select(control.radius(F.col("x"), F.lit(0.3))).collect()]
+    want = np.minimum(np.clip(0.8 * np.maximum(0, 1 - ((x / 20) ** 2).sum(1)) ** 1.5 * np.exp(-2.0 * forest.scores(x / 20)), 0.01, 0.5), 0.15)
+    assert np.allclose(got, want)
+
+
+def _knee_of(values):
+    y = np.sort(values)
+    if len(y) < 3 or y[-1] <= y[0]:
+        return float(y[0]) if len(y) else 0.0
+    gap = np.abs((y - y[0]) / (y[-1] - y[0]) - np.arange(len(y)) / (len(y) - 1))
+    return float(y[1 + int(np.argmax(gap[1:-1]))])
+
+
+def test_epsilon_tree_equals_plain_python(spark):
     rng = np.random.default_rng(0)
-    x = np.vstack([rng.standard_normal((40, 2)) * 0.01, rng.standard_normal((40, 2)) * 0.5 + 10])
-    tree = adaptive.EpsilonTree(depth=1).fit(x)
-    (low, a), (high, b) = [(k, e) for k, e, _ in tree.leaves()]
-    assert low == high == 1 and a < b
-    df = spark.createDataFrame([([0.0, 0.0],), ([10.0, 10.0],)], "x array<double>")
-    assert [r[0] for r in df.select(tree.epsilon(F.col("x"))).collect()] == [a, b]
+    x = np.vstack([rng.standard_normal((90, 3)) * 0.01, rng.standard_normal((80, 3)) * 0.5 + 10, np.zeros((7, 3))])
+    tree = adaptive.EpsilonTree(min_leaf=8, depth=3, k=3).fit(_frame(spark, x))
+
+    def grow(rows, level):
+        width = rows.max(0) - rows.min(0)
+        axis = int(np.argmax(width))
+        cut = np.sort(rows[:, axis])[(len(rows) - 1) // 2]
+        goes = rows[:, axis] <= cut
+        if level == 3 or len(rows) < 16 or width[axis] <= 0 or goes.all():
+            d = np.sqrt(((rows[:, None] - rows[None]) ** 2).sum(2))
+            np.fill_diagonal(d, np.inf)
+            return [(rows, _knee_of(np.sort(d, axis=1)[:, min(3, len(rows) - 1) - 1]))]
+        return grow(rows[goes], level + 1) + grow(rows[~goes], level + 1)
+
+    want = {tuple(v): e for rows, e in grow(x, 0) for v in rows}
+    got = [r[0] for r in _frame(spark, x).select(tree.epsilon(F.col("x"))).collect()]
+    assert np.allclose(got, [want[tuple(v)] for v in x])
+    assert sum(n for _, n in tree.leaves.values()) == len(x) and len(set(got)) > 3
 
 
 def test_baselines(spark):
@@ -142,7 +180,7 @@ def test_knee_and_specificity_by_ranges(spark):
     values = np.round(np.sort(rng.random(2300) ** 3), 2)
     got = adaptive.knee(spark.createDataFrame([(float(v),) for v in values], "d double"), "d").first().epsilon
     gap = np.abs((values - values[0]) / (values[-1] - values[0]) - np.arange(len(values)) / (len(values) - 1))
-    assert got == values[1 + int(np.argmax(gap[1:-1]))] == adaptive.EpsilonTree.knee_of(values)
+    assert got == values[1 + int(np.argmax(gap[1:-1]))] == _knee_of(values)
     assert adaptive.knee(spark.createDataFrame([(1.0,), (1.0,)], "d double"), "d").first().epsilon == 1.0
     v = rng.standard_normal((60, 4))
     unit = v / np.linalg.norm(v, axis=1)[:, None]

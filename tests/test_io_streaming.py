@@ -6,7 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from novelspark.operators import novelty, packing
-from novelspark.sources import embeddings_file, snapshots, spans
+from novelspark.operators import selection, traces
+from novelspark.sources import archives, embeddings_file, ordered_text, snapshots, spans
 from novelspark.streaming.novelty import answer_cache_stream, first_fit_stream, metric_cache_stream
 
 
@@ -114,3 +115,62 @@ def test_span_attributes_of_all_kinds(spark, tmp_path):
     (tmp_path / "o.json").write_text(json.dumps(otlp))
     got = spans.read_otlp(spark, str(tmp_path / "o.json")).first().attributes
     assert got["k"] == "later" and got["raw"] == "AQI=" and "a" in got["list"] and "2" in got["list"] and "x" in got["map"]
+
+
+def test_call_archives(spark, tmp_path):
+    import io
+    import tarfile
+
+    rng = np.random.default_rng(0)
+    want = []
+    for a in range(2):
+        with tarfile.open(tmp_path / f"calls-{a}.tar.gz", "w:gz") as tar:
+            for m in range(2):
+                lines = ["traceid,timestamp,rpcid,um,rpctype,dm,interface,rt"] if m == 0 else []
+                for k in range(40):
+                    row = [f"t{a}{m}{k % 7}", "5", f"0.{k}", "U", str(rng.choice(["rpc", "mc", "http"])), f"D{k % 3}", "i", "" if k == 3 else str(k / 2)]
+                    lines.append(",".join(row if m == 0 else ["9", *row]))
+                    want.append((row[0], row[2], "U", row[4], row[5], float(row[7] or 0), f"part{m}.csv"))
+                lines += ["short,line", "t,1,0,U,rpc,D,i,no number", ""]
+                raw = "\n".join(lines).encode()
+                info = tarfile.TarInfo(f"part{m}.csv")
+                info.size = len(raw)
+                tar.addfile(info, io.BytesIO(raw))
+            other = tarfile.TarInfo("notes.txt")
+            tar.addfile(other, io.BytesIO(b""))
+    calls = archives.read_calls(spark, f"file://{tmp_path}")
+    got = calls.collect()
+    assert sorted((r.trace, r.rpcid, r.um, r.rpctype, r.dm, r.rt, r.member) for r in got) == sorted(want)
+    assert calls.rdd.getNumPartitions() == 2 and {r.archive.rsplit("/", 1)[1] for r in got} == {"calls-0.tar.gz", "calls-1.tar.gz"}
+    plain = spark.createDataFrame([w[:6] for w in want], "trace string, rpcid string, um string, rpctype string, dm string, rt double")
+    tree = lambda df: sorted(map(str, traces.call_tree(df).collect()))
+    assert tree(calls.select(*plain.columns)) == tree(plain)
+
+
+def test_ordered_text(spark, tmp_path):
+    rows = [(i, f"v{i % 7}, \"x\"", None if i % 5 == 0 else i / 4) for i in np.random.default_rng(1).permutation(900).tolist()]
+    df = spark.createDataFrame(rows, "i bigint, name string, v double").repartition(5)
+    for n in (100, 10_000):
+        ordered_text.write_csv(df, ["i"], f"file://{tmp_path}/csv{n}", lines_a_part=n)
+        ordered_text.merged(spark, f"file://{tmp_path}/csv{n}", f"file://{tmp_path}/csv{n}.csv")
+    text = (tmp_path / "csv100.csv").read_text()
+    assert text == (tmp_path / "csv10000.csv").read_text()
+    assert len(list((tmp_path / "csv100").glob("part-*"))) > 3
+    back = pd.read_csv(tmp_path / "csv100.csv", escapechar="\\")
+    assert back["i"].tolist() == list(range(900)) and list(back.columns) == ["i", "name", "v"]
+    want = {i: (name, v) for i, name, v in rows}
+    assert all(r.name_ == want[r.i][0] and (r.v == want[r.i][1] or want[r.i][1] is None) for r in back.rename(columns={"name": "name_"}).itertuples())
+    lines = [r.value for r in ordered_text.read_text(spark, f"file://{tmp_path}/csv100").orderBy("part", "line").collect()]
+    assert lines == text.splitlines()
+
+
+def test_wcnf_file(spark, tmp_path):
+    points = spark.createDataFrame([(i, [float(v)]) for i, v in enumerate([0, 1, 2, 5])], "i bigint, x array<double>")
+    cover = selection.edges(points, "linf", 1.0)
+    ordered_text.write_wcnf(selection.wcnf(points, cover), f"file://{tmp_path}/w", lines_a_part=3)
+    ordered_text.merged(spark, f"file://{tmp_path}/w", f"file://{tmp_path}/w.wcnf")
+    near = [[0, 1], [0, 1, 2], [1, 2], [3]]
+    hard = ["5 " + " ".join(str(j + 1) for j in row) + " 0" for row in near]
+    apart = ["5 -1 -2 0", "5 -2 -3 0"]
+    soft = [f"1 -{i} 0" for i in range(1, 5)]
+    assert (tmp_path / "w.wcnf").read_text() == "\n".join(["p wcnf 4 10 5", *hard, *apart, *soft]) + "\n"
