@@ -381,10 +381,18 @@ def crdt_merge(spark, sf):
     return replicas.merged(_state(spark, sf).select("cell", "seq"), "cell", "seq")
 
 
-@_query(f"WITH {_CELLS} SELECT r.cell, CASE WHEN l.seq IS NULL THEN 'adopt' WHEN r.seq > l.seq THEN 'replace' ELSE 'keep' END AS outcome FROM (SELECT * FROM o WHERE replica = 1) r LEFT JOIN (SELECT * FROM o WHERE replica = 0) l USING (cell)")
+@_query(f"WITH {_CELLS} SELECT r.replica, r.cell, CASE WHEN l.seq IS NULL THEN 'adopt' WHEN r.seq > l.seq THEN 'replace' ELSE 'keep' END AS outcome FROM (SELECT * FROM o WHERE replica > 0) r LEFT JOIN (SELECT * FROM o WHERE replica = 0) l USING (cell)")
 def crdt_merge_outcomes(spark, sf):
     s = _state(spark, sf)
-    return replicas.adopted(s.where("replica = 0"), s.where("replica = 1"), "cell", "seq")
+    return replicas.adopted(s.where("replica = 0"), s.where("replica > 0"), "cell", "seq")
+
+
+@_query()
+def crdt_merge_priority(spark, sf):
+    points = _points3(spark, sf).select("seq", F.array("a", "b", "c").alias("point"))
+    first = _state(spark, sf).join(points, "seq").withColumn("payload", F.col("seq").cast("string"))
+    best = replicas.merged(replicas.prioritised(first, "point", "payload").drop("replica"), "cell", "priority")
+    return best.select("cell", "seq", "point", "payload", "priority")
 
 
 @_query(f"""WITH {_CELLS}, a AS (SELECT replica, count(*) AS occupied FROM o GROUP BY replica), j AS (SELECT count(DISTINCT cell) AS n FROM o)
@@ -973,6 +981,47 @@ def ids_gate(spark, sf):
     return evaluate.ids_gate(v.where("label < 5").select("i", "x"), v.where("label >= 5").select("i", "x"), 1.1).select(F.col("i").alias("vec_id"), "novel", F.round("distance", 9).alias("distance"))
 
 
+_GATE = f"""{_V}, h AS (SELECT i, x FROM v WHERE label < 5 AND i % 2 = 0), a AS (SELECT i, x, label FROM v WHERE label >= 5 OR i % 2 = 1), {_nets(_L2, [1.1], 'h')},
+c AS (SELECT list(w ORDER BY p) AS m FROM (SELECT p, avg(x[p]) AS w FROM h, range(1, 65) g(p) GROUP BY p)),
+s AS (SELECT a.i, a.label, (SELECT min({_L2.format(a='a.x', b='nets.x')}) FROM nets) AS net, (SELECT min({_L2.format(a='a.x', b='h.x')}) FROM h) AS nearest, {_L2.format(a='a.x', b='c.m')} AS centroid FROM a, c)"""
+
+
+def _gate(spark, sf):
+    v = _vectors(spark, sf)
+    return v, evaluate.gate_scores(v.where("label < 5 and i % 2 = 0").select("i", "x"), v.where("label >= 5 or i % 2 = 1").select("i", "x"), 1.1)
+
+
+@_query(f"WITH RECURSIVE {_GATE} SELECT label, count(*) AS n, sum((net > 1.1)::INTEGER)::BIGINT AS flagged, round(sum((net > 1.1)::INTEGER) / count(*)::DOUBLE, 9) AS rate FROM s GROUP BY label")
+def ids_classes(spark, sf):
+    v, scores = _gate(spark, sf)
+    return evaluate.gate_classes(scores, v, "label")
+
+
+_AUC1 = "SELECT '{c}' AS score, round(avg(CASE WHEN p.{c} > n.{c} THEN 1.0::DOUBLE WHEN p.{c} = n.{c} THEN 0.5 ELSE 0.0 END), 6) AS auc FROM s p, s n WHERE p.label >= 5 AND n.label < 5"
+
+
+@_query(f"WITH RECURSIVE {_GATE} " + " UNION ALL ".join(_AUC1.format(c=c) for c in ("net", "nearest", "centroid")))
+def ids_auc(spark, sf):
+    v, scores = _gate(spark, sf)
+    return evaluate.gate_auc(scores, v, F.col("label") >= 5).withColumn("auc", F.round("auc", 6))
+
+
+@_query(f"""WITH RECURSIVE {_net(_COS, 0.8)}, c AS (SELECT (SELECT count(*) FROM v) AS n, (SELECT count(*) FROM net)::BIGINT AS r)
+SELECT n AS requests, r AS misses, n - r AS hits, round((n - r) / n::DOUBLE, 9) AS hit_rate, round(n * 0.002::DOUBLE, 6) AS cost_without, round(r * 0.002::DOUBLE, 6) AS cost_with,
+round((n - r) * 0.002::DOUBLE, 6) AS saved, round(n * 1.5::DOUBLE, 6) AS seconds_without, round(r * 1.5::DOUBLE + (n - r) * 0.01::DOUBLE, 6) AS seconds_with,
+round(365000.0::DOUBLE * (n - r) * 0.002 / n, 4) AS saved_a_year FROM c""")
+def answer_ledger(spark, sf):
+    return evaluate.ledger(_fit(spark, sf, 0.8), 0.002, 1.5, 0.01, 1000.0)
+
+
+@_query(f"""WITH {_V}, d AS (SELECT a.i, min({_L2.format(a='a.x', b='b.x')}) AS distance FROM v a LEFT JOIN v b ON b.i < a.i GROUP BY a.i),
+o AS (SELECT *, row_number() OVER (ORDER BY i) AS k FROM d)
+SELECT i AS vec_id, round(distance, 9) AS distance, row_number() OVER (ORDER BY coalesce(distance, 'inf'::DOUBLE) DESC, i) AS rank FROM o WHERE k > 20""")
+def novelty_ranking(spark, sf):
+    near = novelty.prior_distance(_vectors(spark, sf), "i", "x")
+    return evaluate.novelty_ranking(near, "i", "distance", 20).select(F.col("i").alias("vec_id"), F.round("distance", 9).alias("distance"), "rank")
+
+
 @_query("SELECT round(sum(p * (below + n / 2.0)) / (sum(p) * sum(n)), 9) AS auc FROM (SELECT p, n, coalesce(sum(n) OVER (ORDER BY o_totalprice ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS below FROM (SELECT o_totalprice, sum((o_orderpriority LIKE '1%')::INTEGER) AS p, sum((NOT o_orderpriority LIKE '1%')::INTEGER) AS n FROM orders GROUP BY 1))")
 def ranking_auc(spark, sf):
     out = evaluate.auc(_table(spark, sf, "orders"), "o_totalprice", F.col("o_orderpriority").startswith("1"))

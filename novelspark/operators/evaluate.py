@@ -354,6 +354,56 @@ def ids_gate(benign: DataFrame, asked: DataFrame, epsilon: float, distance: str
     return asked.select("i").join(found, "i", "left").select("i", (F.coalesce("d", F.lit(float("inf"))) > epsilon).alias("novel"), F.col("d").alias("distance"))
 
 
+def gate_scores(benign: DataFrame, asked: DataFrame, epsilon: float, distance: str = "l2") -> DataFrame:
+    """i, novel and three scores of rows of ``asked`` (i, x) against ``benign`` (i, x): the
+    distance to the nearest representative of its net, to its nearest row, to its mean."""
+    net = ids_gate(benign, asked, epsilon, distance).select("i", "novel", F.col("distance").alias("net"))
+    nearest = epsjoin.nearest(asked, benign.select(F.col("i").alias("j"), F.col("x").alias("y")), distance).select("i", F.col("d").alias("nearest"))
+    means = benign.select(F.posexplode(metrics.doubles("x")).alias("p", "v")).groupBy("p").agg(F.avg("v").alias("v"))
+    middle = F.array(*[F.lit(float(r.v)) for r in means.orderBy("p").collect()])  # a row an axis
+    far = asked.select("i", metrics.metric(distance)(metrics.doubles("x"), middle).alias("centroid"))
+    return net.join(nearest, "i", "left").join(far, "i", "left")
+
+
+def gate_classes(scores: DataFrame, classes: DataFrame, kind: str) -> DataFrame:
+    """``kind``, n, flagged, rate: how many rows of each class (i, kind) the gate calls novel."""
+    rows = scores.join(classes.select("i", kind), "i").groupBy(kind)
+    out = rows.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("novel").cast("bigint")).alias("flagged"))
+    return out.withColumn("rate", F.round(F.col("flagged") / F.col("n"), 9))
+
+
+def gate_auc(scores: DataFrame, classes: DataFrame, attack: Column) -> DataFrame:
+    """score, auc of the three scores; ``attack`` tells the classes (i, ...) that are attacks."""
+    rows = stored(scores.join(classes.select("i", attack.alias("attack")), "i").select("attack", "net", "nearest", "centroid"), "scores")
+    each = [auc(rows, name, F.col("attack")).withColumn("score", F.lit(name)) for name in ("net", "nearest", "centroid")]
+    return each[0].unionByName(each[1]).unionByName(each[2])
+
+
+def ledger(labels: DataFrame, price: float, seconds: float, hit_seconds: float, daily: float = 0.0) -> DataFrame:
+    """What answering novel rows only (is_novel) saves: requests, misses, hits, hit_rate,
+    cost_without, cost_with, saved, seconds_without, seconds_with, and saved in a year of
+    ``daily`` requests."""
+    out = labels.agg(F.count(F.lit(1)).alias("requests"), F.coalesce(F.sum(F.col("is_novel").cast("bigint")), F.lit(0)).alias("misses"))
+    n, misses = F.col("requests"), F.col("misses")
+    hits = n - misses
+    return out.select(
+        "requests", "misses", hits.alias("hits"), F.when(n > 0, F.round(hits / n, 9)).alias("hit_rate"),
+        F.round(n * F.lit(price), 6).alias("cost_without"), F.round(misses * F.lit(price), 6).alias("cost_with"), F.round(hits * F.lit(price), 6).alias("saved"),
+        F.round(n * F.lit(seconds), 6).alias("seconds_without"), F.round(misses * F.lit(seconds) + hits * F.lit(hit_seconds), 6).alias("seconds_with"),
+        F.when(n > 0, F.round(F.lit(daily * 365) * hits * F.lit(price) / n, 4)).alias("saved_a_year"),
+    )
+
+
+def novelty_ranking(distances: DataFrame, seq: str, distance: str, burn_in: int) -> DataFrame:
+    """``seq``, ``distance``, rank: rows after the first ``burn_in`` by their distance to what
+    came before, the furthest first (ties by ``seq``); without a distance a row is the furthest."""
+    place, score = unused(distances, "place", "score")
+    rows = before(ranged(stored(distances.select(seq, distance), "rows"), seq), [], [seq], F.lit(1), "count", place)
+    late = rows.where(F.col(place) >= burn_in).select(seq, distance, (-F.coalesce(distance, F.lit(float("inf")))).alias(score))
+    out = before(ranged(stored(late, "late"), score), [], [score, seq], F.lit(1), "count", "rank")
+    return out.select(seq, distance, (F.col("rank") + 1).cast("bigint").alias("rank"))
+
+
 def auc(rows: DataFrame, score: str, positive: Column) -> DataFrame:
     """auc: the share of (positive, other) pairs that the score orders right, ties half."""
     per = rows.groupBy(F.col(score).alias("v")).agg(F.sum(positive.cast("bigint")).alias("p"), F.sum((~positive).cast("bigint")).alias("n"))

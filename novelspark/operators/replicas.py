@@ -137,10 +137,17 @@ def gossip(state: DataFrame, replicas: int, cell: str, rank: str, peers: int, ro
 
 
 def adopted(local: DataFrame, remote: DataFrame, cell: str, rank: str) -> DataFrame:
-    """cell, outcome of merging ``remote`` into ``local``: adopt where empty, replace if the
-    remote rank is strictly higher, else keep."""
-    both = remote.select(cell, F.col(rank).alias("r")).join(local.select(cell, F.col(rank).alias("l")), cell, "left")
-    return both.select(cell, F.when(F.col("l").isNull(), "adopt").when(F.col("r") > F.col("l"), "replace").otherwise("keep").alias("outcome"))
+    """cell, outcome of merging ``remote`` into ``local`` (and the replica, where ``remote`` names
+    it): adopt where empty, replace if the remote rank is strictly higher, else keep."""
+    kept = [c for c in remote.columns if c == "replica"]
+    both = remote.select(*kept, cell, F.col(rank).alias("r")).join(local.select(cell, F.col(rank).alias("l")), cell, "left")
+    return both.select(*kept, cell, F.when(F.col("l").isNull(), "adopt").when(F.col("r") > F.col("l"), "replace").otherwise("keep").alias("outcome"))
+
+
+def prioritised(state: DataFrame, point: str, payload: str) -> DataFrame:
+    """``state`` with the priority of each occupant's point and payload, by which ``merged``
+    takes all of one occupant or of the other, whatever the order of merging."""
+    return state.withColumn("priority", priority(F.col(point), F.col(payload).cast("binary")))
 
 
 def replica_of(seq: Column, replicas: int) -> Column:

@@ -166,7 +166,7 @@ class Plain:
 @pytest.mark.parametrize(("ttl", "limit"), [(10, 0), (0, 3), (7, 4)])
 def test_payloads_equal_plain_python(spark, tmp_path, ttl, limit):
     rng = np.random.default_rng(ttl + limit)
-    rows, clock = [], {"a": 0.0, "b": 0.0}
+    rows = []
     shared = 1_000_000.0
     for batch in range(4):
         shared += 500.0 if batch == 2 else 3.0  # the clock jumps
@@ -175,7 +175,6 @@ def test_payloads_equal_plain_python(spark, tmp_path, ttl, limit):
             op = str(rng.choice(["set", "set", "set", "get", "get", "touch", "purge", "count", "clear"], p=[0.2, 0.2, 0.1, 0.2, 0.1, 0.1, 0.04, 0.04, 0.02]))
             slot = int(rng.integers(0, 6)) if op in ("set", "get", "touch") else None
             rows.append((batch, str(rng.choice(["a", "b"])), len(rows), op, slot, None if op != "set" or rng.random() < 0.1 else f"p{len(rows)}", shared))
-    del clock
     schema = "key string, seq bigint, op string, slot bigint, payload string, at timestamp"
     got, checkpoint = [], str(tmp_path / "check")
     plain = {k: Plain(ttl, limit) for k in "ab"}
@@ -336,9 +335,6 @@ def test_kmeans_and_zoom_equal_numpy(spark):
 
 
 def test_combined_metric_and_exact_sets(spark):
-    from collections import OrderedDict
-
-    del OrderedDict
     rng = np.random.default_rng(4)
     rows = [("ab"[int(k)], i, None if v == 3 else float(v)) for i, (k, v) in enumerate(zip(rng.integers(0, 2, 200), rng.integers(0, 20, 200), strict=True))]
     df = spark.createDataFrame(rows, "k string, seq bigint, v double")
@@ -358,3 +354,29 @@ def test_combined_metric_and_exact_sets(spark):
     w = metrics.prime_weights([2, 3])
     power = lambda n, r: r ** -max(k for k in range(60) if n % r**k == 0)
     assert out == pytest.approx([0.0 if p == q else 0.25 * abs(p - q) / (1 + abs(p - q)) + 0.75 * sum(a * power(abs(p - q), r) for a, r in zip(w, (2, 3), strict=True)) for p, q in [(7, 7), (1, 9), (4, 36)]])
+
+
+def test_merging_by_priority_keeps_an_occupant_whole(spark):
+    rng = np.random.default_rng(2)
+    rows = [(int(r), int(c), [float(a) for a in rng.random(2)], f"p{k}") for k, (r, c) in enumerate(zip(rng.integers(0, 3, 60), rng.integers(0, 9, 60), strict=True))]
+    state = spark.createDataFrame(rows, "replica int, cell int, point array<double>, payload string").dropDuplicates(["replica", "cell"]).cache()
+    known = {(tuple(r.point), r.payload) for r in state.collect()}
+
+    def fnv(point, payload):
+        h = 0xCBF29CE484222325
+        for b in np.array(point, "<f8").tobytes() + payload.encode():
+            h = ((h ^ b) * 0x100000001B3) % 2**64
+        return h
+
+    ranked = replicas.prioritised(state, "point", "payload").drop("replica")
+    got = {r.cell: (tuple(r.point), r.payload, int(r.priority)) for r in replicas.merged(ranked, "cell", "priority").collect()}
+    want = {}
+    for r in state.collect():
+        mine = (fnv(r.point, r.payload), tuple(r.point), r.payload)
+        want[r.cell] = max(want.get(r.cell, (-1, (), "")), mine)
+    assert got == {c: (p, q, h) for c, (h, p, q) in want.items()}
+    assert all((p, q) in known for p, q, _ in got.values())
+    # two by two, in any order, the same
+    parts = [ranked.where(f"pmod(cell + length(payload), 3) = {k}") for k in (2, 0, 1)]
+    once = replicas.merged(replicas.merged(parts[0].unionByName(parts[1]), "cell", "priority").unionByName(parts[2]), "cell", "priority")
+    assert {r.cell: (tuple(r.point), r.payload, int(r.priority)) for r in once.collect()} == got
