@@ -314,6 +314,34 @@ def _rest(state: DataFrame, edges: DataFrame) -> DataFrame:
     return state.where("done").unionByName(found)
 
 
+def _in_order(state: DataFrame, edges: DataFrame) -> DataFrame:
+    """``state`` with the calls done that come after all that they refer to, and so on down.
+
+    A call moves, or is in a cycle, only if a reference on the way to it goes to a call of its
+    own turn or a later one; what is not behind such a reference stays where it is, however
+    long its chain of references.
+    """
+    of = state.select(F.col("conv_id").alias("_c"), F.col("id").alias("_n"), F.col("turn").alias("_turn"))
+    links = edges.where("not missing").join(of, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("need") == F.col("_n"))).select("conv_id", "id", "need", "_turn")
+    own = state.where("not done").select(F.col("conv_id").alias("_w"), F.col("id").alias("_x"), F.col("turn").alias("_own"))
+    links = links.join(own, F.col("conv_id").eqNullSafe(F.col("_w")) & (F.col("id") == F.col("_x"))).drop("_w", "_x")
+    forward = F.coalesce(F.col("_turn") < F.col("_own"), F.lit(False))
+    links = stored(links.select(F.col("conv_id").alias("conv"), "id", "need", forward.alias("forward")), "links")
+    moved = stored(links.where("not forward").select(F.col("conv").alias("_w"), F.col("id").alias("_x")).distinct(), "moved")
+    front, rounds = moved, 0
+    while rounds < DEEPEST and front.head(1):
+        near = links.join(front, F.col("conv").eqNullSafe(F.col("_w")) & (F.col("need") == F.col("_x")), "left_semi").select(F.col("conv").alias("_a"), F.col("id").alias("_b")).distinct()
+        front = near.join(moved, F.col("_a").eqNullSafe(F.col("_w")) & (F.col("_b") == F.col("_x")), "left_anti").select(F.col("_a").alias("_w"), F.col("_b").alias("_x"))
+        front = stored(front, "moved")
+        moved, rounds = stored(moved.union(front), "moved"), rounds + 1
+    if front.head(1):  # a chain this long: all of its conversation is placed in rounds
+        whole = moved.select(F.col("_w").alias("_v")).distinct()
+        return state.join(whole, F.col("conv_id").eqNullSafe(F.col("_v")), "left").withColumn("done", F.col("done") | F.col("_v").isNull()).drop("_v")
+    marked = moved.withColumn("_moved", F.lit(True))
+    out = state.join(marked, F.col("conv_id").eqNullSafe(F.col("_w")) & (F.col("id") == F.col("_x")), "left")
+    return out.withColumn("done", F.col("done") | F.col("_moved").isNull()).drop("_w", "_x", "_moved")
+
+
 def _placed(calls: DataFrame, results: DataFrame) -> DataFrame:
     """Calls with ``at`` (turn that they come at), ``level`` in it and ``loop``.
 
@@ -331,7 +359,7 @@ def _placed(calls: DataFrame, results: DataFrame) -> DataFrame:
         return calls.join(state.select(F.col("conv_id").alias("_c"), F.col("id").alias("_i"), "at", "level", F.lit(None).cast("string").alias("loop")), F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("id") == F.col("_i"))).drop("_c", "_i")
     bad = edges.where("missing").select(F.col("conv_id").alias("_c"), F.col("id").alias("_i")).distinct().withColumn("_bad", F.lit(True))
     state = state.join(bad, F.col("conv_id").eqNullSafe(F.col("_c")) & (F.col("id") == F.col("_i")), "left").select("conv_id", "id", "turn", "at", "level", (F.col("done") | F.col("_bad").isNotNull()).alias("done"), F.when(F.col("_bad"), "missing_reference").alias("loop"))
-    state = stored(state, "order")
+    state = stored(_in_order(state, edges), "order")
     left = state.where("not done").count()
     for _ in range(DEEPEST):
         if not left:
@@ -395,7 +423,7 @@ ASK = '{"additionalProperties":false,"properties":{"context":{},"question":{"max
 
 def question_calls(turns: DataFrame) -> DataFrame:
     """Plain conversations as tool use: a user's turn calls the tool ``ask`` with the text
-    and, for every second question, the result of the call two turns before; an assistant's
+    and, from the second turn on, the result of the call two turns before; an assistant's
     turn is the result of the call one turn before; a system's turn declares the tool.
 
     Roles and texts that are neither stay as they are; null texts are null values.
@@ -406,7 +434,7 @@ def question_calls(turns: DataFrame) -> DataFrame:
     text = F.col("text").cast("string")
     known = F.to_json(F.struct(F.struct(name(2).alias("$result")).alias("context"), text.alias("question")), keep)
     first = F.to_json(F.struct(text.alias("question")), keep)
-    asked = F.to_json(F.struct(F.array(F.struct(name(0).alias("id"), F.struct(F.lit("ask").alias("name"), F.when(turn % 4 >= 2, known).otherwise(first).alias("arguments")).alias("function"))).alias("tool_calls")), keep)
+    asked = F.to_json(F.struct(F.array(F.struct(name(0).alias("id"), F.struct(F.lit("ask").alias("name"), F.when(turn >= 2, known).otherwise(first).alias("arguments")).alias("function"))).alias("tool_calls")), keep)
     told = F.to_json(F.struct(name(1).alias("tool_call_id"), text.alias("content")), keep)
     said = F.concat(F.lit('{"content":'), F.coalesce(F.to_json(F.array(text)).substr(F.lit(2), F.length(F.to_json(F.array(text))) - 2), F.lit("null")), F.lit(',"tools":[{"function":{"name":"ask","parameters":' + ASK + "}}]}"))
     return turns.select(
@@ -432,10 +460,10 @@ items AS (
   SELECT conv_id, turn, turn AS place, 0 AS after, 'message' AS kind, NULL::VARCHAR AS call_id, 'ok' AS status, '' AS problems,
     '{"content":' || x || ',"role":"system","tools":[{"function":{"name":"ask","parameters":""" + ASK + """}}]}' AS json FROM t WHERE role = 'system'
   UNION ALL SELECT t.conv_id, t.turn, t.turn, 1, 'call', 't' || t.turn,
-    CASE WHEN t.turn % 4 >= 2 AND NOT EXISTS (SELECT 1 FROM asks a JOIN tells b USING (conv_id, turn) WHERE a.conv_id = t.conv_id AND a.turn = t.turn - 2) THEN 'missing_reference'
+    CASE WHEN t.turn >= 2 AND NOT EXISTS (SELECT 1 FROM asks a JOIN tells b USING (conv_id, turn) WHERE a.conv_id = t.conv_id AND a.turn = t.turn - 2) THEN 'missing_reference'
       WHEN EXISTS (SELECT 1 FROM tells b WHERE b.conv_id = t.conv_id AND b.turn = t.turn) THEN 'linked' ELSE 'unanswered' END,
     CASE WHEN NOT EXISTS (SELECT 1 FROM t s WHERE s.conv_id = t.conv_id AND s.role = 'system') THEN 'name: no such tool' WHEN n > 200 THEN '$.question: maxLength' ELSE '' END,
-    '{"arguments":{' || CASE WHEN t.turn % 4 >= 2 THEN '"context":{"$result":"t' || (t.turn - 2) || '"},' ELSE '' END || '"question":' || x || '},"id":"t' || t.turn || '","name":"ask","role":"assistant"}'
+    '{"arguments":{' || CASE WHEN t.turn >= 2 THEN '"context":{"$result":"t' || (t.turn - 2) || '"},' ELSE '' END || '"question":' || x || '},"id":"t' || t.turn || '","name":"ask","role":"assistant"}'
     FROM t WHERE role = 'user'
   UNION ALL SELECT t.conv_id, t.turn, CASE WHEN a.turn IS NULL THEN t.turn ELSE a.turn END, 2, 'result', 't' || (t.turn - 1),
     CASE WHEN a.turn IS NULL THEN 'orphan_result' ELSE 'linked' END, '', '{"content":' || x || ',"role":"tool","tool_call_id":"t' || (t.turn - 1) || '"}'

@@ -53,6 +53,8 @@ OTHERS = 0.1
 FREQUENT = 1 / 16
 #: Texts scored in one step.
 TEXTS = 64
+#: Postings that are added up at a time: a text of many different words takes several turns.
+POSTINGS = 1 << 21
 CHUNK = 1 << 14
 
 
@@ -169,11 +171,16 @@ class Index:
         often = at[term] >= 0
         q = np.zeros((n, len(dense)))
         q[doc[often], at[term[often]]] = weight[often]
-        t = term[~often]
+        t, of, w = term[~often], doc[~often], weight[~often]
         size = self.start[t + 1] - self.start[t]
-        post = np.repeat(self.start[t] - np.concatenate([[0], np.cumsum(size)[:-1]]), size) + np.arange(size.sum())
-        sums = np.bincount(np.repeat(doc[~often], size) * wide + self.rows[post], np.repeat(weight[~often], size) * self.weights[post], minlength=n * wide)
-        sums = sums.astype(np.float64).reshape(n, wide)
+        sums = np.zeros(n * wide)
+        ends = np.cumsum(size)
+        turns = np.unique(np.searchsorted(ends, np.arange(0, int(ends[-1]) + POSTINGS, POSTINGS), "left")) if len(ends) else np.zeros(1, np.int64)
+        for i, j in zip(turns, np.append(turns[1:], len(t)), strict=True):
+            own = size[i:j]
+            post = np.repeat(self.start[t[i:j]] - np.concatenate([[0], np.cumsum(own)[:-1]]), own) + np.arange(own.sum())
+            sums += np.bincount(np.repeat(of[i:j], own) * wide + self.rows[post], np.repeat(w[i:j], own) * self.weights[post], minlength=n * wide)
+        sums = sums.reshape(n, wide)
         if leave is not None:
             sums[np.arange(n), leave] = -2
         blocks = sums.reshape(n, -1, BLOCK)
