@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -11,6 +12,8 @@ from novelspark.plans.shared import small, stored
 
 #: Primes are tagged modulo this (fixed value, 2^61 - 1).
 MODULUS = (1 << 61) - 1
+#: 2 ** this many gaps are one task's stack.
+BLOCK_BITS = 16
 
 
 def nth_primes(spark, n: int) -> DataFrame:
@@ -47,30 +50,57 @@ def diagram(df: DataFrame, x: str) -> DataFrame:
     """birth, death, birth_value, death_value, persistence: one row a gap, n - 1 in all.
 
     Gap i merges at half its length.  It is born at the left end of its left component:
-    just after the last earlier gap that is longer (the start without one).  That gap is
-    found by a join on powers of two of ranks: the earlier gaps are read as a tree of
-    maxima, one level a join, so no row reads all rows before it.
+    just after the last earlier gap that is longer (the start without one).  Blocks of
+    2 ** ``BLOCK_BITS`` gaps in order find it by a stack, each in a task of its own; for gaps
+    longer than all before them in their block the earlier blocks are read as a tree of
+    maxima, one join a level, so no row reads all rows before it.
     """
     points = stored(sorted_points(df, x), "points")
     gaps = stored(points.where("next is not null").select(F.col("rank").alias("i"), "x", "next", (F.col("next") - F.col("x")).alias("gap")), "gaps")
     n = gaps.count()
     if not n:
         return gaps.select(F.lit(0).cast("bigint").alias("birth"), F.lit(0).cast("bigint").alias("death"), "x", "next", "gap").where("false").select("birth", "death", F.col("x").alias("birth_value"), F.col("x").alias("death_value"), F.col("gap").alias("persistence"))
-    levels = max(1, (n - 1).bit_length())
+
+    def stack(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("i")
+        ranks, lengths, open_, longer = rows["i"].tolist(), rows["gap"].tolist(), [], []
+        for k, gap in enumerate(lengths):
+            while open_ and lengths[open_[-1]] <= gap:
+                open_.pop()
+            longer.append(ranks[open_[-1]] if open_ else None)
+            open_.append(k)
+        return rows[["i", "x", "next", "gap"]].assign(longer=pd.array(longer, "Int64"))
+
+    blocks = gaps.withColumn("block", F.expr(f"shiftright(i, {BLOCK_BITS})")).groupBy("block")
+    births = stored(blocks.applyInPandas(stack, "i bigint, x double, next double, gap double, longer bigint"), "births")
+    rest = births.where(F.col("longer").isNull() & (F.col("i") >= 1 << BLOCK_BITS)).select("i", "gap")
+    if n > 1 << BLOCK_BITS and rest.head(1):
+        far = _climb(gaps, rest, n).select("i", F.col("longer").alias("far"))
+        births = births.join(far, "i", "left").withColumn("longer", F.coalesce("longer", "far")).drop("far")
+    births = births.withColumn("birth", F.coalesce(F.col("longer") + 1, F.lit(0).cast("bigint")))
+    value = points.select(F.col("rank").alias("birth"), F.col("x").alias("birth_value"))
+    out = births.join(value, "birth")
+    return out.select("birth", (F.col("i") + 1).alias("death"), "birth_value", ((F.col("x") + F.col("next")) / 2).alias("death_value"), ((F.col("next") - F.col("x")) / 2).alias("persistence"))
+
+
+def _climb(gaps: DataFrame, rest: DataFrame, n: int) -> DataFrame:
+    """i, longer: the last longer gap before each of ``rest`` (i, gap), if there is one, which is
+    in an earlier block."""
+    levels = max(BLOCK_BITS, (n - 1).bit_length())
     maxima = gaps.select(F.lit(0).alias("level"), F.col("i").alias("node"), F.col("gap").alias("most"))
     for level in range(1, levels + 1):
         maxima = maxima.union(gaps.groupBy(F.expr(f"shiftright(i, {level})").alias("node")).agg(F.max("gap").alias("most")).select(F.lit(level), "node", "most"))
     maxima = stored(maxima, "maxima")
     # go up until a left sibling has a longer gap
-    now = gaps.select("i", "gap", F.lit(0).alias("level"), F.col("i").alias("node"))
+    now = rest.select("i", "gap", F.expr(f"shiftright(i, {BLOCK_BITS})").alias("node"))
     found = None
-    for level in range(levels + 1):
+    for level in range(BLOCK_BITS, levels + 1):
         at = maxima.where(F.col("level") == level).select(F.col("node").alias("m"), "most")
         sibling = now.withColumn("m", F.when(F.col("node") % 2 == 1, F.col("node") - 1))
         seen = stored(sibling.join(at, "m", "left"), "climb")
         hit = seen.where(F.col("most") > F.col("gap")).select("i", "gap", F.lit(level).alias("level"), F.col("m").alias("node"))
         found = hit if found is None else found.union(hit)
-        now = seen.where(~F.coalesce(F.col("most") > F.col("gap"), F.lit(False))).select("i", "gap", F.lit(level + 1).alias("level"), F.floor(F.col("node") / 2).alias("node"))
+        now = seen.where(~F.coalesce(F.col("most") > F.col("gap"), F.lit(False))).select("i", "gap", F.floor(F.col("node") / 2).alias("node"))
     # and down again to the last longer gap in it
     found = stored(found, "descend")
     for level in range(levels, 0, -1):
@@ -78,10 +108,7 @@ def diagram(df: DataFrame, x: str) -> DataFrame:
         down = found.where(F.col("level") == level).withColumn("right", F.col("node") * 2 + 1).join(at, "right", "left")
         down = down.select("i", "gap", F.lit(level - 1).alias("level"), F.when(F.col("most") > F.col("gap"), F.col("right")).otherwise(F.col("right") - 1).alias("node"))
         found = stored(found.where(F.col("level") < level).union(down), "descend")
-    births = gaps.join(found.select("i", F.col("node").alias("longer")), "i", "left").withColumn("birth", F.coalesce(F.col("longer") + 1, F.lit(0).cast("bigint")))
-    value = points.select(F.col("rank").alias("birth"), F.col("x").alias("birth_value"))
-    out = births.join(value, "birth")
-    return out.select("birth", (F.col("i") + 1).alias("death"), "birth_value", ((F.col("x") + F.col("next")) / 2).alias("death_value"), ((F.col("next") - F.col("x")) / 2).alias("persistence"))
+    return found.select("i", F.col("node").alias("longer"))
 
 
 def tagged(features: DataFrame, primes: DataFrame) -> DataFrame:

@@ -26,7 +26,8 @@ def diagram_by_union_find(x):
 def test_diagram_against_union_find(spark, monkeypatch):
     monkeypatch.setattr(ordered, "ROWS_A_RANGE", 7)
     rng = np.random.default_rng(5)
-    for n in (1, 2, 40):
+    for n, bits in ((1, 16), (2, 16), (40, 16), (40, 2), (90, 3)):
+        monkeypatch.setattr(persistence, "BLOCK_BITS", bits)
         x = np.round(rng.uniform(0, 6, n) * 4) / 4  # ties and repeats
         got = persistence.diagram(spark.createDataFrame([(float(v),) for v in x], "v double"), "v")
         rows = sorted(((r.birth, r.death, r.persistence) for r in got.collect()), key=lambda r: r[1])
