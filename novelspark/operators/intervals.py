@@ -53,6 +53,13 @@ def union(df: DataFrame, lower: Column, upper: Column) -> DataFrame:
     return starts.select(island, "hi").groupBy("lower").agg(F.max("hi").alias("upper"))
 
 
+def rounded_union(df: DataFrame, x: str, epsilon: float, low: float, high: float) -> DataFrame:
+    """lower, upper: the union of the balls rounded inwards, so that all of it is certainly
+    covered; balls that rounding leaves empty take no part."""
+    balls = df.select(rounded_ball(F.col(x), epsilon, low, high).alias("b")).where("b.lower <= b.upper")
+    return union(balls, F.col("b.lower"), F.col("b.upper"))
+
+
 def union_stats(intervals: DataFrame, low: float, high: float) -> DataFrame:
     """interval_count, covered_measure, fully_covered."""
     full = (F.count(F.lit(1)) == 1) & (F.min("lower") <= low) & (F.max("upper") >= high)

@@ -258,8 +258,10 @@ def evict_w1(reps: DataFrame, distance: str) -> DataFrame:
 
 
 def violations(reps: DataFrame, distance: str, epsilon: float) -> DataFrame:
-    """Pairs of representatives that are not further apart than epsilon (none in a sound net)."""
-    return epsjoin.block_pairs(reps.select(F.col("j").alias("i"), F.col("y").alias("x")), reps, distance, epsilon, "pairs", earlier=True)
+    """Representatives i inside the ball of an earlier one j (none in a sound net): within
+    epsilon of it, or, with a column ``r``, within its own radius."""
+    asked = reps.select(F.col("j").alias("i"), F.col("y").alias("x"))
+    return epsjoin.block_pairs(asked, reps, distance, epsilon, "pairs", earlier=True)
 
 
 def fifo(df: DataFrame, seq: str, x: str, epsilon: float, capacity: int, keys: list[str], distance: str = "linf") -> DataFrame:

@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from novelspark.functions import metrics
-from novelspark.operators import anchors, clusters, evaluate, history, mdl, packing, persistence, replicas
+from novelspark.operators import anchors, clusters, evaluate, history, intervals, mdl, packing, persistence, replicas
 from novelspark.plans.config import memory_bytes
 from novelspark.streaming import payloads
 from novelspark.streaming.novelty import first_fit_stream
@@ -119,6 +119,30 @@ def test_evict_below(spark):
     assert sorted(r.j for r in history.evict_below(net, 0.5).collect()) == [1, 3]
 
 
+def test_violations_of_radii(spark):
+    x = [[0.0], [1.0], [2.5], [2.6]]
+    reps = spark.createDataFrame([(i, v, r) for i, (v, r) in enumerate(zip(x, [0.5, 2.0, 0.01, 9.0], strict=True))], "j bigint, y array<double>, r double")
+    assert sorted((r.j, r.i) for r in packing.violations(reps, "l2", 0.5).collect()) == [(1, 2), (1, 3)]
+    assert sorted((r.j, r.i) for r in packing.violations(reps.drop("r"), "l2", 0.5).collect()) == [(2, 3)]
+
+
+def test_rounded_unions_are_inside(spark):
+    from fractions import Fraction
+
+    rng = np.random.default_rng(0)
+    values = [float(v) for v in np.round(rng.random(60) * 3, 3)]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    rows = sorted((r.lower, r.upper) for r in intervals.rounded_union(df, "v", 0.1, 0.0, 3.0).collect())
+    balls = sorted((Fraction(v) - Fraction(0.1), Fraction(v) + Fraction(0.1)) for v in values)
+    for low, high in rows:  # walked through without a gap
+        reach = Fraction(low)
+        assert low == 0.0 or any(a <= reach for a, b in balls if b >= reach)
+        for a, b in balls:
+            if a <= reach + Fraction(1, 10**15) and b > reach:
+                reach = b
+        assert reach >= Fraction(high)
+
+
 # ---- payload state ---------------------------------------------------------------------------------
 
 
