@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from novelspark.functions import metrics
 from novelspark.operators import (
-    adaptive, anchors, clusters, embedding, evaluate, history, intervals, mdl, novelty,
+    adaptive, anchors, clauses, clusters, embedding, evaluate, history, intervals, mdl, novelty,
     packing, persistence, replicas, selection, tower, traces,
 )
 
@@ -296,6 +296,21 @@ def interval_violations(spark, sf):
     return intervals.union_violations(_union(spark, sf)).agg(F.count(F.lit(1)).alias("violations"))
 
 
+_BOX = f"""{_P}, u AS (SELECT a, b, c, min(seq) AS s FROM p GROUP BY a, b, c),
+n AS (SELECT x.s FROM u x WHERE NOT EXISTS (SELECT 1 FROM u y WHERE y.s < x.s AND abs(x.a - y.a) <= 0.05 AND abs(x.b - y.b) <= 0.05 AND abs(x.c - y.c) <= 0.05))"""
+
+
+@_query(f"WITH {_BOX} SELECT count(*) AS observations, (SELECT count(*) FROM n) AS novel, count(*) AS generation, count(*) AS box_count FROM p")
+def box_stats(spark, sf):
+    return intervals.box_stats(intervals.boxes(_points3(spark, sf), "seq", [F.col("a"), F.col("b"), F.col("c")], 0.05))
+
+
+@_query(f"WITH {_P} SELECT seq FROM p WHERE a < 0.1 - 0.05 OR a > 0.9 + 0.05 OR b < 0.1 - 0.05 OR b > 0.9 + 0.05 OR c < 0.1 - 0.05 OR c > 0.9 + 0.05")
+def box_violations(spark, sf):
+    axes = [F.col("a"), F.col("b"), F.col("c")]
+    return intervals.box_violations(_points3(spark, sf), axes, 0.05, [0.1] * 3, [0.9] * 3).select("seq")
+
+
 # ---- tower ----------------------------------------------------------------------
 
 _TOWER = f"""{_E}, c AS (SELECT seq, least(floor(value / 512.0 * 512)::BIGINT, 511) AS f FROM e WHERE value BETWEEN 0 AND 512),
@@ -648,6 +663,19 @@ def wcnf_lines(spark, sf):
     return selection.wcnf(v, cover).select("value")
 
 
+@_query(f"""WITH {_COVER}, n AS (SELECT count(*) AS n FROM v), h AS (SELECT b, -1 AS c, list(a + 1 ORDER BY a)::BIGINT[] AS lits FROM cover GROUP BY b UNION ALL SELECT a, b, [-(a + 1), -(b + 1)]::BIGINT[] FROM cover WHERE a < b),
+s AS (SELECT *, len(list_filter(lits, lambda v: v > 0)) / len(lits)::DOUBLE AS p, list_transform(lits, lambda v: abs(v)) AS w FROM h)
+SELECT b AS point, c AS other, 'P' || floor(p * 4)::INTEGER || '_S' || least(len(lits), 8) AS key,
+round(len(lits) * 0.25 + p + (list_max(w) - list_min(w)) / n.n::DOUBLE + list_min(w) / n.n::DOUBLE + (list_sum(list_transform(w, lambda v: (v * 2654435761) % 1000))::BIGINT % 100) / 100.0::DOUBLE * 0.5, 9) AS total FROM s, n""")
+def clause_features(spark, sf):
+    v, cover, _ = _cover(spark, sf)
+    n = v.count()
+    lines = selection.wcnf(v, cover).where("k in (1, 2)").select("k", F.col("o").alias("point"), F.when(F.col("k") == 2, F.col("p")).otherwise(-1).alias("other"), clauses.literals(F.col("value")).alias("lits"))
+    made = lines.select("point", "other", clauses.features(F.col("lits"), F.lit(n)).alias("f"))
+    total = F.round(F.aggregate("f.x", F.lit(0.0), lambda acc, e: acc + e), 9)
+    return made.select("point", "other", F.col("f.key").alias("key"), total.alias("total"))
+
+
 # ---- description length ---------------------------------------------------------------
 
 

@@ -109,6 +109,23 @@ def boxes(df: DataFrame, seq: str, columns: list[Column], epsilon: float) -> Dat
     return history_novelty(df, seq, vector(*columns), epsilon, len(columns))
 
 
+def box_stats(labels: DataFrame) -> DataFrame:
+    """observations, novel, generation (changes: one an observation) and box_count of the
+    labels of ``boxes``; every observation leaves its box, also a redundant one."""
+    n = F.count(F.lit(1))
+    return labels.agg(n.alias("observations"), F.coalesce(F.sum(F.col("is_novel").cast("bigint")), F.lit(0)).alias("novel"), n.alias("generation"), n.alias("box_count"))
+
+
+def box_violations(df: DataFrame, columns: list[Column], epsilon: float, low: list[float], high: list[float]) -> DataFrame:
+    """Rows whose box (the ball, cut at the domain) is empty on an axis: points further than
+    epsilon outside the domain, or without a value there."""
+    bad = F.lit(False)
+    for c, a, b in zip(columns, low, high, strict=True):
+        lower, upper = ball(c, epsilon, a, b)
+        bad = bad | F.coalesce(lower > upper, F.lit(True)) | c.isNull()
+    return df.where(bad)
+
+
 def union_violations(intervals: DataFrame) -> DataFrame:
     """Rows of a union that are empty or not apart from the one before (none in a sound one)."""
     rows = before(stored(ranged(intervals, "lower"), "intervals"), [], ["lower"], F.col("upper"), "max", "reach")

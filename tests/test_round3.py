@@ -404,3 +404,23 @@ def test_merging_by_priority_keeps_an_occupant_whole(spark):
     parts = [ranked.where(f"pmod(cell + length(payload), 3) = {k}") for k in (2, 0, 1)]
     once = replicas.merged(replicas.merged(parts[0].unionByName(parts[1]), "cell", "priority").unionByName(parts[2]), "cell", "priority")
     assert {r.cell: (tuple(r.point), r.payload, int(r.priority)) for r in once.collect()} == got
+
+
+def test_clause_features(spark):
+    from novelspark.operators import clauses
+
+    rows = [([3, -17, 120], 2), ([], 0), ([-5], 9), (list(range(1, 12)), 4)]
+    df = spark.createDataFrame(rows, "lits array<bigint>, glue int")
+    a = [r[0] for r in df.select(clauses.features(F.col("lits"), F.lit(200))).collect()]
+    b = [r[0] for r in df.select(clauses.features(F.col("lits"), F.lit(200), F.col("glue"))).collect()]
+    for (lits, glue), x, y in zip(rows, a, b, strict=True):
+        n = [abs(v) for v in lits]
+        share = sum(v > 0 for v in lits) / max(len(lits), 1)
+        span, least = ((max(n) - min(n)) / 200, min(n) / 200) if n else (0.0, 0.0)
+        sign = sum((v * 2654435761) % 1000 for v in n) % 100 / 100
+        key = f"P{int(share * 4)}_S{min(len(lits), 8)}"
+        assert (x.key, y.key) == (key, f"{key}_L{min(glue, 6)}")
+        assert x.x == pytest.approx([len(lits) * 0.25, share, span, least, sign * 0.5])
+        assert y.x == pytest.approx([glue * 0.4, len(lits) * 0.25, span, least, sign * 0.5])
+    line = spark.createDataFrame([("41 -3 7 0",), ("1 -9 0",)], "v string").select(clauses.literals(F.col("v"))).collect()
+    assert [r[0] for r in line] == [[-3, 7], [-9]]
