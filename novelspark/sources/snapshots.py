@@ -1,27 +1,20 @@
-"""Binary snapshots of interval unions and nets, for exchange with other engines.
+"""Binary snapshots of interval unions, for exchange with other engines.
 
-Both begin with 8 bytes of magic, which the caller names as the other engine's format has
-them.  Interval snapshot, version 1 (fixed layout): magic, version u32, header size
-u32 = 72, domain minimum, maximum and epsilon f64, observations, novel, generation and
-interval count u64, then lower and upper f64 of each interval, then the CRC-32 (u32) of
-all bytes before it.  Net snapshot, version 2: magic, version
-u32, metric id u32 (1 L-infinity, 2 L1, 3 L2, 4 cosine, 5 Poincare), dimension u64,
-epsilon f64, observations, novel, generation, evictions and count u64, zeros up to 104
-bytes, the domain bounds, radius and coordinates of each representative, CRC-32.
+Version 1 (fixed layout): 8 bytes of magic, which the caller names as the other engine's
+format has them, version u32, header size u32 = 72, domain minimum, maximum and epsilon f64,
+observations, novel, generation and interval count u64, then lower and upper f64 of each
+interval, then the CRC-32 (u32) of all bytes before it.  Nets are in ``net_files``.
 
-These are small states (a net, not a corpus); data itself stays in Parquet.
+These are small states (a union, not a corpus); data itself stays in Parquet.
 """
 
 from __future__ import annotations
 
 import struct
 import zlib
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 INTERVAL = struct.Struct("<8sIIdddQQQQ")
-PACK = struct.Struct("<8sIIQdQQQQQ")
-PACK_HEADER = 104
-METRIC_IDS = {"linf": 1, "l1": 2, "l2": 3, "cosine": 4, "poincare": 5}
 
 
 @dataclass
@@ -35,19 +28,6 @@ class IntervalState:
     generation: int = 0
 
 
-@dataclass
-class PackState:
-    distance: str
-    epsilon: float
-    low: list[float]
-    high: list[float]
-    representatives: list[tuple[float, list[float]]] = field(default_factory=list)
-    observations: int = 0
-    novel: int = 0
-    generation: int = 0
-    evictions: int = 0
-
-
 def _sealed(body: bytes) -> bytes:
     return body + struct.pack("<I", zlib.crc32(body))
 
@@ -72,21 +52,3 @@ def load_intervals(raw: bytes, magic: bytes) -> IntervalState:
     if any(a > b for a, b in intervals) or any(p[1] >= q[0] for p, q in zip(intervals, intervals[1:], strict=False)):
         raise ValueError("intervals are not sorted and apart")
     return IntervalState(low, high, epsilon, intervals, observations, novel, generation)
-
-
-def dump_pack(s: PackState, magic: bytes) -> bytes:
-    d = len(s.low)
-    head = PACK.pack(magic, 2, METRIC_IDS[s.distance], d, s.epsilon, s.observations, s.novel, s.generation, s.evictions, len(s.representatives))
-    bounds = struct.pack(f"<{2 * d}d", *s.low, *s.high)
-    return _sealed(head.ljust(PACK_HEADER, b"\0") + bounds + b"".join(struct.pack(f"<{d + 1}d", r, *x) for r, x in s.representatives))
-
-
-def load_pack(raw: bytes, magic: bytes) -> PackState:
-    body = _opened(raw)
-    found, version, kind, d, epsilon, observations, novel, generation, evictions, n = PACK.unpack_from(body)
-    names = {v: k for k, v in METRIC_IDS.items()}
-    if found != magic or version != 2 or kind not in names or len(body) != PACK_HEADER + 16 * d + n * 8 * (d + 1):
-        raise ValueError("not a net snapshot of version 2")
-    bounds = struct.unpack_from(f"<{2 * d}d", body, PACK_HEADER)
-    rows = [struct.unpack_from(f"<{d + 1}d", body, PACK_HEADER + 16 * d + k * 8 * (d + 1)) for k in range(n)]
-    return PackState(names[kind], epsilon, list(bounds[:d]), list(bounds[d:]), [(r[0], list(r[1:])) for r in rows], observations, novel, generation, evictions)

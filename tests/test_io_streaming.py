@@ -34,8 +34,6 @@ def test_snapshots():
             snapshots.load_intervals(bad, b"TESTTEST")
     with pytest.raises(ValueError):
         snapshots.load_intervals(snapshots.dump_intervals(snapshots.IntervalState(0, 1, 0.1, [(0.0, 0.5), (0.5, 0.6)]), b"TESTTEST"), b"TESTTEST")
-    p = snapshots.PackState("l2", 0.5, [0.0, 0.0], [1.0, 1.0], [(0.5, [0.25, 0.75])], 3, 1, 4, 0)
-    assert snapshots.load_pack(snapshots.dump_pack(p, b"TESTPACK"), b"TESTPACK") == p
 
 
 def test_spans(spark, tmp_path):
@@ -174,3 +172,37 @@ def test_wcnf_file(spark, tmp_path):
     apart = ["5 -1 -2 0", "5 -2 -3 0"]
     soft = [f"1 -{i} 0" for i in range(1, 5)]
     assert (tmp_path / "w.wcnf").read_text() == "\n".join(["p wcnf 4 10 5", *hard, *apart, *soft]) + "\n"
+
+
+def test_net_files(spark, tmp_path):
+    import struct
+    import zlib
+
+    from novelspark.sources import net_files
+
+    rng = np.random.default_rng(0)
+    a, b = rng.bytes(1000), rng.bytes(77)
+    assert net_files.combined(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
+    x, r = rng.standard_normal((57, 3)), rng.random(57)
+    net = spark.createDataFrame([(i, float(q), v.tolist()) for i, (q, v) in enumerate(zip(r, x, strict=True))], "slot bigint, radius double, x array<double>").repartition(4)
+    state = net_files.NetState("l2", 0.25, (-9.0,) * 3, (9.0,) * 3, 100, 60, 120, 58, 3, 0, "vptree", 4096)
+    for n in (10, 1000):
+        net_files.write_net(net, state, f"file://{tmp_path}/net{n}", b"TESTPACK", rows_a_part=n)
+        raw = (tmp_path / f"net{n}").read_bytes()
+        assert zlib.crc32(raw[:-4]) == struct.unpack("<I", raw[-4:])[0] and len(raw) == 104 + 48 + 57 * 32 + 4
+        got, rows = net_files.read_net(spark, f"file://{tmp_path}/net{n}", b"TESTPACK", rows_a_part=20)
+        assert got == state
+        assert [(w.slot, w.radius, w.x) for w in rows.orderBy("slot").collect()] == [(i, float(r[i]), x[i].tolist()) for i in range(57)]
+    assert (tmp_path / "net10").read_bytes() == raw and {p.name for p in tmp_path.iterdir()} == {"net10", "net1000"}
+    # version 1: no radii
+    old = struct.pack("<8sHHId8QIIQ", b"TESTPACK", 1, 104, 0, 0.5, 2, 9, 4, 9, 4, 4, 0, 0, 1, 0, 0) + struct.pack("<4d", 0, 0, 1, 1) + np.arange(8.0).tobytes()
+    (tmp_path / "old").write_bytes(old + struct.pack("<I", zlib.crc32(old)))
+    got, rows = net_files.read_net(spark, f"file://{tmp_path}/old", b"TESTPACK", rows_a_part=3)
+    assert (got.distance, got.backend) == ("linf", "linear")
+    assert [(w.slot, w.radius, w.x) for w in rows.orderBy("slot").collect()] == [(i, 0.5, [2.0 * i, 2.0 * i + 1]) for i in range(4)]
+    for broken in (raw[:-1], raw[:200] + b"x" + raw[201:], b"OTHERMAG" + raw[8:], raw[:8] + b"\x03" + raw[9:]):
+        (tmp_path / "bad").write_bytes(broken)
+        with pytest.raises(ValueError):
+            net_files.read_net(spark, f"file://{tmp_path}/bad", b"TESTPACK")
+    with pytest.raises(ValueError, match="gaps"):
+        net_files.write_net(net.where("slot != 5"), state, f"file://{tmp_path}/gap", b"TESTPACK")
