@@ -66,7 +66,7 @@ def covering_radius(anchors: DataFrame, low: list[float], high: list[float], dis
     boxes = replicas.grid_anchors(spark, low, high, cells).select(F.col("j").alias("i"), F.col("y").alias("x"))
     least = most = 0.0
     while True:
-        near = stored(boxes.join(epsjoin.nearest(boxes, anchors, distance).select("i", "d"), "i"), "boxes")
+        near = stored(boxes.join(epsjoin.nearest(boxes, anchors.select("j", "y"), distance).select("i", "d"), "i"), "boxes")
         least = max(least, near.agg(F.max("d")).first()[0])
         reach = norm(half, distance) * (1 + 1e-12)
         if target is not None and least > target:

@@ -162,7 +162,7 @@ def pareto(rows: DataFrame, name: str, gains: list[str]) -> DataFrame:
 
 def top_k(queries: DataFrame, documents: DataFrame, k: int, distance: str = "cosine") -> DataFrame:
     """i, j, d, rank of the k nearest documents (j, y) of each query (i, x)."""
-    return epsjoin.nearest(queries, documents, distance, k=k)
+    return epsjoin.nearest(queries, documents.select("j", "y"), distance, k=k)
 
 
 def ndcg(ranked: DataFrame, relevant: DataFrame, k: int) -> DataFrame:

@@ -211,7 +211,7 @@ def lookup(queries: DataFrame, reps: DataFrame, distance: str, epsilon: float) -
 def query(queries: DataFrame, reps: DataFrame, distance: str, epsilon: float) -> DataFrame:
     """i, covered, slot, distance: like ``lookup``, but a miss reports the nearest
     representative of all and how far it is (-1 and null only for an empty net)."""
-    nearest = epsjoin.nearest(queries, reps, distance).select("i", F.col("j").alias("nearest"), F.col("d").alias("away"))
+    nearest = epsjoin.nearest(queries, reps.select("j", "y"), distance).select("i", F.col("j").alias("nearest"), F.col("d").alias("away"))
     out = lookup(queries, reps, distance, epsilon).join(nearest, "i", "left")
     return out.select("i", "covered", F.when(F.col("covered"), F.col("slot")).otherwise(F.coalesce("nearest", F.lit(-1).cast("bigint"))).alias("slot"), F.coalesce("distance", "away").alias("distance"))
 
@@ -244,7 +244,7 @@ def observe(df: DataFrame, seq: str, x: str, config: PackConfig) -> DataFrame:
 
 def importance(reps: DataFrame, distance: str) -> DataFrame:
     """j, nearest, distance: each representative's nearest other one."""
-    found = epsjoin.nearest(reps.select(F.col("j").alias("i"), F.col("y").alias("x")), reps, distance, other=True)
+    found = epsjoin.nearest(reps.select(F.col("j").alias("i"), F.col("y").alias("x")), reps.select("j", "y"), distance, other=True)
     return reps.select("j").join(found.select(F.col("i").alias("j"), F.col("j").alias("nearest"), F.col("d").alias("distance")), "j", "left")
 
 

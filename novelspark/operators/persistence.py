@@ -186,7 +186,7 @@ def novel_at(queries: DataFrame, q: str, history: DataFrame, x: str, t: float) -
 
 def net_persistence(reps: DataFrame, distance: str, epsilon: float) -> DataFrame:
     """j, nearest_distance, persistence (distance to the nearest other representative less epsilon)."""
-    found = epsjoin.nearest(reps.select(F.col("j").alias("i"), F.col("y").alias("x")), reps, distance, other=True)
+    found = epsjoin.nearest(reps.select(F.col("j").alias("i"), F.col("y").alias("x")), reps.select("j", "y"), distance, other=True)
     out = reps.select("j").join(found.select(F.col("i").alias("j"), F.col("d").alias("nearest_distance")), "j", "left")
     return out.withColumn("persistence", F.col("nearest_distance") - epsilon)
 
@@ -203,7 +203,7 @@ def count_above(net: DataFrame, tau: float) -> DataFrame:
 
 def vectors_novel_at(queries: DataFrame, history: DataFrame, distance: str, t: float) -> DataFrame:
     """i, is_novel: whether no vector of the full history is within t."""
-    hit = epsjoin.block_pairs(queries, history, distance, t, "covered").select("i").distinct().withColumn("_h", F.lit(True))
+    hit = epsjoin.block_pairs(queries, history.select("j", "y"), distance, t, "covered").select("i").distinct().withColumn("_h", F.lit(True))
     return queries.select("i").join(hit, "i", "left").select("i", F.col("_h").isNull().alias("is_novel"))
 
 

@@ -59,7 +59,7 @@ def estimated_radius(spark: SparkSession, anchors: DataFrame, low: list[float],
     """radius: the largest distance of pseudo-random probes to their anchors (a lower bound)."""
     draws = [F.lit(low[k]) + F.pmod(F.xxhash64("id", F.lit(seed), F.lit(k)), F.lit(1 << 53)) / float(1 << 53) * F.lit(high[k] - low[k]) for k in range(len(low))]
     points = spark.range(probes).select(F.col("id").alias("i"), F.array(*draws).alias("x"))
-    return epsjoin.nearest(points, anchors, distance).agg(F.max("d").alias("radius"))
+    return epsjoin.nearest(points, anchors.select("j", "y"), distance).agg(F.max("d").alias("radius"))
 
 
 def safe_cells(low: list[float], high: list[float], epsilon: float, distance: str, most: int = 1_000_000) -> int:
@@ -81,7 +81,7 @@ def grid_cell(x: Column, low: list[float], high: list[float], cells: int) -> Col
 
 def quantize(points: DataFrame, anchors: DataFrame, distance: str) -> DataFrame:
     """i, cell, d: each point's nearest anchor, the least index on ties."""
-    return epsjoin.nearest(points, anchors, distance).select("i", F.col("j").alias("cell"), "d")
+    return epsjoin.nearest(points, anchors.select("j", "y"), distance).select("i", F.col("j").alias("cell"), "d")
 
 
 def priority(point: Column, payload: Column) -> Column:
