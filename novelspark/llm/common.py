@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .textvec import tidy
+
 #: Broadcasts are allowed up to this many rows of narrow columns (a few MB); every
 #: call site has a shuffle join for tables beyond it.
 BROADCAST_ROWS = 50_000
@@ -117,7 +119,7 @@ def array_sums(rows: DataFrame, count: Callable[[Iterator[pa.RecordBatch]], dict
             yield batch(totals)
 
     out = {k: np.zeros(int(np.prod(shape)), np.int64) for k, shape in shapes.items()}
-    for row in rows.mapInArrow(run, schema).repartition("name", "piece").mapInArrow(add, schema).toLocalIterator():
+    for row in rows.mapInArrow(tidy(run), schema).repartition("name", "piece").mapInArrow(tidy(add), schema).toLocalIterator():
         out[row.name][row.piece * PIECE : (row.piece + 1) * PIECE] = np.frombuffer(row.numbers, np.int64)
     return {k: v.reshape(shapes[k]) for k, v in out.items()}
 

@@ -192,7 +192,7 @@ def benchmark_windows(benchmark: DataFrame) -> DataFrame:
 
     item = F.xxhash64(F.col("item_id").cast("bigint"), "text").alias("item")
     rows = benchmark.select(item, F.col("item_id").cast("bigint").alias("item_id"), "text").dropDuplicates(["item"])
-    return rows.mapInArrow(run, WINDOWS + ", item bigint, item_id bigint")
+    return rows.mapInArrow(textvec.tidy(run), WINDOWS + ", item bigint, item_id bigint")
 
 
 def window_matches(docs: DataFrame, bench: DataFrame, text: str = "text") -> DataFrame:
@@ -220,7 +220,7 @@ def window_matches(docs: DataFrame, bench: DataFrame, text: str = "text") -> Dat
                             yield pa.RecordBatch.from_arrays([*_rows(c, values, at, width, how), batch.column(0).take(take), batch.column(2).take(take)], [*NAMES, "doc_id", "text_hash"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col(text).alias("text"), F.xxhash64(text).alias("text_hash"))
-    found = rows.mapInArrow(run, WINDOWS + ", doc_id bigint, text_hash bigint")
+    found = rows.mapInArrow(textvec.tidy(run), WINDOWS + ", doc_id bigint, text_hash bigint")
     standing = F.col("how") == STANDING
     right = bench.select("window", "width", standing.alias("raw"), F.col("how").alias("item_how"), F.col("place").alias("item_place"), F.col("slots").alias("item_slots"), "item")
     if small(right):

@@ -130,14 +130,14 @@ def frequency_levels(docs: DataFrame, ngram: int = NGRAM, text: str = "text") ->
             yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array([v.tobytes() for v in total.values()], pa.binary())], ["chunk", "counts"])
 
     schema = "chunk int, counts binary"
-    merged = docs.select(F.col(text).alias("text")).mapInArrow(count, schema).repartition(CHUNKS // 8, "chunk").mapInArrow(add, schema)
+    merged = docs.select(F.col(text).alias("text")).mapInArrow(textvec.tidy(count), schema).repartition(CHUNKS // 8, "chunk").mapInArrow(textvec.tidy(add), schema)
     merged = stored(merged, "sketch")
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([pa.array([int(np.frombuffer(raw.as_buffer(), np.int64).sum()) for raw in batch.column(1)], pa.int64())], ["n"])
 
-    mean = max(1.0, (merged.mapInArrow(total, "n bigint").agg(F.sum("n")).first()[0] or 0) / SKETCH)
+    mean = max(1.0, (merged.mapInArrow(textvec.tidy(total), "n bigint").agg(F.sum("n")).first()[0] or 0) / SKETCH)
 
     def level(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -150,7 +150,7 @@ def frequency_levels(docs: DataFrame, ngram: int = NGRAM, text: str = "text") ->
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], ["chunk", "counts"])
 
     levels = np.zeros((CHUNKS, SKETCH // CHUNKS), np.uint8)
-    for row in merged.mapInArrow(level, schema).toLocalIterator():  # CHUNKS rows
+    for row in merged.mapInArrow(textvec.tidy(level), schema).toLocalIterator():  # CHUNKS rows
         levels[row.chunk] = np.frombuffer(row.counts, np.uint8)
     discard(docs.sparkSession, merged)
     return levels.ravel()
@@ -196,7 +196,7 @@ def profiles(docs: DataFrame, levels: np.ndarray, ngram: int = NGRAM, percent: i
                     ["doc_id", "text_hash", "class", "n", "prefix"],
                 )
 
-    return _rows(docs, text).mapInArrow(run, "doc_id bigint, text_hash bigint, class bigint, n bigint, prefix array<bigint>")
+    return _rows(docs, text).mapInArrow(textvec.tidy(run), "doc_id bigint, text_hash bigint, class bigint, n bigint, prefix array<bigint>")
 
 
 def wanted_texts(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
@@ -220,7 +220,7 @@ def wanted_texts(docs: DataFrame, wanted: DataFrame, text: str = "text") -> Data
             if take:
                 yield batch.take(pa.array(take))
 
-    return _rows(docs, text).select("text_hash", "text").mapInArrow(run, "text_hash bigint, text string")
+    return _rows(docs, text).select("text_hash", "text").mapInArrow(textvec.tidy(run), "text_hash bigint, text string")
 
 
 def columns(profile: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -420,7 +420,7 @@ def products(docs: DataFrame, profile: DataFrame, ngram: int, percent: int, text
         if out[0]:
             yield flush()
 
-    found = placed.mapInArrow(run, "a bigint, b bigint, n bigint")
+    found = placed.mapInArrow(textvec.tidy(run), "a bigint, b bigint, n bigint")
     return found if pairs else stored(found, "links")
 
 

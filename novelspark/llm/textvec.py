@@ -7,7 +7,8 @@ every word, or any prefix of a word, costs the same few array operations.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -40,6 +41,31 @@ def _power(n: int, which: int = 1) -> tuple[np.ndarray, np.ndarray]:
     return _powers[which], _powers[-which]
 
 
+def give_back() -> None:
+    """Returns what this process holds and does not use: powers, Arrow's pool, the heap's free pages."""
+    _powers.clear()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc's
+    if trim is not None:
+        trim(0)
+
+
+def tidy(task: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``task``, for mapInArrow, with its free memory given back at its end.
+
+    Python workers wait for more tasks, and what they hold meanwhile counts for their
+    executor, also in stages and queries without Python.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from task(batches)
+        finally:
+            give_back()
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scrambling of 64-bit values."""
     x = x ^ (x >> np.uint64(30))

@@ -261,7 +261,7 @@ def _term_counts(rows: DataFrame) -> DataFrame:
                     n = np.diff(np.append(start, len(h)))
                     yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(w[start]), pa.array(n1), pa.array(n - n1)], ["term", "word", "n1", "n0"])
 
-    return rows.select("text", "toxic").mapInArrow(run, "term bigint, word boolean, n1 bigint, n0 bigint").groupBy("term", "word").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
+    return rows.select("text", "toxic").mapInArrow(textvec.tidy(run), "term bigint, word boolean, n1 bigint, n0 bigint").groupBy("term", "word").agg(F.sum("n1").alias("n1"), F.sum("n0").alias("n0"))
 
 
 def document_frequencies(docs: DataFrame, known: np.ndarray, text: str = "text") -> tuple[np.ndarray, int]:
@@ -298,7 +298,7 @@ def document_frequencies(docs: DataFrame, known: np.ndarray, text: str = "text")
             yield batch(totals)
 
     out = np.zeros(-(-(len(known) + 1) // CHUNK) * CHUNK, np.int64)
-    counted = docs.select(F.col(text).alias("text")).mapInArrow(run, schema).repartition("chunk").mapInArrow(add, schema)
+    counted = docs.select(F.col(text).alias("text")).mapInArrow(textvec.tidy(run), schema).repartition("chunk").mapInArrow(textvec.tidy(add), schema)
     for row in counted.toLocalIterator():  # a row for each CHUNK terms of the examples
         out[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = np.frombuffer(row.counts, np.int64)
     return out[: len(known)], int(out[len(known)])
@@ -359,7 +359,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], batch.column(1)[part], pa.ListArray.from_arrays(at, pa.array(term, pa.int32())), pa.ListArray.from_arrays(at, pa.array(weight, pa.float64()))], ["doc_id", "toxic", "term", "weight"])
 
     # bounded by EXAMPLES and EXAMPLE_BYTES
-    local = rows.select("doc_id", "toxic", "text").mapInArrow(own_vectors, "doc_id bigint, toxic int, term array<int>, weight array<double>").orderBy("doc_id").toArrow().combine_chunks()
+    local = rows.select("doc_id", "toxic", "text").mapInArrow(textvec.tidy(own_vectors), "doc_id bigint, toxic int, term array<int>, weight array<double>").orderBy("doc_id").toArrow().combine_chunks()
     lists = [local[k].chunk(0) for k in ("term", "weight")]
     first = np.concatenate([[0], np.cumsum(lists[0].value_lengths().to_numpy())]).astype(np.int64)
     toxic = local["toxic"].to_numpy().astype(np.int64)
@@ -379,7 +379,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
                     rows, cosines = index.nearest(f - f[0], term[f[0] : f[-1]], weight[f[0] : f[-1]], leave=own)
                     yield pa.RecordBatch.from_arrays([pa.array(index.names[own]), pa.array(index.vote(rows, cosines, prior)), pa.array(cosines[:, 0] > 0), pa.array(index.toxic[own]), pa.array(index.stands[own])], ["doc_id", "vote", "near", "toxic", "stands"])
 
-    votes = rows.select("doc_id", "text").mapInArrow(own_votes, "doc_id bigint, vote double, near boolean, toxic bigint, stands double").orderBy("doc_id").toPandas()
+    votes = rows.select("doc_id", "text").mapInArrow(textvec.tidy(own_votes), "doc_id bigint, vote double, near boolean, toxic bigint, stands double").orderBy("doc_id").toPandas()
     near, alone = votes[votes.near], votes[~votes.near]
     none = float((alone.stands * alone.toxic).sum() + prior) / float(alone.stands.sum() + 1)
     x, y = isotonic(near.vote.to_numpy(), near.toxic.to_numpy(), near.stands.to_numpy()) if len(near) else (np.zeros(1), np.full(1, prior))
@@ -405,7 +405,7 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
                 yield pa.RecordBatch.from_arrays([batch.column(0)[part], batch.column(1)[part], pa.array(scores, pa.float64()), evidence], ["doc_id", "text_hash", "score", "neighbours"])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    out = rows.mapInArrow(run, "doc_id bigint, text_hash bigint, score double, neighbours array<struct<doc_id: bigint, cosine: double, toxic: int>>")
+    out = rows.mapInArrow(textvec.tidy(run), "doc_id bigint, text_hash bigint, score double, neighbours array<struct<doc_id: bigint, cosine: double, toxic: int>>")
     return out.withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 

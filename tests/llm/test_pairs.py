@@ -436,3 +436,18 @@ def test_words_and_hashes():
     assert [docs.data[a:b].tobytes().decode() for a, b in zip(w.start, w.end, strict=True)] == ["a", "b", "cd", "é", "z", "q"]
     assert (textvec.Hasher(docs.data)(w.start, w.end) == textvec.hash_words(["a", "b", "cd", "é", "z", "q"])).all()
     assert sum(len(d) for d in textvec.steps(pa.array(["x" * 10] * 7), 25)) == 7
+
+
+def test_tasks_give_their_memory_back(spark):
+    import pyarrow as pa
+
+    def held(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([len(textvec._powers)], pa.int32())], ["n"])
+
+    docs = spark.createDataFrame([(i, f"so {ITEM} {i}", "x") for i in range(40)], "doc_id bigint, text string, source string")
+    bench = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")
+    assert decontaminate.clean(docs, bench).count() == 0
+    assert neardup.keep_first(docs, 5, 80).count() < 40
+    # workers are used again, and hold nothing of the tasks before
+    assert {r.n for r in spark.range(64).repartition(8).mapInArrow(held, "n int").collect()} == {0}
