@@ -198,11 +198,12 @@ class Index:
             top[i] = np.lexsort((np.arange(wide), -sums[i]))[:k]
         value = np.take_along_axis(sums, top, axis=1)
         order = np.lexsort((top, -value), axis=1)
-        return np.take_along_axis(top, order, axis=1), np.minimum(np.take_along_axis(value, order, axis=1), 1.0)
+        # the last block is filled up with rows of no example, of cosine 0
+        rows = np.minimum(np.take_along_axis(top, order, axis=1), len(self.names) - 1)
+        return rows, np.minimum(np.take_along_axis(value, order, axis=1), 1.0)
 
     def vote(self, rows: np.ndarray, cosines: np.ndarray, prior: float) -> np.ndarray:
         """The share of toxic neighbours of each text; nearer ones count for more."""
-        rows = np.minimum(rows, len(self.names) - 1)
         w = np.where(cosines > 0, self.stands[rows] / (0.05 + 1 - cosines), 0)
         return ((w * self.toxic[rows]).sum(axis=1) + prior) / (w.sum(axis=1) + 1)
 
