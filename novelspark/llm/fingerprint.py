@@ -10,7 +10,8 @@ of the weights.  As (term, t) fixes ln a, the least ln a itself stands for the s
 so one signature costs one minimum per sample.
 
 All of it is DataFrame functions: words are exploded, counted and sampled inside the
-partitions that one exchange of the texts made.
+partitions that one exchange of the texts made.  A term is repeated for each ``DRAWN`` of
+the samples, whose numbers are a column, so the plan holds the expressions of so many.
 
 Edge cases: a null text is empty; texts without words have the fingerprint of zeros,
 and two such texts have likeness 1, such a text and another 0; repeated rows each have
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 from .common import small, stored, table
 
 SAMPLES = 36
+#: Samples that one row of a term draws: the plan grows with these, not with all samples.
+DRAWN = 9
 #: Rows in one range of doc_ids, about.
 RANGE_ROWS = 2000
 #: Quantiles of doc_id between which ranges are of equal width.
@@ -41,12 +44,12 @@ def _uniform(h: Column, shift: int, bits: int) -> Column:
     return (F.shiftrightunsigned(h, shift).bitwiseAND(F.lit((1 << bits) - 1)) + F.lit(0.5)) * F.lit(1.0 / (1 << bits))
 
 
-def draws(term: Column, k: int) -> tuple[Column, Column, Column]:
+def draws(term: Column, k: Column) -> tuple[Column, Column, Column]:
     """r, ln c and b of a term in sample k, from one hash; the term is a 64-bit hash.
 
     The bits of c are the most, as its smallest values decide.
     """
-    h = F.xxhash64(term, F.lit(k))
+    h = F.xxhash64(term, k)
     r = -F.log(_uniform(h, 0, 10) * _uniform(h, 10, 10))
     ln_c = F.log(-F.log(_uniform(h, 20, 16) * _uniform(h, 36, 16)))
     return r, ln_c, _uniform(h, 52, 12)
@@ -116,25 +119,27 @@ def fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
     place = ["part", "row", "head"]
     terms = cut.select(*place, "v", term).groupBy(*place, "term").agg(F.sum(1 - F.col("v")).alias("w0"), F.sum("v").alias("w1"))
     logs = [F.when((F.col(w) > 0) & F.col("term").isNotNull(), F.log(F.col(w).cast("double"))).alias(f"l{i}") for i, w in enumerate(("w0", "w1"))]
-    terms = terms.select(*place, "term", *logs)
+    turns = F.explode(F.sequence(F.lit(0), F.lit(SAMPLES // DRAWN - 1))).alias("turn")
+    terms = terms.select(*place, "term", *logs, turns)
     least = []
-    for k in range(SAMPLES):
-        r, ln_c, b = draws(F.col("term"), k)
-        least += [F.min(ln_a(r, ln_c, b, F.col(f"l{v}"))).alias(f"a{v}_{k}") for v in (0, 1)]
-    signed = terms.groupBy(*place).agg(*least)
+    for i in range(DRAWN):
+        r, ln_c, b = draws(F.col("term"), F.col("turn") * DRAWN + i)
+        least += [F.min(ln_a(r, ln_c, b, F.col(f"l{v}"))).alias(f"a{v}_{i}") for v in (0, 1)]
+    signed = terms.groupBy(*place, "turn").agg(*least)
     after = Window.partitionBy("part").orderBy("head", "row")
-    sig = [F.array(*[F.xxhash64(f"a{v}_{k}") for k in range(SAMPLES)]) for v in (0, 1)]
-    none = [F.col(f"a{v}_0").isNull() for v in (0, 1)]
-    signed = signed.select(*place, *[F.when(~none[v], sig[v]).alias(f"s{v}") for v in (0, 1)])
+    sig = [F.when(F.col(f"a{v}_0").isNotNull(), F.array(*[F.xxhash64(f"a{v}_{i}") for i in range(DRAWN)])).alias(f"s{v}") for v in (0, 1)]
+    # the turns of a row in order; a version without words has none in any turn
+    signed = signed.groupBy(*place).agg(F.array_sort(F.collect_list(F.struct("turn", *sig))).alias("s"))
+    signed = signed.select(*place, *[F.flatten(F.col(f"s.s{v}")).alias(f"s{v}") for v in (0, 1)])
     signed = signed.withColumn("s2", F.lead("s0").over(after)).where("not head")
 
     def near(a: str, b: str) -> Column:
-        same = sum((F.col(a)[k] == F.col(b)[k]).cast("int") for k in range(SAMPLES))
-        return F.when(F.col(a).isNull() & F.col(b).isNull(), 1.0).otherwise(F.coalesce(same / F.lit(float(SAMPLES)), F.lit(0.0)))
+        same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda z: z))
+        return F.when(F.col(a).isNull() & F.col(b).isNull(), 1.0).when(F.col(a).isNull() | F.col(b).isNull(), 0.0).otherwise(same / F.lit(float(SAMPLES)))
 
     def text_of(s: str) -> Column:
-        parts = [F.lpad(F.lower(F.hex(F.col(s)[k].bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0") for k in range(SAMPLES)]
-        return F.coalesce(F.concat(*parts), F.lit("0" * 8 * SAMPLES))
+        parts = F.transform(s, lambda x: F.lpad(F.lower(F.hex(x.bitwiseAND(F.lit(0xFFFFFFFF)))), 8, "0"))
+        return F.coalesce(F.array_join(parts, ""), F.lit("0" * 8 * SAMPLES))
 
     prints = signed.select(F.col("part").alias("_part"), F.col("row").alias("_row"), text_of("s0").alias("fingerprint"), text_of("s1").alias("edited_fingerprint"), near("s0", "s1").alias("near_edited"), near("s0", "s2").alias("near_next"))
     meta = rows.where("not head").select("part", "row", "doc_id", F.length("text").cast("bigint").alias("n_chars"), F.sha2("edited", 256).alias("edited_sha256"))

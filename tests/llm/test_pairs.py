@@ -373,6 +373,13 @@ def test_fingerprints(spark):
     assert fingerprint.fingerprints(frame(spark, [])).count() == 0
 
 
+def test_plan_holds_few_samples(spark, monkeypatch):
+    calls, draws = [], fingerprint.draws
+    monkeypatch.setattr(fingerprint, "draws", lambda *a: calls.append(a) or draws(*a))
+    fingerprint.fingerprints(frame(spark, [(1, "a b"), (2, "b c")]))
+    assert 0 < len(calls) <= fingerprint.SAMPLES // 4  # the driver keeps and plans these
+
+
 def brute_signature(text):
     """The samples of a text by the definition: (term, t) of least ln a, by its hash."""
     from collections import Counter
