@@ -164,7 +164,7 @@ def bound(n, percent: int):
 
 def profiles(docs: DataFrame, levels: np.ndarray, ngram: int = NGRAM, percent: int = PERCENT, text: str = "text") -> DataFrame:
     """doc_id, text_hash, class, n (set size), prefix (the n-grams that bounds leave; empty
-    where the task has already given that class's)."""
+    where the task has already given that class's), stored."""
     shared = docs.sparkSession.sparkContext.broadcast(levels)  # SKETCH bytes
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -196,7 +196,10 @@ def profiles(docs: DataFrame, levels: np.ndarray, ngram: int = NGRAM, percent: i
                     ["doc_id", "text_hash", "class", "n", "prefix"],
                 )
 
-    return _rows(docs, text).mapInArrow(textvec.tidy(run), "doc_id bigint, text_hash bigint, class bigint, n bigint, prefix array<bigint>")
+    found = _rows(docs, text).mapInArrow(textvec.tidy(run), "doc_id bigint, text_hash bigint, class bigint, n bigint, prefix array<bigint>")
+    found = stored(found, "profiles")
+    shared.destroy()
+    return found
 
 
 def wanted_texts(docs: DataFrame, wanted: DataFrame, text: str = "text") -> DataFrame:
@@ -430,7 +433,7 @@ def links(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT, text: str
     ``near_duplicates`` gives the members of each class.  There are as many rows as links,
     which may be many for a large group of near copies; the other functions only count them.
     """
-    profile = stored(profiles(docs, frequency_levels(docs, ngram, text), ngram, percent, text), "profiles")
+    profile = profiles(docs, frequency_levels(docs, ngram, text), ngram, percent, text)
     return products(docs, profile, ngram, percent, text, True).withColumnRenamed("n", "overlap")
 
 
@@ -441,7 +444,7 @@ def near_duplicates(docs: DataFrame, ngram: int = NGRAM, percent: int = PERCENT,
     no doc_id does; ``class_id`` and ``component_id`` are their least doc_ids; ``n_links``
     is the number of other classes that the row's class links with.
     """
-    profile = stored(profiles(docs, frequency_levels(docs, ngram, text), ngram, percent, text), "profiles")
+    profile = profiles(docs, frequency_levels(docs, ngram, text), ngram, percent, text)
     found = products(docs, profile, ngram, percent, text, False)
     degree = found.where("b is null").groupBy(F.col("a").alias("class")).agg(F.sum("n").alias("n_links"))
     labels = components(found.where("b is not null")).withColumnRenamed("node", "class")

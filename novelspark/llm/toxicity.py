@@ -36,6 +36,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -302,6 +303,7 @@ def document_frequencies(docs: DataFrame, known: np.ndarray, text: str = "text")
     counted = docs.select(F.col(text).alias("text")).mapInArrow(textvec.tidy(run), schema).repartition("chunk").mapInArrow(textvec.tidy(add), schema)
     for row in counted.toLocalIterator():  # a row for each CHUNK terms of the examples
         out[row.chunk * CHUNK : (row.chunk + 1) * CHUNK] = np.frombuffer(row.counts, np.int64)
+    shared.destroy()
     return out[: len(known)], int(out[len(known)])
 
 
@@ -361,6 +363,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
 
     # bounded by EXAMPLES and EXAMPLE_BYTES
     local = rows.select("doc_id", "toxic", "text").mapInArrow(textvec.tidy(own_vectors), "doc_id bigint, toxic int, term array<int>, weight array<double>").orderBy("doc_id").toArrow().combine_chunks()
+    shared.destroy()
     lists = [local[k].chunk(0) for k in ("term", "weight")]
     first = np.concatenate([[0], np.cumsum(lists[0].value_lengths().to_numpy())]).astype(np.int64)
     toxic = local["toxic"].to_numpy().astype(np.int64)
@@ -381,6 +384,7 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
                     yield pa.RecordBatch.from_arrays([pa.array(index.names[own]), pa.array(index.vote(rows, cosines, prior)), pa.array(cosines[:, 0] > 0), pa.array(index.toxic[own]), pa.array(index.stands[own])], ["doc_id", "vote", "near", "toxic", "stands"])
 
     votes = rows.select("doc_id", "text").mapInArrow(textvec.tidy(own_votes), "doc_id bigint, vote double, near boolean, toxic bigint, stands double").orderBy("doc_id").toPandas()
+    ready.destroy()
     near, alone = votes[votes.near], votes[~votes.near]
     none = float((alone.stands * alone.toxic).sum() + prior) / float(alone.stands.sum() + 1)
     x, y = isotonic(near.vote.to_numpy(), near.toxic.to_numpy(), near.stands.to_numpy()) if len(near) else (np.zeros(1), np.full(1, prior))
@@ -389,8 +393,10 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
 
 def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """doc_id, text_hash, score, predicted, neighbours (doc_id, cosine, toxic) of every row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by EXAMPLES and EXAMPLE_BYTES
+    return _scored(docs, docs.sparkSession.sparkContext.broadcast(model), text)  # bounded by EXAMPLES and EXAMPLE_BYTES
 
+
+def _scored(docs: DataFrame, shared: Broadcast[Model], text: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         names = np.zeros(0, np.int64) if m.index is None else m.index.names
@@ -412,8 +418,12 @@ def score(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
 
 def keep_clean(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` without the rows that are predicted toxic, all columns kept."""
-    toxic = score(docs, fit(docs, labels)).where("predicted = 1").select("doc_id", "text_hash").distinct()
-    return without(docs, toxic)
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs, labels))
+    toxic = _scored(docs, shared).where("predicted = 1").select("doc_id", "text_hash").distinct()
+    clean = without(docs, toxic)  # which has stored the rows that go
+    shared.destroy()
+    textvec.give_back()
+    return clean
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import json
 import math
+import os
 import re
 import zlib
 from collections import Counter
@@ -13,7 +14,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from novelspark.llm import chat, common, mixing, quality, sharding, textvec, tokencount, tokenfile, toxicity
+from novelspark.llm import chat, common, mixing, neardup, quality, sharding, textvec, tokencount, tokenfile, toxicity
 
 SF = "/root/testdata/sf0.01"
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint, score string"
@@ -211,6 +212,20 @@ def test_keep_clean_whatever_the_columns(spark):
     assert sorted(r.doc_id for r in got.collect()) == [i for i in range(40) if i % 3]
 
 
+def test_stages_end_their_broadcasts(spark, monkeypatch):
+    """What a stage of the pipeline has sent for rows that are stored, the driver holds no longer."""
+    sent, broadcast = [], type(spark.sparkContext).broadcast
+    monkeypatch.setattr(type(spark.sparkContext), "broadcast", lambda self, value: sent.append(broadcast(self, value)) or sent[-1])
+    rows = [(i, "grumble snarl fight " * 3 if i % 3 == 0 else f"calm sea {i} wind") for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(30)], "doc_id bigint, quality int, toxic int")
+    left = toxicity.keep_clean(docs, labels)
+    assert len(sent) == 4 and not any(os.path.exists(b._path) for b in sent)
+    neardup.profiles(docs, neardup.frequency_levels(docs))
+    assert len(sent) == 5 and not os.path.exists(sent[4]._path)
+    assert left.count() == 26
+
+
 def test_scores_of_odd_inputs(spark):
     docs, labels = odd(spark), spark.createDataFrame([(0, None, None), (2, 1, 1), (4, 0, 0), (4, 1, 1), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
     for rows in (labels, labels.where("false")):
