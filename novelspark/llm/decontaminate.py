@@ -85,6 +85,13 @@ NUMBER, NAME, UNIT = (np.uint64(x) for x in (0x4E554D, 0x4E414D45, 0x554E4954))
 TEMPLATE, NAMED, STANDING = 0, 1, 2
 
 
+def _between(flags: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """How many flags are set from each start to its end; the sums over all bytes do not stay."""
+    sums = np.zeros(len(flags) + 1, np.int32)
+    np.cumsum(flags, dtype=np.int32, out=sums[1:])
+    return sums[end] - sums[start]
+
+
 class Canonical:
     """Canonical words of some texts: their hashes, the hashes of the words as they
     stand, and which are placeholders; those of text i are first[i]:first[i+1]."""
@@ -102,13 +109,13 @@ class Canonical:
             start, end = np.where(inside, lead, end), np.where(inside, last, end)
         else:
             start = end
+        del plain
         kept = start < end
         doc = w.doc()
         # a word after a sentence's end, a new line or nothing is no name by its capital
         fresh = np.ones(len(start), bool)
         if len(start) > 1:
-            lines = np.concatenate([[0], np.cumsum(data == 10)])
-            fresh[1:] = (doc[1:] != doc[:-1]) | _STOP[data[w.end[:-1] - 1]] | (lines[w.start[1:]] != lines[w.end[:-1]])
+            fresh[1:] = (doc[1:] != doc[:-1]) | _STOP[data[w.end[:-1] - 1]] | (_between(data == 10, w.end[:-1], w.start[1:]) > 0)
         start, end, fresh, doc = start[kept], end[kept], fresh[kept], doc[kept]
         self.first = np.searchsorted(doc, np.arange(len(docs) + 1))
         n = len(start)
@@ -119,17 +126,14 @@ class Canonical:
         low = textvec.lower_ascii(data)
         accent = np.flatnonzero((data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)) + 1
         low[accent] += 0x20  # capitals of Latin-1
-        lower = textvec.Hasher(low)
-        self.raw = lower(start, end)
-        odd = np.concatenate([[0], np.cumsum(~_NUMERIC[data])])
-        digits = np.concatenate([[0], np.cumsum(_DIGIT[data])])
-        number = (odd[end] == odd[start]) & (digits[end] > digits[start]) | np.isin(self.raw, numbers)
+        self.raw = textvec.Hasher(low)(start, end)
+        del low, accent
+        number = (_between(~_NUMERIC[data], start, end) == 0) & (_between(_DIGIT[data], start, end) > 0) | np.isin(self.raw, numbers)
         joined = _DIGIT[data[start]] & ~number  # such as 5kg
         lead = data[start]
         after = data[np.minimum(start + 1, len(data) - 1)]
         capital = _UPPER[lead] | ((lead == 0xC3) & (after >= 0x80) & (after <= 0x9E))
-        upper = np.concatenate([[0], np.cumsum(_UPPER[data])])
-        name = capital & ~number & ((upper[end] - upper[start] <= 1) | (end - start <= 5))
+        name = capital & ~number & ((_between(_UPPER[data], start, end) <= 1) | (end - start <= 5))
         before = np.zeros(n, bool)
         before[1:] = number[:-1] & (doc[1:] == doc[:-1])
         unit = before & np.isin(self.raw, units) & ~number

@@ -358,17 +358,21 @@ def fit(docs: DataFrame, labels: DataFrame, text: str = "text") -> Model:
         for batch in batches:
             for step in textvec.steps(batch.column(2)):
                 first, term, weight = shared.value.vectors(step)
-                at, part = pa.array(first, pa.int32()), slice(step.row, step.row + len(step))
-                yield pa.RecordBatch.from_arrays([batch.column(0)[part], batch.column(1)[part], pa.ListArray.from_arrays(at, pa.array(term, pa.int32())), pa.ListArray.from_arrays(at, pa.array(weight, pa.float64()))], ["doc_id", "toxic", "term", "weight"])
-
-    # bounded by EXAMPLES and EXAMPLE_BYTES
-    local = rows.select("doc_id", "toxic", "text").mapInArrow(textvec.tidy(own_vectors), "doc_id bigint, toxic int, term array<int>, weight array<double>").orderBy("doc_id").toArrow().combine_chunks()
+                part = slice(step.row, step.row + len(step))
+                packed = [pa.array([x[i:j].tobytes() for i, j in zip(first[:-1], first[1:], strict=True)], pa.binary()) for x in (term.astype(np.int32), weight)]
+                yield pa.RecordBatch.from_arrays([batch.column(0)[part], batch.column(1)[part], *packed], ["doc_id", "toxic", "term", "weight"])
+
+    # bounded by EXAMPLES and EXAMPLE_BYTES; the JVM holds a part at a time
+    names, classes, own_terms, own_weights = [], [], [], []
+    for row in rows.select("doc_id", "toxic", "text").mapInArrow(textvec.tidy(own_vectors), "doc_id bigint, toxic int, term binary, weight binary").orderBy("doc_id").toLocalIterator():
+        names.append(row.doc_id), classes.append(row.toxic)
+        own_terms.append(np.frombuffer(row.term, np.int32)), own_weights.append(np.frombuffer(row.weight, np.float64))
     shared.destroy()
-    lists = [local[k].chunk(0) for k in ("term", "weight")]
-    first = np.concatenate([[0], np.cumsum(lists[0].value_lengths().to_numpy())]).astype(np.int64)
-    toxic = local["toxic"].to_numpy().astype(np.int64)
+    first = np.concatenate([[0], np.cumsum([len(t) for t in own_terms])]).astype(np.int64)
+    toxic = np.array(classes, np.int64)
     stands = np.where(toxic == 1, sizes[1] / had[1], sizes[0] / had[0]) / (total / len(toxic))
-    index = Index.of(len(space.known), first, lists[0].flatten().to_numpy().astype(np.int64), lists[1].flatten().to_numpy(), local["doc_id"].to_numpy(), toxic, stands)
+    index = Index.of(len(space.known), first, np.concatenate(own_terms).astype(np.int64), np.concatenate(own_weights), np.array(names, np.int64), toxic, stands)
+    own_terms.clear(), own_weights.clear()
     ready = docs.sparkSession.sparkContext.broadcast((space, index))
 
     def own_votes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

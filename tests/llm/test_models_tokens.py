@@ -226,6 +226,17 @@ def test_stages_end_their_broadcasts(spark, monkeypatch):
     assert left.count() == 26
 
 
+def test_vectors_of_examples_come_by_parts(spark, monkeypatch):
+    """The driver gathers lists of terms at once, the examples' vectors a part at a time."""
+    docs = spark.createDataFrame([(i, f"calm sea {i} wind" if i % 3 else "grumble snarl") for i in range(40)], "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1, int(i % 3 == 0)) for i in range(30)], "doc_id bigint, quality int, toxic int")
+    gathered, to_arrow = [], type(docs).toArrow
+    monkeypatch.setattr(type(docs), "toArrow", lambda self: gathered.append(self.columns) or to_arrow(self))
+    index = toxicity.fit(docs, labels).index
+    assert gathered == [["term", "marked"]]
+    assert sorted(index.names.tolist()) == [i for i in range(30) if zlib.crc32(str(i).encode()) % 5]
+
+
 def test_scores_of_odd_inputs(spark):
     docs, labels = odd(spark), spark.createDataFrame([(0, None, None), (2, 1, 1), (4, 0, 0), (4, 1, 1), (None, 1, 1)], "doc_id bigint, quality int, toxic int")
     for rows in (labels, labels.where("false")):

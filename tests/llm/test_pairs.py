@@ -5,8 +5,10 @@ import math
 import random
 import re
 import struct
+import tracemalloc
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -458,3 +460,17 @@ def test_tasks_give_their_memory_back(spark):
     assert neardup.keep_first(docs, 5, 80).count() < 40
     # workers are used again, and hold nothing of the tasks before
     assert {r.n for r in spark.range(64).repartition(8).mapInArrow(held, "n int").collect()} == {0}
+
+
+def test_canonical_words_need_few_bytes_a_byte():
+    """Sums over all bytes of a text are kept one at a time."""
+    text = " ".join(f"Word{i % 977} costs {i}.50 kg,\nand Ünit {i} More." for i in range(12_000))
+    step = next(iter(textvec.steps(pa.array([text]))))
+    units, numbers = textvec.hash_words(decontaminate.UNITS), textvec.hash_words(decontaminate.NUMBER_WORDS)
+    decontaminate.Canonical(step, units, numbers)  # powers are kept
+    tracemalloc.start()
+    try:
+        decontaminate.Canonical(step, units, numbers)
+        assert tracemalloc.get_traced_memory()[1] < 45 * len(step.data)
+    finally:
+        tracemalloc.stop()
