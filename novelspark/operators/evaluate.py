@@ -181,6 +181,13 @@ def evidence_groups(relevant: DataFrame, least: int = 2) -> DataFrame:
     return relevant.groupBy("j").agg(F.countDistinct("i").alias("queries")).where(F.col("queries") >= least)
 
 
+def evidence_by_label(queries: DataFrame, documents: DataFrame, least: int = 2) -> DataFrame:
+    """``evidence_groups`` where a query (i, label) needs all documents (j, label) of its label:
+    queries are counted by label, and no pair is made."""
+    needed = evidence_groups(queries.select("i", F.col("label").alias("j")), least).withColumnRenamed("j", "label")
+    return documents.join(needed, "label").select("j", "queries")
+
+
 def epsilon_sweep(points: DataFrame, seq: str, x: str, label: str, grid: list[float], distance: str = "cosine") -> DataFrame:
     """The reuse measures at each epsilon of a grid, all nets found together."""
     rows, nets = sweep(points.select(F.col(seq).alias("i"), F.col(x).alias("x")), grid, distance)

@@ -41,3 +41,11 @@ def test_joins_by_chunks_send_no_row_twice(spark, monkeypatch, distance):
         near = epsjoin.nearest(left, right, distance, k=3, **flags)
         want = {(i, j, n + 1) for i in range(200) for n, (_, j) in enumerate(sorted((d[i, j], j) for j in range(200) if allowed[i, j])[:3])}
         assert {(r.i, r.j, r["rank"]) for r in near.collect()} == want
+
+
+def test_evidence_is_counted_by_label(spark):
+    queries = spark.createDataFrame([(0, 1), (5, 1), (10, 2), (15, None)], "i bigint, label int")
+    documents = spark.createDataFrame([(1, 1), (2, 2), (3, 1), (4, 3), (6, None)], "j bigint, label int")
+    got = evaluate.evidence_by_label(queries, documents)
+    want = evaluate.evidence_groups(queries.join(documents, "label").select("i", "j"))
+    assert sorted(got.collect()) == sorted(want.collect()) == [(1, 2), (3, 2)]
