@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,11 +22,25 @@ def _nearest(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return square.argmin(axis=1)
 
 
+def _added(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sum of the rows in two parts: the second one is what rounding took from the first."""
+    high, low = x, np.zeros_like(x)
+    while len(high) > 1:
+        if len(high) % 2:
+            high, low = np.concatenate([high, np.zeros_like(high[:1])]), np.concatenate([low, np.zeros_like(low[:1])])
+        a, b = high[::2], high[1::2]
+        high = a + b
+        back = high - a
+        low = low[::2] + low[1::2] + ((a - (high - back)) + (b - back))
+    return high[0], low[0]
+
+
 def kmeans(points: DataFrame, k: int, rounds: int = 20, seed: int = 0) -> tuple[DataFrame, np.ndarray]:
     """``points`` (i, x) with their cluster after so many rounds, and the centres.
 
     The first centres are the k points of smallest md5 of "seed:i".  A round sums the rows of each
-    cluster where they are and adds up these sums; a cluster without rows keeps its centre.
+    cluster where they are, with what rounding takes off, and adds up these sums, so centres are
+    the same however rows are dealt out; a cluster without rows keeps its centre.
     A row's cluster is that of the last round, as found before the centres moved.
     """
     rows = stored(points.select(F.col("i").cast("bigint").alias("i"), metrics.doubles("x").alias("x")), "points")
@@ -39,17 +54,19 @@ def kmeans(points: DataFrame, k: int, rounds: int = 20, seed: int = 0) -> tuple[
         shared = spark.sparkContext.broadcast(centres)  # k rows
 
         def sums(batches: Iterator[pd.DataFrame], shared=shared) -> Iterator[pd.DataFrame]:
-            total, n = np.zeros(shared.value.shape), np.zeros(len(shared.value), np.int64)
             for batch in batches:
                 if len(batch):
                     x = np.stack(batch["x"].to_numpy())
                     c = _nearest(x, shared.value)
-                    np.add.at(total, c, x)
-                    n += np.bincount(c, minlength=len(n))
-            yield pd.DataFrame({"c": np.arange(len(n), dtype=np.int32), "n": n, "s": list(total)})
-
-        per = rows.select("x").mapInPandas(sums, "c int, n bigint, s array<double>").where("n > 0")
-        added = per.select("c", "n", F.posexplode("s").alias("p", "v")).groupBy("c", "p").agg(F.sum("n").alias("n"), F.sum("v").alias("v")).collect()
+                    for cluster in np.unique(c):
+                        high, low = _added(x[c == cluster])
+                        yield pd.DataFrame({"c": [np.int32(cluster)], "n": [int((c == cluster).sum())], "high": [high], "low": [low]})
+
+        per = rows.select("x").mapInPandas(sums, "c int, n bigint, high array<double>, low array<double>")
+        at = per.select("c", "n", F.posexplode(F.arrays_zip("high", "low")).alias("p", "v"))
+        added = at.groupBy("c", "p").agg(F.sum("n").alias("n"), F.collect_list("v.high").alias("high"), F.collect_list("v.low").alias("low"))
+        whole = F.udf(lambda high, low: math.fsum([*high, *low]), "double")
+        added = added.select("c", "p", "n", whole("high", "low").alias("v")).collect()
         before, centres = centres, centres.copy()
         for r in added:  # k times as many as there are axes
             centres[r.c, r.p] = r.v / r.n

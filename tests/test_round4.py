@@ -58,3 +58,11 @@ def test_rows_at_one_place_in_order_all_come_out(spark, monkeypatch, settle):
     df = spark.createDataFrame(rows, "seq bigint, k string, v double")
     got = packing.first_fit(df, "seq", novelty.vector("v"), 1.0, keys=["k"]).collect()
     assert sorted((r.k, r.seq, r.is_novel) for r in got) == [("a", 1, False), ("a", 1, True), ("a", 1, True), ("a", 2, False), ("a", 2, True), ("b", 1, False), ("b", 1, True)]
+
+
+def test_centres_do_not_depend_on_how_rows_are_dealt_out(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((999, 3)) * 10.0 ** rng.integers(-9, 9, (999, 1))
+    for parts in (1, 7):
+        _, centres = clusters.kmeans(vectors(spark, x).repartition(parts), 1, 1)
+        assert centres[0].tolist() == [math.fsum(axis) / 999 for axis in x.T]
