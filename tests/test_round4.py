@@ -43,6 +43,22 @@ def test_joins_by_chunks_send_no_row_twice(spark, monkeypatch, distance):
         assert {(r.i, r.j, r["rank"]) for r in near.collect()} == want
 
 
+@pytest.mark.parametrize("fewest", [2, 32])
+def test_coverage_without_edges(spark, monkeypatch, fewest):
+    monkeypatch.setattr(selection, "FEWEST", fewest)
+    monkeypatch.setattr(selection, "SLICE_ROWS", (11, 11))
+    monkeypatch.setattr(epsjoin, "CHUNK_BYTES", 8 * 2 * 30)
+    points = vectors(spark, np.round(np.random.default_rng(8).random((90, 2)), 1))
+    cover, chosen = selection.edges(points, "linf", 0.2), points.where("i % 4 = 0")
+    monkeypatch.setattr(selection, "edges", None)
+    for k in (None, 9, 200):
+        for by_coordinates in (True, False):
+            got = selection.greedy_points(points, "linf", 0.2, k, by_coordinates).collect()
+            assert got == selection.greedy(points, cover, k, by_coordinates).collect()
+    for new, old in ((selection.coverage_points(points, chosen, "linf", 0.2), selection.coverage(points, cover, chosen)), (selection.evict_worst_points(points, chosen, "linf", 0.2), selection.evict_worst(cover, chosen)), (selection.violations_points(chosen, "linf", 0.2), selection.separation_violations(cover, chosen))):
+        assert sorted(new.collect()) == sorted(old.select(*new.columns).collect())
+
+
 def test_evidence_is_counted_by_label(spark):
     queries = spark.createDataFrame([(0, 1), (5, 1), (10, 2), (15, None)], "i bigint, label int")
     documents = spark.createDataFrame([(1, 1), (2, 2), (3, 1), (4, 3), (6, None)], "j bigint, label int")
