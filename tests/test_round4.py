@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from novelspark.functions import metrics
-from novelspark.operators import clusters, evaluate, novelty, packing, selection
+from novelspark.operators import clusters, evaluate, novelty, packing, persistence, selection
 from novelspark.plans import epsjoin
 
 
@@ -82,3 +82,16 @@ def test_centres_do_not_depend_on_how_rows_are_dealt_out(spark):
     for parts in (1, 7):
         _, centres = clusters.kmeans(vectors(spark, x).repartition(parts), 1, 1)
         assert centres[0].tolist() == [math.fsum(axis) / 999 for axis in x.T]
+
+
+@pytest.mark.parametrize("top", [15, 120, 1000])
+def test_primes_are_sieved_where_they_are(spark, monkeypatch, top):
+    monkeypatch.setattr(persistence, "SIEVED", 50)
+    primes = [v for v in range(2, top + 1) if all(v % f for f in range(2, math.isqrt(v) + 1))]
+    assert sorted(r.v for r in persistence.sieve(spark, top).collect()) == primes
+    found = persistence.nth_primes(spark, 60)
+    assert [r.prime for r in found.orderBy("index").collect()][:4] == [2, 3, 5, 7] and found.count() == 60
+    features = spark.createDataFrame([(p, 1.0) for p in (0, 4, 7, 11)], "birth bigint, persistence double")
+    counted = persistence.prime_cycle_count(features, 0.5, found)
+    assert "BroadcastHashJoin LeftSemi" not in " ".join(counted._jdf.queryExecution().executedPlan().toString().replace("[", " ").split())
+    assert counted.first().prime_cycles == 2
